@@ -16,7 +16,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -52,87 +52,107 @@ _CAMEL = re.compile("(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "furniture")
+    __slots__ = ("tag", "parent", "parts", "chars", "own", "tags", "link_chars", "link_tags", "density", "total", "furniture")
 
     def __init__(self, tag: str, parent: Node | None, furniture: bool = False) -> None:
         self.tag, self.parent, self.furniture = tag, parent, furniture
         self.parts: list[Node | str] = []
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.chars = self.own = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-class Builder(HTMLParser):
+# A comment, a declaration, or a tag with its attributes (quoted values may hold ">").
+_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?/][^a-zA-Z>][^>]*>|<!?>|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|<![^>]*>""", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]*)))?""")
+_TELLING = re.compile("class|id|role|hidden", re.I)
+RAW = frozenset("script style textarea title noscript iframe".split())
+
+
+class Builder:
+    """Builds the tree; ``open`` counts the open elements by tag."""
+
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.root = self.now = Node("html", None)
-        self.raw = 0
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.open: dict[str, int] = {}
+
+    def feed(self, html: str) -> None:
+        at, find = 0, _MARKUP.search
+        while m := find(html, at):
+            if m.start() > at:
+                self.now.parts.append(unescape(html[at : m.start()]))
+            at, tag = m.end(), m[2]
+            if not tag:
+                continue
+            tag = tag.lower()
+            if m[1]:
+                self._end(tag)
+            else:
+                self._start(tag, m[3])
+                if tag in RAW:  # the content is no markup
+                    close = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(html, at)
+                    at = close.start() if close else len(html)
+        if at < len(html):
+            self.now.parts.append(unescape(html[at:]))
+
+    def _start(self, tag: str, attributes: str) -> None:
         if tag in ("html", "body"):
-            if tag == "html" or any(n.tag == "body" for n in self._path()):
+            if tag == "html" or self.open.get("body"):
                 return
             while self.now.parent is not None:
-                self.now = self.now.parent
-        if tag in CLOSES_P:
+                self._pop()
+        if tag in CLOSES_P and self.open.get("p"):
             self._close({"p"}, {"table", "td", "th", "button", "object"})
         if tag in CLOSES:
             self._close(CLOSES[tag], SCOPE.get(tag, {"table"}))
         if tag in VOID:
-            self.now.parts.append(Node(tag, self.now))
+            if tag in ("br", "hr"):
+                self.now.parts.append(Node(tag, self.now))
             return
-        node = Node(tag, self.now, self._furniture(tag, attrs))
+        node = Node(tag, self.now, self._furniture(tag, attributes))
         self.now.parts.append(node)
         self.now = node
+        self.open[tag] = self.open.get(tag, 0) + 1
 
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)  # the slash means nothing on other elements than void ones
-
-    def handle_endtag(self, tag: str) -> None:
+    def _end(self, tag: str) -> None:
         if tag == "br":
             self.now.parts.append(Node("br", self.now))
-        elif tag not in ("html", "body") and any(n.tag == tag for n in self._path()):
+        elif tag not in ("html", "body") and self.open.get(tag):
             while self.now.tag != tag:
-                self.now = self.now.parent
-            self.now = self.now.parent or self.root
+                self._pop()
+            self._pop()
 
-    def handle_data(self, data: str) -> None:
-        self.now.parts.append(data)
-
-    def _path(self) -> Iterator[Node]:
-        node = self.now
-        while node is not None:
-            yield node
-            node = node.parent
+    def _pop(self) -> None:
+        self.open[self.now.tag] -= 1
+        self.now = self.now.parent
 
     def _close(self, tags: set[str], scope: set[str]) -> None:
-        last = None
-        for node in self._path():
-            if node.tag in scope:
-                break
+        last, node = None, self.now
+        while node is not None and node.tag not in scope:
             if node.tag in tags:
                 last = node
+            node = node.parent
         if last is not None and last.parent is not None:
-            self.now = last.parent
+            while self.now is not last:
+                self._pop()
+            self._pop()
 
-    def _furniture(self, tag: str, attrs: list) -> bool:
-        if tag in FURNITURE_TAGS:
+    def _furniture(self, tag: str, attributes: str) -> bool:
+        if tag in FURNITURE_TAGS or tag == "header" and not (self.open.get("article") or self.open.get("main")):
             return True
-        inside = any(n.tag in ("article", "main") for n in self._path())
-        if tag == "header" and not inside:
-            return True
-        given = dict(attrs)
-        if (given.get("role") or "").lower() in FURNITURE_ROLES or "hidden" in given or (given.get("aria-hidden") or "") == "true":
+        if not attributes or not _TELLING.search(attributes):
+            return False
+        given = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
+        if given.get("role", "").lower() in FURNITURE_ROLES or "hidden" in given or given.get("aria-hidden") == "true":
             return True
-        if tag in ("html", "body", "main"):
+        if tag in ("body", "main"):
             return False
-        names = _CAMEL.sub(" ", f"{given.get('class') or ''} {given.get('id') or ''}").lower()
+        names = _CAMEL.sub(" ", f"{given.get('class', '')} {given.get('id', '')}").lower()
         return not FURNITURE_WORDS.isdisjoint(_WORD.findall(names))
 
 
 def parse(html: str) -> Node:
     builder = Builder()
     builder.feed(_TAIL.sub("", html))
-    builder.close()
     return builder.root
 
 
@@ -150,12 +170,13 @@ def _measure(nodes: list[Node]) -> None:
     for node in reversed(nodes):
         for x in node.parts:
             if isinstance(x, str):
-                node.chars += sum(map(len, x.split()))
+                node.own += len("".join(x.split()))
             elif not x.furniture:
                 node.chars += x.chars
                 node.tags += x.tags + 1
                 node.link_chars += x.chars if x.tag == "a" else x.link_chars
                 node.link_tags += 1 if x.tag == "a" else x.link_tags
+        node.chars += node.own
     top = nodes[0]
     share = top.link_chars / max(1, top.chars)
     for node in nodes:
@@ -167,8 +188,8 @@ def _measure(nodes: list[Node]) -> None:
     for node in nodes:
         node.total = sum(x.density for x in node.parts if isinstance(x, Node) and not x.furniture)
         # text of the node's own is a child without tags
-        own = sum(sum(map(len, x.split())) for x in node.parts if isinstance(x, str))
-        node.total += own * (1.0 if node.chars > node.link_chars else 0.0)
+        if node.chars > node.link_chars:
+            node.total += node.own
 
 
 def core(root: Node) -> Node | None:

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, table
 
 MODEL = "piece_bpe_32k.model"
-TABLE_CHUNKS = 150_000
+TABLE_CHUNKS = 400_000
+PIECE_ROWS = 500
 MARK = "▁"
 _CHUNK = re.compile(" *[^ ]+| +")
 _TABLES: dict[str, ChunkTable] = {}
@@ -31,8 +32,8 @@ SCHEMA = "doc_id bigint, ids array<int>, decoded string"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
 
-class ChunkTable(dict):
-    """Chunk (at least one space, then no space) -> ids; surfaces beside it."""
+class ChunkTable:
+    """Chunk (at least one space, then no space) -> its ids as packed 32-bit integers."""
 
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -43,24 +44,30 @@ class ChunkTable(dict):
             raise ValueError("pieces of this model cross whitespace markers")
         if self.library.encode(" a") == self.library.encode("a") or self.library.encode("a")[0] == self.library.piece_to_id("a"):
             raise ValueError("the model must keep extra spaces and add a marker before the text")
-        self.surface: dict[str, str] = {}
-
-    def __missing__(self, chunk: str) -> tuple[int, ...]:
-        # the library puts a marker before what it encodes: that is the chunk's first space
-        ids = tuple(self.library.encode(chunk[1:])) if len(chunk) > 1 else (self.library.piece_to_id(MARK),)
-        self[chunk] = ids
-        self.surface[chunk] = " " + self.library.decode(list(ids)) if len(chunk) > 1 else " "
-        return ids
-
-    def segment(self, text: str) -> tuple[list[tuple[int, ...]], str]:
-        if not text:
-            return [], ""
-        if len(self) > TABLE_CHUNKS:
-            self.clear()
-            self.surface.clear()
-        chunks = _CHUNK.findall(" " + text.replace(MARK, " "))
-        ids = list(map(self.__getitem__, chunks))
-        return ids, "".join(map(self.surface.__getitem__, chunks))[1:]
+        self.ids: dict[str, bytes] = {}
+        self.odd: dict[str, str] = {}  # surfaces of the chunks that decode to something else than themselves
+
+    def learn(self, new: list[str]) -> None:
+        """Segment new chunks. The library puts a marker before what it encodes: that is the chunk's first space."""
+        got = self.library.encode([x[1:] for x in new], num_threads=1)
+        for x, ids, back in zip(new, got, self.library.decode(got, num_threads=1) if new else []):
+            if len(x) == 1:
+                ids = [self.library.piece_to_id(MARK)]
+            self.ids[x] = np.array(ids, np.int32).tobytes()
+            if back != x[1:]:
+                self.odd[x] = " " + back
+
+    def segment(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
+        """Packed ids and the decoded text of each text."""
+        chunks = [_CHUNK.findall(" " + x.replace(MARK, " ")) if x else [] for x in texts]
+        if len(self.ids) > TABLE_CHUNKS:
+            self.ids.clear()
+            self.odd.clear()
+        self.learn(list(set().union(*chunks).difference(self.ids)))
+        packed = [b"".join(map(self.ids.__getitem__, own)) for own in chunks]
+        if self.odd:
+            return packed, ["".join([self.odd.get(x, x) for x in own])[1:] for own in chunks]
+        return packed, ["".join(own)[1:] for own in chunks]
 
 
 def _chunk_table(path: str) -> ChunkTable:
@@ -71,19 +78,14 @@ def _chunk_table(path: str) -> ChunkTable:
 
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from itertools import chain
-
         own = _chunk_table(path)
-        for batch in batches:
-            offsets, flat, decoded = [0], [], []
-            for text in pc.fill_null(batch.column("text"), "").to_pylist():
-                ids, back = own.segment(text)
-                got = np.fromiter(chain.from_iterable(ids), np.int32)
-                flat.append(got)
-                offsets.append(offsets[-1] + len(got))
-                decoded.append(back)
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(flat) if flat else np.empty(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(decoded, pa.string())], schema=_ARROW)
+        for whole in batches:
+            for at in range(0, whole.num_rows, PIECE_ROWS):
+                batch = whole.slice(at, PIECE_ROWS)
+                packed, decoded = own.segment(pc.fill_null(batch.column("text"), "").to_pylist())
+                offsets = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(decoded, pa.string())], schema=_ARROW)
 
     return run
 
