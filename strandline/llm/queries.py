@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, extract, lines, pieces, topk, urls
+from . import decontaminate, extract, lines, pieces, pseudo, topk, toxicity, urls
 
 
 def queries() -> dict:
     return {
         "op2_sentencepiece": pieces.query,
         "op3_decontamination": decontaminate.query,
+        "op4_toxicity": toxicity.query,
         "op5_url_filter": urls.query,
         "op7_line_dedup": lines.query,
         "op8_topk": topk.query,
+        "op9_pseudo_likelihood": pseudo.query,
         "op10_html_extraction": extract.query,
     }
 
