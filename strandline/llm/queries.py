@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, extract, lines, pieces, pseudo, topk, toxicity, urls
+from . import decontaminate, extract, lines, pieces, pseudo, repeats, topk, toxicity, urls
 
 
 def queries() -> dict:
     return {
+        "op1_suffix_dedup": repeats.query,
         "op2_sentencepiece": pieces.query,
         "op3_decontamination": decontaminate.query,
         "op4_toxicity": toxicity.query,
