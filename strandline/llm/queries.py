@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, extract, lines, pieces, pseudo, repeats, topk, toxicity, urls
+from . import decontaminate, extract, jaccard, lines, pieces, pseudo, repeats, topk, toxicity, urls
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_decontamination": decontaminate.query,
         "op4_toxicity": toxicity.query,
         "op5_url_filter": urls.query,
+        "op6_jaccard_join": jaccard.query,
         "op7_line_dedup": lines.query,
         "op8_topk": topk.query,
         "op9_pseudo_likelihood": pseudo.query,
