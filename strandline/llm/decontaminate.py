@@ -26,7 +26,7 @@ from .common import as_bytes, bounded_batches, cut, table, word_table
 WINDOW_WORDS = 10
 AUTOMATON_BYTES = 32 << 20
 _WORDS = word_table()
-_BUILT: dict[int, tuple] = {}
+_BUILT: dict = {}
 
 SCHEMA = "doc_id bigint, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>"
 _ARROW = pa.schema([
@@ -50,19 +50,15 @@ def windows_of(items: list[tuple[str, bytes]], n: int) -> dict[str, list[str]]:
 
 
 def _automaton(given: Broadcast) -> tuple:
-    if given.id not in _BUILT if hasattr(given, "id") else True:
-        patterns = given.value
+    patterns = given.value  # one object in a worker for as long as it lives
+    if _BUILT.get("of") is not patterns:
         machine = ahocorasick.Automaton()
         for pattern, items in patterns.items():
             machine.add_word(pattern, (len(pattern), items))
         if patterns:
             machine.make_automaton()
-        built = (machine, bool(patterns))
-        if not hasattr(given, "id"):
-            return built
-        _BUILT.clear()
-        _BUILT[given.id] = built
-    return _BUILT[given.id]
+        _BUILT.update(of=patterns, machine=machine)
+    return _BUILT["machine"], bool(patterns)
 
 
 def scan(text: bytes, machine: ahocorasick.Automaton) -> tuple[int, int, set[str], list[dict]]:
@@ -111,22 +107,56 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS,
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // block_bytes))
+    items = _items(benchmark)
+    blocks = _blocks(items, block_bytes)
     if blocks == 1:
-        given = spark.sparkContext.broadcast(windows_of([(r.item_id, r.text.encode()) for r in items.collect()], n))
+        given = spark.sparkContext.broadcast(_windows(items, n, 0, 1))
         return docs.mapInArrow(_scan_batches(given), SCHEMA)
     return _in_blocks(docs, items, n, blocks)
 
 
+def _clean(given: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine, any_pattern = _automaton(given)
+        for batch in batches:
+            if any_pattern:
+                batch = batch.filter(pa.array([scan(t, machine)[1] == 0 for t in as_bytes(batch.column("text"))], pa.bool_()))
+            yield batch
+
+    return run
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS, block_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns, without any window of the benchmark; no row is shuffled. One pass for each block of items."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    items = _items(benchmark)
+    blocks = _blocks(items, block_bytes)
+    for b in range(blocks):
+        given = spark.sparkContext.broadcast(_windows(items, n, b, blocks))
+        docs = docs.mapInArrow(_clean(given), docs.schema)
+    return docs
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+
+
+def _blocks(items: DataFrame, block_bytes: int) -> int:
+    return max(1, -(-items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // block_bytes))
+
+
+def _windows(items: DataFrame, n: int, b: int, blocks: int) -> dict[str, list[str]]:
+    own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else items
+    return windows_of([(r.item_id, r.text.encode()) for r in own.collect()], n)
+
+
 def _in_blocks(docs: DataFrame, items: DataFrame, n: int, blocks: int) -> DataFrame:
     spark = docs.sparkSession
     rows = cut(docs.withColumn("row", F.monotonically_increasing_id()))
     parts = None
     for b in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        given = spark.sparkContext.broadcast(windows_of([(r.item_id, r.text.encode()) for r in own.collect()], n))
+        given = spark.sparkContext.broadcast(_windows(items, n, b, blocks))
         part = cut(rows.select(F.col("row").alias("doc_id"), "text").mapInArrow(_scan_batches(given), SCHEMA))
         parts = part if parts is None else parts.unionByName(part)
     merged = parts.groupBy(F.col("doc_id").alias("row")).agg(

@@ -138,7 +138,7 @@ class Signatures:
         for band in range(own, own + 1 + (size * PER_UNION // PER_SHARED >= bands[own + 1][0])):
             high = bands[band][1]
             m = segments_of(high)
-            code = mix(items + U64(band + 1) * _PLACE[2])
+            code = mix(items + U64((band + 1) * int(_PLACE[2]) % (1 << 64)))
             at = ((code >> U64(32)) * U64(m) >> U64(32)).astype(np.int64)
             order = np.argsort(at, kind="stable")
             at, code = at[order], code[order]

@@ -268,6 +268,26 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -
     return docs.mapInArrow(_score(given), "doc_id bigint, score double")
 
 
+def _below(given, limit: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = given.value
+        tables = model.tables() if model else None
+        for batch in batches:
+            if model:
+                scores = model.scores([slots_of(words_of(t)) for t in as_bytes(batch.column("text"))], tables)
+                batch = batch.filter(pa.array(scores < limit))
+            yield batch
+
+    return run
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, limit: float = THRESHOLD, rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of ``docs``, all columns, that score below ``limit``; no row is shuffled."""
+    bounded_batches(docs.sparkSession)
+    given = docs.sparkSession.sparkContext.broadcast(train(docs, labels, rows))
+    return docs.mapInArrow(_below(given, limit), docs.schema)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     scored = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
