@@ -1,6 +1,6 @@
 """Registered queries by module; importing the package registers all of them."""
 
-from . import islands, joins, scalars, signals  # noqa: F401
+from . import aggregates, islands, joins, scalars, signals  # noqa: F401
 from .registry import QUERIES
 
 
