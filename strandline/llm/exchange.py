@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 #: Copies of one text share blocks (so that they are compared once), but over no fewer than this share of all blocks.
 SPREAD = 8
 
@@ -42,11 +42,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashes >> U64(44)) * U64(buckets) >> U64(20)).astype(np.int64)
+    return ((hashes >> U64(40)) * U64(buckets) >> U64(24)).astype(np.int64)
 
 
-#: Bits of a hash that are sent: a first digit only. Equal digits of unequal hashes cost work later, never results.
-SENT_BITS = 44
+#: The low bits of a hash are not sent: what is, is a first digit only. Equal digits of unequal hashes cost work later, never results.
+UNSENT_BITS = U64(20)
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -67,16 +67,11 @@ ANSWER_SQL = "block int, bucket int, weights binary"
 
 def to_buckets(hashes: np.ndarray, owners: np.ndarray, block: int, buckets: int) -> pa.Table:
     """One row for each bucket: the distinct hash digits of the block, and which of them have several owners in it."""
-    low = hashes & U64((1 << SENT_BITS) - 1)
-    at = bucket_of(hashes, buckets)
-    order = np.lexsort((owners, low, at))
-    low, at, owners = low[order], at[order], owners[order]
-    new = np.ones(len(low), bool)
-    new[1:] = (low[1:] != low[:-1]) | (at[1:] != at[:-1])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(low)) - 1 if len(first) else first
-    several = owners[first] != owners[last]
-    low, at = low[first], at[first]
+    order = np.argsort(hashes)  # buckets are ranges of hashes
+    low, owners = hashes[order] >> UNSENT_BITS, owners[order]
+    first = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1]))) if len(low) else np.zeros(0, np.int64)
+    several = np.minimum.reduceat(owners, first) != np.maximum.reduceat(owners, first) if len(first) else np.zeros(0, bool)
+    at, low = bucket_of(hashes[order[first]], buckets), low[first]
     edges = np.searchsorted(at, np.arange(buckets + 1))
     rows = [(b, block, int(e - s), pack(low[s:e]), np.packbits(several[s:e]).tobytes()) for b, (s, e) in enumerate(zip(edges[:-1], edges[1:])) if e > s]
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(SENT)], schema=SENT)
@@ -106,16 +101,14 @@ def compare(sent: pa.Table) -> pa.Table:
 def weights_of(hashes: np.ndarray, answer: pa.Table, buckets: int) -> np.ndarray:
     """The answered weight of each hash of a block (in the order given)."""
     out = np.zeros(len(hashes), np.uint8)
-    if not answer.num_rows:
+    if not answer.num_rows or not len(hashes):
         return out
-    low, at = hashes & U64((1 << SENT_BITS) - 1), bucket_of(hashes, buckets)
-    order = np.lexsort((low, at))
-    low, at = low[order], at[order]
-    new = np.ones(len(low), bool)
-    new[1:] = (low[1:] != low[:-1]) | (at[1:] != at[:-1])
+    order = np.argsort(hashes)
+    low = hashes[order] >> UNSENT_BITS
+    new = np.concatenate(([True], low[1:] != low[:-1]))
     rank = np.cumsum(new) - 1
-    own = np.zeros(int(rank[-1]) + 1 if len(rank) else 0, np.uint8)
-    place = np.searchsorted(at[new], np.arange(buckets + 1))
+    own = np.zeros(int(rank[-1]) + 1, np.uint8)
+    place = np.searchsorted(bucket_of(hashes[order[new]], buckets), np.arange(buckets + 1))
     for bucket, blob in zip(answer["bucket"].to_pylist(), answer["weights"].to_pylist()):
         own[place[bucket] : place[bucket + 1]] = np.frombuffer(blob, np.uint8)
     out[order] = own[rank]

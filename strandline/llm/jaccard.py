@@ -40,7 +40,7 @@ from .graph import components
 SHINGLE = 5
 #: Links have PER_UNION * shared >= PER_SHARED * union, here 100 * shared >= 75 * union.
 PER_UNION, PER_SHARED = 100, 75
-SMALL = 32
+SMALL = 64
 PIECE = 1 << 20
 LEADERS = 4
 SAMPLED = 16
@@ -120,63 +120,75 @@ def band_edges(size: int) -> list[tuple[int, int]]:
     return out
 
 
-def most_different(s: int, t: int) -> int:
-    """Most shingles in which linked sets of these sizes can differ: shared >= 3/7 of s + t."""
-    return s + t - 2 * -(-(s + t) * PER_SHARED // (PER_UNION + PER_SHARED))
+def most_different(s, t):
+    """Most shingles in which linked sets of these sizes can differ: a seventh of s + t. Grows with either size, so it holds for all smaller ones too."""
+    return (s + t) * (PER_UNION - PER_SHARED) // (PER_UNION + PER_SHARED)
 
 
 def segments_of(high: int) -> int:
-    return 4 * high if high <= SMALL else (most_different(high, high) + 1) * 8 // 5 + 6
+    """More than most_different + 1: some stay empty, some hold only common shingles."""
+    need = most_different(high, high) + 1
+    return 4 * high if high <= 16 else 2 * need + 8 if high <= SMALL else need * 7 // 5 + 8
 
 
 class Signatures:
-    """A set's signatures: hash, segment (over both schemes), and whether it is of a segment or of one less a shingle."""
-
-    def __init__(self, items: np.ndarray, bands: list[tuple[int, int]]) -> None:
-        size, hashes, segment, less, self.need, self.many, base = len(items), [], [], [], [], [], 0
-        own = next(i for i, (low, high) in enumerate(bands) if low <= size <= high)
-        for band in range(own, own + 1 + (size * PER_UNION // PER_SHARED >= bands[own + 1][0])):
-            high = bands[band][1]
-            m = segments_of(high)
-            code = mix(items + U64((band + 1) * int(_PLACE[2]) % (1 << 64)))
-            at = ((code >> U64(32)) * U64(m) >> U64(32)).astype(np.int64)
-            order = np.argsort(at, kind="stable")
-            at, code = at[order], code[order]
-            first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-            total, count = np.add.reduceat(code, first), np.diff(np.append(first, len(at)))
-            salt = U64(band << 40) + at[first].astype(np.uint64)
-            hashes.append(mix(total + mix(salt)))
-            number = base + np.arange(len(first))
-            segment.append(number)
-            less.append(np.zeros(len(first), bool))
-            if high <= SMALL:
-                group = np.repeat(np.arange(len(first)), count)
-                more = count[group] > 1
-                hashes.append(mix(total[group][more] - code[more] + mix(salt[group][more])))
-                segment.append(number[group[more]])
-                less.append(np.ones(int(more.sum()), bool))
-            self.need.append(most_different(size, high) + 1)
-            self.many.append((base, base + len(first)))
-            base += len(first)
-        self.hashes, self.segment, self.less = np.concatenate(hashes), np.concatenate(segment), np.concatenate(less)
+    """Signatures of many sets: hash, owner (number of the set), group (set and scheme), segment, and whether it is of a segment or of one less a shingle."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        bands = band_edges(int(sizes.max(initial=1)))
+        low, high = (np.array([b[i] for b in bands]) for i in (0, 1))
+        items = np.concatenate([*sets, np.zeros(0, np.uint64)])
+        parts, base = [], 0
+        self.need = np.zeros(2 * len(sets), np.int64)
+        for scheme in (0, 1):
+            band = np.searchsorted(high, sizes) + scheme
+            taking = np.ones(len(sets), bool) if not scheme else sizes * PER_UNION // PER_SHARED >= low[np.minimum(band, len(low) - 1)]
+            top = high[np.minimum(band, len(high) - 1)]
+            many = np.array([segments_of(int(h)) for h in high])[np.minimum(band, len(high) - 1)]
+            self.need[scheme::2] = np.where(taking, most_different(sizes, top) + 1, 0)
+            owner = np.repeat(np.arange(len(sets)), sizes)
+            mine = taking[owner]
+            owner, own = owner[mine], items[mine]
+            code = mix(own + (band.astype(np.uint64) + U64(1))[owner] * _PLACE[2])
+            place = ((code >> U64(32)) * many.astype(np.uint64)[owner] >> U64(32)).astype(np.int64)
+            starts = np.cumsum(many) - many
+            cell = starts[owner] + place
+            total, count = np.zeros(int(many.sum()), np.uint64), np.bincount(cell, minlength=int(many.sum()))
+            np.add.at(total, cell, code)
+            full = np.flatnonzero(count)
+            of = np.repeat(np.arange(len(sets)), many)
+            salt = mix((band.astype(np.uint64) << U64(40))[of] + (np.arange(len(of)) - starts[of]).astype(np.uint64))
+            parts.append((mix(total[full] + salt[full]), of[full], 2 * of[full] + scheme, base + full, np.zeros(len(full), bool)))
+            less = np.flatnonzero((top <= SMALL)[owner] & (count[cell] > 1))
+            at = cell[less]
+            parts.append((mix(total[at] - code[less] + salt[at]), owner[less], 2 * owner[less] + scheme, base + at, np.ones(len(less), bool)))
+            base += len(of)
+        self.hashes, self.owner, self.group, self.segment, self.less = (np.concatenate([p[i] for p in parts]) for i in range(5))
 
     def allocate(self, weights: np.ndarray) -> np.ndarray:
-        """Which signatures to look up: the cheapest that count ``need`` in each scheme."""
+        """Which signatures to look up: for each set and scheme the cheapest that together count ``need``."""
         cost = np.where(weights > 0, np.exp2(weights / 8.0), 0.0)
-        n = self.many[-1][1]
-        single, double = np.zeros(n), np.zeros(n)
-        np.add.at(single, self.segment[~self.less], cost[~self.less])
-        np.add.at(double, self.segment[self.less], cost[self.less])
-        can = np.bincount(self.segment[self.less], minlength=n) > 0
-        value = np.zeros(n, np.int8)
-        for (s, e), need in zip(self.many, self.need):
-            order = s + np.argsort(single[s:e], kind="stable")
-            value[order[:need]] = 1
-            short = need - min(need, e - s)
-            if short:
-                extra = np.flatnonzero(can[s:e]) + s
-                value[extra[np.argsort(double[extra], kind="stable")][:short]] = 2
-        return np.where(self.less, value[self.segment] == 2, value[self.segment] >= 1)
+        out = np.zeros(len(cost), bool)
+        whole = np.flatnonzero(~self.less)
+        order = whole[np.lexsort((cost[whole], self.group[whole]))]
+        group = self.group[order]
+        first = np.searchsorted(group, group)
+        out[order[np.arange(len(order)) - first < self.need[group]]] = True
+        # sets that lack segments: those of several shingles count twice, cheapest first, with their one-deletion neighbourhoods
+        short = self.need - np.bincount(self.group[whole], minlength=len(self.need))
+        less = np.flatnonzero(self.less & (short > 0)[self.group])
+        price: dict[tuple[int, int], float] = {}
+        for i in less.tolist():
+            key = int(self.group[i]), int(self.segment[i])
+            price[key] = price.get(key, 0.0) + float(cost[i])
+        taken, left = set(), short.copy()
+        for (g, segment), _ in sorted(price.items(), key=lambda x: (x[0][0], x[1], x[0][1])):
+            if left[g] > 0:
+                left[g] -= 1
+                taken.add(segment)
+        out[[i for i in less.tolist() if int(self.segment[i]) in taken]] = True
+        return out
 
 
 ROWS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("doc", pa.int64()), ("hashes", pa.binary()), ("docs", pa.binary()), ("probes", pa.binary())])
@@ -184,9 +196,11 @@ ROWS_SQL = "bucket int, block int, doc bigint, hashes binary, docs binary, probe
 PAIRS_SQL = "a bigint, b bigint"
 
 
-def _describe(rows: pa.Table) -> pa.Table:
-    sets = shingle_sets(rows["body"].to_pylist())
-    return pa.table({"doc_id": rows["doc_id"].combine_chunks(), "n_shingles": pa.array([len(x) for x in sets], pa.int64()), "key": pa.array([set_key(x) for x in sets], pa.binary()), "block": rows["block"].combine_chunks()})
+def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in batches:
+        sets = shingle_sets(rows.column("body").to_pylist())
+        columns = [rows.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([set_key(x) for x in sets], pa.binary()), rows.column("block")]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "key", "block"])
 
 
 def _representatives(rows: pa.Table, heard: pa.Table) -> tuple[list[int], list[np.ndarray]]:
@@ -203,19 +217,11 @@ def _representatives(rows: pa.Table, heard: pa.Table) -> tuple[list[int], list[n
     return [d for d, _ in sorted(found)], [found[k] for k in sorted(found)]
 
 
-def _all_signatures(sets: list[np.ndarray]) -> list[Signatures]:
-    bands = band_edges(max((len(x) for x in sets), default=1))
-    return [Signatures(x, bands) for x in sets]
-
-
 def _send(buckets: int):
     def run(rows: pa.Table, heard: pa.Table) -> pa.Table:
         docs, sets = _representatives(rows, heard) if rows.num_rows and heard.num_rows else ([], [])
-        signatures = _all_signatures(sets)
-        if not docs:
-            return to_buckets(np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, buckets)
-        owner = np.repeat(np.arange(len(docs)), [len(s.hashes) for s in signatures])
-        return to_buckets(np.concatenate([s.hashes for s in signatures]), owner, rows["block"][0].as_py(), buckets)
+        signatures = Signatures(sets)
+        return to_buckets(signatures.hashes, signatures.owner, rows["block"][0].as_py() if docs else 0, buckets)
 
     return run
 
@@ -228,14 +234,14 @@ def _probe(buckets: int):
         docs, sets = _representatives(rows, heard.filter(pc.is_valid(heard["key"])))
         if not docs or not answer.num_rows:
             return ROWS.empty_table()
-        signatures = _all_signatures(sets)
-        lengths = [len(s.hashes) for s in signatures]
-        hashes = np.concatenate([s.hashes for s in signatures])
-        weights = weights_of(hashes, answer, buckets)
-        edges = np.cumsum([0, *lengths])
-        probes = np.concatenate([s.allocate(weights[a:b]) for s, a, b in zip(signatures, edges[:-1], edges[1:])])
-        owner, shared = np.repeat(np.arange(len(docs)), lengths), weights > 0
-        hashes, owner, probes = hashes[shared], owner[shared], probes[shared]
+        signatures = Signatures(sets)
+        weights = weights_of(signatures.hashes, answer, buckets)
+        probes = signatures.allocate(weights)
+        # a set none of whose probes occurs elsewhere is linked with nothing, so no other set needs to find it either
+        live = np.zeros(len(docs), bool)
+        live[signatures.owner[probes & (weights > 0)]] = True
+        keep = np.flatnonzero(live[signatures.owner] & (weights > 0))
+        hashes, owner, probes = signatures.hashes[keep], signatures.owner[keep], probes[keep]
         at = bucket_of(hashes, buckets)
         order = np.argsort(at, kind="stable")
         cuts, ids, block, out = np.searchsorted(at[order], np.arange(buckets + 1)), np.array(docs, np.int64), rows["block"][0].as_py(), []
@@ -243,7 +249,7 @@ def _probe(buckets: int):
             if e > s:
                 own = order[s:e]
                 out.append((b, block, None, hashes[own].tobytes(), ids[owner[own]].tobytes(), probes[own].tobytes()))
-        out += [(None, block, docs[i], sets[i].tobytes(), None, None) for i in np.unique(owner).tolist()]
+        out += [(None, block, docs[i], sets[i].tobytes(), None, None) for i in np.flatnonzero(live).tolist()]
         return pa.Table.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(ROWS)], schema=ROWS)
 
     return run
@@ -330,7 +336,7 @@ def similar_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id."""
     bounded_batches(docs.sparkSession)
     blocks, buckets = dealt(docs)
-    described = cut(blocks.groupBy("block").applyInArrow(_describe, "doc_id bigint, n_shingles bigint, key binary, block int"))
+    described = cut(blocks.mapInArrow(_describe, "doc_id bigint, n_shingles bigint, key binary, block int"))
     stand = described.where("n_shingles > 0 and doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "block")).alias("s"))
     stand = cut(stand.select("key", F.col("s.doc_id").alias("doc_id"), F.col("s.block").alias("block")))
     answer = blocks.groupBy("block").cogroup(stand.groupBy("block")).applyInArrow(_send(buckets), SENT_SQL).groupBy("bucket").applyInArrow(compare, ANSWER_SQL)
