@@ -1,6 +1,6 @@
 """Registered queries by module; importing the package registers all of them."""
 
-from . import aggregates, islands, joins, observing, scalars, signals  # noqa: F401
+from . import aggregates, islands, joins, observing, quality, scalars, signals, sources, streams  # noqa: F401
 from .registry import QUERIES
 
 
