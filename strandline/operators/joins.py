@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .chains import decide, number_chains
+
 KEYS = ("video",)
 FOREVER = (1 << 62)
 
@@ -139,25 +140,26 @@ def greedy_match(golden: DataFrame, found: DataFrame, tolerance: int, keys: Sequ
     Decisions reach no further than a chain of times less than the tolerance apart, so only a chain is one group.
     """
     both = golden.select(*keys, F.col("t").cast("long").alias("t"), F.lit(True).alias("golden")).unionByName(found.select(*keys, F.col("t").cast("long").alias("t"), F.lit(False).alias("golden")))
-    w = W.partitionBy(*keys).orderBy("t")
-    both = both.withColumn("_open", F.coalesce(F.col("t") - F.lag("t").over(w) > tolerance, F.lit(True)).cast("long"))
-    both = both.withColumn("chain", F.sum("_open").over(w.rangeBetween(W.unboundedPreceding, 0))).drop("_open")
+    opens = F.coalesce(F.col("t") - F.lag("t").over(W.partitionBy(*keys).orderBy("t")) > tolerance, F.lit(True))
+    both = number_chains(both, opens, "t", keys)
     both = both.withColumn("_mixed", F.size(F.collect_set("golden").over(W.partitionBy(*keys, "chain"))) > 1).where("_mixed").drop("_mixed")
-    names = [f"{f.name} {f.dataType.simpleString()}" for f in golden.schema.fields if f.name in keys]
+    matched = decide(both, keys, ["t", "golden"], ["t", "golden"], match_rule(tolerance), "found_t", "bigint")
+    return matched.where("golden and found_t is not null").select(*keys, F.col("t").alias("golden_t"), "found_t")
+
+
+def match_rule(tolerance: int):
+    """Rule: for each golden time in order the nearest unused detection within the tolerance."""
 
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        free, out = sorted(pdf.loc[~pdf["golden"], "t"]), []
-        for t in sorted(pdf.loc[pdf["golden"], "t"]):
-            near = min((x for x in free if abs(x - t) <= tolerance), key=lambda x: (abs(x - t), x), default=None)
+    def rule(times: list, golden: list) -> list:
+        free, out = [t for t, g in zip(times, golden) if not g], []
+        for t, g in zip(times, golden):
+            near = min((x for x in free if abs(x - t) <= tolerance), key=lambda x: (abs(x - t), x), default=None) if g else None
+            out.append(near)
             if near is not None:
                 free.remove(near)
-                out.append((t, near))
-        found_ = pd.DataFrame(out, columns=["golden_t", "found_t"])
-        for k in keys:
-            found_[k] = pdf[k].iloc[0]
-        return found_
+        return out
 
-    return both.groupBy(*keys, "chain").applyInPandas(match, ", ".join([*names, "golden_t bigint", "found_t bigint"]))
+    return rule
 
 
 def adjacent_pairs(df: DataFrame, order: str, columns: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .chains import decide, number_chains
 from .islands import group_hits
 
 KEYS = ("video",)
@@ -83,48 +83,52 @@ def cut_candidates(df: DataFrame, hard: float, least: float, ratio: float, ssim:
 
 def _chains(df: DataFrame, step: float, position: str, keys: Sequence[str]) -> DataFrame:
     """Adds chain and its length: neighbours closer than ``step`` are in one chain; decisions do not reach from one chain to another."""
-    w = _w(keys, position)
-    opens = F.coalesce(F.col(position) - F.lag(position).over(w) >= step, F.lit(True)).cast("long")
-    rows = df.withColumn("_opens", opens).withColumn("chain", F.sum("_opens").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_opens")
-    return rows.withColumn("_size", F.count("*").over(W.partitionBy(*keys, "chain")))
+    opens = F.coalesce(F.col(position) - F.lag(position).over(_w(keys, position)) >= step, F.lit(True))
+    return number_chains(df, opens, position, keys).withColumn("_size", F.count("*").over(W.partitionBy(*keys, "chain")))
+
+
+def keep_apart(step: float):
+    """Rule: by descending score, earlier first on ties, keep what is at least ``step`` from all kept."""
+
+    def rule(positions: list, scores: list) -> list[bool]:
+        kept: list = []
+        out = [False] * len(positions)
+        for i in sorted(range(len(positions)), key=lambda i: (-scores[i], positions[i])):
+            if all(abs(positions[i] - k) >= step for k in kept):
+                kept.append(positions[i])
+                out[i] = True
+        return out
+
+    return rule
 
 
 def suppress_close(df: DataFrame, score: str, step: float, position: str = "i", keys: Sequence[str] = KEYS) -> DataFrame:
     """Keeps rows by descending score that are at least ``step`` from all kept ones; earlier first on ties. Chains of one row never reach Python."""
     rows = _chains(df, step, position, keys)
+    longer = decide(rows.where("_size > 1").drop("_size"), keys, [position], [position, score], keep_apart(step), "_keep", "boolean")
+    return rows.where("_size = 1").drop("_size").unionByName(longer.where("_keep").drop("_keep")).drop("chain")
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        ordered = pdf.sort_values([score, position], ascending=[False, True], kind="stable")
-        for label, at in zip(ordered.index, ordered[position]):
-            if all(abs(at - pdf.at[k, position]) >= step for k in kept):
-                kept.append(label)
-        return pdf.loc[sorted(kept)]
 
-    longer = rows.where("_size > 1").drop("_size")
-    chosen = longer.groupBy(*keys, "chain").applyInPandas(choose, longer.schema)
-    return rows.where("_size = 1").drop("_size").unionByName(chosen).drop("chain")
+def merge_rule(minimum: int, rapid: int):
+    """Rule: by descending value, a candidate nearer than ``minimum`` to a kept one (``rapid`` if both are high) goes into the first kept one in its way."""
+
+    def rule(positions: list, values: list, confidences: list) -> list:
+        kept: list = []
+        out: list = [None] * len(positions)
+        for i in sorted(range(len(positions)), key=lambda i: (-values[i], positions[i])):
+            out[i] = next((p for p, c in kept if abs(positions[i] - p) < (rapid if c == confidences[i] == "high" else minimum)), None)
+            if out[i] is None:
+                kept.append((positions[i], confidences[i]))
+        return out
+
+    return rule
 
 
 def merge_short(df: DataFrame, minimum: int, rapid: int, value: str = "value", index: str = "i", keys: Sequence[str] = KEYS) -> DataFrame:
-    """Adds merged_into: by descending value, a candidate nearer than ``minimum`` to a kept one (``rapid`` if both are high) is merged into the first kept one in its way."""
+    """Adds merged_into, null for kept candidates."""
     rows = _chains(df, max(minimum, rapid), index, keys)
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[int, str]] = []
-        into: dict = {}
-        for label, row in pdf.sort_values([value, index], ascending=[False, True], kind="stable").iterrows():
-            at, high = int(row[index]), row["confidence"]
-            near = next((k for k, c in kept if abs(at - k) < (rapid if high == c == "high" else minimum)), None)
-            into[label] = near
-            if near is None:
-                kept.append((at, high))
-        pdf["merged_into"] = pd.array([into[label] for label in pdf.index], dtype="Int64")
-        return pdf
-
-    longer = rows.where("_size > 1").drop("_size").withColumn("merged_into", F.lit(None).cast("bigint"))
-    chosen = longer.groupBy(*keys, "chain").applyInPandas(choose, longer.schema)
-    return rows.where("_size = 1").drop("_size").withColumn("merged_into", F.lit(None).cast("bigint")).unionByName(chosen).drop("chain")
+    longer = decide(rows.where("_size > 1").drop("_size"), keys, [index], [index, value, "confidence"], merge_rule(minimum, rapid), "merged_into", "bigint")
+    return rows.where("_size = 1").drop("_size").withColumn("merged_into", F.lit(None).cast("bigint")).unionByName(longer).drop("chain")
 
 
 def frame_features(x: Column) -> Column:
