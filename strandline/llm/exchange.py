@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 5 << 20
 #: Copies of one text share blocks (so that they are compared once), but over no fewer than this share of all blocks.
 SPREAD = 8
 

@@ -14,8 +14,8 @@ a set is free to choose:
 
 Sets equal as a whole are joined first. Candidates are verified on whole sets. Large groups of near copies are not
 expanded to pairs: first each of a sample of signature groups links its members to a leader, and verified links give components; then
-all candidate pairs whose documents are still in different components are verified, without a cap. Links inside a component
-change no class, so classes are exact.
+all candidate pairs whose documents are still in different components are verified, without a cap, packed by the place that verifies them.
+Links inside a component change no class, so classes are exact.
 
 Defined results: null or empty text, or no words, is an empty set, linked with nothing; one to four words are one shingle;
 exact copies are linked; a null doc_id is linked with nothing and has a null component_id; rows that repeat a doc_id count as one
@@ -44,6 +44,9 @@ SMALL = 64
 PIECE = 1 << 20
 LEADERS = 4
 SAMPLED = 16
+#: Places where pairs are verified, for each bucket; and how many members of a leader share one.
+HOMES = 4
+HOME_DOCS = 256
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -259,56 +262,126 @@ def _joined(sent: pa.Table, column: str, kind) -> np.ndarray:
     return np.concatenate([np.frombuffer(b, kind) for b in sent[column].to_pylist()])
 
 
-def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> pa.Table:
-    low, high = np.minimum(a, b), np.maximum(a, b)
-    both = np.unique(np.stack([low, high], 1)[low < high], axis=0) if len(low) else np.zeros((0, 2), np.int64)
-    return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
-
-
 def _leaders(sent: pa.Table) -> pa.Table:
-    """In a sample of the signature groups, each member with the group's leader under one of a few orders."""
-    hashes, docs = _joined(sent, "hashes", np.uint64), _joined(sent, "docs", np.int64)
+    """In a sample of the signature groups that somebody probes, each member with the group's leader under one of a few orders: a is the leader."""
+    hashes, docs, probes = _joined(sent, "hashes", np.uint64), _joined(sent, "docs", np.int64), _joined(sent, "probes", bool)
     own = np.flatnonzero(hashes % U64(SAMPLED) == 0)
-    hashes, docs = hashes[own], docs[own]
+    hashes, docs, probes = hashes[own], docs[own], probes[own]
     rank = mix(docs.astype(np.uint64) + (hashes // U64(SAMPLED) % U64(LEADERS)) * _PLACE[3])
     order = np.lexsort((rank, hashes))
-    hashes, docs = hashes[order], docs[order]
-    first = np.concatenate(([True], hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, bool)
-    leader = docs[np.flatnonzero(first)][np.cumsum(first) - 1] if len(hashes) else docs
-    return _distinct_pairs(leader, docs)
+    hashes, docs, probes = hashes[order], docs[order], probes[order]
+    first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1]))) if len(hashes) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(hashes)))
+    asked = np.logical_or.reduceat(probes, first) if len(first) else np.zeros(0, bool)
+    leader, keep = np.repeat(docs[first], size), np.repeat(asked, size)
+    both = np.unique(np.stack([leader, docs], 1)[keep & (leader != docs)], axis=0) if len(docs) else np.zeros((0, 2), np.int64)
+    return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
+
+
+MARKED_SQL = "bucket int, hashes binary, docs binary, probes binary, comps binary, homes binary"
 
 
 def _with_classes(sent: pa.Table, classes: pa.Table) -> pa.Table:
-    """The rows of a block with the documents' classes in place of the sets."""
-    known = dict(zip(classes["doc_id"].to_pylist(), classes["comp"].to_pylist()))
+    """The rows of a block with each document's class and home."""
+    known = dict(zip(classes["doc_id"].to_pylist(), zip(classes["comp"].to_pylist(), classes["home"].to_pylist())))
     out = []
     for bucket, hashes, docs, probes in zip(*(sent[c].to_pylist() for c in ("bucket", "hashes", "docs", "probes"))):
-        ids = np.frombuffer(docs, np.int64)
-        used, inverse = np.unique(ids, return_inverse=True)
-        comps = np.array([known.get(d, d) for d in used.tolist()], np.int64)[inverse]
-        out.append((bucket, hashes, docs, probes, comps.tobytes()))
-    names = ("bucket", "hashes", "docs", "probes", "comps")
+        used, inverse = np.unique(np.frombuffer(docs, np.int64), return_inverse=True)
+        got = [known.get(d, (d, None)) for d in used.tolist()]
+        comps = np.array([g[0] if g[0] is not None else d for g, d in zip(got, used.tolist())], np.int64)[inverse]
+        homes = np.array([g[1] if g[1] is not None else -1 for g in got], np.int64)[inverse]
+        out.append((bucket, hashes, docs, probes, comps.tobytes(), homes.tobytes()))
+    names = ("bucket", "hashes", "docs", "probes", "comps", "homes")
     return pa.table({n: pa.array([r[i] for r in out], pa.int32() if not i else pa.binary()) for i, n in enumerate(names)})
 
 
-def _across(sent: pa.Table) -> pa.Table:
-    """All pairs of a probe and another member of its signature group in a different class."""
-    hashes, docs = _joined(sent, "hashes", np.uint64), _joined(sent, "docs", np.int64)
-    probes, comps = _joined(sent, "probes", bool), _joined(sent, "comps", np.int64)
-    order = np.lexsort((comps, hashes))
-    hashes, docs, probes, comps = hashes[order], docs[order], probes[order], comps[order]
-    edges = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1], [True]))) if len(hashes) else np.zeros(1, np.int64)
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    start, end = edges[:-1], edges[1:]
-    live = np.flatnonzero((comps[start] != comps[end - 1]) & np.logical_or.reduceat(probes, start)) if len(start) else []
-    for g in live:
-        s, e = start[g], end[g]
-        asking = s + np.flatnonzero(probes[s:e])
-        for p in asking.tolist():
-            other = np.flatnonzero(comps[s:e] != comps[p]) + s
-            left.append(np.full(len(other), docs[p]))
-            right.append(docs[other])
-    return _distinct_pairs(np.concatenate(left), np.concatenate(right))
+ACROSS = pa.schema([("home", pa.int64()), ("left", pa.binary()), ("right", pa.binary()), ("count", pa.binary()), ("names", pa.binary()), ("comps", pa.binary())])
+ACROSS_SQL = "home bigint, left binary, right binary, count binary, names binary, comps binary"
+PAIRS_AT_ONCE = 1 << 21
+
+
+def _across(homes: int):
+    def run(sent: pa.Table) -> pa.Table:
+        """All pairs of a probe and another member of its signature group in a different class, packed by the home of the one with the smaller doc_id."""
+        hashes, ids = _joined(sent, "hashes", np.uint64), _joined(sent, "docs", np.int64)
+        probes, comp_of, home_of = _joined(sent, "probes", bool), _joined(sent, "comps", np.int64), _joined(sent, "homes", np.int64)
+        names, first, docs = np.unique(ids, return_index=True, return_inverse=True)
+        comp_of, home_of = comp_of[first], home_of[first]
+        home_of = np.where(home_of < 0, mix(names.astype(np.uint64)) % U64(homes), home_of.astype(np.uint64)).astype(np.int64)
+        order = np.lexsort((comp_of[docs], hashes))
+        hashes, docs, probes = hashes[order], docs[order], probes[order]
+        comps = comp_of[docs]
+        edges = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1], [True]))) if len(hashes) else np.zeros(1, np.int64)
+        start, end = edges[:-1], edges[1:]
+        live = np.flatnonzero((comps[start] != comps[end - 1]) & np.logical_or.reduceat(probes, start)) if len(start) else []
+        found, fresh, held = np.zeros(0, np.int64), [], 0
+        for g in live:
+            s, e = start[g], end[g]
+            for p in (s + np.flatnonzero(probes[s:e])).tolist():
+                other = docs[s:e][comps[s:e] != comps[p]]
+                fresh.append(np.minimum(other, docs[p]) * len(names) + np.maximum(other, docs[p]))
+                held += len(other)
+                if held > PAIRS_AT_ONCE:
+                    found, fresh, held = np.unique(np.concatenate([found, *fresh])), [], 0
+        found = np.unique(np.concatenate([found, *fresh]))
+        left, right = found // max(1, len(names)), found % max(1, len(names))
+        at, out = home_of[left], []
+        for home in np.unique(at).tolist():
+            own = at == home
+            a, b = left[own], right[own]
+            used, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+            kind = np.uint16 if len(used) < 1 << 16 else np.uint32
+            heads, count = np.unique(place[: len(a)], return_counts=True)
+            out.append((home, heads.astype(np.uint32).tobytes(), place[len(a) :].astype(kind).tobytes(), count.astype(np.uint32).tobytes(), names[used].tobytes(), comp_of[used].tobytes()))
+        return pa.Table.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(ACROSS)], schema=ACROSS)
+
+    return run
+
+
+def _needed(sent: pa.Table) -> pa.Table:
+    names = np.unique(_joined(sent, "names", np.int64)) if sent.num_rows else np.zeros(0, np.int64)
+    return pa.table({"home": pa.array(np.full(len(names), sent["home"][0].as_py() if len(names) else 0), pa.int64()), "doc": pa.array(names, pa.int64())})
+
+
+def _verify_home(sent: pa.Table, sets: pa.Table) -> pa.Table:
+    """Links among the pairs of a home; a pair that earlier links have joined is left out."""
+    known = {d: np.frombuffer(x, np.uint64) for d, x in zip(sets["doc"].to_pylist(), sets["hashes"].to_pylist())}
+    partners: dict[int, list[np.ndarray]] = {}
+    parent: dict[int, int] = {}
+    comp: dict[int, int] = {}
+    for left, right, count, names, comps in zip(*(sent[c].to_pylist() for c in ("left", "right", "count", "names", "comps"))):
+        names = np.frombuffer(names, np.int64)
+        comp.update(zip(names.tolist(), np.frombuffer(comps, np.int64).tolist()))
+        place = np.frombuffer(right, np.uint16 if len(names) < 1 << 16 else np.uint32)
+        cuts = np.cumsum(np.frombuffer(count, np.uint32))[:-1]
+        for a, b in zip(names[np.frombuffer(left, np.uint32)].tolist(), np.split(names[place], cuts)):
+            partners.setdefault(a, []).append(b)
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for a in sorted(partners):
+        x, root = known.get(a), find(comp[a])
+        others = [b for b in np.unique(np.concatenate(partners[a])).tolist() if b in known and find(comp[b]) != root]
+        if x is None or not others:
+            continue
+        sizes = np.fromiter((len(known[b]) for b in others), np.int64, len(others))
+        fits = np.minimum(sizes, len(x)) * PER_UNION >= PER_SHARED * np.maximum(sizes, len(x))
+        others, sizes = [b for b, f in zip(others, fits) if f], sizes[fits]
+        for at in range(0, len(others), 256):
+            own, n = others[at : at + 256], sizes[at : at + 256]
+            flat = np.concatenate([known[b] for b in own])
+            near = np.minimum(np.searchsorted(x, flat), len(x) - 1)
+            shared = np.add.reduceat((x[near] == flat).astype(np.int64), np.cumsum(n) - n)
+            for b, hit in zip(own, PER_UNION * shared >= PER_SHARED * (n + len(x) - shared)):
+                if hit:
+                    out.append((a, b))
+                    parent[find(comp[b])] = find(comp[a])
+    return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,7 +402,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("doc").alias("a"), F.col("hashes").alias("x"))
     right = sets.select(F.col("doc").alias("b"), F.col("hashes").alias("y"))
-    return pairs.distinct().join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify, PAIRS_SQL)
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify, PAIRS_SQL)
 
 
 def similar_classes(docs: DataFrame) -> DataFrame:
@@ -343,12 +416,20 @@ def similar_classes(docs: DataFrame) -> DataFrame:
     heard = stand.unionByName(answer, allowMissingColumns=True)
     sent = cut(blocks.groupBy("block").cogroup(heard.groupBy("block")).applyInArrow(_probe(buckets), ROWS_SQL))
     groups, sets = sent.where("bucket is not null"), sent.where("bucket is null")
-    links = cut(_links(groups.groupBy("bucket").applyInArrow(_leaders, PAIRS_SQL), sets))
+    stars = cut(groups.groupBy("bucket").applyInArrow(_leaders, PAIRS_SQL).distinct())
+    links = cut(_links(stars, sets))
     classes = components(links)
-    at = stand.join(classes, stand["doc_id"] == classes["node"]).select("doc_id", "block", "comp")
-    marked = groups.groupBy("block").cogroup(at.groupBy("block")).applyInArrow(_with_classes, "bucket int, hashes binary, docs binary, probes binary, comps binary")
-    rest = marked.groupBy("bucket").applyInArrow(_across, PAIRS_SQL)
-    classes = components(links.unionByName(cut(_links(rest, sets))))
+    # near copies mostly share a leader, so a leader's members are verified in one place; large groups are spread over several
+    size = stars.groupBy("a").agg(F.count("*").alias("_n"))
+    best = stars.groupBy("b").agg(F.min(F.struct(F.xxhash64("a").alias("_rank"), "a")).alias("_s")).select(F.col("b").alias("doc_id"), F.col("_s.a").alias("a"))
+    salt = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("_n") / HOME_DOCS))
+    homes = best.join(size, "a").select("doc_id", F.pmod(F.xxhash64("a", salt), F.lit(buckets * HOMES)).alias("home"))
+    at = stand.join(classes, stand["doc_id"] == classes["node"], "left").join(homes, "doc_id", "left").where("comp is not null or home is not null").select("doc_id", "block", "comp", "home")
+    marked = groups.groupBy("block").cogroup(at.groupBy("block")).applyInArrow(_with_classes, MARKED_SQL)
+    rest = cut(marked.groupBy("bucket").applyInArrow(_across(buckets * HOMES), ACROSS_SQL))
+    need = rest.groupBy("home").applyInArrow(_needed, "home bigint, doc bigint").join(sets.select("doc", "hashes"), "doc")
+    more = cut(rest.groupBy("home").cogroup(need.groupBy("home")).applyInArrow(_verify_home, PAIRS_SQL))
+    classes = components(links.unionByName(more))
     whole = stand.select("key", F.col("doc_id").alias("node")).join(classes, "node", "left").select(F.col("key").alias("_key"), F.coalesce("comp", "node").alias("_comp"))
     rows = described.join(whole, described["key"] == whole["_key"], "left")
     return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("_comp", "doc_id")).alias("component_id"))
