@@ -41,6 +41,7 @@ FILTERS = 8
 EPOCHS = 8
 INIT = 0.05
 EMBEDDING_RATE = 0.2
+LEAST_CALIBRATION = 50
 CHUNK_WORDS = 1 << 17
 WORDS_KEPT = 400_000
 _WORDS = word_table()
@@ -122,10 +123,13 @@ class Model:
     def pooled(self, flat: np.ndarray, starts: np.ndarray, tables: list[list[np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray]]:
         """Strongest response of each filter in each text, before the bias; and all responses."""
         n, tops, all_ = len(flat) - max(WIDTHS), [], []
+        ends = np.append(starts[1:], n)
         for parts in tables:
             response = parts[0][flat[:n]]
             for j, part in enumerate(parts[1:], 1):
                 response += part[flat[j : n + j]]
+            for j in range(1, len(parts)):
+                response[ends - j] = sum(p[0] for p in parts)  # padding alone, not the next text
             tops.append(np.maximum.reduceat(response, starts, axis=0))
             all_.append(response)
         return np.concatenate(tops, 1), all_
@@ -178,7 +182,7 @@ class Model:
                     place = np.stack([s + responses[k][s:e].argmax(0) for s, e in zip(starts, ends)])
                     grad = np.zeros_like(self.filters[k])
                     for j in range(width):
-                        slots = flat[place + j]
+                        slots = np.where(place + j < ends[:, None], flat[place + j], 0)
                         grad[j] = np.einsum("nfd,nf->df", self.embedding[slots], g)
                         moved.append((slots.ravel(), (g[:, :, None] * self.filters[k][j].T[None]).reshape(-1, DIM)))
                     grads.append(grad)
@@ -196,24 +200,28 @@ class Model:
                 self.embedding[0] = 0
 
     def calibrate(self, docs: list[np.ndarray], labels: np.ndarray) -> None:
-        """For each language the threshold that finds most toxic rows less wrongly found ones; shifted to THRESHOLD."""
-        logit, language, target = self.logits(docs, self.tables()), np.array([language_of(d) for d in docs]), np.log(THRESHOLD / (1 - THRESHOLD))
+        """For each language the threshold that finds most toxic rows less wrongly found ones; shifted to THRESHOLD. Languages of few rows take that of all rows."""
+        logit, language = self.logits(docs, self.tables()).astype(np.float64), np.array([language_of(d) for d in docs])
+        self.offset[:] = _shift(logit, labels)
         for i in range(len(LANGUAGES)):
             own = language == i
-            score, y = logit[own].astype(np.float64), labels[own]
-            if not len(y):
-                self.offset[i] = 0
-                continue
-            order = np.argsort(-score, kind="stable")
-            gain = np.cumsum(np.where(y[order] == 1, 1, -1))
-            gain = np.where(np.append(np.diff(score[order]) != 0, True), gain, -len(y))  # ties go together
-            best = int(gain.argmax())
-            if gain[best] < max(5, 0.02 * len(y)):  # nothing to find here: above all scores
-                self.offset[i] = target - (score.max() + 2.0)
-                continue
-            below = score[order][best + 1 :]
-            low = below.max() if len(below) else score[order][best] - 2
-            self.offset[i] = target - (score[order][best] + low) / 2
+            if own.sum() >= LEAST_CALIBRATION:
+                self.offset[i] = _shift(logit[own], labels[own])
+
+
+def _shift(score: np.ndarray, y: np.ndarray) -> float:
+    target = np.log(THRESHOLD / (1 - THRESHOLD))
+    if not len(y):
+        return 0.0
+    order = np.argsort(-score, kind="stable")
+    gain = np.cumsum(np.where(y[order] == 1, 1, -1))
+    gain = np.where(np.append(np.diff(score[order]) != 0, True), gain, -len(y))  # ties go together
+    best = int(gain.argmax())
+    if gain[best] < max(5, 0.02 * len(y)):  # nothing to find here: above all scores
+        return min(target - (score.max() + 2.0), -1.0)
+    below = score[order][best + 1 :]
+    low = below.max() if len(below) else score[order][best] - 2
+    return target - (score[order][best] + low) / 2
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
