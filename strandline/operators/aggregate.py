@@ -74,3 +74,15 @@ def recall_precision(golden: DataFrame, found: DataFrame, matched: DataFrame, ke
     rows = count(golden, "g").join(count(found, "f"), list(keys), "full").join(count(matched, "hits"), list(keys), "left").fillna(0)
     one = lambda d: F.when(F.col(d) == 0, F.lit(1.0)).otherwise(F.col("hits") / F.col(d))
     return rows.select(*keys, "hits", (F.col("g") - F.col("hits")).alias("missed"), (F.col("f") - F.col("hits")).alias("false_positives"), one("g").alias("recall"), one("f").alias("precision"))
+
+
+def flags(tests: dict[str, Column]) -> Column:
+    """Names of the tests that hold, in order."""
+    return F.array_compact(F.array(*[F.when(test, name) for name, test in tests.items()]))
+
+
+def seam_alignment(slots: DataFrame, seams: DataFrame, least: float = 0.5, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Whether the share of synchronised seams among the decidable ones reaches ``least``: true without seams, false if none is decidable. seams: keys, classification."""
+    known = F.col("classification") != "unavailable"
+    g = seams.groupBy(*keys).agg(F.avg(F.when(known, (F.col("classification") == "synchronizedCut").cast("int"))).alias("_share"), F.lit(True).alias("_seams"))
+    return slots.join(g, list(keys), "left").select(*keys, F.when(F.col("_seams").isNull(), True).when(F.col("_share").isNull(), False).otherwise(F.col("_share") >= least).alias("aligned"))

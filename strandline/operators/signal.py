@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scalars import motion_intensity
 from .chains import decide, number_chains
 from .islands import group_hits
 
@@ -232,3 +233,40 @@ def keyframe_candidates(df: DataFrame, limits: DataFrame, floors: dict[str, floa
         g = g.select(F.lit(name).alias("property"), *keys, "p.i", "p.time_ms", "p.peak", "n")
         out = g if out is None else out.unionByName(g)
     return out
+
+
+#: Fixed values of the camera classifier: least samples and pairs, noise floor, least shift, dominance, consistency, zoom scale and share, jump factor and shift.
+CAMERA = {"samples": 3, "pairs": 2, "sure": 4, "noise": 0.25, "shift": 2.0, "dominance": 1.5, "consistent": 0.7, "zoom": 1.001, "steady": 0.7, "factor": 5.0, "jump": 8.0}
+NEUTRAL = {"pan_left": "horizontal_frame_shift", "pan_right": "horizontal_frame_shift", "tilt_up": "vertical_frame_shift", "tilt_down": "vertical_frame_shift", "zoom_in": "frame_scale_change", "zoom_out": "frame_scale_change", "handheld": "irregular_frame_jitter", "discontinuity": "geometric_discontinuity"}
+
+
+def classify_motion(df: DataFrame, keys: Sequence[str] = KEYS, limits: dict[str, float] | None = None) -> DataFrame:
+    """Camera movement of each shot from its frames (dx, dy, scale against the frame before; ok is false for the first one and where matching failed).
+
+    Medians first, then shares against them; a jump outranks directions, directions outrank zoom, and weak or unsteady motion
+    is static, handheld or unknown. Content that moves right means a camera that pans left.
+    """
+    t = CAMERA | (limits or {})
+    good = df.where("ok").withColumn("px", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")))
+    medians = good.groupBy(*keys).agg(F.count("*").alias("pairs"), F.median("dx").alias("mx"), F.median("dy").alias("my"), F.median("px").alias("score"), F.median("scale").alias("ms"))
+    share = lambda c: F.avg(c.cast("int"))
+    along = lambda d, m: (F.col(m) != 0) & (F.col(d) * F.signum(m) >= t["noise"])
+    ratios = good.join(medians, list(keys)).groupBy(*keys).agg(
+        F.bool_or((F.col("px") > t["factor"] * F.col("score")) & (F.col("px") >= t["jump"])).alias("jumps"), share(along("dx", "mx")).alias("cx"), share(along("dy", "my")).alias("cy"),
+        share(F.col("scale") > t["zoom"]).alias("zi"), share(F.col("scale") < 1 / t["zoom"]).alias("zo"))
+    rows = df.groupBy(*keys).agg(F.count("*").alias("n")).join(medians, list(keys), "left").join(ratios, list(keys), "left").fillna(0, ["pairs", "score", "cx", "cy", "zi", "zo"])
+    c, one = F.col, F.lit(None).cast("string")
+    leads = lambda a, b, share_: (F.abs(a) >= t["shift"]) & (F.abs(a) > t["dominance"] * F.abs(b)) & (c(share_) > t["consistent"])
+    found = F.array_compact(F.array(
+        F.when(leads("mx", "my", "cx"), F.when(c("mx") > 0, "pan_left").otherwise("pan_right")).otherwise(one), F.when(leads("my", "mx", "cy"), F.when(c("my") > 0, "tilt_up").otherwise("tilt_down")).otherwise(one),
+        F.when((c("zi") >= t["steady"]) & (c("ms") > 1), "zoom_in").when((c("zo") >= t["steady"]) & (c("ms") < 1), "zoom_out").otherwise(one)))
+    few, jumps, sure = (c("n") < t["samples"]) | (c("pairs") < t["pairs"]), F.coalesce("jumps", F.lit(False)), c("pairs") >= t["sure"]
+    weak, loose = c("score") < 1, (c("cx") < t["consistent"]) & (c("cy") < t["consistent"])
+    rows = rows.withColumn("found", found)
+    some = F.size("found") > 0
+    rows = rows.withColumn("movement", F.when(few, "unknown").when(jumps, "discontinuity").when(some, F.get("found", F.lit(0))).when(weak, "static").when(loose, "handheld").otherwise("unknown"))
+    confidence = F.when(few, "unknown").when(jumps, "low").when(some, F.when(sure, "medium").otherwise("low")).when(weak, F.when(sure, "high").otherwise("medium")).otherwise("low")
+    names = F.create_map(*[F.lit(x) for kv in NEUTRAL.items() for x in kv])
+    rows = rows.withColumn("candidates", F.when(~few & ~jumps & some, F.col("found")).otherwise(F.array("movement")))
+    rows = rows.withColumn("neutral", F.array_distinct(F.array_compact(F.transform("candidates", lambda x: F.try_element_at(names, x)))))
+    return rows.withColumn("intensity", F.when(few, "unknown").otherwise(motion_intensity("score"))).withColumn("confidence", confidence).withColumn("needs_review", confidence != "high").drop("found")

@@ -29,13 +29,20 @@ def energy_by_shot(spark, sf):
     return rows.withColumn("label", F.coalesce(S.loudness_label(F.col("median") - 100), F.lit("unknown"))).withColumn("median", F.round("median", 6))
 
 
-@query("quality_flags", sql("ev_shots", _HITS + """, q as (select video, seq, median(value) as m, max(value) as top, count(value) as n, coalesce(bool_or(kind = 'signup'), false) as frozen from hit group by all)
-select video, seq, array_to_string(list_filter([case when m < 15 then 'blurred' end, case when m < 20 then 'dark' end, case when m > 60 then 'bright' end, case when top > 150 then 'clipped' end, case when frozen then 'frozen' end], lambda x: x is not null), ',') as flags, case when n >= 2 then 'high' else 'low' end as confidence from q"""))
+@query("quality_flags", sql("ev_shots ev_seg", _HITS + """, q as (select video, seq, median(value) as m, max(value) as top, count(value) as n from hit group by all),
+x as (select distinct s.video, s.seq, g.text from ev_shots s join ev_seg g on s.video = g.video and s.start_ms < g.end_ms and g.start_ms < s.end_ms and g.end_ms > g.start_ms where g.text in ('signup', 'purchase'))
+select video, seq, array_to_string(list_filter([case when m >= 70 then '画面模糊' end, case when m <= 20 then '欠曝' end, case when m >= 60 then '过曝' end, case when top >= 150 and video % 7 <> 0 then '音频削波' end,
+  case when exists (select 1 from x where x.video = q.video and x.seq = q.seq and text = 'signup') then '黑场' end, case when exists (select 1 from x where x.video = q.video and x.seq = q.seq and text = 'purchase') then '画面冻结' end], lambda x: x is not null), ',') as flags, case when n >= 2 then 'high' else 'unknown' end as confidence from q"""))
 def quality_flags(spark, sf):
-    g = hits(spark, sf).groupBy("video", "seq").agg(F.median("value").alias("m"), F.max("value").alias("top"), F.count("value").alias("n"), F.bool_or(F.col("kind") == "signup").alias("frozen"))
-    rows = ev_shots(spark, sf).select("video", "seq").join(g, ["video", "seq"], "left")
-    flags = F.array_compact(F.array(F.when(F.col("m") < 15, "blurred"), F.when(F.col("m") < 20, "dark"), F.when(F.col("m") > 60, "bright"), F.when(F.col("top") > 150, "clipped"), F.when(F.col("frozen"), "frozen")))
-    return rows.select("video", "seq", F.array_join(flags, ",").alias("flags"), F.when(F.col("n") >= 2, "high").otherwise("low").alias("confidence"))
+    """Medians over samples, events by overlap; no clipping without an audio track (multiples of 7 here)."""
+    shots, seg = ev_shots(spark, sf), ev_seg(spark, sf)
+    left = shots.select("video", "seq", F.col("start_ms").alias("s1"), F.col("end_ms").alias("e1"))
+    events = seg.where("text in ('signup', 'purchase')").select("video", "text", F.col("start_ms").alias("s2"), F.col("end_ms").alias("e2"))
+    seen = J.overlap_join(left, events, BUCKET).groupBy("video", "seq").agg(F.bool_or(F.col("text") == "signup").alias("black"), F.bool_or(F.col("text") == "purchase").alias("frozen"))
+    rows = A.by_shot(shots, hits(spark, sf), "value", ["video", "seq"]).join(seen, ["video", "seq"], "left")
+    m = F.col("median")
+    tests = {"画面模糊": m >= 70, "欠曝": m <= 20, "过曝": m >= 60, "音频削波": (F.col("most") >= 150) & (F.col("video") % 7 != 0), "黑场": F.col("black"), "画面冻结": F.col("frozen")}
+    return rows.select("video", "seq", F.array_join(A.flags(tests), ",").alias("flags"), F.when(F.col("n") >= 2, "high").otherwise("unknown").alias("confidence"))
 
 
 _MUSIC = """, x as (select s.video, s.seq, sum(least(s.end_ms, g.end_ms) - greatest(s.start_ms, g.start_ms)) filter (where g.text = 'view') as a, sum(least(s.end_ms, g.end_ms) - greatest(s.start_ms, g.start_ms)) filter (where g.text <> 'view') as b
@@ -149,31 +156,28 @@ def slot_pacing(spark, sf):
     return hierarchy(spark, sf).groupBy("slot_id").agg(F.count("*").alias("n_shots"), A.seconds(F.avg("duration_ms")).alias("avg_sec"))
 
 
-@query("boundary_alignment_by_slot", sql("ev_shots", ", " + AUDIO + """, a as (select c.video, c.cut_ms, classification from assoc c where video % 3 <> 1), v as (select distinct video from ev_shots)
-select v.video, case when count(a.cut_ms) = 0 then true when count(*) filter (where classification <> 'pictureCutAudioContinuous') = 0 then false
-  else avg((classification = 'synchronizedCut')::int) filter (where classification <> 'pictureCutAudioContinuous') >= 0.5 end as aligned from v left join a on a.video = v.video group by v.video"""))
+@query("boundary_alignment_by_slot", sql("ev_shots", ", " + AUDIO + """, a as (select c.video, c.cut_ms, case when c.video % 5 = 0 then 'unavailable' else classification end as classification from assoc c where video % 3 <> 1), v as (select distinct video from ev_shots)
+select v.video, case when count(a.cut_ms) = 0 then true when count(*) filter (where classification <> 'unavailable') = 0 then false else avg((classification = 'synchronizedCut')::int) filter (where classification <> 'unavailable') >= 0.5 end as aligned from v left join a on a.video = v.video group by v.video"""))
 def boundary_alignment_by_slot(spark, sf):
-    """Share of synchronised seams among the decidable ones; true without seams, false if none is decidable. Videos 1 mod 3 stand for slots without seams."""
-    seams = associations(spark, sf).where("video % 3 <> 1")
-    known = F.col("classification") != "pictureCutAudioContinuous"
-    g = seams.groupBy("video").agg(F.avg(F.when(known, (F.col("classification") == "synchronizedCut").cast("int"))).alias("share"), F.lit(True).alias("seams"))
-    rows = ev_shots(spark, sf).select("video").distinct().join(g, "video", "left")
-    return rows.select("video", F.when(F.col("seams").isNull(), True).when(F.col("share").isNull(), False).otherwise(F.col("share") >= 0.5).alias("aligned"))
+    """Videos 1 mod 3 stand for slots without seams, multiples of 5 have no audio."""
+    seams = associations(spark, sf).where("video % 3 <> 1").select("video", F.when(F.col("video") % 5 == 0, "unavailable").otherwise(F.col("classification")).alias("classification"))
+    return A.seam_alignment(ev_shots(spark, sf).select("video").distinct(), seams)
 
 
 @query("music_alignment", sql("ev_shots ev_seg", """, e as (select video, end_ms as t from ev_shots qualify row_number() over (partition by video order by seq desc) > 1),
-c as (select e.video, t, exists (select 1 from ev_seg g where g.video = e.video and start_ms <= t and t < g.end_ms and g.end_ms > start_ms) as covered from e),
-n as (select v.video, avg(covered::int) as share, count(covered) as n from (select distinct video from ev_shots) v left join c on c.video = v.video group by v.video)
-select video, case when n = 0 then 'noSeams' when share = 0 then 'independent' when share >= 0.5 then 'aligned' else 'partial' end as label from n"""))
+c as (select e.video, t, exists (select 1 from ev_seg g where g.video = e.video and text = 'view' and start_ms <= t and t < g.end_ms and g.end_ms > start_ms) as covered from e),
+n as (select v.video, avg(covered::int) as share, count(covered) as n, exists (select 1 from ev_seg g where g.video = v.video and text = 'view' and g.end_ms > start_ms) and v.video % 6 <> 0 as music from (select distinct video from ev_shots) v left join c on c.video = v.video group by v.video)
+select video, case when not music then 'no music detected' when n = 0 then 'unknown' when share >= 0.5 then 'music aligned with story boundaries' else 'music not aligned with story boundaries' end as label from n"""))
 def music_alignment(spark, sf):
-    """Block ends but the last, in document order, that lie inside music."""
+    """Block ends but the last, in document order, that lie inside music; detection did not complete for multiples of 6."""
     w = W.partitionBy("video").orderBy(F.desc("seq"))
     ends = ev_shots(spark, sf).withColumn("k", F.row_number().over(w)).where("k > 1").select("video", "seq", F.col("end_ms").alias("s1"), (F.col("end_ms") + 1).alias("e1"))
-    music = ev_seg(spark, sf).select("video", F.col("start_ms").alias("s2"), F.col("end_ms").alias("e2"))
+    music = ev_seg(spark, sf).where("text = 'view' and end_ms > start_ms").select("video", F.col("start_ms").alias("s2"), F.col("end_ms").alias("e2"))
     hit = J.overlap_join(ends, music, BUCKET).select("video", "seq").distinct().withColumn("hit", F.lit(1))
     g = ends.join(hit, ["video", "seq"], "left").groupBy("video").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("share"))
-    rows = ev_shots(spark, sf).select("video").distinct().join(g, "video", "left")
-    return rows.select("video", F.when(F.col("share").isNull(), "noSeams").when(F.col("share") == 0, "independent").when(F.col("share") >= 0.5, "aligned").otherwise("partial").alias("label"))
+    any_ = music.where("video % 6 <> 0").select("video").distinct().withColumn("music", F.lit(True))
+    rows = ev_shots(spark, sf).select("video").distinct().join(g, "video", "left").join(any_, "video", "left")
+    return rows.select("video", F.when(F.col("music").isNull(), "no music detected").when(F.col("share").isNull(), "unknown").when(F.col("share") >= 0.5, "music aligned with story boundaries").otherwise("music not aligned with story boundaries").alias("label"))
 
 
 @query("expectation_chains", """

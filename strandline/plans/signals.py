@@ -208,30 +208,22 @@ def motion_digest(spark, sf):
     return a.unionByName(b).withColumn("_k", F.row_number().over(w)).where("_k <= 12").drop("_k")
 
 
-_MOTION = """with f as (select l_orderkey as video, l_quantity - 25 as dx, l_discount * 100 - 5 as dy, 1 + l_tax - 0.04 as scale from lineitem),
-a as (select video, count(*) as n, median(abs(dx)) as mx, median(abs(dy)) as my, median(sqrt(dx * dx + dy * dy)) as px, greatest(avg((dx > 0)::int), avg((dx < 0)::int)) as cx, greatest(avg((dy > 0)::int), avg((dy < 0)::int)) as cy, greatest(avg((scale > 1)::int), avg((scale < 1)::int)) as cz, median(abs(scale - 1)) as mz, max(sqrt(dx * dx + dy * dy)) as top from f group by video)
-select video, case when n < 3 then 'unknown' when top >= 8 and top > 5 * px then 'discontinuity' when px < 1 and mz < 0.01 then 'static' when mx >= 1.5 * my and cx > 0.7 then 'pan' when my >= 1.5 * mx and cy > 0.7 then 'tilt' when mz >= 0.03 and cz >= 0.7 then 'zoom' when px >= 3 then 'handheld' else 'unknown' end as movement,
-  case when px < 1 then 'static' when px < 3 then 'low' when px < 10 then 'medium' else 'high' end as intensity from a"""
+_MOTION = """with f0 as (select l_orderkey as video, (l_quantity - 25) / 4 as dx, l_discount * 100 - 5 as dy, 1 + l_tax - 0.04 as scale, l_linenumber <> 3 as ok from lineitem),
+f as (select *, sqrt(dx * dx + dy * dy) as px from f0 where ok), n as (select video, count(*) as n from f0 group by video),
+m as (select video, count(*) as pairs, median(dx) as mx, median(dy) as my, median(px) as score, median(scale) as ms from f group by video),
+r as (select video, bool_or(px > 5 * score and px >= 8) as jump, avg((mx <> 0 and dx * sign(mx) >= 0.25)::int) as cx, avg((my <> 0 and dy * sign(my) >= 0.25)::int) as cy, avg((scale > 1.001)::int) as zi, avg((scale < 1 / 1.001)::int) as zo from f join m using (video) group by video),
+c as (select n.video, n, coalesce(pairs, 0) as pairs, coalesce(score, 0) as score, coalesce(jump, false) as jump, coalesce(cx, 0) as cx, coalesce(cy, 0) as cy, list_filter([
+  case when abs(mx) >= 2 and abs(mx) > 1.5 * abs(my) and cx > 0.7 then case when mx > 0 then 'pan_left' else 'pan_right' end end, case when abs(my) >= 2 and abs(my) > 1.5 * abs(mx) and cy > 0.7 then case when my > 0 then 'tilt_up' else 'tilt_down' end end,
+  case when zi >= 0.7 and ms > 1 then 'zoom_in' when zo >= 0.7 and ms < 1 then 'zoom_out' end], lambda x: x is not null) as l from n left join m using (video) left join r using (video)),
+k as (select *, case when n < 3 or pairs < 2 then 'unknown' when jump then 'discontinuity' when len(l) > 0 then l[1] when score < 1 then 'static' when cx < 0.7 and cy < 0.7 then 'handheld' else 'unknown' end as movement from c)
+select video, movement, case when n >= 3 and pairs >= 2 and not jump and len(l) > 0 then array_to_string(l, ',') else movement end as candidates, case when n < 3 or pairs < 2 then 'unknown' when score < 1 then 'static' when score < 3 then 'low' when score < 10 then 'medium' else 'high' end as intensity,
+  case when n < 3 or pairs < 2 then 'unknown' when jump then 'low' when len(l) > 0 then case when pairs >= 4 then 'medium' else 'low' end when score < 1 then case when pairs >= 4 then 'high' else 'medium' end else 'low' end as confidence from k"""
 
 
 @query("shot_motion_classify", _MOTION)
 def shot_motion_classify(spark, sf):
-    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("video"), (F.col("l_quantity") - 25).alias("dx"), (F.col("l_discount") * 100 - 5).alias("dy"), (1 + F.col("l_tax") - 0.04).alias("scale"))
-    return classify_motion(rows).select("video", "movement", "intensity")
-
-
-def classify_motion(df):
-    """Movement of a shot from its frames' dx, dy and scale: medians and shares of one direction, then a cascade."""
-    length = F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
-    one_way = lambda c, zero: F.greatest(F.avg((F.col(c) > zero).cast("int")), F.avg((F.col(c) < zero).cast("int")))
-    a = df.groupBy("video").agg(F.count("*").alias("n"), F.median(F.abs("dx")).alias("mx"), F.median(F.abs("dy")).alias("my"), F.median(length).alias("px"), one_way("dx", 0).alias("cx"), one_way("dy", 0).alias("cy"), one_way("scale", 1).alias("cz"), F.median(F.abs(F.col("scale") - 1)).alias("mz"), F.max(length).alias("top"))
-    c = F.col
-    kind = (
-        F.when(c("n") < 3, "unknown").when((c("top") >= 8) & (c("top") > 5 * c("px")), "discontinuity").when((c("px") < 1) & (c("mz") < 0.01), "static")
-        .when((c("mx") >= 1.5 * c("my")) & (c("cx") > 0.7), "pan").when((c("my") >= 1.5 * c("mx")) & (c("cy") > 0.7), "tilt")
-        .when((c("mz") >= 0.03) & (c("cz") >= 0.7), "zoom").when(c("px") >= 3, "handheld").otherwise("unknown")
-    )
-    return a.withColumn("movement", kind).withColumn("intensity", S.motion_intensity("px"))
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("video"), ((F.col("l_quantity") - 25) / 4).alias("dx"), (F.col("l_discount") * 100 - 5).alias("dy"), (1 + F.col("l_tax") - 0.04).alias("scale"), (F.col("l_linenumber") != 3).alias("ok"))
+    return G.classify_motion(rows).select("video", "movement", F.array_join("candidates", ",").alias("candidates"), "intensity", "confidence")
 
 
 @query("frame_motion_contract", """
