@@ -52,8 +52,9 @@ def _level(counts: DataFrame, key: str, parent: str, means: DataFrame | None, ov
     rho = ((F.col("_kk") - p * p * F.col("_n")) / (p * (1 - p)) - (F.col("_i") - 1)) / (F.col("_n") - F.col("_nn") / F.col("_n") - (F.col("_i") - 1))
     flat = (F.col("_i") < 2) | (F.col("_k") == 0) | (F.col("_k") == F.col("_n")) | (F.col("_n") - F.col("_nn") / F.col("_n") - (F.col("_i") - 1) <= 0)
     spread = spread.select((1 / F.when(F.coalesce(flat, F.lit(True)), lo).otherwise(F.least(F.greatest(rho, F.lit(lo)), F.lit(hi))) - 1).alias("_m"))
-    rows = counts.join(means.select(F.col(parent), F.col("mean").alias("_prior")), parent) if means is not None else counts.crossJoin(F.broadcast(overall.select(F.col("mean").alias("_prior"))))
-    rows = rows.crossJoin(F.broadcast(spread))  # one row each: a constant of the level
+    # constants of a level are scalar subqueries
+    rows = counts.join(means.select(F.col(parent), F.col("mean").alias("_prior")), parent) if means is not None else counts.withColumn("_prior", overall.scalar())
+    rows = rows.withColumn("_m", spread.scalar())
     a = F.col("k") + F.col("_prior") * F.col("_m")
     b = F.col("n") - F.col("k") + (1 - F.col("_prior")) * F.col("_m")
     return rows.select(key, a.alias("a"), b.alias("b"), (a / (a + b)).alias("mean"))
