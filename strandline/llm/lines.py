@@ -3,7 +3,8 @@
 A line's key is the 64-bit hash of its text without outer spaces. Pages holding a key are counted per host
 (partial sums before the shuffle, so a hot host or line costs one row a task), and a key on more than ``ratio`` of its host's
 pages is boilerplate. A host has fewer than (mean lines a page) / ratio such keys, whatever its size: the sum of all
-its keys' ratios is the mean number of distinct lines a page. So the keys travel back as one short array for each host.
+its keys' ratios is the mean number of distinct lines a page. So the keys travel back as one short array for each host,
+broadcast while their number is small, which is checked, and else joined with each host's pages spread over salts.
 
 Defined results: null and empty text stay as they are; null hosts form one host of their own; blank lines are never
 boilerplate; hosts of fewer than ``min_pages`` pages lose nothing; repeated rows are pages of their own; other columns
@@ -15,10 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 RATIO = 0.3
 MIN_PAGES = 20
+#: Most line keys (8 bytes each, and 8 more a host) that are broadcast; and over how many parts a host's pages are spread beyond that.
+BROADCAST_KEYS = 500_000
+SALTS = 64
 
 
 def _keys(text: str | Column) -> Column:
@@ -39,8 +43,15 @@ def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min
 def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """All columns of ``docs`` with text less its boilerplate lines, and _n_lines, _n_dropped."""
     columns = docs.columns
-    found = boilerplate(docs, host, ratio, min_pages).withColumnRenamed("_host", "_site")
-    rows = docs.join(found, docs[host].cast("string").eqNullSafe(found["_site"]), "left")
+    found = cut(boilerplate(docs, host, ratio, min_pages)).withColumnRenamed("_host", "_site")
+    # hosts and their few keys: broadcast if they are small, so that no text moves; else joined with the hot hosts' pages spread
+    keys = found.agg(F.coalesce(F.sum(F.size("_drop") + 8), F.lit(0))).first()[0]
+    if keys <= BROADCAST_KEYS:
+        rows = docs.join(F.broadcast(found), docs[host].cast("string").eqNullSafe(found["_site"]), "left")
+    else:
+        salt = F.pmod(F.xxhash64(docs["text"]), F.lit(SALTS))
+        spread = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = docs.join(spread, docs[host].cast("string").eqNullSafe(spread["_site"]) & (salt == spread["_salt"]), "left")
     split = F.split(docs["text"], "\n", -1)
     kept = F.filter(split, lambda x: ~F.coalesce(F.array_contains("_drop", F.xxhash64(F.trim(x))) & (F.trim(x) != ""), F.lit(False)))
     rows = rows.withColumn("_kept", F.when(F.col("_drop").isNotNull() & docs["text"].isNotNull(), kept))

@@ -115,7 +115,9 @@ def test_extraction(spark):
     assert len(extract.main_text("<div>" * 30000 + "deep" + "</div>" * 30000)) == 4
 
 
-def test_boilerplate_lines(spark):
+@pytest.mark.parametrize("most", [500_000, -1])
+def test_boilerplate_lines(spark, monkeypatch, most):
+    monkeypatch.setattr(lines, "BROADCAST_KEYS", most)
     texts = [f"Share this\nbody {i}\n\nShare this" if i % 2 else f" Share this \nbody {i}" for i in range(30)] + ["Share this", None, ""] + ["Share this\nx"] * 3
     sources = ["a"] * 33 + ["small"] * 3
     got = {r.doc_id: r for r in lines.drop_boilerplate(docs_of(spark, texts, sources)).collect()}
