@@ -133,7 +133,7 @@ def slot_rollup(spark, sf):
     rows = x.groupBy("slot_id").agg(
         F.countDistinct("block").alias("min_blocks"), F.countDistinct("shot_id").alias("n_shots"), F.min("start_ms").alias("s"), F.max_by("end_ms", "start_ms").alias("e"),
         F.avg("duration_ms").alias("d"), F.array_join(F.array_sort(F.collect_set(F.col("block").cast("string"))), ",").alias("block_ids"))
-    rows = rows.crossJoin(F.broadcast(total))  # one row
+    rows = rows.withColumn("total", total.scalar())
     return rows.select("slot_id", "min_blocks", "n_shots", F.round((F.col("e") - F.col("s")) / F.col("total"), 4).alias("duration_share"), A.seconds("s").alias("start_sec"), A.seconds("e").alias("end_sec"), A.seconds("d").alias("avg_shot_sec"), "block_ids")
 
 

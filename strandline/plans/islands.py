@@ -184,9 +184,9 @@ select video, pos, case when start_ms is null or end_ms is null or text is null
   case when text is not null and start_ms < end_ms and greatest(start_ms, low) < least(end_ms, high) then least(end_ms, high) end as clamped_end from r"""))
 def normalize_segments(spark, sf):
     seg = ev_seg(spark, sf)
-    low = seg.agg((F.min("start_ms") + 864_000_000).alias("low"), (F.max("start_ms") - 864_000_000).alias("high"))
+    low, high = seg.agg(F.min("start_ms") + 864_000_000).scalar(), seg.agg(F.max("start_ms") - 864_000_000).scalar()
     rows = seg.withColumn("end_ms", F.col("end_ms") - F.when(F.col("pos") % 11 == 0, 99_999_999).otherwise(0)).withColumn("text", F.when(F.col("pos") % 13 != 0, F.col("text")))
-    rows = rows.crossJoin(F.broadcast(low))  # one row
+    rows = rows.withColumn("low", low).withColumn("high", high)
     return I.normalize_segments(rows, F.col("low"), F.col("high")).select("video", "pos", "action", "clamped_start", "clamped_end")
 
 

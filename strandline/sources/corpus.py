@@ -104,5 +104,5 @@ def write_valid(df: DataFrame, valid: Column, folder: str, artifact: str, key: s
     good, bad = spark.read.parquet(f"{folder}/{artifact}"), spark.read.parquet(f"{folder}/quarantine/{artifact}")
     mark = F.conv(F.substring(F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256), 1, 12), 16, 10).cast("bigint")
     side = lambda d, n: d.agg(F.count("*").alias(n), F.coalesce(F.bit_xor(mark), F.lit(0)).alias(f"{n}_mark"))
-    rows = side(good, "n_valid").crossJoin(F.broadcast(side(bad, "n_quarantined")))  # one row each
+    rows = side(good, "n_valid").withColumn("n_quarantined", bad.agg(F.count("*")).scalar())
     return rows.select(F.lit(artifact).alias("artifact"), "n_valid", "n_quarantined", F.lower(F.hex("n_valid_mark")).alias("fingerprint"), F.when(F.col("n_quarantined") == 0, "complete").otherwise("partial").alias("status"))
