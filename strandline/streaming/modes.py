@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def speech_runs(segments: DataFrame, gap_ms: int, delay: str = "1 hour", keys: Sequence[str] = ("video",)) -> DataFrame:
@@ -23,6 +25,25 @@ def windowed_tally(points: DataFrame, state: str, width: str, delay: str = "1 ho
     return g.select(*keys, F.unix_millis("window.start").alias("window_ms"), state, "n")
 
 
+def local_peaks(points: DataFrame, threshold: float, key: str = "video") -> DataFrame:
+    """Peaks above the threshold, each told when its next frame has come: the state is two frames a video. points: key, time_ms, id, value, in order of (time_ms, id) from batch to batch."""
+
+    def step(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        before, at, mark, now = state.get if state.exists else (float("-inf"), None, None, None)
+        rows, out = pd.concat(list(parts)).sort_values(["time_ms", "id"]), []
+        for t, i, v in zip(rows["time_ms"].tolist(), rows["id"].tolist(), rows["value"].tolist()):
+            if now is not None:
+                if now > threshold and now >= before and now >= v and (now > before or now > v):
+                    out.append((group[0], at, mark, now))
+                before = now
+            at, mark, now = t, i, v
+        state.update((before, at, mark, now))
+        yield pd.DataFrame(out, columns=[key, "time_ms", "id", "value"])
+
+    kind = points.schema[key].dataType.simpleString()
+    return points.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, time_ms bigint, id bigint, value double", "before double, at bigint, mark bigint, now double", "append", GroupStateTimeout.NoTimeout)
+
+
 def finish(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
     """Reads the stream to its end; the last complete result is left in the folder."""
 
@@ -35,6 +56,13 @@ def finish(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/{last}")
 
 
+def finish_append(stream: DataFrame, folder: str) -> DataFrame:
+    """Reads the stream to its end, rows appended to Parquet files in the folder."""
+    q = stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
 def upsert_latest(changes: DataFrame, entity: Sequence[str], seq: Sequence[str], value: str, folder: str) -> DataFrame:
     """Latest change of each entity by its sequence, whatever the order of arrival: each micro-batch is merged with the table so far."""
     spark, columns = changes.sparkSession, [*entity, *seq, value]
