@@ -31,14 +31,14 @@ from pyspark.sql import functions as F
 from .common import as_bytes, bounded_batches, table, word_table
 
 THRESHOLD = 0.3
-TRAIN_ROWS = 8000
+TRAIN_ROWS = 20000
 SLOTS = 1 << 17
 LEAST_DOCS = 3
 STEPS = 1500
 DIM = 12
 WIDTHS = (1, 2, 3)
 FILTERS = 8
-EPOCHS = 8
+EPOCHS = 6
 INIT = 0.05
 EMBEDDING_RATE = 0.2
 LEAST_CALIBRATION = 50
@@ -169,7 +169,9 @@ class Model:
             for at in range(0, len(order), batch):
                 own = order[at : at + batch]
                 flat, starts = _pad([docs[i] for i in own])
-                top, responses = self.pooled(flat, starts, self.tables())
+                used, dense = np.unique(flat, return_inverse=True)  # padding is row 0 of both
+                rows = self.embedding[used]
+                top, responses = self.pooled(dense, starts, [[rows @ part for part in f] for f in self.filters])
                 hidden = np.maximum(top + self.bias, 0)
                 p = 1 / (1 + np.exp(-np.clip(hidden @ self.out + self.shift[0], -30, 30)))
                 slope = ((p - labels[own]) / len(own)).astype(np.float32)
