@@ -8,7 +8,9 @@ have no embedding of their own and count as padding.
 
 Thresholds are calibrated by language on rows kept out of the gradient steps. The language is guessed from the text's
 own function words, never read from a column. The calibrated threshold of each language is shifted to ``THRESHOLD``, so that one
-comparison holds for all. A language whose labels the model cannot tell apart gets a threshold above its calibration scores.
+comparison holds for all. A language takes the threshold of all rows if it has few toxic rows, or if its rows do not show that the model
+ranks them; only one whose rows show that the model cannot tell its labels apart gets a threshold above its calibration scores.
+Nothing in this depends on how frequent toxic rows are. If all rows together show neither, the model's own probabilities stand.
 
 Learning uses at most ``TRAIN_ROWS`` labelled rows, chosen by the hash of their doc_id among the rows that are not held
 out (crc32(doc_id) mod 4 is 2). Scores use all rows and whole texts.
@@ -42,6 +44,9 @@ EPOCHS = 6
 INIT = 0.05
 EMBEDDING_RATE = 0.2
 LEAST_CALIBRATION = 50
+#: Toxic and clean calibration rows that a language needs for a threshold of its own; area under the ROC curve below which, for certain, there is nothing to find.
+LEAST_OF_CLASS = 10
+INSEPARABLE = 0.6
 CHUNK_WORDS = 1 << 17
 WORDS_KEPT = 400_000
 _WORDS = word_table()
@@ -202,25 +207,36 @@ class Model:
                 self.embedding[0] = 0
 
     def calibrate(self, docs: list[np.ndarray], labels: np.ndarray) -> None:
-        """For each language the threshold that finds most toxic rows less wrongly found ones; shifted to THRESHOLD. Languages of few rows take that of all rows."""
+        """For each language the threshold of best F1, shifted to THRESHOLD. Languages of few rows, few toxic or few clean ones take that of all rows."""
         logit, language = self.logits(docs, self.tables()).astype(np.float64), np.array([language_of(d) for d in docs])
         self.offset[:] = _shift(logit, labels)
         for i in range(len(LANGUAGES)):
             own = language == i
-            if own.sum() >= LEAST_CALIBRATION:
-                self.offset[i] = _shift(logit[own], labels[own])
+            toxic = (labels[own] == 1).sum()
+            if own.sum() >= LEAST_CALIBRATION and min(toxic, own.sum() - toxic) >= LEAST_OF_CLASS:
+                self.offset[i] = _shift(logit[own], labels[own], self.offset[i])
 
 
-def _shift(score: np.ndarray, y: np.ndarray) -> float:
+def _shift(score: np.ndarray, y: np.ndarray, unsure: float = 0.0) -> float:
+    """From the threshold of best F1 to THRESHOLD. Whether scores tell the labels apart is judged by ranks (area under the ROC curve), which do not depend on the share of toxic rows."""
     target = np.log(THRESHOLD / (1 - THRESHOLD))
-    if not len(y):
-        return 0.0
-    order = np.argsort(-score, kind="stable")
-    gain = np.cumsum(np.where(y[order] == 1, 1, -1))
-    gain = np.where(np.append(np.diff(score[order]) != 0, True), gain, -len(y))  # ties go together
-    best = int(gain.argmax())
-    if gain[best] < max(5, 0.02 * len(y)):  # nothing to find here: above all scores
+    toxic = int((y == 1).sum())
+    clean = len(y) - toxic
+    if not toxic or not clean:
+        return unsure
+    _, group, size = np.unique(score, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(size) - (size - 1) / 2)[group]  # ties share their mean rank
+    area = (rank[y == 1].sum() - toxic * (toxic + 1) / 2) / (toxic * clean)
+    error = 2 * np.sqrt((len(y) + 1) / (12 * toxic * clean))
+    if area + error < INSEPARABLE:  # nothing to find here: above all scores
         return min(target - (score.max() + 2.0), -1.0)
+    if area - error <= 0.5:
+        return unsure
+    order = np.argsort(-score, kind="stable")
+    found = np.cumsum(y[order] == 1)
+    f1 = 2 * found / (np.arange(1, len(y) + 1) + toxic)
+    f1 = np.where(np.append(np.diff(score[order]) != 0, True), f1, -1)  # ties go together
+    best = int(f1.argmax())
     below = score[order][best + 1 :]
     low = below.max() if len(below) else score[order][best] - 2
     return target - (score[order][best] + low) / 2

@@ -69,6 +69,33 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept == {i for i, s in got.items() if s < toxicity.THRESHOLD}
 
 
+def calibrated(monkeypatch, texts, scores, labels):
+    docs = [toxicity.slots_of(toxicity.words_of(t)) for t in texts]
+    model = toxicity.Model()
+    monkeypatch.setattr(model, "logits", lambda *_: np.array(scores, np.float32))
+    model.calibrate(docs, np.array(labels, np.float32))
+    return model.scores(docs, None) >= toxicity.THRESHOLD
+
+
+def test_calibration_does_not_depend_on_the_share_of_toxic_rows(monkeypatch):
+    rng = np.random.default_rng(2)
+    y = np.arange(5000) < 60
+    assert (calibrated(monkeypatch, [b"the of"] * 5000, np.where(y, 1.0, -3.0) + rng.normal(0, 0.1, 5000), y) == y).all()
+    assert not calibrated(monkeypatch, [b"the of"] * 5000, rng.normal(0, 1, 5000), rng.random(5000) < 0.3).any()  # nothing to tell apart
+    for rows in (49, 51, 90):  # a language of few toxic rows takes the threshold of all
+        texts, y = [b"the of"] * 400 + [b"der die und"] * rows, np.r_[np.arange(400) < 100, np.arange(rows) < 3]
+        assert (calibrated(monkeypatch, texts, np.where(y, 1.0, -3.0) + rng.normal(0, 0.1, len(y)), y) == y).all()
+
+
+def test_one_toxic_row_in_a_hundred_is_found(spark):
+    rows = [(i, t) for i, t, y in toxic_case(4000) if not y][:2970]
+    bad = [(5000 + i, t) for i, t, y in toxic_case(400) if y][:30]
+    docs = spark.createDataFrame([*rows, *bad], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i >= 5000)) for i, _ in [*rows, *bad]], "doc_id bigint, toxic int")
+    kept = {r.doc_id for r in toxicity.drop_toxic(docs, labels).collect()}
+    assert sum(i not in kept for i, _ in bad) >= 24 and sum(i not in kept for i, _ in rows) <= 15
+
+
 def test_pseudo_likelihood_equals_a_plain_sum(spark):
     texts = ["the cat sat on the mat", "the dog sat on the log", None, "", "...", "mat", "the cat sat on the mat"] * 20
     df = spark.createDataFrame([(i, t, 1.0) for i, t in enumerate(texts)], "doc_id bigint, text string, sum_logp double")
