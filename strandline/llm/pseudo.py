@@ -2,10 +2,13 @@
 
 Words fall into ``CLASSES`` classes: the most frequent hashed words one each, the others by hash, and 0 for the text's
 ends. The network embeds the class on the left and the class on the right of a masked word, adds them in a tanh layer and
-gives a softmax over the word's class. A document's score is the sum of the log-probabilities of all its words, each
-predicted from both sides.
+gives a softmax over the word's class; the word's share of all words of its class in the corpus gives P(word | class). A document's
+score is the sum of log P(class) + log P(word | class) of all its words, each class predicted from both sides.
 
-What it learns from is the count of every (left, word, right) triple of classes in the whole corpus: partial counts per task,
+The vocabulary is every word of the corpus (a 63-bit hash, no cut), counted on Spark. Scoring reads the counts of the most
+frequent words, ``TOP_WORDS`` at most, from a broadcast; all other words travel to the distributed table in a join, and their sums come back by row.
+
+What the network learns from is the count of every (left, word, right) triple of classes in the whole corpus: partial counts per task,
 summed in a shuffle that grows with the input. The table of sums has at most CLASSES**3 cells whatever the corpus, so
 the full-batch training in numpy sees all data at a fixed cost. The trained network is again a table of CLASSES**3
 log-probabilities, so a document costs one look-up a word.
@@ -18,13 +21,15 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_batches, table, word_table
+from .common import as_bytes, bounded_batches, cut, table, word_table
 
 CLASSES = 128
 FREQUENT = 63
@@ -33,34 +38,53 @@ HIDDEN = 24
 STEPS = 120
 RATE = 0.05
 WORDS_KEPT = 400_000
+#: Words whose counts are broadcast for scoring (16 bytes each); and keys that a counting task holds before it sends them.
+TOP_WORDS = 1 << 17
+KEYS_HELD = 1 << 20
 _WORDS = word_table()
 
 
-class Buckets(dict):
+class Words(dict):
+    """Word -> 63-bit id; its low bits are the bucket."""
+
     def __missing__(self, word: bytes) -> int:
-        self[word] = bucket = zlib.crc32(word) & (BUCKETS - 1)
-        return bucket
+        self[word] = code = int.from_bytes(blake2b(word, digest_size=6).digest()) >> 1 << 16 | zlib.crc32(word) & (BUCKETS - 1)
+        return code
 
 
-_BUCKETS = Buckets()
+_IDS = Words()
 
 
-def buckets_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all words, and the number of words of each text."""
-    if len(_BUCKETS) > WORDS_KEPT:
-        _BUCKETS.clear()
+def ids_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words, and the number of words of each text."""
+    if len(_IDS) > WORDS_KEPT:
+        _IDS.clear()
     words = [t.translate(_WORDS).split() for t in texts]
     lengths = np.fromiter(map(len, words), np.int64, len(words))
-    flat = np.fromiter((b for w in words for b in map(_BUCKETS.__getitem__, w)), np.int32, int(lengths.sum()))
-    return flat, lengths
+    return np.fromiter((i for w in words for i in map(_IDS.__getitem__, w)), np.int64, int(lengths.sum())), lengths
+
+
+def buckets_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all words, and the number of words of each text."""
+    flat, lengths = ids_of(texts)
+    return (flat & (BUCKETS - 1)).astype(np.int32), lengths
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def sent() -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(keys), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 16)]), pa.array(sums[at : at + (1 << 16)])], names=["word", "n"])
 
-def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        total += np.bincount(buckets_of(as_bytes(batch.column("text")))[0], minlength=BUCKETS)
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], names=["bucket", "n"])
+        own, n = np.unique(ids_of(as_bytes(batch.column("text")))[0], return_counts=True)
+        both, place = np.unique(np.concatenate((keys, own)), return_inverse=True)
+        keys, sums = both, np.bincount(place, np.concatenate((sums, n)), len(both)).astype(np.int64)
+        if len(keys) > KEYS_HELD:
+            yield from sent()
+            keys, sums = keys[:0], sums[:0]
+    yield from sent()
 
 
 def class_table(frequent: list[int]) -> np.ndarray:
@@ -136,33 +160,63 @@ def log_probabilities(p: dict[str, np.ndarray]) -> np.ndarray:
     return (logit - np.log(np.exp(logit).sum(1, keepdims=True))).ravel()
 
 
-def _score(classes, params):
+def _score(classes, params, top):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, own = log_probabilities(params.value), classes.value
+        known, own, (words, logs, totals) = log_probabilities(params.value), classes.value, top.value
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            flat, lengths = buckets_of(as_bytes(batch.column("text")))
-            codes, text = triples(flat, lengths, own)
-            total = np.bincount(text, known[codes], minlength=len(lengths))
-            columns = [batch.column("doc_id"), pa.array(lengths), pa.array(total, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "sum_logp"])
+            flat, lengths = ids_of(as_bytes(batch.column("text")))
+            buckets = (flat & (BUCKETS - 1)).astype(np.int32)
+            codes, text = triples(buckets, lengths, own)
+            at = np.minimum(np.searchsorted(words, flat), max(len(words) - 1, 0))
+            found = words[at] == flat
+            value = known[codes] - totals[own[buckets]] + np.where(found, logs[at], 0) if len(flat) else np.zeros(0)
+            total = np.bincount(text, value, minlength=len(lengths))
+            ends = np.concatenate(([0], np.cumsum(np.bincount(text[~found], minlength=len(lengths)))))
+            rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[~found], pa.int64()))
+            rows = pa.array(np.arange(row, row + len(lengths)), pa.int64())
+            row += len(lengths)
+            columns = [rows, batch.column("doc_id"), pa.array(lengths), pa.array(total, pa.float64()), rare]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_words", "sum_logp", "rare"])
 
     return run
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, top_words: int = TOP_WORDS) -> DataFrame:
     """doc_id, n_words, sum_logp, mean_logp."""
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = docs.select("text")
-    top = texts.mapInArrow(_count_buckets, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "bucket").limit(FREQUENT)
-    classes = spark.sparkContext.broadcast(class_table([r.bucket for r in top.collect()]))
+    vocabulary = cut(texts.mapInArrow(_count_words, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
+    by_bucket = vocabulary.groupBy(F.col("word").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).toArrow()  # BUCKETS rows at most
+    bucket, n, several = (by_bucket[k].to_numpy() for k in ("bucket", "n", "words"))
+    own = class_table(bucket[np.lexsort((bucket, -n))][:FREQUENT].tolist())
+    classes = spark.sparkContext.broadcast(own)
+    totals = np.log(np.maximum(np.bincount(own[bucket], n, CLASSES), 1))
+    # by bins of counts, not by a sort of the vocabulary in one task; at most top_words rows
+    bin_ = F.floor(F.log2("n") * 8)
+    least, held = np.inf, 0
+    for r in sorted(vocabulary.groupBy(bin_.alias("bin")).agg(F.count("*").alias("words")).collect(), reverse=True):
+        held += r.words
+        if held > top_words:
+            break
+        least = r.bin
+    frequent = vocabulary.where(bin_ >= F.lit(float(least))).toArrow()
+    order = np.argsort(frequent["word"].to_numpy())
+    words = np.append(frequent["word"].to_numpy()[order], np.iinfo(np.int64).max)  # no word's id
+    top = spark.sparkContext.broadcast((words, np.append(np.log(frequent["n"].to_numpy()[order]), 0.0), totals))
     sums = texts.mapInArrow(_count_triples(classes), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
     table_ = sums.select(F.col("code").cast("int").alias("code"), F.col("n").cast("double").alias("n")).toArrow()  # CLASSES**3 rows at most
     counts = np.zeros(CLASSES**3)
     counts[table_["code"].to_numpy()] = table_["n"].to_numpy()
     params = spark.sparkContext.broadcast(train(counts.reshape(CLASSES, CLASSES, CLASSES)))
-    scored = docs.mapInArrow(_score(classes, params), "doc_id bigint, n_words bigint, sum_logp double")
+    scored = docs.mapInArrow(_score(classes, params, top), "row bigint, doc_id bigint, n_words bigint, sum_logp double, rare array<bigint>")
+    if several.sum() > top_words:  # words that are not in the broadcast
+        scored = cut(scored)
+        rare = scored.select("row", F.explode("rare").alias("word")).join(vocabulary, "word").groupBy("row").agg(F.sum(F.log("n")).alias("rest"))
+        scored = scored.join(rare, "row", "left").withColumn("sum_logp", F.col("sum_logp") + F.coalesce("rest", F.lit(0.0)))
+    scored = scored.select("doc_id", "n_words", "sum_logp")
     return scored.withColumn("mean_logp", F.when(F.col("n_words") > 0, F.col("sum_logp") / F.col("n_words")))
 
 

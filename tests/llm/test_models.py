@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -117,3 +118,26 @@ def test_pseudo_likelihood_equals_a_plain_sum(spark):
         assert (got[i].mean_logp is None) == (len(x) == 2)
     assert got[0].mean_logp > -1.5  # a repeated sentence is predictable
     assert pseudo.score_documents(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("top_words", [0, 20, 1000])
+def test_words_of_one_class_are_told_apart(spark, top_words):
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choice(["a", f"w{int(rnd.expovariate(0.01))}"]) for _ in range(rnd.randint(0, 40))) for _ in range(300)] + ["zzqx", "w1", None]
+    df = spark.createDataFrame([(i % 290, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.n_words, r.sum_logp) for r in pseudo.score_documents(df, top_words).collect())
+    lists = [(t or "").encode().split() for t in texts]
+    n = Counter(w for x in lists for w in x)
+    flat, lengths = pseudo.buckets_of([(t or "").encode() for t in texts])
+    seen = np.bincount(flat, minlength=pseudo.BUCKETS)
+    own = pseudo.class_table(sorted(np.flatnonzero(seen).tolist(), key=lambda b: (-seen[b], b))[: pseudo.FREQUENT])
+    codes, text = pseudo.triples(flat, lengths, own)
+    table = np.bincount(codes, minlength=pseudo.CLASSES**3).astype(float)
+    total = np.bincount(text, pseudo.log_probabilities(pseudo.train(table.reshape((pseudo.CLASSES,) * 3)))[codes], minlength=len(texts))
+    class_of = {w: int(own[zlib.crc32(w) & (pseudo.BUCKETS - 1)]) for w in n}
+    size = Counter()
+    for w, k in n.items():
+        size[class_of[w]] += k
+    assert len(set(class_of.values())) < len(n)
+    want = sorted((i % 290, len(x), total[i] + sum(np.log(n[w] / size[class_of[w]]) for w in x)) for i, x in enumerate(lists))
+    assert len(got) == len(want) and all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-3 for a, b in zip(got, want))
