@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_batches, cut, table, word_table
+from .common import as_bytes, slices, cut, table, word_table
 
 WINDOW_WORDS = 10
 AUTOMATON_BYTES = 32 << 20
@@ -90,7 +90,7 @@ def scan(text: bytes, machine: ahocorasick.Automaton) -> tuple[int, int, set[str
 def _scan_batches(given: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, any_pattern = _automaton(given)
-        for batch in batches:
+        for batch in slices(batches):
             out = [scan(t, machine) if any_pattern else (len(t.translate(_WORDS).split()), 0, set(), []) for t in as_bytes(batch.column("text"))]
             columns = [batch.column("doc_id"), [x[0] for x in out], [x[1] for x in out], [sorted(x[2]) for x in out], [x[3] for x in out]]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if isinstance(c, list) else c for c, f in zip(columns, _ARROW)], schema=_ARROW)
@@ -105,7 +105,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS,
     items, each with an automaton of its own and a pass over the text, and the hits of all passes are merged.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = _items(benchmark)
     blocks = _blocks(items, block_bytes)
@@ -118,7 +117,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS,
 def _clean(given: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, any_pattern = _automaton(given)
-        for batch in batches:
+        for batch in slices(batches):
             if any_pattern:
                 batch = batch.filter(pa.array([scan(t, machine)[1] == 0 for t in as_bytes(batch.column("text"))], pa.bool_()))
             yield batch
@@ -129,7 +128,6 @@ def _clean(given: Broadcast):
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS, block_bytes: int = AUTOMATON_BYTES) -> DataFrame:
     """The rows of ``docs``, all columns, without any window of the benchmark; no row is shuffled. One pass for each block of items."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     items = _items(benchmark)
     blocks = _blocks(items, block_bytes)
     for b in range(blocks):
@@ -174,7 +172,7 @@ def _in_blocks(docs: DataFrame, items: DataFrame, n: int, blocks: int) -> DataFr
 
 def _count_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hit words again from the merged spans."""
-    for batch in batches:
+    for batch in slices(batches):
         hits, spans = [], batch.column("spans").to_pylist()
         for text, own in zip(batch.column("text").to_pylist(), spans):
             hits.append(sum(len((text or "")[s["start"] : s["end"]].encode().translate(_WORDS).split()) for s in own))

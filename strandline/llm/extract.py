@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table
+from .common import slices, table
 
 # Fixed values of HTML: void elements, elements whose start closes an open one, block elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -254,14 +254,13 @@ SCHEMA = "page_id bigint, url string, text string"
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         texts = [main_text(x) if x else "" for x in pc.fill_null(batch.column("html"), "").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text."""
-    bounded_batches(pages.sparkSession)
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.col("html").cast("string").alias("html")).mapInArrow(_extract, SCHEMA)
 
 

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table
+from .common import slices, table
 
 MODEL = "piece_bpe_32k.model"
 TABLE_CHUNKS = 400_000
@@ -79,20 +79,17 @@ def _chunk_table(path: str) -> ChunkTable:
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _chunk_table(path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, PIECE_ROWS):
-                batch = whole.slice(at, PIECE_ROWS)
-                packed, decoded = own.segment(pc.fill_null(batch.column("text"), "").to_pylist())
-                offsets = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(decoded, pa.string())], schema=_ARROW)
+        for batch in slices(batches, PIECE_ROWS):
+            packed, decoded = own.segment(pc.fill_null(batch.column("text"), "").to_pylist())
+            offsets = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(decoded, pa.string())], schema=_ARROW)
 
     return run
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (no begin or end ids), decoded (the ids decoded again). ``path``: a sentencepiece model on every executor."""
-    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(_encode(path), SCHEMA)
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_batches, cut, table, word_table
+from .common import as_bytes, slices, cut, table, word_table
 
 CLASSES = 128
 FREQUENT = 63
@@ -77,7 +77,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(keys), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 16)]), pa.array(sums[at : at + (1 << 16)])], names=["word", "n"])
 
-    for batch in batches:
+    for batch in slices(batches):
         own, n = np.unique(ids_of(as_bytes(batch.column("text")))[0], return_counts=True)
         both, place = np.unique(np.concatenate((keys, own)), return_inverse=True)
         keys, sums = both, np.bincount(place, np.concatenate((sums, n)), len(both)).astype(np.int64)
@@ -108,7 +108,7 @@ def triples(flat: np.ndarray, lengths: np.ndarray, classes: np.ndarray) -> tuple
 def _count_triples(given):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CLASSES**3, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             total += np.bincount(triples(*buckets_of(as_bytes(batch.column("text"))), given.value)[0], minlength=CLASSES**3)
         used = np.flatnonzero(total)
         for at in range(0, len(used), 1 << 16):
@@ -164,7 +164,7 @@ def _score(classes, params, top):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, own, (words, logs, totals) = log_probabilities(params.value), classes.value, top.value
         row = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in slices(batches):
             flat, lengths = ids_of(as_bytes(batch.column("text")))
             buckets = (flat & (BUCKETS - 1)).astype(np.int32)
             codes, text = triples(buckets, lengths, own)
@@ -185,7 +185,6 @@ def _score(classes, params, top):
 def score_documents(docs: DataFrame, top_words: int = TOP_WORDS) -> DataFrame:
     """doc_id, n_words, sum_logp, mean_logp."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = docs.select("text")
     vocabulary = cut(texts.mapInArrow(_count_words, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_batches, table, word_table
+from .common import as_bytes, slices, table, word_table
 
 THRESHOLD = 0.3
 TRAIN_ROWS = 20000
@@ -267,7 +267,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model |
 
 
 def _to_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         slots = [slots_of(words_of(t)).tobytes() for t in as_bytes(batch.column("text"))]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(slots, pa.binary())], names=["doc_id", "toxic", "slots"])
 
@@ -276,7 +276,7 @@ def _score(given):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = given.value
         tables = model.tables() if model else None
-        for batch in batches:
+        for batch in slices(batches):
             texts = as_bytes(batch.column("text"))
             scores = model.scores([slots_of(words_of(t)) for t in texts], tables) if model else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
@@ -287,7 +287,6 @@ def _score(given):
 def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, score."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     model = train(docs, labels, rows)
     given = spark.sparkContext.broadcast(model)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -298,7 +297,7 @@ def _below(given, limit: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = given.value
         tables = model.tables() if model else None
-        for batch in batches:
+        for batch in slices(batches):
             if model:
                 scores = model.scores([slots_of(words_of(t)) for t in as_bytes(batch.column("text"))], tables)
                 batch = batch.filter(pa.array(scores < limit))
@@ -309,7 +308,6 @@ def _below(given, limit: float):
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, limit: float = THRESHOLD, rows: int = TRAIN_ROWS) -> DataFrame:
     """The rows of ``docs``, all columns, that score below ``limit``; no row is shuffled."""
-    bounded_batches(docs.sparkSession)
     given = docs.sparkSession.sparkContext.broadcast(train(docs, labels, rows))
     return docs.mapInArrow(_below(given, limit), docs.schema)
 

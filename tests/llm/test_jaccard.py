@@ -53,6 +53,53 @@ def test_equals_brute_force(spark, seed, n, longest, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(docs)
 
 
+def test_repeated_ids_and_crowded_segments(spark):
+    ten = "a1 a2 a3 a4 a5 k12 k47 k155 k168 k185"  # its six shingles share few segments with the other's eight
+    docs = [(1, ten + " k196 k206"), (2, ten), *((9, " ".join(f"v{i}x{j}" for j in range(30))) for i in range(12)), *((20 + i, " ".join(f"v{i}x{j}" for j in range(29))) for i in range(12))]
+    got = jaccard.similar_classes(spark.createDataFrame([(d, t, 1, 1) for d, t in docs], DOCS)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(docs)
+
+
+def one_segment(seed, n):
+    """Texts whose shingles all fall into few segments: none of a set's segments is left to count."""
+    rnd, docs = random.Random(seed), []
+    for i in range(n):
+        w = [f"u{i}w{j}" for j in range(rnd.choice([9, 12, 30]))]
+        docs += [(10 * i + k, " ".join(w[: len(w) - k])) for k in range(3)]
+    return docs
+
+
+def test_sets_short_of_segments(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SHORT_BYTES", 500)
+    docs = one_segment(5, 8) + some_docs(8, 60, 30)
+    assert jaccard.Signatures(jaccard.shingle_sets([t.encode() for _, t in docs]), lambda high: 2).short.any()
+    got = jaccard.similar_classes(spark.createDataFrame([(d, t, 1, 1) for d, t in docs], DOCS), segments=lambda high: 2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(docs)
+
+
+@pytest.mark.parametrize(("part", "longest"), [(1 << 20, 60), (1500, 60), (1500, 14)])
+def test_large_groups_are_verified_by_parts(spark, monkeypatch, part, longest):
+    monkeypatch.setattr(jaccard, "PART_BYTES", part)
+    rnd = random.Random(3)
+    template, docs = [f"t{i}" for i in range(longest)], some_docs(4, 60, longest)
+    for i in range(60):
+        own = rnd.randint(0, longest // 4)
+        at = rnd.randrange(longest - own)
+        docs.append((3000 + i, " ".join(template[:at] + [f"p{rnd.randrange(9)}" for _ in range(own)] + template[at + own :])))
+    got = jaccard.similar_classes(spark.createDataFrame([(d, t, 1, 1) for d, t in docs], DOCS), most_pairs=3, sampled=1 << 20).collect()  # hardly any leaders
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(docs)
+
+
+def test_parity_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(9)
+    for bits in (64, 512):
+        sets = [np.unique(rng.integers(1, 400, int(rng.integers(1, 300)), dtype=np.uint64)) for _ in range(30)]
+        maps = jaccard.parity_bitmaps(sets, bits)
+        for x, a in zip(sets, maps):
+            for y, b in zip(sets, maps):
+                assert np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(x, y))
+
+
 def test_empty_and_null_ids(spark):
     assert jaccard.similar_classes(spark.createDataFrame([], DOCS)).count() == 0
     got = jaccard.similar_classes(spark.createDataFrame([(None, "a b c d e f", 1, 1), (3, "a b c d e f", 1, 1)], DOCS)).collect()
