@@ -1,10 +1,12 @@
 """Main-text extraction by composite text density.
 
-Each page becomes a light DOM (implied ends of p, li and the like are honoured). Elements that are furniture by tag, role
-or class words are left out. Every other node gets a composite density, its characters per tag with a logarithm that
+Each page becomes a light DOM in one pass that never reads a character twice (implied ends of p, li and the like are honoured; quotes count only
+after "=", and one that is never closed ends with its tag). Elements that are furniture by tag or role, or whose class or id is wholly made of
+names of menus, adverts or reader comments, are left out. Every other node gets a composite density, its characters per tag with a logarithm that
 falls with the share of link characters and tags, and a density sum over its children. The node of the largest sum is
-the core; the smallest density on its path up to the body is the threshold; the core widens to an enclosing article or
-main element, or else to ancestors none of whose other text is below the threshold.
+the core; the smallest density on its path up to the body is the threshold. The core widens to the article or main element around it, or else to
+ancestors of whose other children none but headings is below the threshold. Elements inside it with names that may be furniture or not
+(notice, share, header) go only if measures agree: many link characters, or a density below the core's own without a heading in them.
 
 Defined results: null or empty html, and pages without text outside furniture, give ''; truncated pages are read as far
 as they go (an unfinished tag at the end is dropped, an unfinished character reference is text); plain text without tags is its own
@@ -41,118 +43,154 @@ FURNITURE_TAGS = frozenset(
     "script style noscript template iframe object svg math canvas audio video head title nav footer aside form button select textarea input dialog menu datalist".split()
 )
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+#: Words of names that are furniture whatever they hold, words that are if measures agree, and words that say nothing beside them (fixed values).
 FURNITURE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored banner promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay "
-    "nav navbar navigation menu menus breadcrumb breadcrumbs header masthead topbar footer sidebar sidebars aside widget widgets toolbar pagination pager related "
-    "recommended share sharing social subscribe newsletter signup login comment comments commentlist reply replies respond disqus discussion".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr popup modal "
+    "nav navbar navigation menu menus breadcrumb breadcrumbs masthead topbar footer sidebar sidebars pagination pager "
+    "subscribe newsletter comment comments commentlist disqus".split()
 )
+MAYBE_WORDS = frozenset(
+    "banner promo promotion notice notices alert overlay header aside widget widgets toolbar related recommended share sharing social signup login reply replies respond discussion".split()
+)
+PLAIN_WORDS = frozenset(
+    "area bar block body bottom box button buttons container content form group holder inner item items left link links list main outer page panel post posts "
+    "right row section site slot thread top wrap wrapper".split()
+)
+LINK_SHARE = 1 / 3
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header caption figcaption".split())
 _WORD = re.compile("[a-z]+")
-_TAIL = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 _CAMEL = re.compile("(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "chars", "own", "tags", "link_chars", "link_tags", "density", "total", "furniture")
+    __slots__ = ("tag", "parent", "parts", "chars", "own", "tags", "link_chars", "link_tags", "density", "total", "furniture", "maybe", "heading")
 
-    def __init__(self, tag: str, parent: Node | None, furniture: bool = False) -> None:
-        self.tag, self.parent, self.furniture = tag, parent, furniture
+    def __init__(self, tag: str, parent: Node | None, furniture: bool = False, maybe: bool = False) -> None:
+        self.tag, self.parent, self.furniture, self.maybe = tag, parent, furniture, maybe
         self.parts: list[Node | str] = []
         self.chars = self.own = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.heading = False
 
 
-# A comment, a declaration, or a tag with its attributes (quoted values may hold ">").
-_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?/][^a-zA-Z>][^>]*>|<!?>|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|<![^>]*>""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]*)))?""")
+# Possessive, so that a tag is read once: name, then attributes in which a quote opens a value only after "=".
+_TAG = re.compile(r"""(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+)>""")
+_PLAIN_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_ATTRIBUTE = re.compile(r"""([^\s=/>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
 _TELLING = re.compile("class|id|role|hidden", re.I)
 RAW = frozenset("script style textarea title noscript iframe".split())
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 
 
 class Builder:
-    """Builds the tree; ``open`` counts the open elements by tag."""
+    """Builds the tree; ``open`` has the depths of the open elements by tag."""
 
     def __init__(self) -> None:
-        self.root = self.now = Node("html", None)
-        self.open: dict[str, int] = {}
+        self.root = Node("html", None)
+        self.stack = [self.root]
+        self.open: dict[str, list[int]] = {}
 
     def feed(self, html: str) -> None:
-        at, find = 0, _MARKUP.search
-        while m := find(html, at):
-            if m.start() > at:
-                self.now.parts.append(unescape(html[at : m.start()]))
-            at, tag = m.end(), m[2]
-            if not tag:
+        at, end, tag_at = 0, len(html), _TAG
+        while at < end:
+            start = html.find("<", at)
+            if start < 0 or start + 1 == end:
+                start = end
+            head = html[start + 1 : start + 3]
+            if start < end and not (head[0].isascii() and head[0].isalpha() or head[0] in "/!?"):
+                self._text(html[at : start + 1])  # a sign, no tag
+                at = start + 1
+                continue
+            self._text(html[at:start])
+            if start == end:
+                return
+            if head[0] in "!?" or head[0] == "/" and not (head[1:].isascii() and head[1:].isalpha()):
+                if html.startswith("<!--", start):
+                    close = start + 1 if html.startswith(("<!-->", "<!--->"), start) else html.find("-->", start + 4)
+                    at = end if close < 0 else html.find(">", close) + 1
+                else:
+                    close = html.find(">", start)
+                    at = end if close < 0 else close + 1
                 continue
-            tag = tag.lower()
+            m = tag_at.match(html, start + 1)
+            if m is None and tag_at is _TAG:  # the rest is one tag that does not end: from here on quotes count no more
+                tag_at = _PLAIN_TAG
+                m = tag_at.match(html, start + 1)
+            if m is None:
+                return
+            at, tag = m.end(), m[2].lower()
             if m[1]:
                 self._end(tag)
             else:
                 self._start(tag, m[3])
                 if tag in RAW:  # the content is no markup
-                    close = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(html, at)
-                    at = close.start() if close else len(html)
-        if at < len(html):
-            self.now.parts.append(unescape(html[at:]))
+                    close = _RAW_END[tag].search(html, at)
+                    at = close.start() if close else end
+
+    def _text(self, text: str) -> None:
+        if text:
+            self.stack[-1].parts.append(unescape(text) if "&" in text else text)
 
     def _start(self, tag: str, attributes: str) -> None:
         if tag in ("html", "body"):
             if tag == "html" or self.open.get("body"):
                 return
-            while self.now.parent is not None:
-                self._pop()
-        if tag in CLOSES_P and self.open.get("p"):
-            self._close({"p"}, {"table", "td", "th", "button", "object"})
+            self._pop_to(1)
+        if tag in CLOSES_P:
+            self._close({"p"}, ("table", "td", "th", "button", "object"))
         if tag in CLOSES:
-            self._close(CLOSES[tag], SCOPE.get(tag, {"table"}))
+            self._close(CLOSES[tag], SCOPE.get(tag, ("table",)))
         if tag in VOID:
             if tag in ("br", "hr"):
-                self.now.parts.append(Node(tag, self.now))
+                self.stack[-1].parts.append(Node(tag, self.stack[-1]))
             return
-        node = Node(tag, self.now, self._furniture(tag, attributes))
-        self.now.parts.append(node)
-        self.now = node
-        self.open[tag] = self.open.get(tag, 0) + 1
+        node = Node(tag, self.stack[-1], *self._furniture(tag, attributes))
+        node.parent.parts.append(node)
+        self.open.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(node)
 
     def _end(self, tag: str) -> None:
         if tag == "br":
-            self.now.parts.append(Node("br", self.now))
+            self.stack[-1].parts.append(Node("br", self.stack[-1]))
         elif tag not in ("html", "body") and self.open.get(tag):
-            while self.now.tag != tag:
-                self._pop()
-            self._pop()
-
-    def _pop(self) -> None:
-        self.open[self.now.tag] -= 1
-        self.now = self.now.parent
-
-    def _close(self, tags: set[str], scope: set[str]) -> None:
-        last, node = None, self.now
-        while node is not None and node.tag not in scope:
-            if node.tag in tags:
-                last = node
-            node = node.parent
-        if last is not None and last.parent is not None:
-            while self.now is not last:
-                self._pop()
-            self._pop()
-
-    def _furniture(self, tag: str, attributes: str) -> bool:
+            self._pop_to(self.open[tag][-1])
+
+    def _pop_to(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            self.open[self.stack.pop().tag].pop()
+
+    def _close(self, tags: set[str], scope) -> None:
+        """Ends the innermost open element of ``tags`` within the scope, and those of ``tags`` right around it."""
+        depth = max((self.open[t][-1] for t in tags if self.open.get(t)), default=0)
+        if depth > max((self.open[t][-1] for t in scope if self.open.get(t)), default=0):
+            while self.stack[depth - 1].tag in tags:
+                depth -= 1
+            self._pop_to(depth)
+
+    def _furniture(self, tag: str, attributes: str) -> tuple[bool, bool]:
+        """Whether the element is furniture, and whether it may be."""
         if tag in FURNITURE_TAGS or tag == "header" and not (self.open.get("article") or self.open.get("main")):
-            return True
+            return True, False
         if not attributes or not _TELLING.search(attributes):
-            return False
+            return False, False
         given = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
         if given.get("role", "").lower() in FURNITURE_ROLES or "hidden" in given or given.get("aria-hidden") == "true":
-            return True
+            return True, False
         if tag in ("body", "main"):
-            return False
-        names = _CAMEL.sub(" ", f"{given.get('class', '')} {given.get('id', '')}").lower()
-        return not FURNITURE_WORDS.isdisjoint(_WORD.findall(names))
+            return False, False
+        maybe = False
+        for name in [*given.get("class", "").split(), given.get("id", "")]:
+            words = set(_WORD.findall(_CAMEL.sub(" ", name).lower())) - PLAIN_WORDS
+            if words and words <= FURNITURE_WORDS | MAYBE_WORDS:
+                if words & FURNITURE_WORDS:
+                    return True, False
+                maybe = True
+        return False, maybe
 
 
 def parse(html: str) -> Node:
     builder = Builder()
-    builder.feed(_TAIL.sub("", html))
+    builder.feed(html)
     return builder.root
 
 
@@ -173,6 +211,7 @@ def _measure(nodes: list[Node]) -> None:
                 node.own += len("".join(x.split()))
             elif not x.furniture:
                 node.chars += x.chars
+                node.heading |= x.heading or x.tag in HEADINGS and x.chars > 0
                 node.tags += x.tags + 1
                 node.link_chars += x.chars if x.tag == "a" else x.link_chars
                 node.link_tags += 1 if x.tag == "a" else x.link_tags
@@ -192,28 +231,53 @@ def _measure(nodes: list[Node]) -> None:
             node.total += node.own
 
 
-def core(root: Node) -> Node | None:
+def densest(root: Node) -> Node | None:
+    """The node of the largest density sum; all nodes are measured."""
     nodes = _ordered(root)
     _measure(nodes)
-    best = max((n for n in nodes if n.chars), key=lambda n: n.total, default=None)
-    if best is None:
-        return None
-    path, node = [], best
+    return max((n for n in nodes if n.chars), key=lambda n: n.total, default=None)
+
+
+def _path(node: Node) -> list[Node]:
+    out = []
     while node is not None:
-        path.append(node)
+        out.append(node)
         node = node.parent
-    for node in reversed(path):
-        if node.tag in ("article", "main"):
-            return node
-    threshold = min(n.density for n in path if n.tag != "html" or n.parent is None)
+    return out
+
+
+def widened(best: Node) -> Node:
+    path = _path(best)
+    for tag in ("article", "main"):
+        around = [n for n in path if n.tag == tag]
+        if around:
+            return around[-1]
+    threshold = min(n.density for n in path)
     for above in path[1:]:
         others = [x for x in above.parts if isinstance(x, Node) and not x.furniture and x.chars and x is not best]
-        if any(x.density < threshold for x in others):
+        if any(x.density < threshold and x.tag not in HEADINGS or x.maybe for x in others):
             break
         best = above
     return best
 
 
+def _settle(node: Node) -> None:
+    """Elements that may be furniture become it where measures agree."""
+    for x in _ordered(node):
+        if x.maybe and x is not node and x.chars:
+            links = x.link_chars if x.tag != "a" else x.chars
+            x.furniture = links >= LINK_SHARE * x.chars or x.density < node.density and not x.heading
+
+
+def core(root: Node) -> Node | None:
+    best = densest(root)
+    if best is None:
+        return None
+    best = widened(best)
+    _settle(best)
+    return best
+
+
 def text_of(node: Node) -> str:
     """Blocks in page order; white space inside a block is one space."""
     blocks: list[str] = []

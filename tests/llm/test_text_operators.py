@@ -1,8 +1,10 @@
 """Tokens, decontamination, extraction, lines and URLs against the library, brute force or hand-made cases."""
 
 import hashlib
+import math
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,6 +107,16 @@ PAGES = {
     "<ARTICLE><UL><LI>one<LI>two</UL><TABLE><TR><TD>1<TD>2</TABLE></ARTICLE>": "one\ntwo\n1\n2",
     "<nav>only a menu</nav>": "",
     "</p></div><p>stray</b>": "stray",
+    "<article><section id='related-work'><p>a section of work</p></section><p>x</p></article>": "a section of work\nx",
+    "<article><div class='entry-header'><h1>T</h1></div><p>long text of it all</p></article>": "T\nlong text of it all",
+    "<article><p>body</p><div class='share-price'>The price is 4</div><div class='legal notice'><p>Long legal text of the body which goes on and on.</p></div></article>": "body\nThe price is 4\nLong legal text of the body which goes on and on.",
+    "<article><p>Some text of the body, long enough.</p><p>And some more text of the body.</p><div class='notice'>New!</div><div class=social-share><a href=1>tw</a></div></article>": "Some text of the body, long enough.\nAnd some more text of the body.",
+    "<article><p>text text text</p><section class='comments-area'><article class=comment><p>a comment as long as you please, with many words in it</p></article></section></article>": "text text text",
+    "<p title=don't>hello": "hello",
+    '<p title="don>hello</p> <p>x': "hello\nx",
+    "<p>a < b <3 </ c> <!x> <?y?> <!--> z": "a < b <3 z",
+    "<main><h1>T</h1><div class=body><p>para one is long enough to count</p><p>para two is long enough to count</p></div></main>": "T\npara one is long enough to count\npara two is long enough to count",
+    "<div><h1>T</h1><div><p>para one is long enough to count</p><p>para two is long enough to count</p></div></div><div>tail</div>": "T\npara one is long enough to count\npara two is long enough to count",
 }
 
 
@@ -115,6 +127,53 @@ def test_extraction(spark):
     assert len(extract.main_text("<div>" * 30000 + "deep" + "</div>" * 30000)) == 4
 
 
+def test_extraction_reads_hostile_pages_once():
+    pages = ['<a "' * 250_000, '<a x=">" ' * 100_000, "<a x='" * 150_000, "<span>" * 60_000 + "<li>x" * 60_000, "<p><table>" + "<span>" * 60_000 + "<div></div>" * 60_000, "<!--" * 200_000, "<div class=notice>x" * 50_000]
+    for page in pages:
+        began = time.process_time()
+        extract.main_text(page)
+        assert time.process_time() - began < 10, page[:20]
+
+
+def test_densest_node_equals_plain_recursion():
+    rnd = random.Random(12)
+
+    def tree(depth):
+        if depth == 0 or rnd.random() < 0.2:
+            return "w" * rnd.randint(1, 60)
+        return "".join(f"<{t}>{tree(depth - 1)}</{t}>" for t in rnd.choices(["div", "section", "a", "b", "ul"], k=rnd.randint(1, 4)))
+
+    def plain(node):
+        """chars, tags, link chars, link tags of what is inside, by definition."""
+        kids = [x for x in node.parts if not isinstance(x, str)]
+        got = [plain(x) for x in kids]
+        chars = sum(len(x) for x in node.parts if isinstance(x, str)) + sum(g[0] for g in got)
+        tags = len(kids) + sum(g[1] for g in got)
+        return chars, tags, sum(g[0] if x.tag == "a" else g[2] for x, g in zip(kids, got)), sum(1 if x.tag == "a" else g[3] for x, g in zip(kids, got))
+
+    def density(node, share):
+        chars, tags, links, link_tags = plain(node)
+        links = chars if node.tag == "a" else links
+        if not chars:
+            return 0.0
+        base = math.log(chars / max(1, chars - links) * links + share * chars + math.e)
+        return chars / max(1, tags) * max(0.0, math.log(max(1.0, chars / max(1, links) * max(1, tags) / max(1, link_tags)))) / math.log(max(base, math.e / 2 + 0.2))
+
+    for _ in range(60):
+        root = extract.parse(tree(5))
+        best = extract.densest(root)
+        whole = plain(root)
+        share = whole[2] / max(1, whole[0])
+        sums = {}
+        for node in extract._ordered(root):
+            chars, _, links, _ = plain(node)
+            assert abs(node.density - density(node, share)) < 1e-9
+            if chars:
+                own = sum(len(x) for x in node.parts if isinstance(x, str)) if chars > links else 0
+                sums[id(node)] = own + sum(density(x, share) for x in node.parts if not isinstance(x, str))
+        assert (best is None) == (not sums) and (best is None or sums[id(best)] >= max(sums.values()) - 1e-9)
+
+
 @pytest.mark.parametrize("most", [500_000, -1])
 def test_boilerplate_lines(spark, monkeypatch, most):
     monkeypatch.setattr(lines, "BROADCAST_KEYS", most)
