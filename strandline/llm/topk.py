@@ -1,17 +1,20 @@
 """Exact top-k inner-product search with vector-approximation files.
 
-Vectors are dealt into blocks. A block keeps its vectors twice: as cell numbers of ``bits`` bits a dimension (equi-width
-between the block's own minimum and maximum of the dimension) and exactly. For a block of queries, the cells give
-an upper and a lower bound of every score. The kth best lower bound of the block prunes; what is left is read exactly in
-order of upper bound, in slices, until the kth exact score is above every bound that is left (or equal: ties go to the
-smaller vec_id, so equal bounds are still read). Each (query block, vector block) pair is one task's work and hands on k rows
-a query; the last step ranks at most k rows for each query and vector block.
+Every vector is approximated by one byte a dimension, the number of its cell between the smallest and largest value of that dimension. Only
+these cells are dealt into blocks and meet blocks of queries; the exact vectors stay where they are:
 
-Blocks are equi-joined: query blocks are copied to each vector block by number, which is the stated work, queries times rows in blocks.
+1. Scan. The cells give a lower and an upper bound of every score. A block hands on, for each query, the rows whose upper bound reaches the
+   block's kth lower bound.
+2. Bound. The kth of all lower bounds of a query, over all blocks, prunes again.
+3. Read. Exact vectors are fetched by row number in order of upper bound: first the best few of each query, whose kth exact score is a
+   bound that is certain, then only those rows whose upper bound still reaches it.
+
+Blocks are equi-joined: cells are copied to each block of queries by number, which is the stated work, queries times rows in blocks.
 
 Defined results: null vectors, null or non-finite components, null ids and vectors of another length than the most common
-one take no part; a query is never its own candidate (all rows of its vec_id are left out); repeated vec_ids are
-candidates of their own with tied ranks in any order; fewer than k candidates give fewer rows; an empty table gives none.
+one take no part; every row is a query or a candidate of its own, so rows that repeat a vec_id have ranks of their own and find each other; ties go to
+the smaller vec_id; fewer than k candidates give fewer rows; an empty table gives none; components so large that a score may not fit
+64 bits are an error.
 """
 
 from __future__ import annotations
@@ -24,114 +27,127 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 K = 5
 SCALE = 256
 EVERY = 50
-BITS = 6
-BLOCK_ROWS = 8192
-QUERY_ROWS = 1024
-SLICE = 32
+CELLS = 256
+BLOCK_ROWS = 16384
+QUERY_ROWS = 16384
+SLICE = 256
+#: Exact vectors that are read first for each query.
+FIRST = 8
+
+FOUND_SQL = "query bigint, row bigint, lower double, upper double"
+FOUND = pa.schema([("query", pa.int64()), ("row", pa.int64()), ("lower", pa.float64()), ("upper", pa.float64())])
+RESULT_SQL = "query_id bigint, rank int, vec_id bigint, score bigint"
+
+
+def _matrix(column: pa.Array, rows: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
 
-SCHEMA = "query_id bigint, vec_id bigint, score bigint"
 
+def _extremes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    low, high = None, None
+    for batch in batches:
+        if batch.num_rows:
+            x = _matrix(batch.column("vector"), batch.num_rows)
+            low, high = (x.min(0), x.max(0)) if low is None else (np.minimum(low, x.min(0)), np.maximum(high, x.max(0)))
+    n = 0 if low is None else len(low)
+    yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array(low if n else [], pa.int64()), pa.array(high if n else [], pa.int64())], names=["dim", "low", "high"])
 
-def cells(exact: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cell numbers, and the cells' edges: cell c of dimension d holds values from edge[c, d] to edge[c + 1, d]."""
-    n = 1 << bits
-    low, high = exact.min(0), exact.max(0)
-    step = np.maximum(1, -(-(high - low + 1) // n))
-    return ((exact - low) // step).astype(np.uint8), low, step
 
+def cells_of(exact: np.ndarray, low: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Cell numbers: cell c of a dimension holds the integers from low + c * step up to, but not including, the next cell's."""
+    return ((exact - low) // step).astype(np.uint8)
 
-def bounds(queries: np.ndarray, cell: np.ndarray, low: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bound of each query's score with each vector, from cells alone. The values are integers below 2**53."""
-    floor = (low + cell * step).astype(np.float64)
-    middle = queries.astype(np.float64) @ floor.T
-    width = (step - 1).astype(np.float64)
-    return middle + (np.minimum(queries, 0) @ width)[:, None], middle + (np.maximum(queries, 0) @ width)[:, None]
 
+def bounds(queries: np.ndarray, cell: np.ndarray, low: np.ndarray, step: np.ndarray, slack: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bound of each query's score with each vector, from cells alone; ``slack`` covers rounding."""
+    floor = low + cell.astype(np.float64) * step
+    middle = queries @ floor.T
+    width = step - 1
+    return middle + ((np.minimum(queries, 0) @ width) - slack)[:, None], middle + ((np.maximum(queries, 0) @ width) + slack)[:, None]
 
-def search_block(qids: np.ndarray, queries: np.ndarray, ids: np.ndarray, exact: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """Best k of the block for each query."""
-    cell, low, step = cells(exact)
-    lower, upper = bounds(queries, cell, low, step)
-    own = qids[:, None] == ids[None, :]
+
+def scan_block(qrows: np.ndarray, queries: np.ndarray, rows: np.ndarray, cell: np.ndarray, low: np.ndarray, step: np.ndarray, k: int, slack: float = 0.0) -> list[np.ndarray]:
+    """Query, row, lower and upper bound of what may be among the best k of the block."""
+    lower, upper = bounds(queries, cell, low, step, slack)
+    own = qrows[:, None] == rows[None, :]
     lower[own] = upper[own] = -np.inf
-    out = []
-    for q in range(len(qids)):
-        enough = np.partition(lower[q], -k)[-k] if lower.shape[1] >= k else -np.inf
-        left = np.flatnonzero((upper[q] >= enough) & (upper[q] > -np.inf))
-        left = left[np.argsort(-upper[q][left], kind="stable")]
-        best: list[tuple[int, int]] = []
-        for at in range(0, len(left), SLICE):
-            if len(best) >= k and upper[q][left[at]] < -best[-1][0]:
-                break
-            rows = left[at : at + SLICE]
-            best = sorted([*best, *zip((-(exact[rows] @ queries[q])).tolist(), ids[rows].tolist())])[:k]
-        out += [(int(qids[q]), i, -s) for s, i in best]
-    return out
-
-
-def _search(k: int):
-    def run(vectors: Iterator[pa.RecordBatch], queries: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, asked = _pair(vectors), list(queries)
-        if block is None:
-            return
-        for batch in asked:
-            for at in range(0, batch.num_rows, QUERY_ROWS):
-                qids, exact = _matrix(batch.slice(at, QUERY_ROWS))
-                found = search_block(qids, exact, *block, k)
-                columns = [pa.array([x[i] for x in found], pa.int64()) for i in range(3)]
-                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
+    enough = np.partition(lower, -k, 1)[:, -k] if len(rows) >= k else np.full(len(qrows), -np.inf)
+    q, r = np.nonzero((upper >= enough[:, None]) & ~own)
+    return [qrows[q], rows[r], lower[q, r], upper[q, r]]
+
+
+def _to_cells(low: np.ndarray, step: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell = cells_of(_matrix(batch.column("vector"), batch.num_rows), low, step)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([c.tobytes() for c in cell], pa.binary())], names=["row", "cells"])
 
     return run
 
 
-def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    values = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    return batch.column("vec_id").to_numpy(zero_copy_only=False), values.reshape(batch.num_rows, -1)
+def _scan(low: np.ndarray, step: np.ndarray, k: int, slack: float):
+    def run(cells: pa.Table, asked: pa.Table) -> pa.Table:
+        out = []
+        if cells.num_rows and asked.num_rows:
+            rows = cells["row"].to_numpy()
+            cell = np.frombuffer(b"".join(cells["cells"].to_pylist()), np.uint8).reshape(len(rows), -1)
+            qrows, exact = asked["row"].to_numpy(), _matrix(asked["vector"].combine_chunks(), asked.num_rows).astype(np.float64)
+            out = [scan_block(qrows[at : at + SLICE], exact[at : at + SLICE], rows, cell, low, step, k, slack) for at in range(0, len(qrows), SLICE)]
+        return pa.Table.from_arrays([pa.array(np.concatenate([o[i] for o in out]) if out else [], f.type) for i, f in enumerate(FOUND)], schema=FOUND)
+
+    return run
 
 
-def _pair(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray] | None:
-    parts = [_matrix(b) for b in batches if b.num_rows]
-    return (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])) if parts else None
+def _scores(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """query, row, vec_id, score: exact vectors fetched by row number."""
+    candidates = pairs.select("query", "row").join(rows.select("row", "vec_id", F.col("vector").alias("x")), "row")
+    both = candidates.join(rows.select(F.col("row").alias("query"), F.col("vector").alias("y")), "query")
+    score = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0).cast("bigint"), lambda s, v: s + v)
+    return both.select("query", "row", "vec_id", score.alias("score"))
 
 
-def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS, first: int = FIRST) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by ``every`` the ``k`` best other rows."""
     spark = vectors.sparkSession
     whole = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(x * scale))
     fine = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), whole.cast("array<long>").alias("vector"))
-    sizes = rows.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
+    given = vectors.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    largest = F.max(F.array_max(F.transform(F.col("embedding").cast("array<double>"), F.abs)))
+    sizes = given.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("count"), largest.alias("largest")).orderBy(F.desc("count"), "dim").limit(1).collect()
     if not sizes or sizes[0]["dim"] == 0:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+        return spark.createDataFrame([], RESULT_SQL)
     dim, count = sizes[0]["dim"], sizes[0]["count"]
-    blocks = max(1, -(-count // block_rows))
-    rows = rows.where(F.size("vector") == dim)
-    asked = rows.where(F.col("vec_id") % every == 0)
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", F.col("vector")[0]), F.lit(blocks)).cast("int"))
-    # query blocks of a bounded number of rows, each sent to every vector block
-    qblocks = max(1, -(-count // (every * QUERY_ROWS)))
-    asked = asked.withColumn("part", F.pmod(F.hash("vec_id"), F.lit(qblocks)).cast("int"))
+    most = float(sizes[0]["largest"]) * scale + 1
+    if dim * most * most >= 2.0**62:
+        raise ValueError("components are too large for scores of 64 bits")
+    slack = dim * dim * most * most * 2.0**-51
+    # row numbers have to stay the same in every pass
+    rows = cut(given.where(F.size("embedding") == dim).select(F.monotonically_increasing_id().alias("row"), "vec_id", whole.cast("array<long>").alias("vector")))
+    edges = rows.mapInArrow(_extremes, "dim int, low bigint, high bigint").groupBy("dim").agg(F.min("low").alias("low"), F.max("high").alias("high")).orderBy("dim").collect()  # dim rows
+    low, high = (np.array([r[c] for r in edges], np.int64) for c in ("low", "high"))
+    step = np.maximum(1, -(-(high - low + 1) // CELLS))
+    blocks, parts = max(1, -(-count // block_rows)), max(1, -(-count // (every * query_rows)))
+    cells = rows.mapInArrow(_to_cells(low, step), "row bigint, cells binary").withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
+    cells = cells.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    asked = rows.where(F.col("vec_id") % every == 0).select("row", "vector", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int").alias("part"))
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1)))) if qblocks > 1 else dealt.withColumn("part", F.lit(0))
-    found = dealt.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInArrow(_grouped(k), SCHEMA)
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _grouped(k: int):
-    run = _search(k)
-
-    def one(left: pa.Table, right: pa.Table) -> pa.Table:
-        done = list(run(left.combine_chunks().to_batches(), right.combine_chunks().to_batches()))
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-        return pa.Table.from_batches(done, schema=schema)
-
-    return one
+    scan = _scan(low.astype(np.float64), step.astype(np.float64), k, slack)
+    found = cut(cells.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInArrow(scan, FOUND_SQL))
+    order = W.partitionBy("query")
+    bound = found.withColumn("n", F.row_number().over(order.orderBy(F.desc("lower")))).where(F.col("n") == k).select("query", F.col("lower").alias("bound"))
+    left = found.join(bound, "query", "left").where(F.col("bound").isNull() | (F.col("upper") >= F.col("bound")))
+    left = cut(left.withColumn("n", F.row_number().over(order.orderBy(F.desc("upper"), "row"))).select("query", "row", "upper", "n"))
+    read = cut(_scores(left.where(F.col("n") <= max(first, k)), rows))
+    certain = read.withColumn("n", F.row_number().over(order.orderBy(F.desc("score")))).where(F.col("n") == k).select("query", F.col("score").alias("kth"))
+    more = left.where(F.col("n") > max(first, k)).join(certain, "query").where(F.col("upper") >= F.col("kth"))
+    best = read.unionByName(_scores(more, rows)).withColumn("rank", F.row_number().over(order.orderBy(F.desc("score"), "vec_id", "row"))).where(F.col("rank") <= k)
+    ids = rows.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"))
+    return best.join(ids, "query").select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -139,12 +155,12 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 ORACLE = f"""
-with fine as (
-  select vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::double)::bigint) as v from embeddings
+with fine as materialized (
+  select row_number() over () as rid, vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::double)::bigint) as v from embeddings
   where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 scores as (
-  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::bigint as score
-  from fine q join fine c on q.vec_id <> c.vec_id where q.vec_id % {EVERY} = 0),
-ranked as (select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score from scores)
+  select q.rid as qid, q.vec_id as query_id, c.rid, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::bigint as score
+  from fine q join fine c on q.rid <> c.rid where q.vec_id % {EVERY} = 0),
+ranked as (select query_id, (row_number() over (partition by qid order by score desc, vec_id, rid))::int as rank, vec_id, score from scores)
 select query_id, rank, vec_id, score from ranked where rank <= {K}
 """

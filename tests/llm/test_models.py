@@ -12,33 +12,39 @@ from strandline.llm import exchange, pseudo, topk, toxicity
 VECTORS = "vec_id bigint, embedding array<float>, label int, score int, rank string"
 
 
-@pytest.mark.parametrize("block_rows", [7, 1000])
-def test_top_k_equals_brute_force(spark, block_rows):
+@pytest.mark.parametrize(("block_rows", "first"), [(7, 1), (40, 100), (1000, 8)])
+def test_top_k_equals_brute_force(spark, block_rows, first):
     rng = np.random.default_rng(3)
-    rows = [(i, (rng.integers(-3, 4, 6) / 4).tolist()) for i in range(160)]
-    rows += [(3, rows[50][1]), (50, rows[50][1]), (200, None), (201, [None] * 6), (202, [float("nan")] * 6), (203, [float("inf")] * 6), (204, [1.0]), (None, [1.0] * 6), (250, [])]
+    rows = [(i, (rng.integers(-300, 400, 6) / 256).tolist()) for i in range(160)] + [(i, (rng.integers(-1, 2, 6) / 4).tolist()) for i in range(300, 340)]
+    rows += [(3, rows[50][1]), (50, rows[50][1]), (50, rows[70][1]), (200, None), (201, [None] * 6), (202, [float("nan")] * 6), (203, [float("inf")] * 6), (204, [1.0]), (None, [1.0] * 6), (250, [])]
     df = spark.createDataFrame([(i, v, 1, 1, "clash") for i, v in rows], VECTORS)
-    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, block_rows=block_rows).collect()]
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, block_rows=block_rows, query_rows=2 if block_rows < 100 else 100, first=first).collect())
     fine = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in rows if i is not None and v is not None and len(v) == 6 and None not in v and np.isfinite(v).all()]
-    best = {}
-    for q in {i for i, _ in fine if i % 50 == 0}:
-        for v in (v for i, v in fine if i == q):
-            best.setdefault(q, []).extend((-int(v @ w), i) for i, w in fine if i != q)
-    for q, scores in best.items():
-        own = sorted((r, v, s) for query, r, v, s in got if query == q)
-        assert [-s for _, _, s in own] == [s for s, _ in sorted(scores)[:5]]
-        if q != 50:  # 50 is there twice, so its ties may come from either row
-            assert [v for _, v, _ in own] == [i for _, i in sorted(scores)[:5]]
+    want = []
+    for n, (q, v) in enumerate(fine):
+        if q % 50 == 0:
+            best = sorted((-int(v @ w), i) for m, (i, w) in enumerate(fine) if m != n)[:5]
+            want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    assert got == sorted(want)
+
+
+def test_top_k_of_odd_tables(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0])], "vec_id bigint, embedding array<double>")
     assert topk.top_k(df.limit(0)).count() == 0
-    assert topk.top_k(df.where("vec_id in (0, 1)")).count() == 1
+    assert [tuple(r) for r in topk.top_k(df).collect()] == [(0, 1, 1, 4 * 256 * 256)]
+    assert topk.top_k(df.limit(1)).count() == 0
+    with pytest.raises(ValueError):
+        topk.top_k(spark.createDataFrame([(0, [1e30])], "vec_id bigint, embedding array<double>"))
 
 
 def test_cell_bounds_hold():
     rng = np.random.default_rng(5)
     x, q = rng.integers(-900, 900, (300, 20)), rng.integers(-900, 900, (7, 20))
-    low, high = topk.bounds(q, *topk.cells(x))
+    low = x.min(0)
+    step = np.maximum(1, -(-(x.max(0) - low + 1) // topk.CELLS))
+    lower, upper = topk.bounds(q.astype(float), topk.cells_of(x, low, step), low.astype(float), step.astype(float))
     exact = q @ x.T
-    assert (low <= exact).all() and (exact <= high).all()
+    assert (lower <= exact).all() and (exact <= upper).all() and (upper - lower).max() < 2 * 20 * 900 * step.max()
 
 
 def toxic_case(n):
