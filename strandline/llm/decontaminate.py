@@ -2,8 +2,12 @@
 
 Text and items are lower-cased (A-Z) and cut into words of digits, letters and non-ASCII characters. A window is ``n``
 consecutive words of an item (all its words if it has fewer, none if it has none). The automaton's patterns are the
-windows with single spaces around each word; a document is normalised the same way and scanned once. Only documents
-with hits pay for mapping match ends to word numbers and on to character offsets in the original text.
+windows, each word a code of three characters of which only the first is above 127, so that matches start at words; a document is coded the same way
+(words of no item are one code that no pattern has) and scanned once, marking hits as they are found. Only documents
+with hits pay for mapping word numbers to character offsets in the original text.
+
+Texts of items are broadcast and every Python worker builds the automaton, some 220 bytes of memory a byte of item text. Beyond
+``AUTOMATON_BYTES`` of text the benchmark is cut into blocks of items, one automaton and one pass each, so memory has a bound.
 
 Defined results: null or empty text has no words and no hits; repeated documents are judged row by row; items with a
 null id or null text are no items; items of the same id count once; an empty benchmark leaves every document clean;
@@ -24,8 +28,9 @@ from pyspark.sql import functions as F
 from .common import as_bytes, slices, cut, table, word_table
 
 WINDOW_WORDS = 10
-AUTOMATON_BYTES = 32 << 20
+AUTOMATON_BYTES = 2 << 20
 _WORDS = word_table()
+NO_WORD = "\0\0\0"
 _BUILT: dict = {}
 
 SCHEMA = "doc_id bigint, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>"
@@ -39,59 +44,76 @@ def normalise(text: bytes) -> bytes:
     return b" ".join(text.translate(_WORDS).split())
 
 
-def windows_of(items: list[tuple[str, bytes]], n: int) -> dict[str, list[str]]:
-    """Pattern -> ids of the items that hold it."""
-    out: dict[str, set[str]] = {}
-    for item, text in items:
-        words = normalise(text).split()
-        for i in range(max(1, len(words) - n + 1) if words else 0):
-            out.setdefault((b" " + b" ".join(words[i : i + n]) + b" ").decode("latin-1"), set()).add(item)
-    return {k: sorted(v) for k, v in out.items()}
-
-
-def _automaton(given: Broadcast) -> tuple:
-    patterns = given.value  # one object in a worker for as long as it lives
-    if _BUILT.get("of") is not patterns:
-        machine = ahocorasick.Automaton()
-        for pattern, items in patterns.items():
-            machine.add_word(pattern, (len(pattern), items))
-        if patterns:
-            machine.make_automaton()
-        _BUILT.update(of=patterns, machine=machine)
-    return _BUILT["machine"], bool(patterns)
-
-
-def scan(text: bytes, machine: ahocorasick.Automaton) -> tuple[int, int, set[str], list[dict]]:
+class Machine:
+    """Automaton over the windows of some items. ``any``: whether there are windows."""
+
+    def __init__(self, items: list[tuple[str, bytes]], n: int) -> None:
+        self.code: dict[bytes, str] = {}
+        found: dict[str, set[str]] = {}
+        for item, text in items:
+            words = [self._coded(w) for w in normalise(text).split()]
+            for i in range(max(1, len(words) - n + 1) if words else 0):
+                found.setdefault("".join(words[i : i + n]), set()).add(item)
+        self.any = bool(found)
+        self.machine = ahocorasick.Automaton()
+        for pattern, own in found.items():
+            self.machine.add_word(pattern, (len(pattern) // 3, sorted(own)))
+        if found:
+            self.machine.make_automaton()
+
+    def _coded(self, word: bytes) -> str:
+        if word not in self.code:
+            i = len(self.code)
+            if i >= 1 << 21:
+                raise ValueError("too many distinct words for one automaton: lower block_bytes")
+            self.code[word] = chr(128 + (i >> 14)) + chr(i >> 7 & 127) + chr(i & 127)
+        return self.code[word]
+
+    def hits(self, words: list[bytes]) -> tuple[np.ndarray, set[str]] | None:
+        """Which words are hit, and the items found; None if there are none."""
+        if not self.any:
+            return None
+        code, mark, found = self.code.get, None, set()
+        for end, (size, items) in self.machine.iter("".join([code(w, NO_WORD) for w in words])):
+            if mark is None:
+                mark = np.zeros(len(words) + 1, np.int64)
+            last = end // 3
+            mark[last - size + 1] += 1
+            mark[last + 1] -= 1
+            found.update(items)
+        return None if mark is None else (np.cumsum(mark[:-1]) > 0, found)
+
+
+def _automaton(given: Broadcast) -> Machine:
+    value = given.value  # one object in a worker for as long as it lives
+    if _BUILT.get("of") is not value:
+        _BUILT.update(of=value, machine=Machine(*value))
+    return _BUILT["machine"]
+
+
+def scan(text: bytes, machine: Machine) -> tuple[int, int, set[str], list[dict]]:
     """Number of words, of hit words, items found, and maximal hit spans as character offsets in the text."""
     flat = text.translate(_WORDS)
     words = flat.split()
-    found = list(machine.iter((b" " + b" ".join(words) + b" ").decode("latin-1"))) if words else []
-    if not found:
+    found = machine.hits(words) if words else None
+    if found is None:
         return len(words), 0, set(), []
+    hit, items = found
     raw = np.frombuffer(flat, np.uint8) != 0x20
     edge = np.diff(np.concatenate(([0], raw.view(np.int8), [0])))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    at = np.concatenate(([0], np.cumsum(lengths + 1)))  # place of the space before word i in the normalised text
-    last = np.fromiter((e for e, _ in found), np.int64, len(found))
-    first = last - np.fromiter((v[0] for _, v in found), np.int64, len(found)) + 1
-    mark = np.zeros(len(words) + 1, np.int64)
-    np.add.at(mark, np.searchsorted(at, first), 1)
-    np.add.at(mark, np.searchsorted(at, last), -1)
-    hit = np.cumsum(mark[:-1]) > 0
     run = np.diff(np.concatenate(([0], hit.view(np.int8), [0])))
-    spans = []
-    for a, b in zip(starts[np.flatnonzero(run == 1)], ends[np.flatnonzero(run == -1) - 1]):
-        begin = len(text[:a].decode("utf-8", "replace"))
-        spans.append({"start": begin, "end": begin + len(text[a:b].decode("utf-8", "replace"))})
-    return len(words), int(hit.sum()), {i for _, v in found for i in v[1]}, spans
+    # offsets in characters: bytes that do not continue a character
+    chars = np.concatenate(([0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)))
+    spans = [{"start": int(chars[a]), "end": int(chars[b])} for a, b in zip(starts[np.flatnonzero(run == 1)], ends[np.flatnonzero(run == -1) - 1])]
+    return len(words), int(hit.sum()), items, spans
 
 
 def _scan_batches(given: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine, any_pattern = _automaton(given)
+        machine = _automaton(given)
         for batch in slices(batches):
-            out = [scan(t, machine) if any_pattern else (len(t.translate(_WORDS).split()), 0, set(), []) for t in as_bytes(batch.column("text"))]
+            out = [scan(t, machine) for t in as_bytes(batch.column("text"))]
             columns = [batch.column("doc_id"), [x[0] for x in out], [x[1] for x in out], [sorted(x[2]) for x in out], [x[3] for x in out]]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if isinstance(c, list) else c for c, f in zip(columns, _ARROW)], schema=_ARROW)
 
@@ -101,25 +123,23 @@ def _scan_batches(given: Broadcast):
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS, block_bytes: int = AUTOMATON_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted ids of the items with windows in the text), spans (character offsets of the maximal hit runs).
 
-    A benchmark is small by nature, but its size is checked: beyond ``block_bytes`` of text it is cut into blocks of
-    items, each with an automaton of its own and a pass over the text, and the hits of all passes are merged.
+    A benchmark is small by nature, but its size is checked: beyond ``block_bytes`` of text the hits of several passes are merged.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = _items(benchmark)
     blocks = _blocks(items, block_bytes)
     if blocks == 1:
-        given = spark.sparkContext.broadcast(_windows(items, n, 0, 1))
+        given = spark.sparkContext.broadcast(_block(items, n, 0, 1))
         return docs.mapInArrow(_scan_batches(given), SCHEMA)
     return _in_blocks(docs, items, n, blocks)
 
 
 def _clean(given: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine, any_pattern = _automaton(given)
+        machine = _automaton(given)
         for batch in slices(batches):
-            if any_pattern:
-                batch = batch.filter(pa.array([scan(t, machine)[1] == 0 for t in as_bytes(batch.column("text"))], pa.bool_()))
+            batch = batch.filter(pa.array([machine.hits(t.translate(_WORDS).split()) is None for t in as_bytes(batch.column("text"))], pa.bool_()))
             yield batch
 
     return run
@@ -131,7 +151,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WOR
     items = _items(benchmark)
     blocks = _blocks(items, block_bytes)
     for b in range(blocks):
-        given = spark.sparkContext.broadcast(_windows(items, n, b, blocks))
+        given = spark.sparkContext.broadcast(_block(items, n, b, blocks))
         docs = docs.mapInArrow(_clean(given), docs.schema)
     return docs
 
@@ -144,9 +164,9 @@ def _blocks(items: DataFrame, block_bytes: int) -> int:
     return max(1, -(-items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // block_bytes))
 
 
-def _windows(items: DataFrame, n: int, b: int, blocks: int) -> dict[str, list[str]]:
+def _block(items: DataFrame, n: int, b: int, blocks: int) -> tuple[list[tuple[str, bytes]], int]:
     own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else items
-    return windows_of([(r.item_id, r.text.encode()) for r in own.collect()], n)
+    return [(r.item_id, r.text.encode()) for r in own.collect()], n  # about block_bytes
 
 
 def _in_blocks(docs: DataFrame, items: DataFrame, n: int, blocks: int) -> DataFrame:
@@ -154,7 +174,7 @@ def _in_blocks(docs: DataFrame, items: DataFrame, n: int, blocks: int) -> DataFr
     rows = cut(docs.withColumn("row", F.monotonically_increasing_id()))
     parts = None
     for b in range(blocks):
-        given = spark.sparkContext.broadcast(_windows(items, n, b, blocks))
+        given = spark.sparkContext.broadcast(_block(items, n, b, blocks))
         part = cut(rows.select(F.col("row").alias("doc_id"), "text").mapInArrow(_scan_batches(given), SCHEMA))
         parts = part if parts is None else parts.unionByName(part)
     merged = parts.groupBy(F.col("doc_id").alias("row")).agg(

@@ -12,8 +12,8 @@ comparison holds for all. A language takes the threshold of all rows if it has f
 ranks them; only one whose rows show that the model cannot tell its labels apart gets a threshold above its calibration scores.
 Nothing in this depends on how frequent toxic rows are. If all rows together show neither, the model's own probabilities stand.
 
-Learning uses at most ``TRAIN_ROWS`` labelled rows, chosen by the hash of their doc_id among the rows that are not held
-out (crc32(doc_id) mod 4 is 2). Scores use all rows and whole texts.
+Learning uses at most ``TRAIN_ROWS`` labelled rows of at most ``TRAIN_WORDS`` words together, in the order of the hash of their doc_id, among
+the rows that are not held out (crc32(doc_id) mod 4 is 2) and have at most ``LONGEST`` words. Scores use all rows and whole texts.
 
 Defined results: null and empty text get the score of a text without words; rows are scored one by one, so repeated rows
 agree; labels that are null or of unknown documents are not learnt from; without a label of each class every score is 0;
@@ -30,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices, table, word_table
+from .common import as_bytes, cut, slices, table, word_table
 
 THRESHOLD = 0.3
 TRAIN_ROWS = 20000
+TRAIN_WORDS = 16_000_000
+LONGEST = 100_000
 SLOTS = 1 << 17
 LEAST_DOCS = 3
 STEPS = 1500
@@ -246,13 +248,19 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, words: int = TRAIN_WORDS) -> Model | None:
     """The sample of at most ``rows`` labelled rows is hashed to word slots on the executors; only slots reach the driver."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # at most ``rows`` ids, so the broadcast is bounded
-    sample = texts.join(F.broadcast(known), "doc_id").mapInArrow(_to_slots, "doc_id bigint, toxic int, slots binary").toPandas()
+    sample = cut(texts.join(F.broadcast(known), "doc_id").mapInArrow(_to_slots, "doc_id bigint, toxic int, slots binary")).where(F.octet_length("slots") <= 4 * LONGEST)
+    # only as many rows reach the driver as TRAIN_WORDS allows
+    sizes = sorted(tuple(r) for r in sample.select(F.xxhash64("doc_id"), F.octet_length("slots") / 4).collect())
+    fit = sizes[int(np.searchsorted(np.cumsum([n for _, n in sizes]), words, "right")) - 1 :] if sizes else []
+    if fit:
+        sample = sample.where(F.xxhash64("doc_id") <= fit[0][0])
+    sample = sample.toPandas()
     sample = sample.sort_values(["doc_id", "slots"]).drop_duplicates("doc_id")
     y = sample["toxic"].to_numpy(np.float32)
     if not (0 < y.sum() < len(y)):

@@ -3,7 +3,8 @@
 Labelled page outcomes (a page is bad if its label says toxic or low quality) are counted per host. Each level of suffix, registered
 domain and host gets a beta-binomial posterior whose prior mean is its parent's posterior mean and whose strength is
 the method-of-moments estimate at that level. A host is blocked when the lower posterior bound of its bad rate
-exceeds ``max_bad``. Fixed rules (host, path prefix) take precedence; the longest rule that fits wins.
+exceeds ``max_bad``; the bound is the normal approximation of the beta posterior, clipped to 0 and 1. The suffix of a host is its last
+label, or its last two where a country's code follows one of the usual second levels (co.uk); its registered domain is one label more. Fixed rules (host, path prefix) take precedence; the longest rule that fits wins.
 
 Defined results: a null url or one without '://' has empty host and path, and gets the verdict of the empty host;
 pages without labels count for no rate; several labels of one page count once (bad if any is); a host without labelled
@@ -22,6 +23,12 @@ MAX_BAD = 0.5
 Z = 1.6448536269514722
 #: Bounds of the intra-class correlation, so that strengths stay between 1 and 999.
 RHO = (0.001, 0.5)
+#: Second levels under which countries register domains (fixed values); as a regular expression, a suffix of two labels.
+SECOND_LEVELS = "ac co com edu gob gouv gov govt gub ltd me mil ne net nom or org plc sch"
+_TWO = rf"(?:{SECOND_LEVELS.replace(' ', '|')})\.[a-z][a-z]"
+SUFFIX = rf"(?:^|\.)({_TWO})$"
+DOMAIN_OF_TWO = rf"([^.]+\.{_TWO})$"
+DOMAIN_OF_ONE = r"([^.]+\.[^.]+)$"
 
 
 def host_of(url: Column) -> Column:
@@ -66,8 +73,9 @@ def host_reputation(pages: DataFrame, labels: DataFrame) -> DataFrame:
     outcomes = labels.where("doc_id is not null and (toxic is not null or quality is not null)").groupBy(F.col("doc_id").cast("long").alias("_page")).agg(F.max(bad.cast("long")).alias("_bad"))
     seen = pages.select(F.col("page_id").cast("long").alias("_page"), host_of(F.col("url")).alias("host")).join(outcomes, "_page", "left")
     hosts = seen.groupBy("host").agg(F.count("_bad").alias("n"), F.coalesce(F.sum("_bad"), F.lit(0)).alias("k"))
-    name = F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)
-    hosts = hosts.withColumn("domain", F.when(name == "", F.col("host")).otherwise(name)).withColumn("suffix", F.regexp_extract("domain", r"([^.]*)$", 1))
+    two = F.regexp_extract("host", SUFFIX, 1)
+    name = F.when(two != "", F.regexp_extract("host", DOMAIN_OF_TWO, 1)).otherwise(F.regexp_extract("host", DOMAIN_OF_ONE, 1))
+    hosts = hosts.withColumn("domain", F.when(name == "", F.col("host")).otherwise(name)).withColumn("suffix", F.when(two != "", two).otherwise(F.regexp_extract("host", r"([^.]*)$", 1)))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     overall = suffixes.agg(F.coalesce(F.sum("k") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("mean"))
@@ -75,7 +83,7 @@ def host_reputation(pages: DataFrame, labels: DataFrame) -> DataFrame:
     by_domain = _level(domains, "domain", "suffix", by_suffix, overall)
     by_host = _level(hosts, "host", "domain", by_domain, overall)
     total = F.col("a") + F.col("b")
-    return by_host.withColumn("low", F.col("mean") - Z * F.sqrt(F.col("a") * F.col("b") / (total * total * (total + 1))))
+    return by_host.withColumn("low", F.greatest(F.lit(0.0), F.col("mean") - Z * F.sqrt(F.col("a") * F.col("b") / (total * total * (total + 1)))))
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, max_bad: float = MAX_BAD) -> DataFrame:
@@ -112,13 +120,14 @@ with parts as (
 outcomes as (select doc_id, max(case when coalesce(toxic, 0) = 1 or coalesce(quality, 1) = 0 then 1 else 0 end) as bad
   from labels where doc_id is not null and (toxic is not null or quality is not null) group by doc_id),
 c_host0 as (select host, count(bad) as n, coalesce(sum(bad), 0) as k from parts left join outcomes on page_id = doc_id group by host),
-c_host1 as (select *, case when regexp_extract(host, '([^.]+\\.[^.]+)$', 1) = '' then host else regexp_extract(host, '([^.]+\\.[^.]+)$', 1) end as domain from c_host0),
-c_host as (select *, regexp_extract(domain, '([^.]*)$', 1) as suffix from c_host1),
+c_host1 as (select *, regexp_extract(host, '{SUFFIX}', 1) as two,
+    case when regexp_extract(host, '{SUFFIX}', 1) <> '' then regexp_extract(host, '{DOMAIN_OF_TWO}', 1) else regexp_extract(host, '{DOMAIN_OF_ONE}', 1) end as name from c_host0),
+c_host as (select host, n, k, case when name = '' then host else name end as domain, case when two <> '' then two else regexp_extract(host, '([^.]*)$', 1) end as suffix from c_host1),
 c_domain as (select domain, suffix, sum(n) as n, sum(k) as k from c_host group by all),
 c_suffix as (select suffix, sum(n) as n, sum(k) as k from c_domain group by all),
 overall as (select coalesce(sum(k) / nullif(sum(n), 0)::double, 0) as mean from c_suffix),
 {level("suffix", "", "c_suffix", "overall")},{level("domain", "suffix", "c_domain", "m_suffix")},{level("host", "domain", "c_host", "m_domain")},
-bounds as (select host, mean - {Z}::double * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) as low from m_host)
+bounds as (select host, greatest(0, mean - {Z}::double * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))) as low from m_host)
 select page_id, host, path, {name} as rule, coalesce({verdict}, case when low > {MAX_BAD} then 'block' else 'allow' end) as verdict
 from parts join bounds using (host)
 """

@@ -174,15 +174,21 @@ def test_densest_node_equals_plain_recursion():
         assert (best is None) == (not sums) and (best is None or sums[id(best)] >= max(sums.values()) - 1e-9)
 
 
-@pytest.mark.parametrize("most", [500_000, -1])
-def test_boilerplate_lines(spark, monkeypatch, most):
+@pytest.mark.parametrize(("most", "salt"), [(500_000, 1), (-1, 7)])
+def test_boilerplate_lines(spark, monkeypatch, most, salt):
     monkeypatch.setattr(lines, "BROADCAST_KEYS", most)
-    texts = [f"Share this\nbody {i}\n\nShare this" if i % 2 else f" Share this \nbody {i}" for i in range(30)] + ["Share this", None, ""] + ["Share this\nx"] * 3
-    sources = ["a"] * 33 + ["small"] * 3
-    got = {r.doc_id: r for r in lines.drop_boilerplate(docs_of(spark, texts, sources)).collect()}
+    monkeypatch.setattr(lines, "SALT_PAGES", salt)
+    texts = [f"Share this\nbody {i}\n\nShare this" if i % 2 else f" Share this \nbody {i}" for i in range(30)] + ["Share this", None, ""] + ["Share this\nx", "Share this\ny"] + ["Share this\nz"] * 3
+    sources = ["a"] * 33 + ["two"] * 2 + ["three"] * 3
+    rows = [(i, t, "en", s, len(t or ""), "k", 7, 8, "d") for i, (t, s) in enumerate(zip(texts, sources))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, kept string, site int, salt int, drop string")
+    got = {r.doc_id: r for r in lines.drop_boilerplate(docs, counts=("_n_lines", "_n_dropped")).collect()}
     assert got[1].text == "body 1\n" and got[1]._n_dropped == 2 and got[1].n_chars == 7
     assert got[0].text == "body 0" and got[30].text == "" and got[31].text is None and got[32].text == ""
-    assert got[33].text == "Share this\nx" and got[33]._n_dropped == 0
+    assert got[33].text == "Share this\nx" and got[33]._n_dropped == 0  # two pages repeat nothing
+    assert got[35].text == "" and got[35]._n_dropped == 2  # three do, on the smallest host
+    assert all((r.kept, r.site, r.salt, r["drop"]) == ("k", 7, 8, "d") for r in got.values()) and len(got) == len(rows)
+    assert lines.drop_boilerplate(docs).columns == docs.columns
     assert lines.drop_boilerplate(docs_of(spark, [])).count() == 0
     repeated = docs_of(spark, ["same\nline"] * 25, [None] * 25)
     assert {r.text for r in lines.drop_boilerplate(repeated).collect()} == {""}
@@ -204,6 +210,21 @@ def test_url_rules_and_reputation(spark):
     assert urls.judge_urls(pages.limit(0), labels).count() == 0
 
 
+def test_suffixes_of_two_labels(spark):
+    hosts = [f"bad{i}.co.uk" for i in range(6) for _ in range(20)] + ["www.good.co.uk", "x.com", "co.uk", "a.b.org.br", "me", "x.y.co"]
+    pages = spark.createDataFrame([(i, f"http://{h}/") for i, h in enumerate(hosts)], "page_id bigint, url string")
+    labels = spark.createDataFrame([(i, 0, 1) for i in range(60)], "doc_id bigint, quality int, toxic int")
+    low = {r.host: r.low for r in urls.host_reputation(pages, labels).collect()}
+    assert len(low) == 12 and all(0 <= x <= 1 for x in low.values())
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    con.register("labels", labels.toPandas())
+    want = sorted(con.sql(urls.ORACLE).fetchall())
+    assert sorted(tuple(r) for r in urls.judge_urls(pages, labels).drop("low").collect()) == want
+
+
 def test_queries_derive_digests(spark, tmp_path):
     docs_of(spark, ["a b", None]).write.parquet(str(tmp_path / "documents.parquet"))
     row = {r.doc_id: r for r in pieces.query(spark, str(tmp_path)).collect()}
