@@ -35,9 +35,10 @@ def stream_state_tally(spark, sf):
     return M.finish(M.windowed_tally(points, "kind", "1 day"), shared_folder(spark, "tally"))
 
 
-@query("stream_local_peaks", sql("ev_series", """, n as (select *, coalesce(lag(value) over (partition by video order by i), '-inf'::double) as l, lead(value) over (partition by video order by i) as r from ev_series)
+@query("stream_local_peaks", sql("ev_series", """, seen as (select * from ev_series where time_ms < (select max(time_ms) - 3600000 from ev_series)),
+n as (select *, coalesce(lag(value) over (partition by video order by i), '-inf'::double) as l, lead(value) over (partition by video order by i) as r from seen)
 select video, event_id as id, value from n where r is not null and value > 40 and value >= l and value >= r and (value > l or value > r)"""))
 def stream_local_peaks(spark, sf):
-    """The last frame of a video stays pending: its next one has not come."""
+    """Frames above the watermark stay pending, and so does the last one of a video below it: its next one has not come."""
     points = _stream(spark, sf, "events").select(F.col("user_id").alias("video"), ms("ts").alias("time_ms"), F.col("event_id").alias("id"), "value")
-    return M.finish_append(M.local_peaks(points, 40), shared_folder(spark, "peaks")).select("video", "id", "value")
+    return M.finish_append(M.local_peaks(points, 40, "1 hour"), shared_folder(spark, "peaks")).select("video", "id", "value")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -25,35 +27,52 @@ def windowed_tally(points: DataFrame, state: str, width: str, delay: str = "1 ho
     return g.select(*keys, F.unix_millis("window.start").alias("window_ms"), state, "n")
 
 
-def local_peaks(points: DataFrame, threshold: float, key: str = "video") -> DataFrame:
-    """Peaks above the threshold, each told when its next frame has come: the state is two frames a video. points: key, time_ms, id, value, in order of (time_ms, id) from batch to batch."""
+def local_peaks(points: DataFrame, threshold: float, delay: str = "1 hour", key: str = "video") -> DataFrame:
+    """Peaks above the threshold among the frames that the watermark has passed, in order of (time_ms, id) whatever the order of arrival.
 
-    def step(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before, at, mark, now = state.get if state.exists else (float("-inf"), None, None, None)
-        rows, out = pd.concat(list(parts)).sort_values(["time_ms", "id"]), []
-        for t, i, v in zip(rows["time_ms"].tolist(), rows["id"].tolist(), rows["value"].tolist()):
-            if now is not None:
-                if now > threshold and now >= before and now >= v and (now > before or now > v):
-                    out.append((group[0], at, mark, now))
-                before = now
-            at, mark, now = t, i, v
-        state.update((before, at, mark, now))
-        yield pd.DataFrame(out, columns=[key, "time_ms", "id", "value"])
+    The state of a video is the last decided frames and those still above the watermark, so at most ``delay`` of frames. Frames that come later than
+    that are dropped. points: key, time_ms, id, value."""
 
+    def step(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        before, *held = state.get if state.exists else (float("-inf"), [], [], [])
+        rows = [pd.DataFrame(dict(zip(("time_ms", "id", "value"), held))), *(p[["time_ms", "id", "value"]] for p in parts)]
+        rows = pd.concat([r for r in rows if len(r)]) if any(len(r) for r in rows) else rows[0]
+        rows = rows.sort_values(["time_ms", "id"], kind="stable")
+        t, i, v = (rows[c].to_numpy() for c in ("time_ms", "id", "value"))
+        mark = state.getCurrentWatermarkMs()
+        ready = int(np.searchsorted(t, mark, "left"))
+        n = max(ready - 1, 0)  # the last frame that is ready waits for its next one
+        left, now, right = np.append(before, v[:n])[:n], v[:n], v[1 : n + 1]
+        hit = np.flatnonzero((now > threshold) & (now >= left) & (now >= right) & ((now > left) | (now > right)))
+        before = float(v[n - 1]) if n else before
+        state.update((before, t[n:].tolist(), i[n:].tolist(), v[n:].tolist()))
+        if len(t) > ready:
+            state.setTimeoutTimestamp(max(mark + 1, int(t[ready])))
+        yield pd.DataFrame({key: [group[0]] * len(hit), "time_ms": t[hit], "id": i[hit], "value": v[hit]})
+
+    rows = points.select(key, "time_ms", "id", "value", F.timestamp_millis("time_ms").alias("_t")).withWatermark("_t", delay)
     kind = points.schema[key].dataType.simpleString()
-    return points.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, time_ms bigint, id bigint, value double", "before double, at bigint, mark bigint, now double", "append", GroupStateTimeout.NoTimeout)
+    held = "before double, times array<bigint>, ids array<bigint>, values array<double>"
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, time_ms bigint, id bigint, value double", held, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def finish(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
-    """Reads the stream to its end; the last complete result is left in the folder."""
+def _keep_epochs(stream: DataFrame, folder: str, mode: str) -> DataFrame:
+    """Runs the stream to the end of what is there; each micro-batch is one folder epoch=N, written again if it is run again. Rows of all epochs."""
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{folder}/epochs/epoch=-1")
 
     def keep(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/{epoch}")
+        batch.write.mode("overwrite").parquet(f"{folder}/epochs/epoch={epoch}")
 
     q = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    last = q.lastProgress["batchId"] if q.lastProgress else 0
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/{last}")
+    return spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("epoch", T.LongType())])).parquet(f"{folder}/epochs")
+
+
+def finish(stream: DataFrame, folder: str) -> DataFrame:
+    """The complete result of the last epoch, also after a restart with or without new data."""
+    rows = _keep_epochs(stream, folder, "complete")
+    return rows.where(F.col("epoch") == rows.agg(F.max("epoch")).scalar()).drop("epoch")
 
 
 def finish_append(stream: DataFrame, folder: str) -> DataFrame:
@@ -64,18 +83,8 @@ def finish_append(stream: DataFrame, folder: str) -> DataFrame:
 
 
 def upsert_latest(changes: DataFrame, entity: Sequence[str], seq: Sequence[str], value: str, folder: str) -> DataFrame:
-    """Latest change of each entity by its sequence, whatever the order of arrival: each micro-batch is merged with the table so far."""
-    spark, columns = changes.sparkSession, [*entity, *seq, value]
-    done: list[str] = []
-
-    def merge(batch: DataFrame, epoch: int) -> None:
-        rows = batch.select(*columns)
-        if done:
-            rows = rows.unionByName(spark.read.parquet(done[-1]))
-        last = rows.groupBy(*entity).agg(F.max(F.struct(*seq, value)).alias("_l")).select(*entity, *[F.col(f"_l.{c}").alias(c) for c in (*seq, value)])
-        last.write.mode("overwrite").parquet(f"{folder}/{epoch}")
-        done.append(f"{folder}/{epoch}")
-
-    q = changes.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(done[-1]) if done else spark.createDataFrame([], changes.select(*columns).schema)
+    """Latest change of each entity by its sequence, whatever the order of arrival. The table so far is the stream's state, each micro-batch writes only
+    the entities that it changed, and reading takes the latest of each."""
+    latest = lambda rows, last: rows.groupBy(*entity).agg(F.max(last).alias("_l"))
+    told = _keep_epochs(latest(changes, F.struct(*seq, value)), folder, "update")
+    return latest(told, F.col("_l")).select(*entity, *[F.col(f"_l.{c}").alias(c) for c in (*seq, value)])
