@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .chains import decide
+
 KEYS = ("video",)
 
 
@@ -125,24 +127,31 @@ def contiguity_violations(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFram
     return rows.withColumn("kind", kind).where("kind is not null")
 
 
+def fill_rule(longest: int):
+    """Rule: the number of the window that each segment falls into; one joins while its end is within ``longest`` of the window's start."""
+
+    def rule(starts: list, ends: list) -> list[int]:
+        out, n, opened = [], -1, None
+        for s, e in zip(starts, ends):
+            if opened is None or e - opened > longest:
+                n, opened = n + 1, s
+            out.append(n)
+        return out
+
+    return rule
+
+
 def pack_windows(df: DataFrame, longest: int = 30_000, pad: int = 200, keys: Sequence[str] = KEYS) -> DataFrame:
     """Greedy windows: a segment joins while its end is within ``longest`` of the window's start; then padded and clamped to [0, range_end).
 
-    The fold carries the window's start from segment to segment. It is split only where a gap exceeds ``longest``, since a new
-    window always starts there; so one fold covers a stretch without such gaps.
+    Stretches end where a gap exceeds ``longest``, since a new window always starts there; they are decided one after the other in a stream.
     """
     order = ("start_ms", "end_ms", "pos")
     rows = df.withColumn("_before", _running_end(keys, order))
-    rows = number_islands(rows, F.col("_before").isNull() | (F.col("start_ms") - F.col("_before") > longest), order, keys, "_part")
-    lists = rows.groupBy(*keys, "_part", "range_end").agg(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms"))).alias("_s"))
-    kind = "array<struct<start_ms:bigint,end_ms:bigint>>"
-    # windows are gathered in reverse: the last one is element 1
-    step = lambda done, s: F.when(
-        (F.size(done) > 0) & (s["end_ms"] - F.get(done, F.lit(0))["start_ms"] <= longest),
-        F.concat(F.array(F.struct(F.get(done, F.lit(0))["start_ms"].alias("start_ms"), F.greatest(F.get(done, F.lit(0))["end_ms"], s["end_ms"]).alias("end_ms"))), F.slice(done, F.lit(2), F.greatest(F.size(done) - 1, F.lit(0)))),
-    ).otherwise(F.concat(F.array(s), done))
-    out = lists.select(*keys, "range_end", F.explode(F.aggregate("_s", F.array().cast(kind), step)).alias("w"))
-    return out.select(*keys, F.greatest(F.lit(0), F.col("w.start_ms") - pad).alias("start_ms"), F.least("range_end", F.col("w.end_ms") + pad).alias("end_ms"))
+    rows = number_islands(rows, F.col("_before").isNull() | (F.col("start_ms") - F.col("_before") > longest), order, keys, "chain").drop("_before")
+    rows = decide(rows, keys, ["start_ms", "end_ms"], ["start_ms", "end_ms"], fill_rule(longest), "_window", "bigint")
+    out = rows.groupBy(*keys, "chain", "_window", "range_end").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+    return out.select(*keys, F.greatest(F.lit(0), F.col("start_ms") - pad).alias("start_ms"), F.least("range_end", F.col("end_ms") + pad).alias("end_ms"))
 
 
 def concat_timeline(windows: DataFrame, silence: int = 500, keys: Sequence[str] = KEYS) -> DataFrame:

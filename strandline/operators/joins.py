@@ -6,6 +6,7 @@ joins are windows over the union of both sides.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -151,12 +152,13 @@ def match_rule(tolerance: int):
     """Rule: for each golden time in order the nearest unused detection within the tolerance."""
 
     def rule(times: list, golden: list) -> list:
-        free, out = [t for t, g in zip(times, golden) if not g], []
+        free, out = [t for t, g in zip(times, golden) if not g], []  # times are in order
         for t, g in zip(times, golden):
-            near = min((x for x in free if abs(x - t) <= tolerance), key=lambda x: (abs(x - t), x), default=None) if g else None
-            out.append(near)
-            if near is not None:
-                free.remove(near)
+            at = bisect_left(free, t)
+            near = min((abs(free[k] - t), free[k], k) for k in (at - 1, at) if 0 <= k < len(free)) if g and free else None
+            out.append(near[1] if near and near[0] <= tolerance else None)
+            if out[-1] is not None:
+                del free[near[2]]
         return out
 
     return rule

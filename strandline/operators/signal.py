@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import motion_intensity
+from ..functions.scalars import motion_confidence, motion_intensity
 from .chains import decide, number_chains
-from .islands import group_hits
 
 KEYS = ("video",)
 SILENCE_DB = -99.0
@@ -37,28 +37,30 @@ def dot(x: Column, y: Column) -> Column:
     return total(F.zip_with(x, y, lambda a, b: a * b))
 
 
-def pair_metrics(df: DataFrame, x: str = "x", index: str = "i", keys: Sequence[str] = KEYS) -> DataFrame:
-    """For each frame and the one before, of planes that are thirds of the array (hue, saturation, value): content delta, edge delta, change, histogram intersection and brightness delta."""
-    rows = df.withColumn("_p", F.lag(x).over(_w(keys, index))).where("_p is not null")
-    third = F.floor(F.size(x) / 3).cast("int")
-    part = lambda c, k: F.slice(c, third * k + 1, third)
-    delta = lambda k: mean_abs_diff(part(F.col(x), k), part(F.col("_p"), k))
-    content = 255 * (2 * delta(0) + delta(1) + delta(2)) / 3
-    edges = lambda c: F.zip_with(F.slice(c, 2, F.size(c) - 1), F.slice(c, 1, F.size(c) - 1), lambda a, b: F.abs(a - b))
-    edge = 255 * mean_abs_diff(edges(part(F.col(x), 2)), edges(part(F.col("_p"), 2)))
-    share = lambda c: F.transform(c, lambda a: F.abs(a) / total(F.transform(c, lambda a: F.abs(a))))
-    common = total(F.zip_with(share(part(F.col(x), 0)), share(part(F.col("_p"), 0)), lambda a, b: F.least(a, b)))
-    rows = rows.withColumn("content", content).withColumn("edge", edge)
-    return rows.select(*keys, index, "content", "edge", (F.col("content") + 0.25 * F.col("edge")).alias("change"), common.alias("common"), (mean(part(F.col(x), 2)) - mean(part(F.col("_p"), 2))).alias("brightness_delta"))
+def pair_metrics(df: DataFrame, edge_weight: float = 0.25, index: str = "i", keys: Sequence[str] = KEYS) -> DataFrame:
+    """For each frame and the one before: content, edge and brightness delta, change (and its negative, the score), similarity of edges and of histograms.
+
+    df: hue, saturation, value and edges (planes of 0..1 as arrays), histogram (shares that sum to 1). Hue is a circle: its distance is at most a half.
+    """
+    planes = ("hue", "saturation", "value", "edges", "histogram")
+    rows = df.select(*keys, index, *planes, *[F.lag(c).over(_w(keys, index)).alias(f"_{c}") for c in planes]).where("_hue is not null")
+    turn = mean(F.zip_with("hue", "_hue", lambda a, b: F.least(F.abs(a - b), 1 - F.abs(a - b)))) * 2
+    content = 255 * (turn + mean_abs_diff(F.col("saturation"), F.col("_saturation")) + mean_abs_diff(F.col("value"), F.col("_value"))) / 3
+    rows = rows.withColumn("content", content).withColumn("edge", 255 * mean_abs_diff(F.col("edges"), F.col("_edges")))
+    change = F.col("content") + edge_weight * F.col("edge")
+    return rows.select(
+        *keys, index, "content", "edge", change.alias("change"), (-change).alias("score"), F.greatest(F.lit(0.0), 1 - F.col("edge") / 255).alias("edge_similarity"),
+        total(F.zip_with("histogram", "_histogram", lambda a, b: F.least(a, b))).alias("histogram_similarity"), F.abs(mean(F.col("value")) - mean(F.col("_value"))).alias("brightness_delta"))
 
 
 def global_ssim(x: Column, y: Column) -> Column:
-    """Structural similarity with the whole plane as one window, clamped to 0..1."""
+    """Structural similarity with the whole plane as one window, clamped to -1..1; 1 where the denominator is not positive."""
     n = F.size(x)
     mx, my = total(x) / n, total(y) / n
     vx, vy, cov = dot(x, x) / n - mx * mx, dot(y, y) / n - my * my, dot(x, y) / n - mx * my
     c1, c2 = 0.01**2, 0.03**2
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((2 * mx * my + c1) * (2 * cov + c2)) / ((mx * mx + my * my + c1) * (vx + vy + c2))))
+    below = (mx * mx + my * my + c1) * (vx + vy + c2)
+    return F.when(below <= 0, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), ((2 * mx * my + c1) * (2 * cov + c2)) / below)))
 
 
 def adaptive_ratio(df: DataFrame, value: str = "value", index: str = "i", keys: Sequence[str] = KEYS, window: int = 3) -> DataFrame:
@@ -92,11 +94,12 @@ def keep_apart(step: float):
     """Rule: by descending score, earlier first on ties, keep what is at least ``step`` from all kept."""
 
     def rule(positions: list, scores: list) -> list[bool]:
-        kept: list = []
+        kept: list = []  # sorted: only the two neighbours of a position can be too close
         out = [False] * len(positions)
         for i in sorted(range(len(positions)), key=lambda i: (-scores[i], positions[i])):
-            if all(abs(positions[i] - k) >= step for k in kept):
-                kept.append(positions[i])
+            at = bisect_left(kept, positions[i])
+            if all(abs(positions[i] - k) >= step for k in kept[max(0, at - 1) : at + 1]):
+                kept.insert(at, positions[i])
                 out[i] = True
         return out
 
@@ -114,12 +117,16 @@ def merge_rule(minimum: int, rapid: int):
     """Rule: by descending value, a candidate nearer than ``minimum`` to a kept one (``rapid`` if both are high) goes into the first kept one in its way."""
 
     def rule(positions: list, values: list, confidences: list) -> list:
-        kept: list = []
+        kept: list = []  # (position, order of keeping, confidence), sorted: kept ones lie apart, so few are within reach
         out: list = [None] * len(positions)
-        for i in sorted(range(len(positions)), key=lambda i: (-values[i], positions[i])):
-            out[i] = next((p for p, c in kept if abs(positions[i] - p) < (rapid if c == confidences[i] == "high" else minimum)), None)
-            if out[i] is None:
-                kept.append((positions[i], confidences[i]))
+        for n, i in enumerate(sorted(range(len(positions)), key=lambda i: (-values[i], positions[i]))):
+            reach = max(minimum, rapid)
+            near = kept[bisect_left(kept, (positions[i] - reach,)) : bisect_left(kept, (positions[i] + reach,))]
+            way = [(k, p) for p, k, c in near if abs(positions[i] - p) < (rapid if c == confidences[i] == "high" else minimum)]
+            if way:
+                out[i] = min(way)[1]
+            else:
+                insort(kept, (positions[i], n, confidences[i]))
         return out
 
     return rule
@@ -201,22 +208,33 @@ def adaptive_thresholds(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return df.groupBy(*keys).agg(*[F.round(F.percentile(c, q), 4).alias(name) for name, (c, q) in THRESHOLDS.items()])
 
 
-def speed_ramps(df: DataFrame, limits: DataFrame, region: int, impact_floor: float, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Low, high and impact regions. df: i, time_ms, motion, repeat, cut, bright; limits: adaptive thresholds."""
-    rows, out = df.join(limits, list(keys)), None
+def _hit_groups(rows: DataFrame, kinds: dict[str, tuple[Column, int]], keys: Sequence[str]) -> DataFrame:
+    """Each row once for each kind whose condition it meets, with grp: steps of at most the kind's gap stay in a group. One shuffle for all kinds."""
+    hit = F.explode(F.array_compact(F.array(*[F.when(cond, F.lit(k)) for k, (cond, _) in kinds.items()])))
+    gap = F.create_map(*[F.lit(x) for k, (_, g) in kinds.items() for x in (k, g)])
+    w = W.partitionBy(*keys, "kind").orderBy("i")
+    rows = rows.withColumn("kind", hit)
+    opens = F.coalesce(F.col("i") - F.lag("i").over(w) > F.try_element_at(gap, F.col("kind")), F.lit(True))
+    return rows.withColumn("_opens", opens.cast("int")).withColumn("grp", F.sum("_opens").over(w)).drop("_opens")
+
+
+def speed_ramps(df: DataFrame, limits: DataFrame, region: int, impact_floor: float, frame_ms: int = 0, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Low, high and impact regions with duration, confidence and the frames that show them. df: i, time_ms, motion, repeat, cut, bright; limits: adaptive thresholds; a region ends ``frame_ms`` after its last frame."""
+    c = F.col
     kinds = {
-        "low_motion_or_freeze": ((F.col("motion") <= F.col("p20")) & (F.col("repeat") > 0.78), 2),
-        "high_motion_region": (F.col("motion") >= F.col("p80"), 2),
-        "impact_cut": (((F.col("cut") >= F.col("cut90")) | (F.col("bright") > impact_floor)) & (F.col("motion") >= F.col("p50")), 1),
+        "low_motion_or_freeze": ((c("motion") <= c("p20")) & (c("repeat") > 0.78), 2),
+        "high_motion_region": (c("motion") >= c("p80"), 2),
+        "impact_cut": (((c("cut") >= c("cut90")) | (F.abs("bright") > impact_floor)) & (c("motion") >= c("p50")), 1),
     }
-    for kind, (hit, gap) in kinds.items():
-        g = group_hits(rows.where(hit), gap, "i", keys).groupBy(*keys, "grp").agg(
-            F.min("time_ms").alias("start_ms"), F.max("time_ms").alias("end_ms"), F.count("*").alias("n"), F.avg("motion").alias("avg_motion"),
-            F.max("cut").alias("peak_cut"), F.min_by("i", F.struct(-F.col("cut"), "i")).alias("peak_i"))
-        g = g if kind == "impact_cut" else g.where(F.col("n") >= region)
-        g = g.select(F.lit(kind).alias("kind"), *keys, "start_ms", "end_ms", "n", F.round("avg_motion", 4).alias("avg_motion"), F.when(F.lit(kind == "impact_cut"), F.col("peak_i")).alias("peak_i"))
-        out = g if out is None else out.unionByName(g)
-    return out
+    g = _hit_groups(df.join(limits, list(keys)), kinds, keys).groupBy(*keys, "kind", "grp").agg(
+        F.min("time_ms").alias("start_ms"), (F.max("time_ms") + frame_ms).alias("end_ms"), F.count("*").alias("n"), F.avg("motion").alias("mean"), F.max("cut").alias("top"),
+        F.min_by("i", F.struct(-c("cut"), "i")).alias("peak"), F.min("i").alias("first"), F.max("i").alias("last"), F.first("p20").alias("p20"), F.first("p80").alias("p80"), F.first("cut90").alias("cut90"))
+    impact, low = c("kind") == "impact_cut", c("kind") == "low_motion_or_freeze"
+    value = F.when(impact, c("top")).when(low & (c("mean") > 0), c("p20") / c("mean")).otherwise(c("mean"))
+    sure = motion_confidence(value, F.when(impact, c("cut90")).when(low, 1.0).otherwise(c("p80")))
+    return g.where(impact | (c("n") >= region)).select(
+        "kind", *keys, "start_ms", "end_ms", (c("end_ms") - c("start_ms")).alias("duration_ms"), "n", F.round("mean", 4).alias("avg_motion"), F.when(impact, c("peak")).alias("peak_i"),
+        sure.alias("confidence"), F.when(impact, F.array("peak")).otherwise(F.array("first", "last")).alias("refs"))
 
 
 KEYFRAMES = {"position": ("move", "move90", 2.0), "scale": ("zoom", "zoom90", 0.025), "shake": ("shake", "shake90", 2.5), "exposure": ("bright", "bright92", 0.12)}
@@ -224,15 +242,14 @@ KEYFRAMES = {"position": ("move", "move90", 2.0), "scale": ("zoom", "zoom90", 0.
 
 def keyframe_candidates(df: DataFrame, limits: DataFrame, floors: dict[str, float] | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
     """Peaks of each property at or above its floor and its video's limit, outside cuts (exposure excepted). One row a group of hits (groups of neighbours; exposure without gaps)."""
-    rows, out = df.join(limits, list(keys)), None
+    kinds, value = {}, F.lit(None).cast("double")
     for name, (c, limit, floor) in KEYFRAMES.items():
-        floor = (floors or {}).get(name, floor)
-        hit = F.col(c) >= F.greatest(F.col(limit), F.lit(floor))
-        hit = hit if name == "exposure" else hit & (F.col("cut") < F.col("cut90"))
-        g = group_hits(rows.where(hit), 1 if name == "exposure" else 2, "i", keys).groupBy(*keys, "grp").agg(F.min_by(F.struct("i", "time_ms", F.col(c).alias("peak")), F.struct(-F.col(c), "i")).alias("p"), F.count("*").alias("n"))
-        g = g.select(F.lit(name).alias("property"), *keys, "p.i", "p.time_ms", "p.peak", "n")
-        out = g if out is None else out.unionByName(g)
-    return out
+        hit = F.col(c) >= F.greatest(F.col(limit), F.lit((floors or {}).get(name, floor)))
+        kinds[name] = (hit if name == "exposure" else hit & (F.col("cut") < F.col("cut90")), 1 if name == "exposure" else 2)
+        value = F.when(F.col("kind") == name, F.col(c)).otherwise(value)
+    rows = _hit_groups(df.join(limits, list(keys)), kinds, keys).withColumn("peak", value.cast("double"))
+    g = rows.groupBy(*keys, "kind", "grp").agg(F.min_by(F.struct("i", "time_ms", "peak"), F.struct(-F.col("peak"), "i")).alias("p"), F.count("*").alias("n"))
+    return g.select(F.col("kind").alias("property"), *keys, "p.i", "p.time_ms", "p.peak", "n")
 
 
 #: Fixed values of the camera classifier: least samples and pairs, noise floor, least shift, dominance, consistency, zoom scale and share, jump factor and shift.

@@ -59,6 +59,15 @@ def emb_frames(spark, sf) -> DataFrame:
     return e.select(F.col("label").alias("video"), F.row_number().over(w).alias("i"), "vec_id", F.col("embedding").cast("array<double>").alias("x"))
 
 
+def emb_planes(spark, sf) -> DataFrame:
+    """Frames as planes of 16 values in 0..1 (quarters of the vector), with neighbour differences as edges and a histogram of four values."""
+    part = lambda k: F.transform(F.slice("x", 16 * k + 1, 16), lambda a: F.abs(a) - F.floor(F.abs(a)))
+    rows = emb_frames(spark, sf).select("video", "i", part(0).alias("hue"), part(1).alias("saturation"), part(2).alias("value"))
+    edges = F.transform(F.sequence(F.lit(1), F.lit(15)), lambda k: F.abs(F.col("value")[k] - F.col("value")[k - 1]))
+    bins = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda b: F.size(F.filter("hue", lambda a: F.floor(a * 4) == b)) / 16)
+    return rows.withColumn("edges", edges).withColumn("histogram", bins)
+
+
 def spans(spark, sf) -> DataFrame:
     """Intervals of a customer: between order and ship date, bounded in length."""
     day = 86_400_000
@@ -90,6 +99,8 @@ SQL = {
           union all select p.video, time_ms from ev_points p join ev_ranges r using (video) where kind = 'view' and time_ms > range_start and time_ms < range_end))
       window w as (partition by video order by t) qualify end_ms is not null""",
     "emb_frames": "select label as video, row_number() over (partition by label order by vec_id) as i, vec_id, embedding::double[] as x from embeddings",
+    "emb_planes": """select video, i, list_transform(x[1:16], lambda a: abs(a) - floor(abs(a))) as hue, list_transform(x[17:32], lambda a: abs(a) - floor(abs(a))) as saturation,
+        list_transform(x[33:48], lambda a: abs(a) - floor(abs(a))) as "value" from emb_frames""",
     "spans": """select o_custkey as video, (epoch_us(least(o_orderdate, l_shipdate)) // 1000) as start_ms,
         least((epoch_us(greatest(o_orderdate, l_shipdate)) // 1000), (epoch_us(least(o_orderdate, l_shipdate)) // 1000) + (l_linenumber + 1) * 259200000) as end_ms,
         o_orderkey as order_key, l_linenumber as line, l_quantity as quantity
@@ -97,7 +108,7 @@ SQL = {
     "conv": "select conv_id as video, turn as seq, role as state, text from conversations",
     "doc_lines": "select doc_id as video, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos, unnest(string_split(text, chr(10))) as line from documents",
 }
-NEEDS = {"ev_shots": ("ev_points", "ev_ranges")}
+NEEDS = {"ev_shots": ("ev_points", "ev_ranges"), "emb_planes": ("emb_frames",)}
 
 
 def sql(bindings: str, body: str) -> str:

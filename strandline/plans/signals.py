@@ -9,7 +9,7 @@ from ..functions import scalars as S
 from ..operators import islands as I
 from ..operators import joins as J
 from ..operators import signal as G
-from .bindings import HOUR, emb_frames, ev_points, ev_ranges, ev_seg, ev_series, ev_shots, sql, table
+from .bindings import HOUR, emb_frames, emb_planes, ev_points, ev_ranges, ev_seg, ev_series, ev_shots, sql, table
 from .islands import _GAPS
 from .registry import query
 
@@ -20,20 +20,21 @@ def _avg(a: str, b: str) -> str:
     return f"list_avg(list_transform(list_zip({a}, {b}), lambda z: abs(z[1] - z[2])))"
 
 
-@query("frame_pair_metrics", sql("emb_frames", _FRAMES + """
-, t as (select video, i, x[1:21] as h, x[22:42] as s, x[43:63] as v, p[1:21] as ph, p[22:42] as ps, p[43:63] as pv from f where p is not null),
-e as (select *, list_transform(range(2, 22), lambda k: abs(v[k] - v[k-1])) as ev, list_transform(range(2, 22), lambda k: abs(pv[k] - pv[k-1])) as epv from t),
-m as (select video, i, 255 * (2 * """ + _avg("h", "ph") + " + " + _avg("s", "ps") + " + " + _avg("v", "pv") + ") / 3 as content, 255 * " + _avg("ev", "epv") + """ as edge, list_avg(v) - list_avg(pv) as bd,
-  list_sum(list_transform(list_zip(h, ph), lambda z: least(abs(z[1]) / list_sum(list_transform(h, lambda a: abs(a))), abs(z[2]) / list_sum(list_transform(ph, lambda a: abs(a)))))) as common from e)
-select video, i, round(content, 6) as content, round(edge, 6) as edge, round(content + 0.25 * edge, 6) as change, round(common, 6) as common, round(bd, 6) as brightness_delta from m"""))
+@query("frame_pair_metrics", sql("emb_planes", """
+, e as (select *, list_transform(range(2, 17), lambda k: abs("value"[k] - "value"[k-1])) as edges, list_transform(range(0, 4), lambda b: len(list_filter(hue, lambda a: floor(a * 4) = b)) / 16.0::double) as hist from emb_planes),
+f as (select *, lag(hue) over w as ph, lag(saturation) over w as ps, lag("value") over w as pv, lag(edges) over w as pe, lag(hist) over w as pb from e window w as (partition by video order by i)),
+m as (select video, i, 255 * (2 * list_avg(list_transform(list_zip(hue, ph), lambda z: least(abs(z[1] - z[2]), 1 - abs(z[1] - z[2])))) + """ + _avg("saturation", "ps") + " + " + _avg('"value"', "pv") + ") / 3 as content, 255 * " + _avg("edges", "pe") + """ as edge,
+  abs(list_avg("value") - list_avg(pv)) as bd, list_sum(list_transform(list_zip(hist, pb), lambda z: least(z[1], z[2]))) as hs from f where ph is not null)
+select video, i, round(content, 6) as content, round(edge, 6) as edge, round(content + 0.25 * edge, 6) as change, round(-(content + 0.25 * edge), 6) as score, round(greatest(0.0, 1 - edge / 255), 6) as edge_similarity,
+  round(hs, 6) as histogram_similarity, round(bd, 6) as brightness_delta from m"""))
 def frame_pair_metrics(spark, sf):
-    rows = G.pair_metrics(emb_frames(spark, sf))
-    return rows.select("video", "i", *[F.round(c, 6).alias(c) for c in ("content", "edge", "change", "common", "brightness_delta")])
+    rows = G.pair_metrics(emb_planes(spark, sf))
+    return rows.select("video", "i", *[F.round(c, 6).alias(c) for c in ("content", "edge", "change", "score", "edge_similarity", "histogram_similarity", "brightness_delta")])
 
 
 _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda z: z[1] * z[2]))"
 _SSIM = f""", m as (select video, i, list_avg(x) as mx, list_avg(p) as my, {_DOT.format('x', 'x')} / len(x) as xx, {_DOT.format('p', 'p')} / len(x) as yy, {_DOT.format('x', 'p')} / len(x) as xy from f where p is not null)
-select video, i, round(least(1.0, greatest(0.0, ((2 * mx * my + 0.0001) * (2 * (xy - mx * my) + 0.0009)) / ((mx * mx + my * my + 0.0001) * (xx - mx * mx + yy - my * my + 0.0009)))), 6) as ssim from m"""
+select video, i, round(least(1.0, greatest(-1.0, ((2 * mx * my + 0.0001) * (2 * (xy - mx * my) + 0.0009)) / ((mx * mx + my * my + 0.0001) * (xx - mx * mx + yy - my * my + 0.0009)))), 6) as ssim from m"""
 
 
 @query("global_ssim", sql("emb_frames", _FRAMES + _SSIM))
@@ -168,16 +169,18 @@ def _groups(name: str, cond: str, gap: int) -> str:
 {name} as (select *, sum((step is null or step > {gap})::int) over (partition by video order by i) as grp from {name}0)"""
 
 
-_RAMPS = _LIMITS + ", " + _groups("lo", "motion <= p20 and repeat > 0.78", 2) + ", " + _groups("hi", "motion >= p80", 2) + ", " + _groups("im", "(cut >= cut90 or bright > 0.28) and motion >= p50", 1) + """
-, ramps as (select 'low_motion_or_freeze' as kind, video, min(time_ms) as start_ms, max(time_ms) as end_ms, count(*) as n, round(avg(motion), 4) as avg_motion, null::bigint as peak_i from lo group by video, grp having count(*) >= 2
-union all select 'high_motion_region', video, min(time_ms), max(time_ms), count(*), round(avg(motion), 4), null from hi group by video, grp having count(*) >= 2
-union all select 'impact_cut', video, min(time_ms), max(time_ms), count(*), round(avg(motion), 4), arg_min(i, (-cut, i)) from im group by video, grp)"""
+_RAMPS = _LIMITS + ", " + _groups("lo", "motion <= p20 and repeat > 0.78", 2) + ", " + _groups("hi", "motion >= p80", 2) + ", " + _groups("im", "(cut >= cut90 or abs(bright) > 0.28) and motion >= p50", 1) + ", regions as (" + " union all ".join(
+    f"select '{kind}' as kind, video, min(time_ms) as start_ms, max(time_ms) + 40 as end_ms, count(*) as n, avg(motion) as avg_m, max(cut) as top, arg_min(i, (-cut, i)) as peak, min(i) as first_i, max(i) as last_i from {t} group by video, grp having count(*) >= {least}"
+    for kind, t, least in (("low_motion_or_freeze", "lo", 2), ("high_motion_region", "hi", 2), ("impact_cut", "im", 1))) + """),
+sure as (select *, case when kind = 'impact_cut' then top when kind = 'low_motion_or_freeze' and avg_m > 0 then p20 / avg_m else avg_m end as v, case when kind = 'impact_cut' then cut90 when kind = 'low_motion_or_freeze' then 1.0 else p80 end as l from regions join lim using (video)),
+ramps as (select kind, video, start_ms, end_ms, end_ms - start_ms as duration_ms, n, round(avg_m, 4) as avg_motion, case when kind = 'impact_cut' then peak end as peak_i,
+  case when l <= 0 then 'unknown' when v / l >= 1.8 then 'high' when v / l >= 1.25 then 'medium' else 'low' end as confidence, case when kind = 'impact_cut' then peak::varchar else first_i || ',' || last_i end as refs from sure)"""
 
 
 @query("speed_ramps", sql("ev_series", _RAMPS + " select * from ramps"))
 def speed_ramps(spark, sf):
     rows = metrics(spark, sf)
-    return G.speed_ramps(rows, G.adaptive_thresholds(rows), 2, 0.28)
+    return G.speed_ramps(rows, G.adaptive_thresholds(rows), 2, 0.28, 40).withColumn("refs", F.array_join(F.col("refs").cast("array<string>"), ","))
 
 
 _KEYS = _LIMITS + "".join(", " + _groups(n, f"{c} >= greatest({limit}, {floor})" + ("" if n == "exposure" else " and cut < cut90"), 1 if n == "exposure" else 2) for n, (c, limit, floor) in G.KEYFRAMES.items()) + ", keyf as (" + " union all ".join(
