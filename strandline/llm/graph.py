@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Edges that one task joins to stars before labels start to travel.
+EDGES_A_TASK = 1 << 14
+
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A partition's edges as stars: each node to the smallest node of its part."""
@@ -35,7 +38,8 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def components(edges: DataFrame) -> DataFrame:
     """edges: a, b (bigint). node, comp: the smallest node reachable, for every node of an edge."""
-    stars = edges.select("a", "b").where("a is not null and b is not null and a <> b").mapInArrow(_forest, "a bigint, b bigint")
+    edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a is not null and b is not null and a <> b").distinct())
+    stars = edges.repartition(max(1, -(-edges.count() // EDGES_A_TASK))).mapInArrow(_forest, "a bigint, b bigint")
     both = cut(stars.union(stars.select("b", "a")).distinct())
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("comp")))
     while True:

@@ -381,7 +381,7 @@ def _needed(sent: pa.Table) -> pa.Table:
 
 
 def _verify_home(sent: pa.Table, sets: pa.Table) -> pa.Table:
-    """Links among the pairs of a home; a pair that earlier links have joined is left out."""
+    """Pairs of classes that links among the pairs of a home join; a pair that earlier links have joined is left out."""
     known = {d: np.frombuffer(x, np.uint64) for d, x in zip(sets["node"].to_pylist(), sets["hashes"].to_pylist())}
     partners: dict[int, list[np.ndarray]] = {}
     parent: dict[int, int] = {}
@@ -416,7 +416,7 @@ def _verify_home(sent: pa.Table, sets: pa.Table) -> pa.Table:
             shared = np.add.reduceat((x[near] == flat).astype(np.int64), np.cumsum(n) - n)
             for b, hit in zip(own, PER_UNION * shared >= PER_SHARED * (n + len(x) - shared)):
                 if hit:
-                    out.append((a, b))
+                    out.append((comp[a], comp[b]))
                     parent[find(comp[b])] = find(comp[a])
     return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
 
@@ -459,12 +459,13 @@ def parity_bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
 
 
 def _verify_parts(key: tuple, rows: pa.Table) -> pa.Table:
-    """Links between two parts of a cluster (or inside one) whose sets are in different classes; a pair that earlier links have joined is left out."""
+    """Pairs of classes that links between two parts of a cluster (or inside one) join; a pair that earlier links have joined is left out."""
     _, band, _, x, y = (k.as_py() for k in key)
-    nodes, root = rows["node"].to_numpy(), rows["comp"].to_numpy().copy()
+    comps = rows["comp"].to_numpy()
+    root = comps.copy()
     left = np.flatnonzero((rows["band"].to_numpy() == band) & (rows["part"].to_numpy() == x))
     inside = key[2].as_py() == 0 and x == y
-    right = left if inside else np.setdiff1d(np.arange(len(nodes)), left)
+    right = left if inside else np.setdiff1d(np.arange(len(root)), left)
     found = []
     if len(left) and len(right) and (root != root[0]).any():
         sets = [np.frombuffer(b, np.uint64) for b in rows["hashes"].to_pylist()]
@@ -480,13 +481,13 @@ def _verify_parts(key: tuple, rows: pa.Table) -> pa.Table:
             differ = np.bitwise_count(maps[other] ^ maps[a]).sum(1, dtype=np.int64)
             for b in other[differ <= most_different(sizes[other], sizes[a])].tolist():
                 if root[b] != root[a] and _linked(sets[a], sets[b]):
-                    found.append((nodes[a], nodes[b]))
+                    found.append((comps[a], comps[b]))
                     root[root == root[b]] = root[a]
     return pa.table({c: pa.array([f[i] for f in found], pa.int64()) for i, c in enumerate(("a", "b"))})
 
 
 def _cluster_links(hot: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links of the members of large signature groups: clusters are cut by size band and into parts, and parts of one band or of neighbouring ones are compared."""
+    """Pairs of classes that links of the members of large signature groups join: clusters are cut by size band and into parts, and parts of one band or of neighbouring ones are compared."""
     members = cut(hot.mapInArrow(_members, "group bigint, node bigint").distinct())
     star = members.join(members.groupBy("group").agg(F.min("node").alias("a")), "group").select("a", F.col("node").alias("b")).distinct()
     clusters = components(star).withColumnRenamed("comp", "cluster")
@@ -577,14 +578,16 @@ def similar_classes(docs: DataFrame, segments: Callable[[int], int] = segments_o
     rest = cut(marked.groupBy("bucket").applyInArrow(_across(buckets * HOMES, most_pairs), ACROSS_SQL))
     pairs, hot = rest.where("home is not null"), rest.where("home is null")
     need = pairs.groupBy("home").applyInArrow(_needed, "home bigint, node bigint").join(sets.select("node", "hashes"), "node")
-    links = links.unionByName(cut(pairs.groupBy("home").cogroup(need.groupBy("home")).applyInArrow(_verify_home, PAIRS_SQL)))
+    joined = cut(pairs.groupBy("home").cogroup(need.groupBy("home")).applyInArrow(_verify_home, PAIRS_SQL))
     if hot.limit(1).count():
-        links = links.unionByName(cut(_cluster_links(hot, sets, classes)))
-    classes = components(links)
-    # the smallest doc_id of each class of linked sets; other sets keep the smallest of their own copies
-    least = classes.join(stand.select("node", "doc_id"), "node").groupBy("comp").agg(F.min("doc_id").alias("_least"))
-    linked = classes.join(least, "comp").select("node", "_least")
-    whole = stand.join(linked, "node", "left").select(F.col("key").alias("_key"), F.coalesce("_least", "doc_id").alias("_comp"))
+        joined = joined.unionByName(cut(_cluster_links(hot, sets, classes)))
+    # classes are joined to larger ones; a set without links so far is its own class
+    larger = components(joined).select(F.col("node").alias("_from"), F.col("comp").alias("_to"))
+    whole = stand.join(classes, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    whole = whole.join(larger, F.col("comp") == F.col("_from"), "left").select("key", "doc_id", F.coalesce("_to", "comp").alias("comp"))
+    # the smallest doc_id of each class
+    least = whole.groupBy(F.col("comp").alias("_class")).agg(F.min("doc_id").alias("_comp"))
+    whole = whole.join(least, F.col("comp") == F.col("_class")).select(F.col("key").alias("_key"), "_comp")
     rows = described.join(whole, described["key"] == whole["_key"], "left")
     return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("_comp", "doc_id")).alias("component_id"))
 
