@@ -56,20 +56,198 @@ def counts_differ(declared: DataFrame, found: DataFrame, keys: Sequence[str], ar
     return issues(both.where("_d <> _f"), artifact, F.concat_ws("/", *keys), message, F.col("_f"), F.col("_d"))
 
 
-def shot_rules(shots: DataFrame, ranges: DataFrame, partial: Column, keys: Sequence[str] = ("video",)) -> DataFrame:
-    """Sequence without gaps, end after start, duration identity, overlap, adjacency (a warning where the analysis is partial), and cover of the range. shots: seq, start_ms, end_ms, duration_ms."""
+def _key(*columns: str) -> Column:
+    return F.concat_ws("/", *columns)
+
+
+def missing_from(rows: DataFrame, known: DataFrame, on: Sequence[str], artifact: str, path: Column, message: str, actual: Column | None = None, severity: str = "error") -> DataFrame:
+    """An issue for each row whose columns ``on`` (not null) are no row of ``known``."""
+    some = rows.dropna(subset=list(on))
+    return issues(some.join(known.select(*on).distinct(), list(on), "left_anti"), artifact, path, message, None, actual, severity)
+
+
+def shot_rules(shots: DataFrame, ranges: DataFrame, partial: Column, declared: DataFrame | None = None, keys: Sequence[str] = ("video",)) -> DataFrame:
+    """Sequence without gaps, end after start, duration identity, overlap, adjacency (a warning where the analysis is partial), and cover of the range;
+    types of the first and last boundary where shots have type_in and type_out, and the number of boundaries where ``declared`` (keys, n) is given.
+
+    shots: seq, start_ms, end_ms, duration_ms."""
     w = W.partitionBy(*keys).orderBy("seq")
     rows = shots.withColumn("_next", F.lead("start_ms").over(w)).withColumn("_rank", F.row_number().over(w))
-    path = F.concat_ws("/", *keys, "seq")
-    ends = shots.groupBy(*keys).agg(F.min("start_ms").alias("_a"), F.max("end_ms").alias("_b")).join(ranges, list(keys))
+    path, video = _key(*keys, "seq"), _key(*keys)
+    whole = [F.min("start_ms").alias("_a"), F.max("end_ms").alias("_b"), (F.count("*") - 1).alias("n")]
+    typed = {"type_in", "type_out"} <= set(shots.columns)
+    if typed:
+        whole += [F.min_by("type_in", "seq").alias("_in"), F.max_by("type_out", "seq").alias("_out")]
+    ends = shots.groupBy(*keys).agg(*whole).join(ranges, list(keys))
     gap = F.when(partial, "warning").otherwise("error")
-    return all_issues([
+    out = [
         differs(rows, "shots", path, "sequence", F.col("_rank"), F.col("seq")),
         issues(rows.where("end_ms <= start_ms"), "shots", path, "end before start", F.col("start_ms"), F.col("end_ms")),
         differs(rows, "shots", path, "duration", F.col("end_ms") - F.col("start_ms"), F.col("duration_ms")),
         issues(rows.where("_next < end_ms"), "shots", path, "overlap", F.col("end_ms"), F.col("_next")),
         issues(rows.where("_next > end_ms"), "shots", path, "not adjacent", F.col("end_ms"), F.col("_next"), gap),
-        issues(ends.where("_a <> range_start or _b <> range_end"), "shots", F.concat_ws("/", *keys), "range not covered", F.col("range_end"), F.col("_b"), gap),
+        issues(ends.where("_a <> range_start"), "shots", video, "range start not covered", F.col("range_start"), F.col("_a")),
+        issues(ends.where("_b <> range_end"), "shots", video, "range end not covered", F.col("range_end"), F.col("_b")),
+    ]
+    if typed:
+        out += [differs(ends, "shots", video, "first boundary", F.lit("sourceStart"), F.col("_in")), differs(ends, "shots", video, "last boundary", F.lit("sourceEnd"), F.col("_out"))]
+    if declared is not None:
+        out.append(counts_differ(declared, ends.select(*keys, "n"), keys, "shots", "boundary count"))
+    return all_issues(out)
+
+
+def coverage_rules(rows: DataFrame, shots: DataFrame, complete: Sequence[str], strict: bool = False, on: Sequence[str] = ("shot",)) -> DataFrame:
+    """Rows of shot-level artifacts (artifact, path, ``on``) must name known shots; complete artifacts must name all of them (a warning unless strict)."""
+    known = shots.select(*on).distinct()
+    unknown = rows.join(known, list(on), "left_anti")
+    wanted = known.withColumn("artifact", F.explode(F.array(*map(F.lit, complete))))
+    lost = wanted.join(rows.select("artifact", *on).distinct(), ["artifact", *on], "left_anti")
+    show = lambda df, path, message, severity: df.select(F.lit(severity).alias("severity"), "artifact", path.cast("string").alias("path"), F.lit(message).alias("message"), F.lit(None).cast("string").alias("expected"), _key(*on).alias("actual"))
+    return show(unknown, F.col("path"), "unknown shot", "error").unionByName(show(lost, _key(*on), "not covered", "error" if strict else "warning"))
+
+
+def frame_rules(frames: DataFrame, shots: DataFrame, ranges: DataFrame, files: DataFrame) -> DataFrame:
+    """frames: video, i, id, shot, t, file. The id is the place, the shot is known, the time lies in the range, the file (listed in ``files``: file) exists."""
+    path = _key("video", "i")
+    timed = frames.join(ranges, "video")
+    return all_issues([
+        differs(frames, "frames", path, "id", F.col("i"), F.col("id")), missing_from(frames, shots, ["video", "shot"], "frames", path, "unknown shot", F.col("shot")),
+        issues(timed.where("t < range_start or t >= range_end"), "frames", path, "time outside", F.col("range_end"), F.col("t")), missing_from(frames, files, ["file"], "frames", path, "no such file", F.col("file")),
+    ])
+
+
+def batch_rules(batches: DataFrame, members: DataFrame, responses: DataFrame, statuses: DataFrame, docs: DataFrame) -> DataFrame:
+    """batches: video, batch, status, has_response; members, responses: video, batch, shot; statuses: video, shot, status; docs: video, status, terminal and counts failed, pending, permanent.
+
+    The shots of a response are those of its batch (a failed batch may have none), every member has a status, nothing is pending in a terminal document, and a complete one counts no failures."""
+    asked = batches.where(~((F.col("status") == "failed") & ~F.col("has_response"))).select("video", "batch")
+    on = ["video", "batch", "shot"]
+    a, b = members.select(*on, F.lit(1).alias("_a")).distinct(), responses.select(*on, F.lit(1).alias("_b")).distinct()
+    odd = a.join(b, on, "full").where("_a is null or _b is null").join(asked, ["video", "batch"]).groupBy("video", "batch").agg(F.count("_a").alias("lost"), F.count("_b").alias("foreign"))
+    waiting = statuses.where("status = 'pending'").join(docs.where("terminal").select("video"), "video").groupBy("video").agg(F.count("*").alias("n"))
+    counts = docs.where("status = 'complete'").select("video", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("bigint").alias("n")) for c in ("failed", "pending", "permanent")])).alias("x")).select("video", "x.*")
+    return all_issues([
+        issues(odd, "batches", _key("video", "batch"), "response differs", F.col("lost"), F.col("foreign")), missing_from(members, statuses, ["video", "shot"], "batches", _key("video", "batch", "shot"), "no status"),
+        issues(waiting, "batches", F.col("video"), "pending in a terminal document", F.lit(0), F.col("n")), issues(counts.where("n <> 0"), "batches", _key("video", "field"), "complete with failures", F.lit(0), F.col("n")),
+    ])
+
+
+def story_rules(blocks: DataFrame, members: DataFrame, shots: DataFrame, slots: DataFrame, docs: DataFrame) -> DataFrame:
+    """blocks: video, block (its name), start_ms, end_ms, relation (text); members: video, block, j, shot; shots: video, shot, seq, start_ms, end_ms; slots: video, slot, j, block; docs: video, status.
+
+    Members are known shots in order, each block's times are those of its first and last shot, relations name another known block, every shot is in exactly one block, blocks
+    cover the sequence one after the other, slots name known blocks, and in a complete story every block is in a slot."""
+    path = _key("video", "block")
+    known = members.join(shots.select("video", "shot", "seq", F.col("start_ms").alias("_s"), F.col("end_ms").alias("_e")), ["video", "shot"], "left")
+    back = F.coalesce(F.col("seq") < F.lag("seq").over(W.partitionBy("video", "block").orderBy("j")), F.lit(False))
+    per = known.withColumn("_back", back).groupBy("video", "block").agg(F.bool_or("_back").alias("_back"), F.count_if(F.col("seq").isNull()).alias("_unknown"), F.min_by("_s", "j").alias("_s"), F.max_by("_e", "j").alias("_e"), F.min("seq").alias("_first"))
+    whole = per.where("_unknown = 0")
+    derived = whole.join(blocks, ["video", "block"])
+    targets = blocks.select("video", "block", F.explode(F.array_distinct(F.regexp_extract_all("relation", F.lit("→ *([A-Za-z0-9]+)"), F.lit(1)))).alias("target"))
+    names = blocks.select("video", F.col("block").alias("target"))
+    times = shots.select("video", "shot").join(members.groupBy("video", "shot").agg(F.count("*").alias("n")), ["video", "shot"], "left").fillna(0, ["n"])
+    # members by block, then by sequence: the k-th must be the k-th shot
+    inside = known.where("seq is not null").join(per.select("video", "block", "_first"), ["video", "block"])
+    laid = inside.select("video", F.row_number().over(W.partitionBy("video").orderBy("_first", "block", "seq")).alias("k"), F.col("seq").alias("_laid"))
+    line = shots.select("video", F.row_number().over(W.partitionBy("video").orderBy("seq")).alias("k"), "seq")
+    torn = line.join(laid, ["video", "k"], "full").where(~F.col("seq").eqNullSafe(F.col("_laid"))).groupBy("video").agg(F.min("k").alias("k"))
+    torn = torn.join(blocks.select("video").distinct(), "video")
+    placed = slots.select("video", "block").distinct()
+    return all_issues([
+        issues(known.where("seq is null"), "story", _key("video", "block", "j"), "unknown shot", None, F.col("shot")), issues(whole.where("_back"), "story", path, "shots out of order"),
+        differs(derived, "story", path, "start", F.col("_s"), F.col("start_ms")), differs(derived, "story", path, "end", F.col("_e"), F.col("end_ms")),
+        issues(targets.join(names, ["video", "target"], "left_anti"), "story", path, "unknown target", None, F.col("target")), issues(targets.where("target = block"), "story", path, "relation to itself"),
+        issues(times.where("n = 0"), "story", _key("video", "shot"), "in no block"), issues(times.where("n > 1"), "story", _key("video", "shot"), "in several blocks", F.lit(1), F.col("n")),
+        issues(torn, "story", F.col("video"), "blocks do not cover the sequence", None, F.col("k")),
+        missing_from(slots, blocks, ["video", "block"], "story", _key("video", "slot", "j"), "unknown block", F.col("block")),
+        missing_from(blocks.join(docs.where("status = 'complete'").select("video"), "video"), placed, ["video", "block"], "story", path, "in no slot"),
+    ])
+
+
+def profile_rules(slots: DataFrame, slot_shots: DataFrame, roles: DataFrame, role_shots: DataFrame, requirements: DataFrame, chains: DataFrame, story_slots: DataFrame, story_blocks: DataFrame, shots: DataFrame) -> DataFrame:
+    """slots: video, slot, share, count, avg_sec; slot_shots: video, slot, shot; roles: video, role, slot, block; role_shots: video, role, shot; requirements: video, pos, slot; chains: video, pos, from_slot, to_slot, block;
+    story_slots: video, slot, block; story_blocks: video, block, shot; shots: video, shot, duration_ms.
+
+    The profile has the story's slots; shares lie in 0..1 and sum to 1; counts and averages are those of the slot's shots; hook and payoff name a slot, a block of that slot and shots of that block; requirements and chains name known slots and blocks."""
+    slot, role = _key("video", "slot"), _key("video", "role")
+    told, blocks = story_slots.select("video", "slot").distinct(), story_blocks.select("video", "block").distinct()
+    held = slot_shots.join(shots, ["video", "shot"], "left")
+    per = slots.join(held.groupBy("video", "slot").agg(F.count("shot").alias("_n"), (F.avg("duration_ms") / 1000).alias("_avg")), ["video", "slot"], "left").fillna(0, ["_n"])
+    sums = slots.groupBy("video").agg(F.sum("share").alias("sum"))
+    named = role_shots.join(roles.select("video", "role", "block"), ["video", "role"])
+    ends = chains.select("video", "pos", F.explode(F.array(F.struct(F.lit("from").alias("end"), F.col("from_slot").alias("slot")), F.struct(F.lit("to").alias("end"), F.col("to_slot").alias("slot")))).alias("x")).select("video", "pos", "x.*")
+    known_roles = roles.join(told, ["video", "slot"]).join(blocks, ["video", "block"])
+    return all_issues([
+        missing_from(told, slots, ["video", "slot"], "profile", slot, "slot is missing"), missing_from(slots, told, ["video", "slot"], "profile", slot, "slot is foreign"),
+        issues(slots.where("share < 0 or share > 1"), "profile", slot, "share outside"), issues(sums.where("abs(sum - 1) > 0.000001"), "profile", F.col("video"), "shares do not sum to 1"),
+        missing_from(slot_shots, shots, ["video", "shot"], "profile", slot, "unknown shot", F.col("shot")), differs(per, "profile", slot, "shot count", F.col("_n"), F.col("count")),
+        issues(per.where("abs(_avg - avg_sec) > 0.01"), "profile", slot, "average"),
+        missing_from(roles, told, ["video", "slot"], "profile", role, "role of unknown slot", F.col("slot")), missing_from(roles, blocks, ["video", "block"], "profile", role, "role of unknown block", F.col("block")),
+        missing_from(known_roles, story_slots, ["video", "slot", "block"], "profile", role, "block outside the slot", F.col("block")),
+        missing_from(role_shots, shots, ["video", "shot"], "profile", role, "role of unknown shot", F.col("shot")), missing_from(named, story_blocks, ["video", "block", "shot"], "profile", role, "shot outside the block", F.col("shot")),
+        missing_from(requirements, told, ["video", "slot"], "profile", _key("video", "pos"), "requirement of unknown slot", F.col("slot")),
+        missing_from(ends, told, ["video", "slot"], "profile", _key("video", "pos", "end"), "chain of unknown slot", F.col("slot")), missing_from(chains, blocks, ["video", "block"], "profile", _key("video", "pos"), "chain of unknown block", F.col("block")),
+    ])
+
+
+def timeline_rules(docs: DataFrame, points: DataFrame, peaks: DataFrame) -> DataFrame:
+    """docs: video, mode, frame_count, range_start, range_end, wave_status, bin_count, bin_ms; points: video, i, t (double); peaks: video, i, lo, hi.
+
+    With a frame index: some frames, whole times from 0 that never go back and lie in the range, as many as counted. With a complete waveform: some bins, as many as counted, of at least 1 ms, and none upside down (only the first is told)."""
+    indexed, waved = docs.where("mode = 'pts-index'"), docs.where("wave_status = 'complete'")
+    path = _key("video", "i")
+    rows = points.join(indexed.select("video", "range_start", "range_end"), "video").withColumn("_good", (F.col("t") >= 0) & (F.col("t") == F.floor("t")))
+    before = F.last(F.when(F.col("_good"), F.col("t")), ignorenulls=True).over(W.partitionBy("video").orderBy("i").rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("_before", before)
+    good, told = rows.where("_good"), lambda c: F.col(c).cast("bigint")
+    count = lambda docs_, of, n: docs_.join(of.groupBy("video").agg(F.count("*").alias("_n")), "video", "left").fillna(0, ["_n"]).withColumn("_said", F.col(n))
+    frames, bins = count(indexed, points, "frame_count"), count(waved, peaks, "bin_count")
+    upside = peaks.where("lo > hi").join(waved.select("video"), "video").groupBy("video").agg(F.min("i").alias("i"))
+    return all_issues([
+        issues(frames.where("_n = 0"), "timeline", F.col("video"), "no frames"), issues(rows.where("not coalesce(_good, false)"), "timeline", path, "no whole time", None, F.col("t").cast("bigint")),
+        issues(good.where("t < _before"), "timeline", path, "not monotone", told("_before"), told("t")), issues(good.where("t < range_start or t >= range_end"), "timeline", path, "outside", None, told("t")),
+        issues(frames.where("_n > 0 and _said <> _n"), "timeline", F.col("video"), "frame count", F.col("_n"), F.col("_said")),
+        issues(bins.where("_n = 0"), "timeline", F.col("video"), "no bins"), issues(bins.where("_n > 0 and _said <> _n"), "timeline", F.col("video"), "bin count", F.col("_n"), F.col("_said")),
+        issues(bins.where("_n > 0 and coalesce(bin_ms, 0) < 1"), "timeline", F.col("video"), "bin length", F.lit(1), F.col("bin_ms")), issues(upside, "timeline", path, "bin upside down"),
+    ])
+
+
+METRICS = ("lumaDelta", "audioLevelDeltaDb", "cameraMotionChange", "audioCutAligned", "speechGapMs", "speechSpansBoundary", "musicContinuity")
+
+
+def relation_rules(relations: DataFrame, metrics: DataFrame, shots: DataFrame) -> DataFrame:
+    """relations: video, pos, pair, left, boundary_ms; metrics: video, pair, name, status, refs; shots: video, shot, seq, end_ms.
+
+    The pairs are the adjacent shots in order (the first difference of a video is told), the boundary is the left shot's end, all metrics are there, and one with a value has references."""
+    w = W.partitionBy("video").orderBy("seq")
+    pairs = shots.select("video", F.row_number().over(w).alias("k"), F.concat_ws("--", "shot", F.lead("shot").over(w)).alias("wanted"), F.lead("shot").over(w).alias("_right")).where("_right is not null").drop("_right")
+    given = relations.select("video", F.row_number().over(W.partitionBy("video").orderBy("pos")).alias("k"), "pair")
+    odd = pairs.join(given, ["video", "k"], "full").where(~F.col("wanted").eqNullSafe(F.col("pair"))).groupBy("video").agg(F.min(F.struct("k", "wanted", "pair")).alias("o")).select("video", "o.*")
+    ends = relations.join(shots.select("video", F.col("shot").alias("left"), "end_ms"), ["video", "left"])
+    wanted = relations.select("video", "pair", F.explode(F.array(*map(F.lit, METRICS))).alias("name"))
+    bare = metrics.where((F.col("status") == "value") & (F.coalesce(F.size("refs"), F.lit(0)) <= 0))
+    return all_issues([
+        issues(odd, "relations", F.col("video"), "pairs are not the adjacent shots", F.col("wanted"), F.col("pair")), issues(ends.where("boundary_ms <> end_ms"), "relations", _key("video", "pair"), "boundary", F.col("end_ms"), F.col("boundary_ms")),
+        missing_from(wanted, metrics, ["video", "pair", "name"], "relations", _key("video", "pair", "name"), "metric is missing"), issues(bare, "relations", _key("video", "pair", "name"), "value without references"),
+    ])
+
+
+def reference_rules(refs: DataFrame, artifacts: DataFrame, files: DataFrame, inventory: DataFrame) -> DataFrame:
+    """refs: artifact, path, ref (null where the entry is no text); artifacts: file (of every known artifact); files: file (that exist); inventory: file, path, kind of JSON files.
+
+    Syntax, then the file (a known artifact that is missing is a warning, any other missing file an error), then the pointer."""
+    from ..functions.scalars import evidence_ref
+    from .documents import resolve_pointers
+
+    rows = refs.withColumn("_r", evidence_ref("ref")).withColumn("file", F.substring_index("ref", "#", 1)).withColumn("pointer", F.when(F.instr("ref", "#") > 0, F.expr("substring(ref, instr(ref, '#') + 1)")))
+    show = lambda df, message, severity="error": df.select(F.lit(severity).alias("severity"), "artifact", "path", (F.lit(message) if isinstance(message, str) else message).alias("message"), F.lit(None).cast("string").alias("expected"), F.col("ref").alias("actual"))
+    good = rows.where("ref is not null and _r.reason is null")
+    there, gone = good.join(files.select("file").distinct(), "file", "left_semi"), good.join(files.select("file").distinct(), "file", "left_anti")
+    known = artifacts.select("file").distinct()
+    walked = resolve_pointers(there.where("pointer is not null").select("artifact", "path", "ref", "file", "pointer"), inventory)
+    return all_issues([
+        show(rows.where("ref is null"), "no text"), show(rows.where("ref is not null and _r.reason is not null"), F.concat(F.lit("syntax: "), F.col("_r.reason"))),
+        show(gone.join(known, "file", "left_semi"), "artifact is missing", "warning"), show(gone.join(known, "file", "left_anti"), "file does not exist"), show(walked.where("error is not null"), F.concat(F.lit("pointer: "), F.col("error"))),
     ])
 
 
