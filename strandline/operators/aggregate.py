@@ -86,3 +86,59 @@ def seam_alignment(slots: DataFrame, seams: DataFrame, least: float = 0.5, keys:
     known = F.col("classification") != "unavailable"
     g = seams.groupBy(*keys).agg(F.avg(F.when(known, (F.col("classification") == "synchronizedCut").cast("int"))).alias("_share"), F.lit(True).alias("_seams"))
     return slots.join(g, list(keys), "left").select(*keys, F.when(F.col("_seams").isNull(), True).when(F.col("_share").isNull(), False).otherwise(F.col("_share") >= least).alias("aligned"))
+
+
+def pair_metric_rows(pairs: DataFrame, keys: Sequence[str] = ("video",)) -> DataFrame:
+    """keys, left, right, metric, value (text), status, unit, refs: seven rows an adjacent pair, whatever is missing.
+
+    pairs: left, right (their places from 0 are left_at, right_at), luma, db, move and music of both sides (left_luma, right_luma and so on), aligned (null without audio boundaries), gap_ms and spans (null without speech)."""
+    c = F.col
+    at = lambda doc: F.array(F.concat(F.lit(f"raw/{doc}.json#shots["), c("left_at").cast("string"), F.lit("]")), F.concat(F.lit(f"raw/{doc}.json#shots["), c("right_at").cast("string"), F.lit("]")))
+    none = F.array().cast("array<string>")
+    side = lambda name: F.concat(F.coalesce(f"left_{name}", F.lit("-")), F.lit(" > "), F.coalesce(f"right_{name}", F.lit("-")))
+    some = lambda name: c(f"left_{name}").isNotNull() | c(f"right_{name}").isNotNull()
+    delta = lambda name, places: F.format_string(f"%.{places}f", F.round(c(f"right_{name}") - c(f"left_{name}"), places))
+
+    def cell(name: str, there: Column, value: Column, refs: Column, unit: str | None = None, lacking: str = "unknown") -> Column:
+        there = F.coalesce(there, F.lit(False))
+        return F.struct(F.lit(name).alias("metric"), F.when(there, value.cast("string")).alias("value"), F.when(there, "value").otherwise(lacking).alias("status"), F.lit(unit).alias("unit"), F.when(there, refs).otherwise(none).alias("refs"))
+
+    both = lambda name: c(f"left_{name}").isNotNull() & c(f"right_{name}").isNotNull()
+    one = lambda ref: F.array(F.lit(ref))
+    cells = F.array(
+        cell("lumaDelta", both("luma"), delta("luma", 3), at("frame-evidence"), None, "unavailable"), cell("audioLevelDeltaDb", both("db"), delta("db", 2), at("audio-energy"), "dB"),
+        cell("cameraMotionChange", some("move"), side("move"), at("camera-motion")), cell("audioCutAligned", c("aligned").isNotNull(), c("aligned"), one("raw/audio-cuts.json#boundaries")),
+        cell("speechGapMs", c("gap_ms").isNotNull(), c("gap_ms"), one("raw/asr.json#segments"), "ms"), cell("speechSpansBoundary", c("spans").isNotNull(), c("spans"), one("raw/asr.json#segments")),
+        cell("musicContinuity", some("music"), side("music"), at("music-flags")))
+    return pairs.select(*keys, "left", "right", F.explode(cells).alias("m")).select(*keys, "left", "right", "m.*")
+
+
+def golden_gate(scores: DataFrame, limits: DataFrame, keys: Sequence[str] = ("video",)) -> DataFrame:
+    """Adds passed: recall and precision against each video's own least_recall and least_precision; a video without limits passes."""
+    rows = scores.join(limits, list(keys), "left")
+    fine = (F.col("recall") >= F.coalesce("least_recall", F.lit(0.0))) & (F.col("precision") >= F.coalesce("least_precision", F.lit(0.0)))
+    return rows.withColumn("passed", fine)
+
+
+def pair_view(metrics: DataFrame, boundaries: DataFrame, semantics: DataFrame, frames: DataFrame, frame_ms: int, names: Sequence[str], keys: Sequence[str] = ("video",)) -> DataFrame:
+    """Long metrics as one row a pair, with how many lack a value, the pair's semantics (unknown where none) and the frames beside its boundary.
+
+    boundaries: keys, left, boundary_ms; semantics: keys, left, semantics; frames: keys, pts_ms. A video without a frame index has its frames at the average rate: one ``frame_ms`` before the boundary and at it."""
+    from .joins import nearest_frames
+
+    on = [*keys, "left"]
+    lacking = metrics.groupBy(*on, "right").agg(F.count_if(F.col("status") != "value").alias("n_lacking"))
+    wide = metrics.groupBy(*on, "right").pivot("metric", list(names)).agg(F.first("value"))
+    near = nearest_frames(boundaries, frames, keys)
+    rows = wide.join(lacking, [*on, "right"]).join(semantics, on, "left").join(near, on)
+    rows = rows.withColumn("semantics", F.coalesce("semantics", F.lit("unknown"))).withColumn("status", F.when(F.col("n_lacking") == 0, "complete").otherwise("partial"))
+    rows = rows.withColumn("frame_source", F.when(F.col("indexed"), "pts").otherwise("average-rate"))
+    return rows.withColumn("left_frame_ms", F.coalesce("before_ms", F.col("boundary_ms") - frame_ms)).withColumn("right_frame_ms", F.coalesce("after_ms", "boundary_ms")).drop("indexed", "before_ms", "after_ms")
+
+
+def review_kpis(shots: DataFrame, motion: DataFrame, keys: Sequence[str] = ("video",)) -> DataFrame:
+    """One row of counts a video. shots: needs_review, duration_ms, music (state), flagged, status (of the model); motion: one row a candidate."""
+    rows = shots.groupBy(*keys).agg(
+        F.count("*").alias("n_shots"), F.count_if("needs_review").alias("n_review"), F.sum("duration_ms").alias("total_ms"), F.count_if(F.col("music") == "music").alias("n_music"), F.count_if(F.col("music") == "unknown").alias("n_unknown"), F.count_if("flagged").alias("n_flagged"),
+        F.when(F.bool_and(F.col("status") == "complete"), "complete").when(F.bool_or(F.col("status") == "complete"), "partial").otherwise("failed").alias("status"))
+    return rows.join(motion.groupBy(*keys).agg(F.count("*").alias("n_motion")), list(keys), "left").fillna(0, ["n_motion"])

@@ -102,6 +102,20 @@ def pts_bracket(cuts: DataFrame, frames: DataFrame, keys: Sequence[str] = KEYS)
     return rows.select(*cuts.columns, left.alias("left_pts"), right.alias("right_pts"))
 
 
+def nearest_frames(boundaries: DataFrame, frames: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Adds before_ms and after_ms to boundaries (boundary_ms): the last frame before and the first at or after each, null where there is none; and indexed: whether the video has frames at all.
+
+    One window over the union of both sides."""
+    columns = boundaries.columns
+    marks = boundaries.withColumn("_t", F.col("boundary_ms")).withColumn("_p", F.lit(None).cast("bigint"))
+    both = marks.unionByName(frames.select(*keys, F.col("pts_ms").alias("_t"), F.col("pts_ms").alias("_p")), allowMissingColumns=True)
+    order = W.partitionBy(*keys).orderBy("_t", F.col("_p").isNotNull())  # a boundary comes before a frame of the same time
+    last = F.last("_p", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
+    first = F.first("_p", ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing))
+    rows = both.select("*", last.alias("before_ms"), first.alias("after_ms"), (F.count("_p").over(W.partitionBy(*keys)) > 0).alias("indexed"))
+    return rows.where("_p is null").select(*columns, "before_ms", "after_ms", "indexed")
+
+
 def band_join(left: DataFrame, right: DataFrame, t1: str, t2: str, width: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """Pairs with |t1 - t2| <= width: the left side looks into its own bucket and both neighbours."""
     a = left.withColumn("_bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col(t1) / width) + d)))

@@ -3,23 +3,112 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import is_absence_claim, raw_value_state
+from ..functions.scalars import confidence as confidence_of
+from ..functions.scalars import evidence_ref, is_absence_claim, raw_value_state
 
 #: Sources that may say that something is absent.
 DETECTORS = ["ffprobe", "ffmpeg", "audioDetector", "appleVision"]
 STATES = ["value", "absent", "absent-claimed", "unknown", "unmapped"]
 
 
-def observations(df: DataFrame, fields: Sequence[str], source: str, keys: Sequence[str]) -> DataFrame:
-    """keys, field, value, state, source, original: one row a field. Null values are unknown, absence words claims."""
-    rows = df.select(*keys, *[F.col(f).cast("string").alias(f) for f in fields]).unpivot(list(keys), list(fields), "field", "original")
-    state = raw_value_state("original")
-    return rows.select(*keys, "field", F.when(state == "value", F.col("original")).alias("value"), state.alias("state"), F.lit(source).alias("source"), "original")
+#: Fields that a model fills, and the part of its reply that carries a confidence for each (fixed values).
+MODEL_FIELDS = (
+    "visual.subjects visual.actions visual.setting visual.props visual.framing visual.cameraAngle visual.composition visual.viewpoint visual.brightness visual.contrast visual.lightingSource "
+    "visual.perceivedColorTemperature visual.saturation visual.depthOfField visual.imageTexture visual.dominantColor visual.perceivedLensFeel function.sourceMedium function.subjectEmotion function.shotTone "
+    "audio.bgmStyle audio.soundEvents components.nonTextOverlayEvents"
+).split()
+#: Fields that detectors and rules fill.
+DETECTED_FIELDS = "audio.speech audio.bgmPresence audio.energy visual.qualityFlags visual.cameraMovement visual.movementIntensity visual.contentSummary editing.transition".split()
+COLUMNS = ("field", "value", "state", "confidence", "refs", "source", "verified", "original")
+
+
+def observation(df: DataFrame, keys: Sequence[str], field: str | Column, value: Column, state: Column, confidence: Column, refs: Column, source: str | Column, original: Column | None = None) -> DataFrame:
+    """One row of the long table for each row of ``df``; a value stands only in the state value."""
+    lit = lambda c: F.lit(c) if isinstance(c, str) else c
+    none = F.lit(None).cast("string")
+    return df.select(
+        *keys, lit(field).alias("field"), F.when(state == "value", value.cast("string")).alias("value"), state.alias("state"), confidence.alias("confidence"), refs.alias("refs"), lit(source).alias("source"),
+        F.lit(False).alias("verified"), (none if original is None else original.cast("string")).alias("original"))
+
+
+def model_observations(df: DataFrame, keys: Sequence[str], vocabularies: dict[str, dict[str, str]] | None = None, fields: Sequence[str] = MODEL_FIELDS, source: str = "unifiedModel") -> DataFrame:
+    """The model's fields of every shot in long form.
+
+    df: status, base_ref (where the reply stands, null if there is none), raw (map of field to text; a field that the reply lacks is no key), sure (map of part to confidence). Only
+    succeeded shots speak; claims of absence come before the vocabulary; a field with a vocabulary (exact values first, then lower-case tokens) is known or unmapped; the others are free text."""
+    rows = df.select(*keys, "status", "base_ref", "raw", "sure", F.explode(F.array(*map(F.lit, fields))).alias("_f"))
+    named = {f"{f}|{t}": c for f, v in (vocabularies or {}).items() for t, c in v.items()}
+    known = F.create_map(*[F.lit(x) for kv in (named or {"": ""}).items() for x in kv])
+    raw = F.try_element_at("raw", F.col("_f"))
+    key = lambda t: F.try_element_at(known, F.concat_ws("|", "_f", t))
+    hit = F.coalesce(key(F.trim(raw)), key(F.lower(F.trim(raw))))
+    here = F.coalesce(F.col("status") == "succeeded", F.lit(False)) & F.col("base_ref").isNotNull()
+    has = here & F.map_contains_key("raw", F.col("_f"))
+    bound = F.col("_f").isin(list(vocabularies or {}))
+    has = F.coalesce(has, F.lit(False))
+    state = F.when(~has | (raw_value_state(raw) == "unknown"), "unknown").when(is_absence_claim(raw), "absent-claimed").when(~bound | hit.isNotNull(), "value").otherwise("unmapped")
+    refs = F.when(~here, F.array().cast("array<string>")).when(~has, F.array("base_ref")).otherwise(F.array(F.concat_ws(".", "base_ref", "_f")))
+    sure = F.when(has, confidence_of(F.try_element_at("sure", F.substring_index("_f", ".", 1)))).otherwise("unknown")
+    value = F.when(bound, hit).otherwise(F.trim(raw))
+    return observation(rows, keys, F.col("_f"), value, state, sure, refs, source, F.when(has & (state != "value"), raw))
+
+
+def all_observations(parts: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def merged_reasons(*reasons: str | Column) -> Column:
+    """Arrays of review reasons as one, in order, each once; null arrays are empty."""
+    return F.array_distinct(F.concat(*[F.coalesce(r if isinstance(r, Column) else F.col(r), F.array().cast("array<string>")) for r in reasons]))
+
+
+def completion(found: DataFrame, keys: Sequence[str], required: Sequence[str], verified_states: Sequence[str] = ("unmapped", "absent-claimed"), allow_unknown: bool = True, check_refs: bool = True) -> DataFrame:
+    """keys, unmet (what stands in the way, sorted), satisfied: for every shot that has observations.
+
+    Required fields are there and settled (value or absent; unknown where that is allowed), states that need it are verified, unknown is allowed or nowhere, references are well formed."""
+    state, field = F.col("state"), F.col("field")
+    shots = found.select(*keys).distinct()
+    need = shots.withColumn("field", F.explode(F.array(*map(F.lit, required)))).join(found.select(*keys, "field", "state"), [*keys, "field"], "left")
+    open_ = ~state.isin("value", "absent") & ~((state == "unknown") & F.lit(allow_unknown))
+    first = need.where(state.isNull() | open_).select(*keys, F.concat("field", F.when(state.isNull(), ": missing").otherwise(F.concat(F.lit(": unsettled "), state))).alias("u"))
+    bad = F.exists("refs", lambda r: evidence_ref(r)["reason"].isNotNull())
+    other = F.array_compact(F.array(
+        F.when(state.isin(list(verified_states)) & ~F.col("verified"), F.concat(field, F.lit(": unverified "), state)), F.when((state == "unknown") & F.lit(not allow_unknown), F.concat(field, F.lit(": unknown"))),
+        F.when(F.lit(check_refs) & (state != "unknown") & bad, F.concat(field, F.lit(": bad reference")))))
+    unmet = first.unionByName(found.select(*keys, F.explode(other).alias("u"))).groupBy(*keys).agg(F.array_sort(F.collect_list("u")).alias("unmet"))
+    return shots.join(unmet, list(keys), "left").select(*keys, F.coalesce("unmet", F.array().cast("array<string>")).alias("unmet"), F.col("unmet").isNull().alias("satisfied"))
+
+
+def confirmable(docs: DataFrame, complete: DataFrame, errors: DataFrame, key: str = "doc") -> DataFrame:
+    """key, verdict: ok, or what stands in the way first. docs: key, outdated; complete: key, satisfied; errors: key of every strict error."""
+    bad = errors.select(key).distinct().withColumn("_bad", F.lit(True))
+    rows = docs.join(complete.select(key, "satisfied"), key, "left").join(bad, key, "left")
+    return rows.select(key, F.when(F.col("outdated"), "outdated").when(~F.coalesce("satisfied", F.lit(False)), "incomplete").when(F.col("_bad"), "errors").otherwise("ok").alias("verdict"))
+
+
+def split_changes(log: DataFrame, boundary: Column) -> tuple[DataFrame, DataFrame]:
+    """Changes of boundaries, and all others: the former move final bounds and leave the detected ones as they are."""
+    return log.where(F.coalesce(boundary, F.lit(False))), log.where(~F.coalesce(boundary, F.lit(False)))
+
+
+def lineage(df: DataFrame, graph: dict[str, tuple[Sequence[str], str, str]], size: int = 16) -> DataFrame:
+    """Adds a fingerprint for each artifact of the graph, in order: name -> (upstream artifacts or columns, configuration, version)."""
+    for name, (above, config, version) in graph.items():
+        df = df.withColumn(name, chained_fingerprint(*[F.col(c).cast("string") for c in above], F.lit(config), F.lit(version), size=size))
+    return df
+
+
+def step_status(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, status. df: status (complete, degraded, skipped, partial, failed), required: a failed required step fails all; what was skipped or degraded on purpose counts as complete."""
+    failed = F.bool_or((F.col("status") == "failed") & F.col("required"))
+    done = F.bool_and(F.col("status").isin("complete", "degraded", "skipped"))
+    return df.groupBy(*keys).agg(F.when(failed, "failed").when(done, "complete").otherwise("partial").alias("status"))
 
 
 def state_violations(df: DataFrame) -> DataFrame:
@@ -45,16 +134,6 @@ def prefer(detector: DataFrame, model: DataFrame, compatible: dict[str, list[str
     return both.select(*keys, F.coalesce("_d", "_m").alias("value"), F.coalesce(source, F.lit("none")).alias("source"), F.when(conflict, "detector and model differ").alias("review"))
 
 
-def resolve_model_field(df: DataFrame, raw: str, status: str, vocabulary: dict[str, str] | None = None) -> DataFrame:
-    """Adds state and value of a model's field: only of succeeded rows; absence is tested before the vocabulary; free text without one."""
-    ok = F.col(status) == "succeeded"
-    known = F.create_map(*[F.lit(x) for k, v in (vocabulary or {"": ""}).items() for x in (k, v)])
-    hit = F.try_element_at(known, F.lower(F.trim(F.col(raw)))) if vocabulary else F.trim(F.col(raw))
-    blank = raw_value_state(raw) == "unknown"
-    state = F.when(~ok | blank, "unknown").when(is_absence_claim(raw), "absent-claimed").when(hit.isNotNull(), "value").otherwise("unmapped")
-    return df.withColumn("state", state).withColumn("value", F.when(state == "value", hit))
-
-
 def latest(log: DataFrame, entity: Sequence[str], seq: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Last change of each entity by sequence; partial maxima before the shuffle keep a hot entity to one row a task."""
     last = F.max(F.struct(*seq, *[F.col(c).alias(f"_{c}") for c in columns])).alias("_l")

@@ -12,6 +12,7 @@ from ..operators import joins as J
 from .bindings import HOUR, conv, ev_points, ev_ranges, ev_seg, ev_shots, spans, sql, table
 from .islands import AUDIO, associations, overlap_ratios
 from .joins import _AROUND, _ATTR, BUCKET, around, attributed, matches
+from ..operators import quality as Q
 from .registry import query
 from .signals import keyframes, _KEYS
 
@@ -123,20 +124,6 @@ def text_stats(spark, sf):
 _HIER = """ from region join nation on n_regionkey = r_regionkey join customer on c_nationkey = n_nationkey"""
 
 
-@query("slot_rollup", f"""
-with x as (select r_name as slot_id, n_nationkey, c_custkey, c_custkey % 97 * 1000 + 500 as duration_ms, n_nationkey * 100000 as start_ms, n_nationkey * 100000 + 90000 as end_ms {_HIER}), t as (select sum(duration_ms) as total from x)
-select slot_id, count(distinct n_nationkey) as min_blocks, count(distinct c_custkey) as n_shots, round((arg_max(end_ms, start_ms) - min(start_ms)) / any_value(total), 4) as duration_share, round(min(start_ms) / 1000, 3) as start_sec, round(arg_max(end_ms, start_ms) / 1000, 3) as end_sec,
-  round(avg(duration_ms) / 1000, 3) as avg_shot_sec, string_agg(distinct n_nationkey::varchar, ',' order by n_nationkey::varchar) as block_ids from x, t group by slot_id""")
-def slot_rollup(spark, sf):
-    x = hierarchy(spark, sf)
-    total = x.agg(F.sum("duration_ms").alias("total"))
-    rows = x.groupBy("slot_id").agg(
-        F.countDistinct("block").alias("min_blocks"), F.countDistinct("shot_id").alias("n_shots"), F.min("start_ms").alias("s"), F.max_by("end_ms", "start_ms").alias("e"),
-        F.avg("duration_ms").alias("d"), F.array_join(F.array_sort(F.collect_set(F.col("block").cast("string"))), ",").alias("block_ids"))
-    rows = rows.withColumn("total", total.scalar())
-    return rows.select("slot_id", "min_blocks", "n_shots", F.round((F.col("e") - F.col("s")) / F.col("total"), 4).alias("duration_share"), A.seconds("s").alias("start_sec"), A.seconds("e").alias("end_sec"), A.seconds("d").alias("avg_shot_sec"), "block_ids")
-
-
 def hierarchy(spark, sf):
     """Slots, blocks and shots with durations: regions, nations and customers."""
     j = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -223,15 +210,6 @@ def pair_metrics(spark, sf):
     return pairs.join(gaps, ["video", "left_seq"]).select("video", "left_seq", "right_seq", F.round(F.col("right_median") - F.col("left_median"), 6).alias("luma"), "gap_ms", "spans")
 
 
-@query("pair_metrics_table", sql("ev_shots ev_seg", _PAIRS + """
-select video, left_seq, right_seq, 'luma' as metric, luma::varchar as value, case when luma is null then 'unavailable' else 'ok' end as status, 'level' as unit from w
-union all select video, left_seq, right_seq, 'gap', gap_ms::varchar, case when gap_ms is null then 'unavailable' else 'ok' end, 'ms' from w union all select video, left_seq, right_seq, 'spans', spans::varchar, 'ok', 'flag' from w""").replace("luma::varchar", "printf('%.3f', luma)"))
-def pair_metrics_table(spark, sf):
-    row = lambda name, value, unit: F.struct(F.lit(name).alias("metric"), value.alias("value"), F.when(value.isNull(), "unavailable").otherwise("ok").alias("status"), F.lit(unit).alias("unit"))
-    cells = F.explode(F.array(row("luma", F.when(F.col("luma").isNotNull(), F.format_string("%.3f", "luma")), "level"), row("gap", F.col("gap_ms").cast("string"), "ms"), row("spans", F.col("spans").cast("string"), "flag")))
-    return pair_metrics(spark, sf).select("video", "left_seq", "right_seq", cells.alias("c")).select("video", "left_seq", "right_seq", "c.*")
-
-
 @query("review_reasons", sql("ev_shots ev_seg", _PAIRS + """, r as (select *, list_filter([case when luma is null then 'lumaUnavailable' when abs(luma) >= 40 then 'lumaJump' when abs(luma) < 0.8 then 'lumaFlat' end, case when gap_ms >= 7200000 then 'longGap' end], lambda x: x is not null) as l from w)
 select video, left_seq, right_seq, array_to_string(l, ',') as reasons, len(l) > 0 as needs_review from r"""))
 def review_reasons(spark, sf):
@@ -253,18 +231,6 @@ def status_rollups(spark, sf):
     return A.status_rollup(table(spark, sf, "orders").select(F.col("o_custkey").alias("video"), "o_orderstatus"), "o_orderstatus", complete="F")
 
 
-@query("expected_vs_actual_completion", """
-with need as (select c_custkey, p from customer cross join (values ('1-URGENT'), ('2-HIGH')) v(p)), have as (select distinct o_custkey, o_orderpriority, bool_or(o_orderstatus = 'F') over (partition by o_custkey, o_orderpriority) as verified from orders)
-select c_custkey as video, coalesce(string_agg(p || case when verified is null then ':missing' else ':unverified' end, ',' order by p) filter (where not coalesce(verified, false)), '') as unmet, count(*) filter (where not coalesce(verified, false)) = 0 as satisfied from need left join have on o_custkey = c_custkey and o_orderpriority = p group by c_custkey""")
-def expected_vs_actual_completion(spark, sf):
-    """Each shot against its required fields: missing, or present but not verified."""
-    need = table(spark, sf, "customer").select(F.col("c_custkey").alias("video"), F.explode(F.array(F.lit("1-URGENT"), F.lit("2-HIGH"))).alias("p"))
-    have = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("video"), F.col("o_orderpriority").alias("p")).agg(F.bool_or(F.col("o_orderstatus") == "F").alias("verified"))
-    unmet = F.when(F.col("verified").isNull(), F.concat("p", F.lit(":missing"))).when(~F.col("verified"), F.concat("p", F.lit(":unverified")))
-    rows = need.join(have, ["video", "p"], "left").groupBy("video").agg(F.array_sort(F.collect_list(unmet)).alias("u"))
-    return rows.select("video", F.array_join("u", ",").alias("unmet"), (F.size("u") == 0).alias("satisfied"))
-
-
 @query("eval_boundary")
 def eval_boundary(spark, sf):
     """On greedy matches; compared with a plain loop in the tests."""
@@ -272,14 +238,6 @@ def eval_boundary(spark, sf):
     return A.recall_precision(golden, found, J.greedy_match(golden, found, tolerance))
 
 
-@query("golden_gate")
-def golden_gate(spark, sf):
-    """Videos against their own minimum recall and precision (here by number)."""
-    rows = eval_boundary(spark, sf)
-    low = F.when(F.col("video") % 2 == 0, 0.2).otherwise(0.5)
-    return rows.select("video", "recall", "precision", ((F.col("recall") >= low) & (F.col("precision") >= low / 2)).alias("passed"))
-
-
 @query("eval_enum_accuracy", """
 with g as (select doc_id, quality as v from labels), p as (select doc_id, lang, (n_chars > 300)::int as v from documents), x as (select coalesce(g.doc_id, p.doc_id) as id, coalesce(lang, 'none') as lang, g.v is not distinct from p.v as same from g full join p using (doc_id))
 select lang, count(*) as n, sum(same::int)::bigint as n_same, round(avg(same::int), 6) as accuracy from x group by lang""")
@@ -290,17 +248,6 @@ def eval_enum_accuracy(spark, sf):
     return rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum("same").alias("n_same"), F.round(F.avg("same"), 6).alias("accuracy"))
 
 
-@query("review_kpis", """
-select o_custkey as video, count(*) as n_shots, count(*) filter (where o_orderstatus = 'P') as n_review, sum(o_orderkey % 1000)::bigint as total, count(*) filter (where o_orderpriority = '1-URGENT') as n_music, count(*) filter (where o_orderpriority = '4-NOT SPECIFIED') as n_unknown,
-  case when bool_and(o_orderstatus = 'F') then 'complete' when bool_or(o_orderstatus = 'F') then 'partial' else 'failed' end as status from orders group by o_custkey""")
-def review_kpis(spark, sf):
-    o = table(spark, sf, "orders")
-    done = F.col("o_orderstatus") == "F"
-    return o.groupBy(F.col("o_custkey").alias("video")).agg(
-        F.count("*").alias("n_shots"), F.count_if(F.col("o_orderstatus") == "P").alias("n_review"), F.sum(F.col("o_orderkey") % 1000).alias("total"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("n_music"),
-        F.count_if(F.col("o_orderpriority") == "4-NOT SPECIFIED").alias("n_unknown"), F.when(F.bool_and(done), "complete").when(F.bool_or(done), "partial").otherwise("failed").alias("status"))
-
-
 @query("analysis_range", sql("ev_shots ev_ranges", """, s as (select video, sum(end_ms - start_ms)::bigint as total from ev_shots group by video), m as (select video, case when video % 3 = 0 then null else range_start end as a, case when video % 5 = 0 then range_start else range_end end as b from ev_ranges)
 select video, coalesce(case when b > a then b - a end, total) as total_ms, case when coalesce(case when b > a then b - a end, total, 0) <= 0 then 'rejected' else 'ok' end as status from m left join s using (video)"""))
 def analysis_range(spark, sf):
@@ -310,13 +257,97 @@ def analysis_range(spark, sf):
     return rows.select("video", "total_ms", F.when(F.coalesce("total_ms", F.lit(0)) <= 0, "rejected").otherwise("ok").alias("status"))
 
 
-@query("pair_view", sql("ev_shots ev_seg", _PAIRS + " select video, left_seq || '--' || right_seq as pair_id, printf('%.3f', luma) as luma, gap_ms::varchar as gap, spans::varchar as spans, case when luma is null or gap_ms is null then 'partial' else 'complete' end as status from w"))
-def pair_view(spark, sf):
-    """The long metrics as one row a pair."""
-    rows = pair_metrics_table(spark, sf).groupBy("video", "left_seq", "right_seq").pivot("metric", ["luma", "gap", "spans"]).agg(F.first("value"))
-    return rows.select("video", F.concat_ws("--", "left_seq", "right_seq").alias("pair_id"), "luma", "gap", "spans", F.when(F.col("luma").isNull() | F.col("gap").isNull(), "partial").otherwise("complete").alias("status"))
-
-
 @query("transcript_text", sql("conv", " select video, string_agg(trim(text), ' ' order by seq) as text from conv where trim(text) <> '' group by video"))
 def transcript_text(spark, sf):
     return A.joined_text(conv(spark, sf), "text", ["seq"])
+
+
+@query("slot_rollup", f"""
+with x as (select r_name as slot_id, n_nationkey, c_custkey, c_custkey % 97 * 1000 + 500 as duration_ms, n_nationkey * 100000 as start_ms, n_nationkey * 100000 + 90000 as end_ms, c_mktsegment as kind {_HIER}), t as (select sum(duration_ms) as total from x),
+b as (select slot_id, string_agg(n_nationkey::varchar, ',' order by start_ms) as block_ids from (select distinct slot_id, n_nationkey, start_ms from x) group by slot_id), k as (select slot_id, string_agg(kind, '、' order by kind) as types from (select distinct slot_id, kind from x) group by slot_id)
+select slot_id, count(distinct n_nationkey) as min_blocks, count(distinct c_custkey) as n_shots, round((arg_max(end_ms, start_ms) - min(start_ms)) / any_value(total), 4) as duration_share, round(min(start_ms) / 1000, 3) as start_sec, round(arg_max(end_ms, start_ms) / 1000, 3) as end_sec,
+  round(avg(duration_ms) / 1000, 3) as avg_shot_sec, any_value(block_ids) as block_ids, any_value(types) as types from x join b using (slot_id) join k using (slot_id), t group by slot_id""")
+def slot_rollup(spark, sf):
+    """Blocks in the order of their start; types are the distinct kinds of the slot's shots."""
+    x = hierarchy(spark, sf).join(table(spark, sf, "customer").select(F.col("c_custkey").alias("shot_id"), F.col("c_mktsegment").alias("kind")), "shot_id")
+    total = x.agg(F.sum("duration_ms").alias("total"))
+    blocks = F.transform(F.array_sort(F.collect_set(F.struct("start_ms", "block"))), lambda b: b["block"].cast("string"))
+    rows = x.groupBy("slot_id").agg(
+        F.countDistinct("block").alias("min_blocks"), F.countDistinct("shot_id").alias("n_shots"), F.min("start_ms").alias("s"), F.max_by("end_ms", "start_ms").alias("e"),
+        F.avg("duration_ms").alias("d"), F.array_join(blocks, ",").alias("block_ids"), F.array_join(F.array_sort(F.collect_set("kind")), "、").alias("types"))
+    rows = rows.withColumn("total", total.scalar())
+    return rows.select("slot_id", "min_blocks", "n_shots", F.round((F.col("e") - F.col("s")) / F.col("total"), 4).alias("duration_share"), A.seconds("s").alias("start_sec"), A.seconds("e").alias("end_sec"), A.seconds("d").alias("avg_shot_sec"), "block_ids", "types")
+
+
+_WIDE = _HITS + _AROUND + """, e as (select video, seq, median(value) as m, count(value) as n, end_ms from hit join ev_shots using (video, seq) group by all),
+f as (select *, case when n >= 2 then floor(m) - 100 end as db, case n % 3 when 1 then 'pan' when 2 then 'static' end as mv, case when n % 4 <> 0 then 'music' || n % 4 end as mu from e),
+g as (select video, seq as l, lead(seq) over w as r, end_ms as b, m as lm, lead(m) over w as rm, db as ld, lead(db) over w as rd, mv as lv, lead(mv) over w as rv, mu as lu, lead(mu) over w as ru from f window w as (partition by video order by seq)),
+w as (select g.*, gp.gap_ms, gp.spans, case when exists (select 1 from ev_points a where a.video = g.video and a.kind = 'purchase') then exists (select 1 from ev_points a where a.video = g.video and a.kind = 'purchase' and abs(a.time_ms - b) <= 3600000) end as aligned,
+  'shots[' || (l - 1) || '],' as p1, '#shots[' || (r - 1) || ']' as p2 from g join gaps gp on gp.video = g.video and gp.seq = l where r is not null)
+"""
+_AT = "case when {t} then 'raw/{d}.json#shots[' || (l - 1) || '],raw/{d}.json#shots[' || (r - 1) || ']' else '' end"
+
+
+def _cell(name: str, there: str, value: str, refs: str, unit: str = "null", lacking: str = "unknown") -> str:
+    refs = _AT.format(t=there, d=refs) if "#" not in refs else f"case when {there} then '{refs}' else '' end"
+    return f"select video, l as left_shot, r as right_shot, '{name}' as metric, case when {there} then ({value})::varchar end as value, case when {there} then 'value' else '{lacking}' end as status, {unit}::varchar as unit, {refs} as refs from w"
+
+
+_CELLS = _WIDE + " , cells as (" + " union all ".join([
+    _cell("lumaDelta", "lm is not null and rm is not null", "printf('%.3f', round(rm - lm, 3))", "frame-evidence", lacking="unavailable"), _cell("audioLevelDeltaDb", "ld is not null and rd is not null", "printf('%.2f', round(rd - ld, 2))", "audio-energy", "'dB'"),
+    _cell("cameraMotionChange", "lv is not null or rv is not null", "coalesce(lv, '-') || ' > ' || coalesce(rv, '-')", "camera-motion"), _cell("audioCutAligned", "aligned is not null", "aligned", "raw/audio-cuts.json#boundaries"),
+    _cell("speechGapMs", "gap_ms is not null", "gap_ms", "raw/asr.json#segments", "'ms'"), _cell("speechSpansBoundary", "spans is not null", "spans", "raw/asr.json#segments"),
+    _cell("musicContinuity", "lu is not null or ru is not null", "coalesce(lu, '-') || ' > ' || coalesce(ru, '-')", "music-flags")]) + ")"
+
+
+def wide_pairs(spark, sf):
+    e = A.by_shot(ev_shots(spark, sf), hits(spark, sf), "value", ["video", "seq"]).select("video", "seq", "median", "n")
+    n, m = F.col("n"), F.col("median")
+    rows = ev_shots(spark, sf).join(e, ["video", "seq"]).select("video", "seq", "end_ms", m.alias("luma"), F.when(n >= 2, F.floor(m) - 100).alias("db"), F.when(n % 3 == 1, "pan").when(n % 3 == 2, "static").alias("move"), F.when(n % 4 != 0, F.concat(F.lit("music"), n % 4)).alias("music"))
+    pairs = J.adjacent_pairs(rows, "seq", ["seq", "end_ms", "luma", "db", "move", "music"])
+    gaps = around(spark, sf).select("video", F.col("seq").alias("left_seq"), "gap_ms", "spans")
+    cuts = J.band_exists(pairs.select("video", F.col("left_end_ms").alias("cut_ms")), ev_points(spark, sf, "purchase").select("video", F.col("time_ms").alias("audio_ms")), HOUR)
+    pairs = pairs.join(gaps, ["video", "left_seq"]).join(cuts.select("video", F.col("cut_ms").alias("left_end_ms"), "aligned"), ["video", "left_end_ms"])
+    return pairs.withColumn("left", F.col("left_seq")).withColumn("right", F.col("right_seq")).withColumn("left_at", F.col("left_seq") - 1).withColumn("right_at", F.col("right_seq") - 1)
+
+
+@query("pair_metrics_table", sql("ev_shots ev_seg", _CELLS + " select * from cells"))
+def pair_metrics_table(spark, sf):
+    """Seven metrics of each adjacent pair in long form."""
+    rows = A.pair_metric_rows(wide_pairs(spark, sf))
+    return rows.select("video", F.col("left").alias("left_shot"), F.col("right").alias("right_shot"), "metric", "value", "status", "unit", F.array_join("refs", ",").alias("refs"))
+
+
+@query("pair_view", sql("ev_shots ev_seg", _CELLS + """, t as (select w.video, l, b, max(time_ms) filter (where time_ms < b) as lp, min(time_ms) filter (where time_ms >= b) as rp, count(p.video) > 0 as has from w left join ev_points p on p.video = w.video and p.kind = 'click' and w.video % 4 <> 0 group by all)
+select c.video, c.left_shot || '--' || c.right_shot as pair_id, """ + ", ".join(f"max(value) filter (where metric = '{m}') as \"{m}\"" for m in Q.METRICS) + """, count(*) filter (where status <> 'value') as n_lacking, case when count(*) filter (where status <> 'value') = 0 then 'complete' else 'partial' end as status,
+  case when c.left_shot % 3 = 0 then 'value' else 'unknown' end as semantics, case when any_value(has) then 'pts' else 'average-rate' end as frame_source, any_value(case when has then coalesce(lp, b - 40) else b - 40 end) as left_frame_ms, any_value(case when has then coalesce(rp, b) else b end) as right_frame_ms
+from cells c join t on t.video = c.video and t.l = c.left_shot group by c.video, c.left_shot, c.right_shot"""))
+def pair_view(spark, sf):
+    """One row a pair for review: metrics, semantics and the frames beside the boundary, from the frame index or, where a video has none (here of multiples of 4), from the frame rate."""
+    pairs = wide_pairs(spark, sf)
+    frames = ev_points(spark, sf, "click").where("video % 4 <> 0").select("video", F.col("time_ms").alias("pts_ms"))
+    semantics = pairs.where("left % 3 = 0").select("video", "left", F.lit("value").alias("semantics"))
+    view = A.pair_view(A.pair_metric_rows(pairs), pairs.select("video", "left", F.col("left_end_ms").alias("boundary_ms")), semantics, frames, 40, list(Q.METRICS))
+    return view.select("video", F.concat_ws("--", "left", "right").alias("pair_id"), *Q.METRICS, "n_lacking", "status", "semantics", "frame_source", "left_frame_ms", "right_frame_ms")
+
+
+@query("golden_gate")
+def golden_gate(spark, sf):
+    """Each video against its own minimum recall and precision, with its own tolerance; every seventh has no limits."""
+    v = F.col("video")
+    golden, found, tolerance = matches(spark, sf)
+    parts = [golden.where(v % 2 == k).transform(lambda g, k=k: A.recall_precision(g, found.where(v % 2 == k), J.greedy_match(g, found.where(v % 2 == k), tolerance // (k + 1)))) for k in (0, 1)]
+    scores = parts[0].unionByName(parts[1])
+    limits = scores.where("video % 7 <> 0").select("video", F.when(v % 2 == 0, 0.2).otherwise(0.5).alias("least_recall"), F.when(v % 2 == 0, 0.1).otherwise(0.25).alias("least_precision"))
+    return A.golden_gate(scores, limits).select("video", "recall", "precision", "passed")
+
+
+@query("review_kpis", """with m as (select o_custkey as video, count(*) as n from lineitem join orders on l_orderkey = o_orderkey where l_quantity > 45 group by o_custkey)
+select o_custkey as video, count(*) as n_shots, count(*) filter (where o_orderstatus = 'P') as n_review, sum(o_orderkey % 1000)::bigint as total, count(*) filter (where o_orderpriority = '1-URGENT') as n_music, count(*) filter (where o_orderpriority = '4-NOT SPECIFIED') as n_unknown,
+  count(*) filter (where o_totalprice > 200000) as n_flagged, coalesce(any_value(n), 0) as n_motion, case when bool_and(o_orderstatus = 'F') then 'complete' when bool_or(o_orderstatus = 'F') then 'partial' else 'failed' end as status from orders left join m on m.video = o_custkey group by o_custkey""")
+def review_kpis(spark, sf):
+    """Per video one row of counts; flagged quality are dear orders, motion candidates large lines."""
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("video"), "o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
+    shots = o.select("video", (F.col("o_orderstatus") == "P").alias("needs_review"), (F.col("o_orderkey") % 1000).alias("duration_ms"), F.when(F.col("o_orderpriority") == "1-URGENT", "music").when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "unknown").otherwise("silent").alias("music"), (F.col("o_totalprice") > 200_000).alias("flagged"), F.when(F.col("o_orderstatus") == "F", "complete").otherwise("failed").alias("status"))
+    motion = table(spark, sf, "lineitem").where("l_quantity > 45").join(o.select("video", F.col("o_orderkey").alias("l_orderkey")), "l_orderkey").select("video")
+    return A.review_kpis(shots, motion).withColumnRenamed("total_ms", "total")

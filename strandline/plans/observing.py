@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import aggregate as A
 from ..operators import observe as O
+from ..operators import quality as Q
+from ..operators import replies as R
 from .aggregates import hierarchy, hits, music_states, _HITS, _MUSIC
 from .bindings import conv, ev_points, ev_ranges, ev_seg, ev_shots, sql, table
 from .joins import _ATTR, attributed
@@ -16,15 +18,6 @@ from .registry import query
 _ABSENT = ", ".join(f"'{w}'" for w in S.ABSENCE_WORDS)
 
 
-@query("observations_long", f"""
-with r as (select p_partkey, unnest(['p_name', 'p_brand', 'p_type']) as field, unnest([case when p_size % 5 = 0 then 'none' else p_name end, case when p_size % 7 = 0 then null else p_brand end, p_type]) as original from part)
-select p_partkey, field, case when original is null or lower(trim(original)) in ('', 'unknown', {_ABSENT}) then null else original end as value,
-  case when original is null or lower(trim(original)) in ('', 'unknown') then 'unknown' when lower(trim(original)) in ({_ABSENT}) then 'absent-claimed' else 'value' end as state, 'model' as source, original from r""")
-def observations_long(spark, sf):
-    rows = table(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") % 5 == 0, "none").otherwise(F.col("p_name")).alias("p_name"), F.when(F.col("p_size") % 7 != 0, F.col("p_brand")).alias("p_brand"), "p_type")
-    return O.observations(rows, ["p_name", "p_brand", "p_type"], "model", ["p_partkey"])
-
-
 @query("resolve_speech", sql("ev_seg ev_shots", _ATTR + """, t as (select video, seq, string_agg(trim(text), ' ' order by start_ms, end_ms, pos) as text, count(*) as n from attr group by video, seq)
 select s.video, s.seq, case when s.video % 6 <> 0 then text end as value, case when s.video % 6 <> 0 and text is not null then 'value' else 'unknown' end as state, case when s.video % 6 <> 0 and text is not null then 'high' else 'unknown' end as confidence, case when s.video % 6 <> 0 then coalesce(n, 0) else 0 end as n_refs
 from ev_shots s left join t on t.video = s.video and t.seq = s.seq"""))
@@ -78,17 +71,6 @@ def resolve_movement_intensity(spark, sf):
 _TYPES = {"standard": "标准", "promo": "促销", "small": "小", "economy": "经济"}
 
 
-@query("resolve_model_field", f"""
-with r as (select p_partkey, case p_size % 6 when 0 then 'none' when 1 then '' else p_type end as raw, case when p_partkey % 9 = 0 then 'failed' else 'succeeded' end as status from part),
-v(k, c) as (values {", ".join(f"('{k}', '{c}')" for k, c in _TYPES.items())})
-select p_partkey, case when status <> 'succeeded' or lower(trim(raw)) in ('', 'unknown') then 'unknown' when lower(trim(raw)) in ({_ABSENT}) then 'absent-claimed' when c is not null then 'value' else 'unmapped' end as state,
-  case when status = 'succeeded' then c end as value from r left join v on lower(trim(raw)) = k""")
-def resolve_model_field(spark, sf):
-    raw = F.when(F.col("p_size") % 6 == 0, "none").when(F.col("p_size") % 6 == 1, "").otherwise(F.col("p_type"))
-    rows = table(spark, sf, "part").select("p_partkey", raw.alias("raw"), F.when(F.col("p_partkey") % 9 == 0, "failed").otherwise("succeeded").alias("status"))
-    return O.resolve_model_field(rows, "raw", "status", _TYPES).select("p_partkey", "state", "value")
-
-
 @query("state_invariants", """
 with o as (select doc_id, case doc_id % 11 when 0 then null else lang end as value, ['value', 'absent', 'absent-claimed', 'unknown', 'unmapped', 'odd'][doc_id % 6 + 1] as state, case when doc_id % 5 = 0 then 0 else 1 end as n_refs, case when doc_id % 2 = 0 then 'ffmpeg' else 'model' end as source, case when doc_id % 3 = 0 then null else 'x' end as original from documents),
 r as (select *, case when state = 'odd' then 'unknown state' when state = 'value' and value is null then 'value without value' when state in ('absent', 'absent-claimed', 'unknown') and value is not null then 'value in empty state'
@@ -101,13 +83,6 @@ def state_invariants(spark, sf):
     return O.state_violations(rows).select("doc_id", "rule")
 
 
-@query("review_reason_merge", """
-select o_custkey as video, array_to_string(list_filter([case when bool_or(o_orderstatus = 'P') then 'conflict' end, case when bool_or(o_orderpriority = '1-URGENT') then 'shot' end, case when count(*) > 12 then 'many' end], lambda x: x is not null), ',') as reasons from orders group by o_custkey""")
-def review_reason_merge(spark, sf):
-    flags = F.array_compact(F.array(F.when(F.bool_or(F.col("o_orderstatus") == "P"), "conflict"), F.when(F.bool_or(F.col("o_orderpriority") == "1-URGENT"), "shot"), F.when(F.count("*") > 12, "many")))
-    return table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("video")).agg(F.array_join(flags, ",").alias("reasons"))
-
-
 @query("degraded_rows", """
 with g as (select o_custkey, count(*) as n, sum(o_totalprice > 200000)::bigint as big from orders where o_custkey % 10 <> 3 group by o_custkey)
 select c_custkey as video, coalesce(n, 0) as n, coalesce(big, 0) as big, case when n is null then 'unknown' else 'value' end as state, case when n is null then 'unavailable' else 'complete' end as status from customer left join g on o_custkey = c_custkey""")
@@ -177,21 +152,6 @@ def story_overlay(spark, sf):
     return rows.select("block", F.when(shown, F.col("title")).otherwise(F.col("n_name")).alias("title"), shown.alias("corrected"))
 
 
-@query("confirm_gate", "select c_custkey as doc from customer where c_acctbal >= 0 and c_custkey in (select o_custkey from orders) and c_custkey not in (select o_custkey from orders where o_orderstatus = 'P' and o_totalprice > 100000)")
-def confirm_gate(spark, sf):
-    """Documents that are current, complete (have rows) and free of errors."""
-    o = table(spark, sf, "orders").withColumnRenamed("o_custkey", "doc")
-    rows = table(spark, sf, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("doc"))
-    return rows.join(o, "doc", "left_semi").join(o.where("o_orderstatus = 'P' and o_totalprice > 100000"), "doc", "left_anti")
-
-
-@query("boundary_overlay_split", f"with {_LOG} select field = '3-MEDIUM' as boundary, entity, count(*) as n, arg_max(new_value, (d, k)) as last from log group by all")
-def boundary_overlay_split(spark, sf):
-    """Changes of boundaries go their own way: the detected bounds stay as they are."""
-    log = change_log(spark, sf).withColumn("boundary", F.col("field") == "3-MEDIUM")
-    return log.groupBy("boundary", "entity").agg(F.count("*").alias("n"), F.max_by("new_value", F.struct("d", "k")).alias("last"))
-
-
 @query("reuse_decision", """
 with e as (select doc_id, left(sha256(text), 16) as f from documents), m as (select doc_id, left(sha256(case when doc_id % 7 = 0 then text || 'x' else text end), 16) as f, case when doc_id % 5 = 0 then 'partial' else 'complete' end as status, doc_id % 13 <> 0 as valid from documents where doc_id % 3 <> 0),
 r as (select e.doc_id, case when m.doc_id is null then 'missing' when not valid then 'invalid' when e.f <> m.f then 'changed' when status <> 'complete' then 'incomplete' end as reason from e left join m on m.doc_id = e.doc_id)
@@ -204,24 +164,6 @@ def reuse_decision(spark, sf):
     return O.stale(expected, manifest, ["doc_id"]).select("doc_id", "reason")
 
 
-@query("lineage_fingerprints", """
-with a as (select o_orderkey, left(sha256(o_orderkey || '|' || o_orderstatus), 16) as media from orders), b as (select *, left(sha256(media || '|v1|cfg'), 16) as shots from a), c as (select *, left(sha256(media || '|' || shots || '|v2'), 16) as audio from b)
-select o_orderkey, media, shots, audio, left(sha256(shots || '|' || audio || '|v1'), 16) as story from c""")
-def lineage_fingerprints(spark, sf):
-    """A chain of artifacts: a change of the media reaches all of them."""
-    rows = table(spark, sf, "orders").select("o_orderkey", O.chained_fingerprint(F.col("o_orderkey").cast("string"), "o_orderstatus").alias("media"))
-    rows = rows.withColumn("shots", O.chained_fingerprint("media", F.lit("v1"), F.lit("cfg"))).withColumn("audio", O.chained_fingerprint("media", "shots", F.lit("v2")))
-    return rows.withColumn("story", O.chained_fingerprint("shots", "audio", F.lit("v1")))
-
-
-@query("step_status", """select l_orderkey as video, case when bool_or(l_returnflag = 'R' and l_linenumber = 1) then 'failed' when bool_and(l_linestatus = 'F' or l_returnflag = 'N') then 'complete' else 'partial' end as status from lineitem group by l_orderkey""")
-def step_status(spark, sf):
-    """A failed required step fails the video; skipped steps (N) count as complete."""
-    failed = F.bool_or((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 1))
-    done = F.bool_and((F.col("l_linestatus") == "F") | (F.col("l_returnflag") == "N"))
-    return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("video")).agg(F.when(failed, "failed").when(done, "complete").otherwise("partial").alias("status"))
-
-
 @query("resume_pending", "select doc_id from documents where doc_id not in (select doc_id from labels where quality in (0, 1))")
 def resume_pending(spark, sf):
     return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels").where("quality in (0, 1)"), "doc_id", "left_anti")
@@ -238,68 +180,6 @@ def request_batches(spark, sf):
 _REPLY = "case doc_id % 5 when 0 then '```json' || chr(10) || '{\"id\": ' || doc_id || ', \"lang\": \"' || lang || '\"}' || chr(10) || '```' when 1 then '{\"id\": ' || doc_id when 2 then '{\"lang\": \"' || lang || '\"}' else '{\"id\": ' || (doc_id + doc_id % 2) || ', \"lang\": \"' || lang || '\"}' end"
 
 
-@query("parse_group_response", f"""
-with r as (select doc_id, {_REPLY} as reply from documents), s as (select doc_id, trim(regexp_replace(regexp_replace(reply, '^```(json)?\\s*', ''), '\\s*```$', '')) as body from r),
-v as (select doc_id, case when not json_valid(body) then 'not json' when json_extract_string(body, '$.id') is null then 'no id' when json_extract_string(body, '$.id')::bigint <> doc_id then 'wrong id' else 'ok' end as verdict, body from s)
-select doc_id, verdict, case when verdict = 'ok' then json_extract_string(body, '$.lang') end as lang from v""")
-def parse_group_response(spark, sf):
-    """One fence is stripped; the id must be the one that was asked for."""
-    rows = table(spark, sf, "documents").select("doc_id", F.expr(_REPLY.replace("chr(10)", "'\\n'")).alias("reply"))
-    body = F.trim(F.regexp_replace(F.regexp_replace("reply", r"^```(json)?\s*", ""), r"\s*```$", ""))
-    rows = rows.withColumn("v", F.try_parse_json(body)).withColumn("id", F.try_variant_get("v", "$.id", "bigint"))
-    verdict = F.when(F.col("v").isNull(), "not json").when(F.col("id").isNull(), "no id").when(F.col("id") != F.col("doc_id"), "wrong id").otherwise("ok")
-    return rows.withColumn("verdict", verdict).select("doc_id", "verdict", F.when(F.col("verdict") == "ok", F.try_variant_get("v", "$.lang", "string")).alias("lang"))
-
-
-@query("response_assembly", """
-with s as (select l_orderkey as video, l_linenumber as shot, l_returnflag <> 'R' as ok from lineitem), p as (select video, bool_and(ok) as whole, count(*) as n, sum(ok::int)::bigint as good from s group by video)
-select video, case when whole then 'batch' else 'shots' end as kind, case when whole then 1 else n end as n_rows, good, n - good as failed, case when whole then 'complete' when good > 0 then 'partial' else 'failed' end as status from p""")
-def response_assembly(spark, sf):
-    """A partition that came back whole is one row; otherwise each shot is one."""
-    ok = F.col("l_returnflag") != "R"
-    p = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("video")).agg(F.bool_and(ok).alias("whole"), F.count("*").alias("n"), F.count_if(ok).alias("good"))
-    w = F.col("whole")
-    return p.select("video", F.when(w, "batch").otherwise("shots").alias("kind"), F.when(w, 1).otherwise(F.col("n")).alias("n_rows"), "good", (F.col("n") - F.col("good")).alias("failed"), F.when(w, "complete").when(F.col("good") > 0, "partial").otherwise("failed").alias("status"))
-
-
-@query("story_fill_validation", """
-with x as (select n_regionkey as video, n_nationkey as block, n_name as title, case when n_nationkey % 10 = 3 then 99 else n_regionkey end as slot from nation),
-v as (select video, block, 'title too long' as rule from x where length(title) > 12 union all select video, block, 'unknown slot' from x where slot not in (select r_regionkey from region))
-select x.video, x.block, coalesce(string_agg(v.rule, ',' order by v.rule), '') as rules, not exists (select 1 from v z where z.video = x.video) as accepted from x left join v on v.video = x.video and v.block = x.block group by x.video, x.block""")
-def story_fill_validation(spark, sf):
-    """One violation rejects the whole video's reply."""
-    x = table(spark, sf, "nation").select(F.col("n_regionkey").alias("video"), F.col("n_nationkey").alias("block"), F.col("n_name").alias("title"), F.when(F.col("n_nationkey") % 10 == 3, 99).otherwise(F.col("n_regionkey")).alias("slot"))
-    long = x.where(F.char_length("title") > 12).select("video", "block", F.lit("title too long").alias("rule"))
-    lost = x.join(table(spark, sf, "region").select(F.col("r_regionkey").alias("slot")), "slot", "left_anti").select("video", "block", F.lit("unknown slot").alias("rule"))
-    v = long.unionByName(lost)
-    rules = v.groupBy("video", "block").agg(F.array_join(F.array_sort(F.collect_list("rule")), ",").alias("rules"))
-    bad = v.select("video").distinct().withColumn("bad", F.lit(True))
-    return x.join(rules, ["video", "block"], "left").join(bad, "video", "left").select("video", "block", F.coalesce("rules", F.lit("")).alias("rules"), F.col("bad").isNull().alias("accepted"))
-
-
-@query("pair_semantics", sql("conv", """, r as (select video, seq, case when state in ('user', 'assistant') then state else 'unknown' end as relation, list_filter(string_split(lower(left(text, 60)), ' '), lambda x: x in ('the', 'of', 'in')) as m, trim(text) from conv)
-select video, seq, relation, case when len(m) = 0 then 'absent-claimed' else 'value' end as state, array_to_string(list_sort(list_distinct(m)), ',') as motivations from r"""))
-def pair_semantics(spark, sf):
-    """An enum out of range leaves its field unknown; motivations outside the list go, and none left is a claim of absence."""
-    words = F.split(F.lower(F.substring("text", 1, 60)), " ")
-    kept = F.array_sort(F.array_intersect(words, F.array(F.lit("the"), F.lit("of"), F.lit("in"))))
-    return conv(spark, sf).select("video", "seq", S.enum_single("state", ["user", "assistant"]).alias("relation"), F.when(F.size(kept) == 0, "absent-claimed").otherwise("value").alias("state"), F.array_join(kept, ",").alias("motivations"))
-
-
-@query("distill_validation", """
-with have as (select distinct c_nationkey as video, c_mktsegment as slot from customer where c_custkey % 11 <> 0), want as (select n_nationkey as video, unnest(['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY']) as slot from nation)
-select coalesce(w.video, h.video) as video, string_agg(case when h.slot is null then 'missing ' || w.slot when w.slot is null then 'foreign ' || h.slot end, ',' order by coalesce(w.slot, h.slot)) as issues, bool_and(h.slot is not null and w.slot is not null) as accepted
-from want w full join have h on h.video = w.video and h.slot = w.slot group by all""")
-def distill_validation(spark, sf):
-    """Slots of the reply and of the story must be the same set."""
-    have = table(spark, sf, "customer").where("c_custkey % 11 <> 0").select(F.col("c_nationkey").alias("video"), F.col("c_mktsegment").alias("slot")).distinct().withColumn("h", F.lit(True))
-    want = table(spark, sf, "nation").select(F.col("n_nationkey").alias("video"), F.explode(F.array(*map(F.lit, ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]))).alias("slot")).withColumn("w", F.lit(True))
-    both = want.join(have, ["video", "slot"], "full")
-    issue = F.when(F.col("h").isNull(), F.concat(F.lit("missing "), "slot")).when(F.col("w").isNull(), F.concat(F.lit("foreign "), "slot"))
-    g = both.groupBy("video").agg(F.transform(F.array_sort(F.collect_list(F.when(issue.isNotNull(), F.struct("slot", issue.alias("i"))))), lambda x: x["i"]).alias("i"), F.bool_and(F.col("h").isNotNull() & F.col("w").isNotNull()).alias("accepted"))
-    return g.select("video", F.when(F.size("i") > 0, F.array_join("i", ",")).alias("issues"), "accepted")
-
-
 @query("prompt_payload", """select o_orderkey, '{"priority":"' || o_orderpriority || '","status":"' || o_orderstatus || '"}' as payload, 'shot ' || o_orderkey || ': ' || o_orderpriority as line from orders""")
 def prompt_payload(spark, sf):
     """Only listed columns enter a payload."""
@@ -313,3 +193,234 @@ def scored_inference(spark, sf):
 
     rows = table(spark, sf, "documents").select("doc_id", "text")
     return scored(rows, "doc_id", "text", demo_scorer)
+
+
+# Parts as shots of a model's reply: 23 fields, of which some lack, are blank or claim absence; three have a vocabulary.
+_BOUND = {"visual.subjects": _TYPES, "visual.props": {**_TYPES, "Brand": "品牌"}, "visual.composition": {"standard": "标准"}}
+_FIELDS = ", ".join(f"'{f}'" for f in O.MODEL_FIELDS)
+_MODEL = f"""f as (select unnest([{_FIELDS}]) as field, unnest(range(0, 23)) as k), v(vf, t, c) as (values {", ".join(f"('{f}', '{t}', '{c}')" for f, v in _BOUND.items() for t, c in v.items())}),
+m0 as (select p_partkey, field, k, case when p_partkey % 17 = 0 then '../' else '' end || 'raw/unified-media.json#batches[' || (p_partkey // 4) || '].response.shots[' || (p_partkey % 4) || ']' as base, p_partkey % 9 <> 0 and p_partkey % 13 <> 0 as here, (p_partkey + k) % 11 <> 5 as has_key,
+  case (p_partkey + k) % 7 when 0 then 'none' when 1 then null when 2 then ' Unknown ' else case k % 3 when 0 then split_part(p_type, ' ', 1) when 1 then p_brand else ' ' || p_name end end as raw,
+  case split_part(field, '.', 1) when 'visual' then case when p_partkey % 2 = 0 then 'high' else 'odd' end when 'function' then 'low' when 'components' then 'medium' end as said from part cross join f),
+m1 as (select m0.*, here and has_key as has, vb.vf is not null as bound, coalesce(v1.c, v2.c) as hit, lower(trim(raw)) as low from m0 left join (select distinct vf from v) vb on vb.vf = field left join v v1 on v1.vf = field and v1.t = trim(raw) left join v v2 on v2.vf = field and v2.t = lower(trim(raw))),
+m2 as (select *, case when not has or raw is null or low in ('', 'unknown') then 'unknown' when low in ({_ABSENT}) then 'absent-claimed' when not bound or hit is not null then 'value' else 'unmapped' end as state from m1),
+model as (select p_partkey, field, case when state = 'value' then case when bound then hit else trim(raw) end end as value, state, case when has and said in ('high', 'medium', 'low') then said else 'unknown' end as confidence,
+  case when not here then '' when not has_key then base else base || '.' || field end as refs, 'unifiedModel' as source, false as verified, case when has and state <> 'value' then raw end as original from m2)"""
+
+
+def model_shots(spark, sf):
+    p, none = F.col("p_partkey"), F.lit(None).cast("string")
+    raws = []
+    for k, f in enumerate(O.MODEL_FIELDS):
+        text = (F.split("p_type", " ")[0], F.col("p_brand"), F.concat(F.lit(" "), "p_name"))[k % 3]
+        at = (p + k) % 7
+        raws.append(F.when((p + k) % 11 != 5, F.struct(F.lit(f).alias("key"), F.when(at == 0, "none").when(at == 1, none).when(at == 2, " Unknown ").otherwise(text).alias("value"))))
+    base = F.concat(F.when(p % 17 == 0, "../").otherwise(""), F.lit("raw/unified-media.json#batches["), F.floor(p / 4), F.lit("].response.shots["), p % 4, F.lit("]"))
+    sure = F.create_map(F.lit("visual"), F.when(p % 2 == 0, "high").otherwise("odd"), F.lit("function"), F.lit("low"), F.lit("components"), F.lit("medium"))
+    return table(spark, sf, "part").select("p_partkey", F.when(p % 9 == 0, "failed").otherwise("succeeded").alias("status"), F.when(p % 13 != 0, base).alias("base_ref"), F.map_from_entries(F.array_compact(F.array(*raws))).alias("raw"), sure.alias("sure"))
+
+
+@query("resolve_model_field", f"with {_MODEL} select p_partkey, field, value, state, confidence, refs, original from model")
+def resolve_model_field(spark, sf):
+    """The model's 23 fields."""
+    return O.model_observations(model_shots(spark, sf), ["p_partkey"], _BOUND).select("p_partkey", "field", "value", "state", "confidence", F.array_join("refs", ",").alias("refs"), "original")
+
+
+_DETECTED = ", ".join(f"'{f}'" for f in O.DETECTED_FIELDS)
+_LONG = f"""with {_MODEL}, g as (select unnest([{_DETECTED}]) as field, unnest(range(0, 8)) as j),
+found as (select p_partkey, field, case when (p_partkey + j) % 5 > 1 then (p_size * (j + 1))::varchar end as value, case (p_partkey + j) % 5 when 0 then 'absent' when 1 then 'unknown' else 'value' end as state, case (p_partkey + j) % 5 when 1 then 'unknown' else 'high' end as confidence,
+  case (p_partkey + j) % 5 when 1 then '' else 'raw/' || field || '.json#shots[' || p_partkey || ']' end as refs, 'audioDetector' as source, false as verified, null::varchar as original from part cross join g),
+long as (select * from model union all select * from found)"""
+
+
+def long_observations(spark, sf):
+    p, parts = F.col("p_partkey"), table(spark, sf, "part")
+    out = [O.model_observations(model_shots(spark, sf), ["p_partkey"], _BOUND)]
+    for j, f in enumerate(O.DETECTED_FIELDS):
+        at = (p + j) % 5
+        refs = F.when(at == 1, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit(f"raw/{f}.json#shots["), p, F.lit("]"))))
+        out.append(O.observation(parts, ["p_partkey"], f, F.col("p_size") * (j + 1), F.when(at == 0, "absent").when(at == 1, "unknown").otherwise("value"), F.when(at == 1, "unknown").otherwise("high"), refs, "audioDetector"))
+    return O.all_observations(out)
+
+
+@query("observations_long", _LONG + " select * from long")
+def observations_long(spark, sf):
+    """All 31 fields of every shot, the model's and the detectors', with confidence, references and source."""
+    return long_observations(spark, sf).withColumn("refs", F.array_join("refs", ","))
+
+
+_NEED = ["visual.contentSummary", "visual.framing", "audio.speech"]
+_COMPLETE = _LONG + """, o as (select * replace (p_partkey % 2 = 0 as verified) from long where not (field = 'audio.speech' and p_partkey % 19 = 0)),
+need as (select p_partkey, unnest([""" + ", ".join(f"'{n}'" for n in _NEED) + """]) as field from (select distinct p_partkey from o)), u as (
+  select n.p_partkey, n.field || case when o.state is null then ': missing' else ': unsettled ' || o.state end as u from need n left join o using (p_partkey, field) where o.state is null or o.state in ('absent-claimed', 'unmapped')
+  union all select p_partkey, field || ': unverified ' || state from o where state in ('unmapped', 'absent-claimed') and not verified union all select p_partkey, field || ': bad reference' from o where state <> 'unknown' and starts_with(refs, '../'))"""
+
+
+def completed(spark, sf):
+    p = F.col("p_partkey")
+    found = long_observations(spark, sf).withColumn("verified", p % 2 == 0).where(~((F.col("field") == "audio.speech") & (p % 19 == 0)))
+    return O.completion(found, ["p_partkey"], _NEED)
+
+
+@query("expected_vs_actual_completion", _COMPLETE + " select p.p_partkey, coalesce(string_agg(u, ',' order by u), '') as unmet, count(u) = 0 as satisfied from (select distinct p_partkey from o) p left join u using (p_partkey) group by p.p_partkey")
+def expected_vs_actual_completion(spark, sf):
+    """Three required fields; parts with even numbers are verified, every 19th has no speech, every 17th bad references."""
+    return completed(spark, sf).withColumn("unmet", F.array_join("unmet", ","))
+
+
+@query("confirm_gate", _COMPLETE + """, e as (select distinct p_partkey from part where p_size > 45) select p.p_partkey, case when p.p_partkey % 10 = 0 then 'outdated' when exists (select 1 from u where u.p_partkey = p.p_partkey) then 'incomplete' when p.p_size > 45 then 'errors' else 'ok' end as verdict from part p""")
+def confirm_gate(spark, sf):
+    """Every tenth part is outdated; sizes over 45 break a rule."""
+    parts = table(spark, sf, "part")
+    errors = Q.schema_rules(parts, "part", F.col("p_partkey"), {"p_size": {"most": 45}}).where("severity = 'error'").select(F.col("path").cast("bigint").alias("p_partkey"))
+    return O.confirmable(parts.select("p_partkey", (F.col("p_partkey") % 10 == 0).alias("outdated")), completed(spark, sf), errors, "p_partkey")
+
+
+@query("review_reason_merge", """with r as (select o_orderkey, case when o_orderstatus = 'P' then ['conflict', 'late'] when o_orderstatus = 'O' then null else [] end as a, case when o_orderpriority = '1-URGENT' then ['late', 'shot'] else ['shot'] end as b from orders)
+select o_orderkey, case when a is null or len(a) = 0 then array_to_string(b, ',') when b[1] = 'late' then 'conflict,late,shot' else 'conflict,late,shot' end as reasons from r""")
+def review_reason_merge(spark, sf):
+    a = F.when(F.col("o_orderstatus") == "P", F.array(F.lit("conflict"), F.lit("late"))).when(F.col("o_orderstatus") == "O", None).otherwise(F.array().cast("array<string>"))
+    b = F.when(F.col("o_orderpriority") == "1-URGENT", F.array(F.lit("late"), F.lit("shot"))).otherwise(F.array(F.lit("shot")))
+    return table(spark, sf, "orders").select("o_orderkey", F.array_join(O.merged_reasons(a, b), ",").alias("reasons"))
+
+
+@query("boundary_overlay_split", f"""with {_LOG}, b as (select entity, count(*) as n, arg_max(new_value, (d, k)) as last from log where field = '3-MEDIUM' group by entity), r as (select entity, count(*) as n, arg_max(new_value, (d, k)) as last from log where field <> '3-MEDIUM' group by entity)
+select true as boundary, * from b union all select false, * from r""")
+def boundary_overlay_split(spark, sf):
+    bounds, rest = O.split_changes(change_log(spark, sf), F.col("field") == "3-MEDIUM")
+    last = lambda df, flag: O.latest(df, ["entity"], ["d", "k"], ["new_value"]).join(df.groupBy("entity").agg(F.count("*").alias("n")), "entity").select(F.lit(flag).alias("boundary"), "entity", "n", F.col("new_value").alias("last"))
+    return last(bounds, True).unionByName(last(rest, False))
+
+
+#: The artifacts of a video: what each is made from, its group of configuration and its version.
+_GRAPH = {
+    "media": (("o_orderkey", "o_orderstatus"), "media", "1"), "shots": (("media",), "shots", "2"), "asr": (("media",), "asr", "1"), "audio_cuts": (("media", "shots"), "audio", "1"), "audio_energy": (("media", "shots"), "audio", "1"),
+    "quality": (("media", "shots"), "quality", "1"), "music": (("media", "shots", "asr"), "audio", "2"), "camera": (("shots",), "vision", "1"), "motion": (("media", "shots"), "motion", "1"), "frames": (("media", "shots"), "frames", "1"),
+    "unified": (("frames", "asr"), "model", "2"), "relations": (("shots", "audio_cuts", "audio_energy", "camera", "music", "asr"), "relations", "1"), "story": (("shots", "unified", "asr"), "story", "1"), "profile": (("story", "shots", "music"), "profile", "1"),
+}
+
+
+def _graph_sql() -> str:
+    parts, before = [], "orders"
+    for i, (name, (above, config, version)) in enumerate(_GRAPH.items()):
+        keep = "*" if i else "o_orderkey, o_orderstatus"
+        parts.append(f"g{i} as (select {keep}, left(sha256({' || chr(124) || '.join(f'{a}::varchar' for a in above)} || '|{config}|{version}'), 16) as {name} from {before})")
+        before = f"g{i}"
+    return "with " + ", ".join(parts) + f" select o_orderkey, {', '.join(_GRAPH)} from {before}"
+
+
+@query("lineage_fingerprints", _graph_sql())
+def lineage_fingerprints(spark, sf):
+    """Fourteen artifacts: a change of the media reaches all of them, one of a configuration what lies below."""
+    return O.lineage(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), _GRAPH).drop("o_orderstatus")
+
+
+@query("step_status", """with s as (select l_orderkey as video, case l_returnflag when 'R' then 'failed' when 'N' then 'skipped' else case when l_linestatus = 'F' then 'complete' else 'partial' end end as status, l_linenumber = 1 as required from lineitem)
+select video, case when bool_or(status = 'failed' and required) then 'failed' when bool_and(status in ('complete', 'skipped')) then 'complete' else 'partial' end as status from s group by video""")
+def step_status(spark, sf):
+    """The first line is required."""
+    status = F.when(F.col("l_returnflag") == "R", "failed").when(F.col("l_returnflag") == "N", "skipped").when(F.col("l_linestatus") == "F", "complete").otherwise("partial")
+    return O.step_status(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("video"), status.alias("status"), (F.col("l_linenumber") == 1).alias("required")), ["video"])
+
+
+# Replies made from whole texts: the ids of a document's lines, with fences, cut ends, lost or repeated shots and missing fields.
+_GROUPED = """with d as (select doc_id, len(string_split(text, chr(10))) as n from documents), s as (select doc_id, n, list_transform(range(0, n), lambda i: '{"shotID": "S' || i || '", ' || case when doc_id % 7 = 4 and i = 0 then '' else '"look": "' || (i * doc_id) % 10 || '", ' end || '"tone": "t"}') as shots from d),
+r as (select doc_id, n, case doc_id % 7 when 2 then list_append(shots, shots[1]) when 3 then shots[1:n - 1] else shots end as shots from s) """
+
+
+@query("parse_group_response", _GROUPED + """select doc_id, case when doc_id % 7 = 1 then 'not json' when doc_id % 7 = 4 then 'schema' when doc_id % 7 in (2, 3) then 'ids' else 'ok' end as verdict, case when doc_id % 7 in (0, 5, 6) then n end as n_shots, case when doc_id % 7 in (0, 5, 6) then list_sum(list_transform(range(0, n), lambda i: (i * doc_id) % 10))::bigint end as looks from r""")
+def parse_group_response(spark, sf):
+    """One fence is stripped, the shape is checked, and the ids must be those that were asked for."""
+    i = F.col("doc_id")
+    rows = table(spark, sf, "documents").select("doc_id", F.size(F.split("text", "\n", -1)).alias("n"))
+    shot = lambda k: F.concat(F.lit('{"shotID": "S'), k, F.lit('", '), F.when((i % 7 == 4) & (k == 0), "").otherwise(F.concat(F.lit('"look": "'), k * i % 10, F.lit('", '))), F.lit('"tone": "t"}'))
+    shots = F.transform(F.sequence(F.lit(0), F.col("n") - 1), shot)
+    rows = rows.withColumn("shots", shots).withColumn("ids", F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.concat(F.lit("S"), k)))
+    given = F.when(i % 7 == 2, F.array_append("shots", F.col("shots")[0])).when(i % 7 == 3, F.slice("shots", F.lit(1), F.col("n") - 1)).otherwise(F.col("shots"))
+    body = F.concat(F.lit('{"shots": ['), F.array_join(given, ", "), F.when(i % 7 == 1, "").otherwise("]}"))
+    reply = F.when(i % 2 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```\n"))).otherwise(F.concat(F.lit("  "), body))
+    got = R.group_reply(rows.select("doc_id", reply.alias("reply"), "ids"), "reply", "ids", ["look", "tone"])
+    looks = F.aggregate("shots", F.lit(0).cast("bigint"), lambda a, x: a + x["look"].cast("bigint"))
+    return got.select("doc_id", "verdict", F.when(F.col("verdict") == "ok", F.size("shots")).cast("bigint").alias("n_shots"), looks.alias("looks"))
+
+
+@query("response_assembly", """with s as (select o_custkey as video, o_orderkey as part, o_orderkey * 10 + l_linenumber as shot, bool_and(l_returnflag <> 'R') as ok from lineitem join orders on l_orderkey = o_orderkey group by all),
+p as (select video, part, bool_and(ok) as whole, list(shot order by shot) as shots from s group by all), r as (select video, part, 'batch' as kind, array_to_string(shots, ',') as shots, shots[1] as first, true as ok from p where whole union all select s.video, s.part, 'shot', shot::varchar, shot, ok from s join p using (video, part) where not whole),
+c as (select video, count(*) filter (where ok) as succeeded, count(*) filter (where not ok) as failed from s group by video)
+select r.video, part, kind, shots, ok, row_number() over (partition by r.video order by part, first) - 1 as batch, succeeded, failed, case when ok then 'succeeded' else 'failed' end as status from r join c using (video)""")
+def response_assembly(spark, sf):
+    """A partition that came back whole is one row; otherwise each shot is one."""
+    k = F.col("o_orderkey")
+    l = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == k)
+    s = l.groupBy(F.col("o_custkey").alias("video"), k.alias("part"), (k * 10 + F.col("l_linenumber")).alias("shot")).agg(F.bool_and(F.col("l_returnflag") != "R").alias("ok"))
+    return R.assembled(s, ["video"], "part").withColumn("shots", F.array_join(F.col("shots").cast("array<string>"), ","))
+
+
+_FILL = """, b0 as (select video, 'B' || ((seq - 1) // 4) as block, (seq - 1) // 4 as b, list(seq order by seq) as shots, min(start_ms) as s, max(end_ms) as e from ev_shots group by all), v as (select distinct video from b0),
+rules as (select video, 'block ids' as rule from v where video % 11 in (1, 2) union all select video, 'shots moved' from v where video % 11 = 3 union all select video, 'bounds moved' from v where video % 11 = 4 union all select video, 'block title' from v where video % 11 = 5
+union all select video, 'slot id' from v where video % 11 = 6 union all select video, 'slot type' from v where video % 11 = 7 union all select video, 'slot title' from v where video % 11 = 8 union all select video, 'unknown block' from v where video % 11 = 9 union all select video, 'block without slot' from v where video % 11 = 10
+union all select distinct video, 'slot twice' from v where video % 13 = 5 union all select video, 'slot without blocks' from v where video % 13 = 7) """
+
+
+@query("story_fill_validation", sql("ev_shots", _FILL + "select v.video, coalesce(string_agg(rule, ',' order by rule), '') as rules, count(rule) = 0 as accepted from v left join rules using (video) group by v.video"))
+def story_fill_validation(spark, sf):
+    """Blocks of four shots and one slot for all of them; each eleventh video breaks a rule of its own. One broken rule rejects the video's reply."""
+    b, v = F.floor((F.col("seq") - 1) / 4), F.col("video")
+    shots = ev_shots(spark, sf)
+    scaffold = shots.groupBy("video", F.concat(F.lit("B"), b).alias("block")).agg(F.sort_array(F.collect_list("seq")).alias("shots"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+    first, at = F.col("block") == "B0", v % 11
+    blocks = scaffold.select("video", "block", F.when((at == 3) & first, F.slice("shots", 2, 9)).otherwise(F.col("shots")).alias("shots"), (F.col("start_ms") + ((at == 4) & first).cast("int")).alias("start_ms"), "end_ms", F.when((at == 5) & first, "a title of more than twelve").otherwise("title").alias("title"))
+    blocks = blocks.where(~((v % 11 == 1) & first)).unionByName(blocks.where((v % 11 == 2) & first))
+    slot = F.when(at == 6, "slot one").otherwise("S01")
+    every = scaffold.groupBy("video").agg(F.array_sort(F.collect_list("block")).alias("all"))
+    named = F.when(at == 9, F.array_append("all", F.lit("B999"))).when(at == 10, F.filter("all", lambda x: x != "B0")).otherwise(F.col("all"))
+    slots = every.select("video", slot.alias("slot"), F.when(at == 7, F.array(F.lit("odd"))).otherwise(F.array(F.lit("hook"), F.lit("odd"))).alias("types"), F.when(at == 8, "a title of more than fifteen").otherwise("title").alias("title"), named.alias("blocks"))
+    again = slots.where("video % 13 = 5")
+    empty = slots.where("video % 13 = 7").select("video", F.lit("S02").alias("slot"), F.array(F.lit("hook")).alias("types"), "title", F.array().cast("array<string>").alias("blocks")).withColumn("title", F.lit("x"))
+    rules = R.story_fill_rules(scaffold, blocks, slots.unionByName(again).unionByName(empty), ["hook", "body", "payoff"]).groupBy("video").agg(F.array_join(F.array_sort(F.collect_list("rule")), ",").alias("rules"))
+    return every.select("video").join(rules, "video", "left").select("video", F.coalesce("rules", F.lit("")).alias("rules"), F.col("rules").isNull().alias("accepted"))
+
+
+_ENUMS = {"relation": ["user", "assistant"], "cut": ["hard", "soft"], "rhythm": ["fast", "slow"], "focus": ["same", "new"]}
+_SEMANTIC = """, r as (select video, seq, video + seq as k, state, string_split(lower(replace(replace(text, chr(10), ' '), '"', ' ')), ' ') as words from conv),
+s as (select *, list_filter(words, lambda x: x in ('the', 'of', 'in')) as kept, k % 10 <> 9 as good from r)"""
+
+
+@query("pair_semantics", sql("conv", _SEMANTIC + """ select video, seq, good as parsed, case when good and state in ('user', 'assistant') then state end as relation, case when good and k % 3 = 0 then 'hard' end as cut, case when good then 'fast' end as rhythm, case when good and k % 4 <> 0 then 'new' end as focus,
+  case when not good or k % 6 = 0 then 'unknown' when len(kept) = 0 then 'absent-claimed' else 'value' end as motivation_state, case when good and k % 6 <> 0 and len(kept) > 0 then array_to_string(kept, ',') end as motivations, case when good and k % 5 <> 0 then 'summary ' || seq end as summary from s"""))
+def pair_semantics(spark, sf):
+    """Replies built from whole turns: an enum out of range leaves its field unknown; motivations outside the list go, and none left is a claim of absence."""
+    k = F.col("video") + F.col("seq")
+    words = F.split(F.lower(F.translate("text", '\n"', "  ")), " ")
+    text = lambda name, value: F.concat(F.lit(f'"{name}": "'), value, F.lit('", '))
+    body = F.concat(
+        F.lit("{"), text("relation", F.col("state")), text("cut", F.when(k % 3 == 0, "hard").otherwise("other")), text("rhythm", F.lit("fast")), F.when(k % 4 == 0, "").otherwise(text("focus", F.lit("new"))),
+        F.when(k % 6 == 0, "").otherwise(F.concat(F.lit('"editMotivations": '), F.to_json(words), F.lit(", "))), F.lit('"relationSummary": "'), F.when(k % 5 == 0, "  ").otherwise(F.concat(F.lit(" summary "), "seq")), F.when(k % 10 == 9, '"').otherwise('"}'))
+    got = R.pair_semantics(conv(spark, sf).select("video", "seq", body.alias("reply")), "reply", _ENUMS, ["the", "of", "in"])
+    return got.select("video", "seq", "parsed", *[F.col(f"{n}_value").alias(n) for n in _ENUMS], F.col("motivations_state").alias("motivation_state"), F.array_join("motivations_value", ",").alias("motivations"), F.col("summary_value").alias("summary"))
+
+
+_DISTILL = [
+    (0, "slot set"), (1, "slot set"), (2, "fixed field"), (3, "slot layers"), (4, "role slot"), (4, "role block outside its slot"), (5, "role block"), (5, "role block outside its slot"), (5, "role shot outside its block"), (6, "role block outside its slot"), (6, "role shot outside its block"),
+    (7, "role layers"), (8, "role without shots"), (9, "role shot outside its block"), (10, "requirement slot"), (11, "requirement texts"), (12, "hints"), (13, "question"), (14, "question twice"),
+]
+
+
+@query("distill_validation", sql("ev_shots", """, v as (select distinct video from ev_shots), d(k, rule) as (values """ + ", ".join(f"({k}, '{r}')" for k, r in _DISTILL) + """)
+select v.video, coalesce(string_agg(rule, ',' order by rule), '') as rules, count(rule) = 0 as accepted from v left join d on video % 17 = k group by v.video"""))
+def distill_validation(spark, sf):
+    """A reply for two slots of one block each, with a hook in the first; each seventeenth video breaks a rule of its own."""
+    v = ev_shots(spark, sf).select("video").distinct()
+    at, none = F.col("video") % 17, F.lit(None).cast("string")
+    both = v.withColumn("slot", F.explode(F.array(F.lit("S1"), F.lit("S2"))))
+    story_slots = both.withColumn("block", F.translate("slot", "S", "B"))
+    story_blocks = story_slots.select("video", "block", F.translate("slot", "S", "H").alias("shot"))
+    slots = both.where("not (video % 17 = 0 and slot = 'S2')").select("video", F.when((at == 1) & (F.col("slot") == "S2"), "S9").otherwise(F.col("slot")).alias("slot"), (at == 2).alias("fixed"), (at != 3).alias("layered"))
+    roles = v.select("video", F.lit("hook").alias("role"), F.when(at == 4, "S7").otherwise("S1").alias("slot"), F.when(at == 5, "B7").when(at == 6, "B2").otherwise("B1").alias("block"), F.lit(1.5).alias("at_seconds"), F.when(at == 7, " ").otherwise("form").alias("form"), F.lit("content").alias("content"))
+    role_shots = v.where("video % 17 <> 8").select("video", F.lit("hook").alias("role"), F.when(at == 9, "H2").otherwise("H1").alias("shot"))
+    requirements = v.select("video", F.lit(0).alias("pos"), F.when(at == 10, "S8").otherwise("S1").alias("slot"), F.lit("kind").alias("kind"), F.when(at == 11, none).otherwise("text").alias("text"), F.lit("evidence").alias("evidence"))
+    hints = v.select("video", F.array(F.lit("a")).alias("strengths"), F.array().cast("array<string>").alias("cautions"), F.when(at == 12, "").otherwise("x").alias("suggested"))
+    questions = v.select("video", F.lit("Q1").alias("id"), F.when(at == 13, F.array().cast("array<string>")).otherwise(F.array(F.lit("yes"))).alias("options"), F.array(F.lit("layer"), F.lit("question")).alias("texts"))
+    questions = questions.unionByName(questions.where("video % 17 = 14"))
+    rules = R.distill_rules(slots, both, roles, role_shots, requirements, hints, questions, story_slots, story_blocks).groupBy("video").agg(F.array_join(F.array_sort(F.collect_list("rule")), ",").alias("rules"))
+    return v.join(rules, "video", "left").select("video", F.coalesce("rules", F.lit("")).alias("rules"), F.col("rules").isNull().alias("accepted"))
