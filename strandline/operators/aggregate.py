@@ -97,7 +97,7 @@ def pair_metric_rows(pairs: DataFrame, keys: Sequence[str] = ("video",)) -> Data
     none = F.array().cast("array<string>")
     side = lambda name: F.concat(F.coalesce(f"left_{name}", F.lit("-")), F.lit(" > "), F.coalesce(f"right_{name}", F.lit("-")))
     some = lambda name: c(f"left_{name}").isNotNull() | c(f"right_{name}").isNotNull()
-    delta = lambda name, places: F.format_string(f"%.{places}f", F.round(c(f"right_{name}") - c(f"left_{name}"), places))
+    delta = lambda name, places: F.format_string(f"%.{places}f", F.round((c(f"right_{name}") - c(f"left_{name}")).cast("double"), places))
 
     def cell(name: str, there: Column, value: Column, refs: Column, unit: str | None = None, lacking: str = "unknown") -> Column:
         there = F.coalesce(there, F.lit(False))
