@@ -48,6 +48,16 @@ def coverage(df: DataFrame, ranges: DataFrame, keys: Sequence[str] = KEYS) -> Da
     return rows.select(*keys, ratio(F.coalesce("union_ms", F.lit(0)), F.col("range_end") - F.col("range_start")).alias("coverage"))
 
 
+def extent_coverage(df: DataFrame, head: int = 0, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Share of each video's own extent, less ``head`` at its start, that its intervals cover; videos no longer than that are left out. Extent, running end and sum share one shuffle by video."""
+    whole = W.partitionBy(*keys)
+    rows = df.select(*keys, "start_ms", "end_ms", (F.min("start_ms").over(whole) + head).alias("_a"), F.max("end_ms").over(whole).alias("_b")).where("_b > _a")
+    rows = rows.withColumn("_s", F.greatest("start_ms", "_a")).withColumn("_e", F.least("end_ms", "_b"))
+    before = F.max(F.when(F.col("_e") > F.col("_s"), F.col("_e"))).over(whole.orderBy("_s", "_e").rowsBetween(W.unboundedPreceding, -1))
+    new = F.greatest(F.lit(0), F.col("_e") - F.greatest("_s", F.coalesce("_before", "_s")))
+    return rows.withColumn("_before", before).groupBy(*keys).agg(F.sum(new).alias("_u"), F.first("_a").alias("_a"), F.first("_b").alias("_b")).select(*keys, ratio(F.col("_u"), F.col("_b") - F.col("_a")).alias("coverage"))
+
+
 def modal(df: DataFrame, value: str, position: Sequence[str], keys: Sequence[str] = KEYS, excluded: Sequence[str] = ("unknown",)) -> DataFrame:
     """Most frequent known value; the one seen first on ties."""
     rows = df.where(F.col(value).isNotNull() & ~F.col(value).isin(list(excluded))).groupBy(*keys, value).agg(F.count("*").alias("n"), F.min(F.struct(*position)).alias("_first"))

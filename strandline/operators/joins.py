@@ -41,17 +41,27 @@ def point_in_shot(points: DataFrame, shots: DataFrame, time: str = "time_ms", ta
 def overlap_join(left: DataFrame, right: DataFrame, bucket_ms: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """Pairs with positive overlap. left: s1, e1; right: s2, e2 (null end: open); other columns must differ but for the keys.
 
-    Both sides are copied to the buckets they touch; a pair meets in several of them and is kept in the bucket where its
-    overlap starts. The buckets of an open end stop at the last bucket of the video's left side.
+    Buckets come in sizes: size k is ``bucket_ms`` times 2**k wide, and an interval's own size is the first that is no shorter than it. Two intervals meet in buckets of the
+    larger of their sizes, where each touches two at most; so an interval has two copies for its own size and for each larger one that the other side of its video has,
+    however long it is. A pair is kept in the bucket where its overlap starts. Open ends stop at the end of the video's left side.
     """
-    last = left.groupBy(*keys).agg(F.max("e1").alias("_last"))
-    right = right.join(last, list(keys)).withColumn("_e2", F.coalesce("e2", F.lit(FOREVER))).where("_e2 > s2 and s2 < _last")
-    place = lambda s, e: F.explode(F.sequence(F.floor(s / bucket_ms), F.floor((e - 1) / bucket_ms)))
-    a = left.where("e1 > s1").withColumn("_bucket", place(F.col("s1"), F.col("e1")))
-    b = right.withColumn("_bucket", place(F.col("s2"), F.least("_e2", "_last"))).drop("_last")
-    both = a.join(b, [*keys, "_bucket"]).where((F.col("s1") < F.col("_e2")) & (F.col("s2") < F.col("e1")))
-    both = both.where(F.floor(F.greatest("s1", "s2") / bucket_ms) == F.col("_bucket"))
-    return both.withColumn("overlap_ms", F.least("e1", "_e2") - F.greatest("s1", "s2")).drop("_bucket", "_e2")
+    size = lambda length: F.greatest(F.lit(0), F.ceil(F.log2(length / bucket_ms))).cast("int")
+    a = left.where("e1 > s1").withColumn("_c1", size(F.col("e1") - F.col("s1")))
+    of_left = a.groupBy(*keys).agg(F.max("e1").alias("_last"), F.collect_set("_c1").alias("_sizes"))
+    b = right.join(of_left, list(keys)).withColumn("_e2", F.coalesce("e2", F.lit(FOREVER))).where("_e2 > s2 and s2 < _last")
+    b = b.withColumn("_end", F.least("_e2", "_last")).withColumn("_c2", size(F.col("_end") - F.col("s2")))
+    of_right = b.groupBy(*keys).agg(F.collect_set("_c2").alias("_sizes"))
+
+    def placed(rows: DataFrame, own: str, start: str, end: str) -> DataFrame:
+        rows = rows.withColumn("_k", F.explode(F.array_union(F.array(own), F.filter("_sizes", lambda k: k > F.col(own))))).drop("_sizes")
+        wide = F.lit(bucket_ms) * F.pow(F.lit(2.0), F.col("_k")).cast("bigint")
+        return rows.withColumn("_wide", wide).withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(start) / F.col("_wide")), F.floor((F.col(end) - 1) / F.col("_wide")))))
+
+    a = placed(a.join(of_right, list(keys)), "_c1", "s1", "e1")
+    b = placed(b, "_c2", "s2", "_end").drop("_wide", "_last", "_end")
+    both = a.join(b, [*keys, "_k", "_bucket"]).where((F.col("_k") == F.greatest("_c1", "_c2")) & (F.col("s1") < F.col("_e2")) & (F.col("s2") < F.col("e1")))
+    both = both.where(F.floor(F.greatest("s1", "s2") / F.col("_wide")) == F.col("_bucket"))
+    return both.withColumn("overlap_ms", F.least("e1", "_e2") - F.greatest("s1", "s2")).drop("_bucket", "_e2", "_k", "_wide", "_c1", "_c2")
 
 
 def attribute(segments: DataFrame, shots: DataFrame, bucket_ms: int, share: float = 0.5, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -192,13 +202,11 @@ def whitelist_merge(scaffold: DataFrame, model: DataFrame, allowed: Sequence[str
     return rows.select(*[F.coalesce(f"_{c}", c).alias(c) if c in allowed else c for c in scaffold.columns])
 
 
-def merge_parts(parts: Sequence[DataFrame], maps: str, keys: Sequence[str]) -> DataFrame:
-    """Rows that all parts have, their maps of the column ``maps`` merged."""
-    out = None
-    for i, p in enumerate(parts):
-        p = p.withColumnRenamed(maps, f"_m{i}")
-        out = p if out is None else out.join(p, list(keys))
-    return out.withColumn(maps, F.map_concat(*[f"_m{i}" for i in range(len(parts))])).drop(*[f"_m{i}" for i in range(len(parts))])
+def merge_parts(rows: DataFrame, part: str, wanted: Sequence[str], maps: str, keys: Sequence[str]) -> DataFrame:
+    """Keys that have all wanted parts, with the parts' maps of the column ``maps`` merged: one shuffle for any number of parts. rows: keys, part (each once a key), maps."""
+    entries = F.flatten(F.collect_list(F.map_entries(maps)))
+    merged = rows.where(F.col(part).isin(list(wanted))).groupBy(*keys).agg(F.countDistinct(part).alias("_n"), F.map_from_entries(entries).alias(maps))
+    return merged.where(F.col("_n") == len(wanted)).drop("_n")
 
 
 def boundary_sides(shots: DataFrame, cuts: DataFrame, has_audio: Column, keys: Sequence[str] = KEYS) -> DataFrame:

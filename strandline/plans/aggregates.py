@@ -97,9 +97,7 @@ u as (select video, sum(greatest(0, b - greatest(a, coalesce(before, a)))) as un
 
 @query("coverage_ratio", sql("spans", _COVER + " select r.video, round(least(1.0, coalesce(union_ms, 0) / (range_end - range_start)), 4) as coverage from r left join u using (video)"))
 def coverage_ratio(spark, sf):
-    rows = spans(spark, sf)
-    ranges = rows.groupBy("video").agg((F.min("start_ms") + 864_000_000).alias("range_start"), F.max("end_ms").alias("range_end")).where("range_end > range_start")
-    return A.coverage(rows, ranges)
+    return A.extent_coverage(spans(spark, sf), 864_000_000)
 
 
 @query("bgm_coverage", sql("ev_seg ev_ranges ev_shots", _MUSIC + """, c as (select s.video, greatest(start_ms, range_start) as a, least(end_ms, range_end) as b from ev_seg s join ev_ranges using (video) where text = 'click' and s.video % 2 = 0 and least(end_ms, range_end) > greatest(start_ms, range_start)),

@@ -164,13 +164,11 @@ def adjacent_pairs(spark, sf):
     return rows.select("video", F.concat_ws("--", "left_seq", "right_seq").alias("pair_id"), "left_state", "right_state")
 
 
-@query("group_merge_all", """
-with f as (select l_orderkey, l_returnflag, sum(l_quantity) as q from lineitem group by all)
-select a.l_orderkey, a.q as a_q, n.q as n_q, r.q as r_q from f a join f n on a.l_orderkey = n.l_orderkey and n.l_returnflag = 'N' join f r on a.l_orderkey = r.l_orderkey and r.l_returnflag = 'R' where a.l_returnflag = 'A'""")
+@query("group_merge_all", """select l_orderkey, sum(l_quantity) filter (where l_returnflag = 'A') as a_q, sum(l_quantity) filter (where l_returnflag = 'N') as n_q, sum(l_quantity) filter (where l_returnflag = 'R') as r_q
+from lineitem group by l_orderkey having count(distinct l_returnflag) filter (where l_returnflag in ('A', 'N', 'R')) = 3""")
 def group_merge_all(spark, sf):
     rows = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.sum("l_quantity").alias("q"))
-    parts = [rows.where(F.col("l_returnflag") == k).select("l_orderkey", F.create_map(F.lit(k), F.col("q")).alias("m")) for k in "ANR"]
-    out = J.merge_parts(parts, "m", ["l_orderkey"])
+    out = J.merge_parts(rows.withColumn("m", F.create_map("l_returnflag", "q")), "l_returnflag", list("ANR"), "m", ["l_orderkey"])
     return out.select("l_orderkey", *[F.col("m")[k].alias(f"{k.lower()}_q") for k in "ANR"])
 
 

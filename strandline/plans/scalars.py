@@ -59,15 +59,6 @@ def parse_evidence_ref(spark, sf):
     return rows.select("page_id", S.evidence_ref("ref").alias("r")).select("page_id", "r.*")
 
 
-@query("resolve_pointer", """
-select event_id, json_extract_string(props, '$.k')::bigint as found, case when json_exists(props, '$.missing') then 'ok' else 'missing key' end as other from events""")
-def resolve_pointer(spark, sf):
-    """Constant pointers into a document column; a missing key is told apart from a null."""
-    doc = F.try_parse_json("props")
-    rows = table(spark, sf, "events").select("event_id", doc.alias("doc"))
-    return rows.select("event_id", F.try_variant_get("doc", "$.k", "bigint").alias("found"), F.when(F.variant_get("doc", "$.missing", "string").isNotNull(), "ok").otherwise("missing key").alias("other"))
-
-
 _CLAIM = "case doc_id % 7 when 0 then ' None ' when 1 then 'N/A' when 2 then '无' when 3 then '' when 4 then null when 5 then 'Unknown' else lang end"
 _ABSENT = ", ".join(f"'{w}'" for w in S.ABSENCE_WORDS)
 
@@ -232,3 +223,22 @@ def normalize_vocab(spark, sf):
 
 #: Token -> canonical value, of one field.
 VOCABULARY = {"antique": "古风", "green": "绿色", "绿": "绿色", "blue": "蓝色", "small": "小", "medium": "中", "large": "大", "economy": "经济", "promo": "促销", "standard": "标准"}
+
+
+@query("resolve_pointer", """with c as (select conv_id, turn, conv_id + turn as k, count(*) over (partition by conv_id) as n, row_number() over (partition by conv_id order by turn) - 1 as i from conversations)
+select conv_id, turn, case k % 8 when 1 then 'out of bounds' when 2 then 'missing key' when 3 then 'wrong type' when 4 then 'wrong type' when 5 then 'wrong type' when 6 then 'bad segment' when 7 then 'no document' end as error from c""")
+def resolve_pointer(spark, sf):
+    """Pointers into documents of whole conversations: a missing key, a wrong type and a place out of bounds are told apart."""
+    from ..operators import documents as D
+
+    c, w = table(spark, sf, "conversations"), W.partitionBy("conv_id").orderBy("turn")
+    turn = F.struct(F.col("turn"), F.struct("role", "text").alias("said"))
+    docs = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns")).select(F.concat(F.lit("c"), "conv_id").alias("file"), F.to_json(F.struct(F.transform("turns", lambda t: t["said"]).alias("turns"), F.struct(F.col("conv_id").alias("id")).alias("meta"))).alias("doc"))
+    k, i = F.col("conv_id") + F.col("turn"), F.row_number().over(w) - 1
+    n = F.count("*").over(W.partitionBy("conv_id"))
+    pointer = (
+        F.when(k % 8 == 1, F.concat(F.lit("turns["), n, F.lit("].role"))).when(k % 8 == 2, "turns[0].tone").when(k % 8 == 3, "meta[0]").when(k % 8 == 4, "turns.role").when(k % 8 == 5, "meta.id.x").when(k % 8 == 6, "turns..role")
+        .otherwise(F.concat(F.lit("turns["), i, F.lit("].text")))
+    )
+    refs = c.select("conv_id", "turn", F.concat(F.when(k % 8 == 7, "x").otherwise("c"), "conv_id").alias("file"), pointer.alias("pointer"))
+    return D.resolve_pointers(refs, D.inventory(docs)).select("conv_id", "turn", "error")

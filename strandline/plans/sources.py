@@ -76,45 +76,6 @@ def frame_pts_index(spark, sf):
     return C.frame_index(table(spark, sf, "events").select(F.col("user_id").alias("video"), text.alias("s")), "s", ev_ranges(spark, sf), ["video"])
 
 
-@query("media_dim", """
-select o_orderkey as video_id, coalesce(case when o_orderkey % 3 <> 0 then round((o_orderkey % 977)::varchar::decimal(38,9) * 1000)::bigint end, (o_orderkey % 101) * 1000) as duration_ms,
-  case when o_orderkey % 4 = 1 then 1080 else 1920 end as width, case when o_orderkey % 4 = 1 then 1920 else 1080 end as height, case when o_orderkey % 5 = 0 then null else round(30000 / 1001.0::double, 6) end as frame_rate, (o_orderkey % 2)::int as audio_tracks,
-  0 as range_start_ms, coalesce(case when o_orderkey % 3 <> 0 then (o_orderkey % 977) * 1000 end, (o_orderkey % 101) * 1000) as range_end_ms from orders""")
-def media_dim(spark, sf):
-    """Probe documents made from orders: an audio stream first where there is one, then the video stream."""
-    k = F.col("o_orderkey")
-    stream = lambda kind: F.struct(F.lit(kind).alias("kind"), (k % 101).cast("string").alias("duration"), F.lit(1920).alias("width"), F.lit(1080).alias("height"), F.when(k % 4 == 1, -90).alias("rotation"), F.when(k % 5 == 0, "30/0").otherwise("30000/1001").alias("rate"))
-    streams = F.when(k % 2 == 1, F.array(stream("audio"), stream("video"))).otherwise(F.array(stream("video")))
-    return C.media_dimension(table(spark, sf, "orders").select(k.alias("video_id"), F.when(k % 3 != 0, (k % 977).cast("string")).alias("duration"), streams.alias("streams")))
-
-
-RULES = {"segment": {"AUTOMOBILE": ["Car", "auto"], "BUILDING": ["House"], "MACHINERY": ["machine"]}, "status": {"O": ["open"], "F": ["final"]}}
-
-
-@query("vocabulary_dim", """
-with v(field, token, canonical) as (values ('segment', 'AUTOMOBILE', 'AUTOMOBILE'), ('segment', 'car', 'AUTOMOBILE'), ('segment', 'auto', 'AUTOMOBILE'), ('segment', 'BUILDING', 'BUILDING'), ('segment', 'house', 'BUILDING'), ('segment', 'MACHINERY', 'MACHINERY'), ('segment', 'machine', 'MACHINERY'), ('status', 'O', 'O'), ('status', 'open', 'O'), ('status', 'F', 'F'), ('status', 'final', 'F'))
-select field, token, canonical, count(c_custkey) as n from v left join customer on field = 'segment' and c_mktsegment = token group by all""")
-def vocabulary_dim(spark, sf):
-    v = C.vocabulary_rows(spark, RULES)
-    used = table(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("token")).agg(F.count("*").alias("n")).withColumn("field", F.lit("segment"))
-    return v.join(used, ["field", "token"], "left").fillna(0, ["n"])
-
-
-@query("schema_upgrade_v1_v2", """select doc_id, 2 as version, lang as language, source as origin, case when doc_id % 2 = 0 and doc_id % 3 <> 0 then n_chars::varchar end as legacy_chars, doc_id % 2 = 0 as had_legacy from documents""")
-def schema_upgrade_v1_v2(spark, sf):
-    i = F.col("doc_id")
-    d = table(spark, sf, "documents").select("doc_id", F.when(i % 2 == 0, 1).otherwise(2).alias("version"), "lang", "source", F.when(i % 3 != 0, F.col("n_chars")).alias("n_chars"))
-    out = C.upgrade(d, {"lang": "language", "source": "origin"}, ["n_chars"])
-    return out.select("doc_id", "version", "language", "origin", F.try_element_at("legacy", F.lit("n_chars")).alias("legacy_chars"), F.col("legacy").isNotNull().alias("had_legacy"))
-
-
-@query("validated_sink")
-def validated_sink(spark, sf):
-    """Writes files, so it is no SQL; tested by reading them back."""
-    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    return C.write_valid(o, F.col("o_orderstatus").isin("F", "O"), C.shared_folder(spark, "sink"), "orders", "o_orderkey")
-
-
 @query("profile_export", """
 with l as (select o_custkey, o_orderpriority as p, count(*) as n from orders group by all), g as (select o_custkey, '[' || string_agg('{"p":"' || p || '","n":' || n || '}', ',' order by p) || ']' as slots, sum(n)::bigint as total from l group by o_custkey)
 select o_custkey as video_id, '{"slots":' || slots || ',"total":' || total || '}' as profile from g""")
@@ -151,3 +112,68 @@ def evidence_validator_hook(spark, sf):
     from ..operators.extend import validate_refs
 
     return validate_refs(table(spark, sf, "pages"), F.col("url").startswith("https")).select("page_id", "verdict")
+
+
+@query("media_dim", """with p as (select o_orderkey as k, case o_orderkey % 6 when 0 then null when 1 then 'N/A' when 2 then '-3' else (o_orderkey % 977 + 1)::varchar end as fd, case when o_orderkey % 12 = 2 then null else (o_orderkey % 101 + 1)::varchar end as sd from orders),
+d as (select *, case when try_cast(fd as double) > 0 then (k % 977 + 1) * 1000 end as f, case when sd is not null then (k % 101 + 1) * 1000 end as s from p), e as (select *, coalesce(f, s) as dur, case when k % 5 = 1 then 500 when k % 5 = 2 then -1 end as ga, case when k % 5 in (1, 3) then (k % 7) * 50000 + 1000 end as gb from d),
+r as (select *, coalesce(ga, 0) as a, coalesce(gb, dur) as b from e), t as (select *, case when dur is null then 'unreliable' when a >= 0 and a < b and b <= dur then 'ok' else 'range' end as status from r)
+select k as video_id, dur as duration_ms, case when f is not null then 'format' when s is not null then 'stream' end as duration_source, case when k % 4 = 1 then 1080 else 1920 end as width, case when k % 4 = 1 then 1920 else 1080 end as height, case when k % 5 = 0 then null else round(30000 / 1001.0::double, 6) end as frame_rate,
+  (k % 2)::int as audio_tracks, case when k % 2 = 1 then 'unknown/2/48000' else '' end as tracks, status, case when status = 'ok' then a else 0 end as range_start_ms, case when status = 'ok' then b else dur end as range_end_ms from t""")
+def media_dim(spark, sf):
+    """Probe documents made from orders: an audio stream first where there is one, then the video stream; some ranges are given, some of them outside the media."""
+    k = F.col("o_orderkey")
+    stream = lambda kind: F.struct(
+        F.lit(kind).alias("kind"), F.when(k % 12 != 2, (k % 101 + 1).cast("string")).alias("duration"), F.lit(1920).alias("width"), F.lit(1080).alias("height"), F.when(k % 4 == 1, -90).alias("rotation"), F.when(k % 5 == 0, "30/0").otherwise("30000/1001").alias("rate"),
+        F.lit(None).cast("string").alias("language"), F.lit(2).alias("channels"), F.lit("48000").alias("sample_rate"))
+    streams = F.when(k % 2 == 1, F.array(stream("audio"), stream("video"))).otherwise(F.array(stream("video")))
+    duration = F.when(k % 6 == 0, None).when(k % 6 == 1, "N/A").when(k % 6 == 2, "-3").otherwise((k % 977 + 1).cast("string"))
+    o = table(spark, sf, "orders")
+    ranges = o.where("o_orderkey % 5 in (1, 2, 3)").select(k.alias("video_id"), F.when(k % 5 == 1, 500).when(k % 5 == 2, -1).cast("bigint").alias("start_ms"), F.when((k % 5).isin(1, 3), k % 7 * 50_000 + 1000).cast("bigint").alias("end_ms"))
+    rows = C.media_dimension(o.select(k.alias("video_id"), duration.alias("duration"), streams.alias("streams")), ranges)
+    return rows.withColumn("tracks", F.array_join(F.transform("tracks", lambda t: F.concat_ws("/", t["language"], t["channels"], t["sample_rate"])), ","))
+
+
+@query("vocabulary_dim", """with s as (select distinct c_mktsegment as seg from customer), v as (select 'segment' as field, seg as token, seg as canonical, false as allow_transitions, '、' as separator from s union all select 'segment', lower(seg), seg, false, '、' from s union all select 'segment', 'the ' || lower(seg), seg, false, '、' from s
+  union all select 'status', o_orderstatus, o_orderstatus, true, ' → ' from (select distinct o_orderstatus from orders) union all select 'status', 'state ' || lower(o_orderstatus), o_orderstatus, true, ' → ' from (select distinct o_orderstatus from orders))
+select v.*, count(c_custkey) as n from v left join customer on field = 'segment' and c_mktsegment = token group by all""")
+def vocabulary_dim(spark, sf):
+    """The rules are written as JSON from the tables' own values and read again."""
+    value = lambda c, *aliases: F.struct(c.alias("value"), F.array(*aliases).alias("aliases"))
+    rule = lambda df, transitions, separator, v: df.agg(F.struct(F.lit(transitions).alias("allowTransitions"), F.lit(separator).alias("separator"), F.array_sort(F.collect_set(v)).alias("values")).alias("rule"))
+    seg, st = F.col("c_mktsegment"), F.col("o_orderstatus")
+    customer = table(spark, sf, "customer")
+    segment = rule(customer, False, "、", value(seg, seg, F.concat(F.lit("The "), seg))).withColumn("field", F.lit("segment"))
+    status = rule(table(spark, sf, "orders"), True, " → ", value(st, F.concat(F.lit("State "), st))).withColumn("field", F.lit("status"))
+    folder = C.shared_folder(spark, "rules")
+    rules = segment.unionByName(status).groupBy().agg(F.map_from_entries(F.collect_list(F.struct("field", "rule"))).alias("fields"))
+    rules.select(F.to_json(F.struct("fields")).alias("value")).write.text(folder)
+    used = customer.groupBy(seg.alias("token")).agg(F.count("*").alias("n")).withColumn("field", F.lit("segment"))
+    return C.read_vocabulary(spark, folder).join(used, ["field", "token"], "left").fillna(0, ["n"])
+
+
+@query("schema_upgrade_v1_v2", """with d as (select doc_id, doc_id % 2 = 0 and doc_id % 9 <> 0 as old, lang, source, n_chars, doc_id % 3 <> 0 as fn from documents where doc_id % 9 <> 0 or doc_id % 2 <> 3)
+select doc_id, 2 as version, lang as viewpoint, source as sound, case when old then n_chars::varchar end as legacy_content, case when old then 'cut' end as legacy_transition, case when old then 'high' end as legacy_confidence,
+  case when old then case when fn then 'low' else 'high' end else case when fn then 'low' end end as function_confidence, case when old then 3 else 0 end as n_legacy, case when doc_id % 9 = 0 then 'former' else 'current' end as name from d""")
+def schema_upgrade_v1_v2(spark, sf):
+    """Documents as shots of a model's reply: even ones have version 1; every ninth is there under the artifact's former name only, and is of version 2."""
+    i = F.col("doc_id")
+    old = (i % 2 == 0) & (i % 9 != 0)
+    m = lambda **kv: F.map_filter(F.create_map(*[x for k, v in kv.items() for x in (F.lit(k), v.cast("string"))]), lambda k, v: v.isNotNull())
+    none = F.lit(None).cast("string")
+    d = table(spark, sf, "documents").select(
+        "doc_id", F.when(old, 1).otherwise(2).alias("version"), F.when(old, m(perspective=F.col("lang"), content=F.col("n_chars"))).otherwise(m(viewpoint=F.col("lang"))).alias("visual"),
+        F.when(old, m(soundEffects=F.col("source"))).otherwise(m(soundEvents=F.col("source"))).alias("audio"), m(x=none).alias("components"), F.when(old, m(transition=F.lit("cut"))).alias("editing"),
+        F.when(old, m(editing=F.lit("high"), function=F.when(i % 3 != 0, "low"))).otherwise(m(function=F.when(i % 3 != 0, "low"))).alias("confidence"))
+    current, former = d.where("doc_id % 9 <> 0").withColumn("name", F.lit("current")), d.withColumn("name", F.lit("former")).where("doc_id % 9 = 0 or doc_id % 5 = 0")
+    out = C.upgrade_shots(C.prefer_current_name(current, former, ["doc_id"]))
+    at = lambda c, k: F.try_element_at(c, F.lit(k))
+    return out.select("doc_id", "version", at("visual", "viewpoint").alias("viewpoint"), at("audio", "soundEvents").alias("sound"), at("legacy", "visual.content").alias("legacy_content"), at("legacy", "editing.transition").alias("legacy_transition"), at("legacy", "confidence.editing").alias("legacy_confidence"), at("confidence", "function").alias("function_confidence"), F.size("legacy").alias("n_legacy"), "name")
+
+
+@query("validated_sink", """select 'orders' as artifact, 'orders' as path, count(*) filter (where o_orderstatus in ('F', 'O')) as n_valid, count(*) filter (where o_orderstatus not in ('F', 'O')) as n_quarantined, 'partial' as status, '1' as schema_version from orders""")
+def validated_sink(spark, sf):
+    """Writes in two appends; the manifest's last row counts both. Its fingerprint and time are left out here and tested by reading the files back."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    folder, valid = C.shared_folder(spark, "sink"), F.col("o_orderstatus").isin("F", "O")
+    C.write_valid(o.where("o_orderkey % 2 = 0"), valid, folder, "orders", "o_orderkey")
+    return C.write_valid(o.where("o_orderkey % 2 = 1"), valid, folder, "orders", "o_orderkey").drop("fingerprint", "updated_at")

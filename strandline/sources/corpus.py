@@ -72,40 +72,99 @@ def frame_index(df: DataFrame, seconds: str, ranges: DataFrame, keys: list[str])
     return rows.select(*keys, "pts_ms").distinct()
 
 
-def media_dimension(probe: DataFrame) -> DataFrame:
-    """One row a video from probe documents: first video stream, duration of the format or else of the stream, sides swapped for a quarter turn, frame rate, and the analysed range."""
+def media_dimension(probe: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
+    """One row a video from probe documents: first video stream, duration of the format or else of that stream (text that is no positive number does not count; neither known: status unreliable),
+    sides swapped for a quarter turn, frame rate, audio tracks, and the analysed range: the given one if it lies inside the media, else (status range) or without one the whole.
+
+    probe: video_id, duration, streams (array of kind, duration, width, height, rotation, rate, language, channels, sample_rate); ranges: video_id, start_ms, end_ms, either null."""
     from ..functions.scalars import parse_fraction, seconds_to_ms
 
     v = F.get(F.filter("streams", lambda s: s["kind"] == "video"), F.lit(0))
-    turned = F.abs(F.coalesce(v["rotation"], F.lit(0))) % 180 == 90
-    duration = F.coalesce(seconds_to_ms("duration"), seconds_to_ms(v["duration"]))
-    rows = probe.select("video_id", duration.alias("duration_ms"), F.when(turned, v["height"]).otherwise(v["width"]).alias("width"), F.when(turned, v["width"]).otherwise(v["height"]).alias("height"), F.round(parse_fraction(v["rate"]), 6).alias("frame_rate"), F.size(F.filter("streams", lambda s: s["kind"] == "audio")).alias("audio_tracks"))
-    return rows.withColumn("range_start_ms", F.lit(0).cast("bigint")).withColumn("range_end_ms", F.col("duration_ms"))
-
-
-def vocabulary_rows(spark: SparkSession, rules: Mapping[str, Mapping[str, list[str]]]) -> DataFrame:
-    """field, token, canonical: exact values and their aliases in lower case."""
-    rows = [(f, t, c) for f, values in rules.items() for c, aliases in values.items() for t in dict.fromkeys([c, *(a.lower() for a in aliases)])]
-    return spark.createDataFrame(rows, "field string, token string, canonical string")
-
-
-def upgrade(df: DataFrame, renames: Mapping[str, str], removed: list[str], version: str = "version") -> DataFrame:
-    """Version 1 rows to version 2: renamed fields, removed ones into the map ``legacy``; version 2 rows pass, other versions raise."""
+    turned = F.pmod(F.coalesce(v["rotation"], F.lit(0)), F.lit(360)).isin(90, 270)
+    known = lambda c: F.when(c.try_cast("double") > 0, seconds_to_ms(c))
+    of_format, of_stream = known(F.col("duration")), known(v["duration"])
+    tracks = F.transform(F.filter("streams", lambda s: s["kind"] == "audio"), lambda s: F.struct(F.coalesce(s["language"], F.lit("unknown")).alias("language"), F.coalesce(s["channels"], F.lit(1)).alias("channels"), F.coalesce(s["sample_rate"].try_cast("double").cast("int"), F.lit(1)).alias("sample_rate")))
+    rows = probe.select(
+        "video_id", F.coalesce(of_format, of_stream).alias("duration_ms"), F.when(of_format.isNotNull(), "format").when(of_stream.isNotNull(), "stream").alias("duration_source"), F.when(turned, v["height"]).otherwise(v["width"]).alias("width"),
+        F.when(turned, v["width"]).otherwise(v["height"]).alias("height"), F.round(parse_fraction(v["rate"]), 6).alias("frame_rate"), tracks.alias("tracks"), F.size(tracks).alias("audio_tracks"))
+    given = ranges if ranges is not None else probe.select("video_id", F.lit(None).cast("bigint").alias("start_ms"), F.lit(None).cast("bigint").alias("end_ms"))
+    rows = rows.join(given, "video_id", "left").withColumn("_a", F.coalesce("start_ms", F.lit(0).cast("bigint"))).withColumn("_b", F.coalesce("end_ms", "duration_ms"))
+    inside = (F.col("_a") >= 0) & (F.col("_a") < F.col("_b")) & (F.col("_b") <= F.col("duration_ms"))
+    status = F.when(F.col("duration_ms").isNull(), "unreliable").when(~inside, "range").otherwise("ok")
+    rows = rows.withColumn("status", status).withColumn("range_start_ms", F.when(F.col("status") == "ok", F.col("_a")).otherwise(F.lit(0).cast("bigint"))).withColumn("range_end_ms", F.when(F.col("status") == "ok", F.col("_b")).otherwise(F.col("duration_ms")))
+    return rows.drop("_a", "_b", "start_ms", "end_ms")
+
+
+RULES_SCHEMA = "fields map<string, struct<allowTransitions: boolean, separator: string, values: array<struct<value: string, aliases: array<string>>>>>"
+
+
+def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """field, token, canonical, allow_transitions, separator from JSON rules: exact values as they are, aliases in lower case; an exact value wins over an alias of the same text, and an earlier value over a later one."""
+    rows = spark.read.schema(RULES_SCHEMA).option("multiLine", True).json(path).select(F.explode("fields").alias("field", "rule"))
+    rows = rows.select("field", F.coalesce("rule.allowTransitions", F.lit(False)).alias("allow_transitions"), F.col("rule.separator").alias("separator"), F.posexplode("rule.values").alias("pos", "v"))
+    exact = F.struct(F.col("v.value").alias("token"), F.lit(0).alias("rank"))
+    others = F.transform(F.coalesce("v.aliases", F.array().cast("array<string>")), lambda x: F.struct(F.lower(x).alias("token"), F.lit(1).alias("rank")))
+    rows = rows.select("field", "allow_transitions", "separator", "pos", F.col("v.value").alias("canonical"), F.explode(F.concat(F.array(exact), others)).alias("t"))
+    first = rows.groupBy("field", F.col("t.token").alias("token")).agg(F.min_by(F.struct("canonical", "allow_transitions", "separator"), F.struct("t.rank", "pos")).alias("x"))
+    return first.select("field", "token", "x.*")
+
+
+#: Renamed fields of a model's shot, by part, and fields that version 2 has no more (fixed values).
+SHOT_RENAMES = {
+    "visual": {"perspective": "viewpoint", "lensFeel": "perceivedLensFeel", "lightingType": "lightingSource", "colorTemperature": "perceivedColorTemperature", "texture": "imageTexture"},
+    "audio": {"soundEffects": "soundEvents"}, "components": {"compositingEvents": "nonTextOverlayEvents"},
+}
+SHOT_REMOVED = {"visual": ["content", "subjectCoverage", "movementIntensity"], "audio": ["speech"], "editing": ["transition", "continuity"], "confidence": ["editing", "overall"]}
+
+
+def upgrade_shots(df: DataFrame, renames: Mapping[str, Mapping[str, str]] = SHOT_RENAMES, removed: Mapping[str, list[str]] = SHOT_REMOVED, version: str = "version") -> DataFrame:
+    """Version 1 rows to version 2; version 2 rows pass, other versions raise.
+
+    Parts (visual, audio, components, editing, confidence) are maps of text. Fields are renamed inside their part, removed ones go to the map ``legacy`` under part.field, confidence.function takes the place
+    of confidence.editing where it is missing, and the part editing is gone."""
     legal = F.assert_true(F.col(version).isin(1, 2), "unknown schema version")
-    old = F.col(version) == 1
-    legacy = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, removed)), F.array(*[F.col(c).cast("string") for c in removed])), lambda k, v: v.isNotNull())
-    rows = df.where(legal.isNull()).withColumn("legacy", F.when(old, legacy))
-    return rows.drop(*removed).withColumnsRenamed(dict(renames)).withColumn(version, F.lit(2))
-
-
-def write_valid(df: DataFrame, valid: Column, folder: str, artifact: str, key: str) -> DataFrame:
-    """Writes valid rows to <folder>/<artifact> and the others to <folder>/quarantine/<artifact>; one manifest row with counts, path and content fingerprint."""
+    rows = df.where(legal.isNull())
+    old, none = F.col(version) == 1, F.create_map().cast("map<string,string>")
+    only = lambda part, names, keep: F.map_filter(F.coalesce(part, none), lambda k, v: k.isin(list(names)) == F.lit(keep))
+    prefixed = lambda m, part: F.transform_keys(m, lambda k, v: F.concat(F.lit(f"{part}."), k))
+    named = lambda m, name: F.transform_keys(m, lambda k, v: F.coalesce(F.try_element_at(name, k), k))
+    rows = rows.withColumn("legacy", F.when(old, F.map_concat(*[prefixed(only(part, names, True), part) for part, names in removed.items()])).otherwise(none))
+    for part in dict.fromkeys([*renames, *removed]):
+        if part == "editing":
+            continue
+        new = named(only(part, removed.get(part, []), False), F.create_map(*[F.lit(x) for kv in renames.get(part, {"": ""}).items() for x in kv]))
+        if part == "confidence":
+            moves = ~F.map_contains_key(part, F.lit("function")) & F.map_contains_key(part, F.lit("editing"))
+            new = F.when(moves, F.map_concat(new, F.create_map(F.lit("function"), F.try_element_at(part, F.lit("editing"))))).otherwise(new)
+        rows = rows.withColumn(part, F.when(old, new).otherwise(F.col(part)))
+    return rows.drop("editing").withColumn(version, F.lit(2))
+
+
+def prefer_current_name(current: DataFrame, former: DataFrame, keys: list[str]) -> DataFrame:
+    """Documents under the current name of an artifact, and those under its former name of videos that have no other."""
+    return current.unionByName(former.join(current.select(*keys), keys, "left_anti"))
+
+
+def write_valid(df: DataFrame, valid: Column, folder: str, artifact: str, key: str, schema_version: str = "1") -> DataFrame:
+    """Appends valid rows to <folder>/<artifact>, the others to <folder>/quarantine/<artifact>, and a row to <folder>/manifest; gives that row: artifact, path, fingerprint of the valid rows (whatever their order), counts, status, version and time.
+
+    The last row of an artifact is its state."""
     ok = F.coalesce(valid, F.lit(False))
-    df.where(ok).write.parquet(f"{folder}/{artifact}")
-    df.where(~ok).write.parquet(f"{folder}/quarantine/{artifact}")
+    path = f"{folder}/{artifact}"
+    good, bad = df.where(ok), df.where(~ok)
+    good.write.mode("append").parquet(path)
+    bad.write.mode("append").parquet(f"{folder}/quarantine/{artifact}")
     spark = df.sparkSession
-    good, bad = spark.read.parquet(f"{folder}/{artifact}"), spark.read.parquet(f"{folder}/quarantine/{artifact}")
+    good, bad = spark.read.schema(df.schema).parquet(path), spark.read.schema(df.schema).parquet(f"{folder}/quarantine/{artifact}")
     mark = F.conv(F.substring(F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256), 1, 12), 16, 10).cast("bigint")
-    side = lambda d, n: d.agg(F.count("*").alias(n), F.coalesce(F.bit_xor(mark), F.lit(0)).alias(f"{n}_mark"))
-    rows = side(good, "n_valid").withColumn("n_quarantined", bad.agg(F.count("*")).scalar())
-    return rows.select(F.lit(artifact).alias("artifact"), "n_valid", "n_quarantined", F.lower(F.hex("n_valid_mark")).alias("fingerprint"), F.when(F.col("n_quarantined") == 0, "complete").otherwise("partial").alias("status"))
+    rows = good.agg(F.count("*").alias("n_valid"), F.coalesce(F.bit_xor(mark), F.lit(0)).alias("_mark")).withColumn("n_quarantined", bad.agg(F.count("*")).scalar())
+    status = F.when(F.col("n_quarantined") == 0, "complete").when(F.col("n_valid") > 0, "partial").otherwise("failed")
+    row = rows.select(F.lit(artifact).alias("artifact"), F.lit(artifact).alias("path"), F.lower(F.hex("_mark")).alias("fingerprint"), "n_valid", "n_quarantined", status.alias("status"), F.lit(schema_version).alias("schema_version"), F.current_timestamp().alias("updated_at"))
+    row.write.mode("append").parquet(f"{folder}/manifest")
+    return manifest(spark, folder).where(F.col("artifact") == artifact)
+
+
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """The last row of every artifact."""
+    rows = spark.read.parquet(f"{folder}/manifest")
+    return rows.groupBy("artifact").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "artifact"]), "updated_at").alias("m")).select("artifact", "m.*")

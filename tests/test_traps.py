@@ -76,12 +76,6 @@ def test_ids(spark):
     assert one(spark, a=S.entity_id("SH", F.lit(7)), b=S.entity_id("SH", F.lit(12345)), c=S.keyframe_id(F.lit("SH0001"), F.lit(100)), d=S.keyframe_id(F.lit("SH0001"), F.lit(3))) == {"a": "SH0007", "b": "SH12345", "c": None, "d": "F_SH0001_K03"}
 
 
-def test_absence_before_vocabulary(spark):
-    df = spark.createDataFrame([(1, "none", "succeeded"), (2, "Car", "succeeded"), (3, "bus", "succeeded"), (4, "car", "failed"), (5, " ", "succeeded")], "k long, raw string, status string")
-    rows = {r.k: (r.state, r.value) for r in O.resolve_model_field(df, "raw", "status", {"none": "没有", "car": "车"}).collect()}
-    assert rows == {1: ("absent-claimed", None), 2: ("value", "车"), 3: ("unmapped", None), 4: ("unknown", None), 5: ("unknown", None)}
-
-
 def test_one_unknown_part_unmaps_the_whole(spark):
     df = spark.createDataFrame([("a、b",), ("a、x",), ("A",), (None,)], "raw string")
     assert [(r.state, r.value) for r in normalize(df, "raw", {"a": "甲", "b": "乙"}).collect()] == [("value", "甲、乙"), ("unmapped", None), ("value", "甲"), ("unknown", None)]
@@ -135,17 +129,20 @@ def test_one_broken_shot_gives_one_issue(spark):
     check = lambda rows: [r.message for r in Q.shot_rules(spark.createDataFrame(rows, names), ranges, F.lit(False)).collect()]
     assert check(good) == []
     assert check([good[0], (1, 2, 10, 20, 11), good[2]]) == ["duration"]
-    assert check([*good[:2], (1, 3, 20, 29, 9)]) == ["range not covered"]
+    assert check([*good[:2], (1, 3, 20, 29, 9)]) == ["range end not covered"]
     assert check([good[0], good[1], (1, 4, 20, 30, 10)]) == ["sequence"]
     assert check([good[0], (1, 2, 12, 20, 8), good[2]]) == ["not adjacent"]
 
 
 def test_migration_rejects_other_versions(spark):
-    df = spark.createDataFrame([(1, "a", "x")], "version int, old string, gone string")
-    row = C.upgrade(df, {"old": "new"}, ["gone"]).first()
-    assert (row.version, row.new, row.legacy) == (2, "a", {"gone": "x"})
+    m = "map<string,string>"
+    schema = f"version int, visual {m}, audio {m}, components {m}, editing {m}, confidence {m}"
+    df = spark.createDataFrame([(1, {"texture": "grain", "content": "x", "own": "y"}, {"speech": "s"}, {}, {"transition": "cut"}, {"editing": "high", "visual": "low"})], schema)
+    row = C.upgrade_shots(df).first()
+    assert (row.version, row.visual, row.audio) == (2, {"imageTexture": "grain", "own": "y"}, {}) and row.confidence == {"visual": "low", "function": "high"}
+    assert row.legacy == {"visual.content": "x", "audio.speech": "s", "editing.transition": "cut", "confidence.editing": "high"}
     with pytest.raises(Exception, match="unknown schema version"):
-        C.upgrade(df.withColumn("version", F.lit(3)), {"old": "new"}, ["gone"]).collect()
+        C.upgrade_shots(df.withColumn("version", F.lit(3))).collect()
 
 
 def test_sql_names_registered_queries():
