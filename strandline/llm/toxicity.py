@@ -267,10 +267,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, words: int
         return None
     x = [np.frombuffer(b, np.int32) for b in sample["slots"]]
     order = np.random.default_rng(11).permutation(len(y))
-    cut = max(1, len(y) * 3 // 4)
+    most = max(1, len(y) * 3 // 4)
     model = Model()
-    model.fit([x[i] for i in order[:cut]], y[order[:cut]])
-    model.calibrate([x[i] for i in order[cut:]], y[order[cut:]])
+    model.fit([x[i] for i in order[:most]], y[order[:most]])
+    model.calibrate([x[i] for i in order[most:]], y[order[most:]])
     return model
 
 
