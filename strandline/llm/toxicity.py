@@ -3,8 +3,8 @@
 Words (lower-cased, cut at ASCII characters that are neither letters nor digits) are hashed into an embedding table; filters
 of several widths slide over the whole text, max pooling keeps each filter's strongest response, and a linear layer
 gives a logit. Since a filter is linear in its words, the product of the embedding table with each filter position is
-computed once, so that scoring a text is table look-ups, sums and maxima. Words of fewer than ``LEAST_DOCS`` training texts
-have no embedding of their own and count as padding.
+computed once, so that scoring a text is table look-ups, sums and maxima. Words of fewer than ``LEAST_DOCS`` training texts, or of fewer
+than one text in ``LEAST_SHARE``, have no embedding of their own and count as padding: a filter could otherwise learn texts by heart.
 
 Thresholds are calibrated by language on rows kept out of the gradient steps. The language is guessed from the text's
 own function words, never read from a column. The calibrated threshold of each language is shifted to ``THRESHOLD``, so that one
@@ -38,11 +38,12 @@ TRAIN_WORDS = 16_000_000
 LONGEST = 100_000
 SLOTS = 1 << 17
 LEAST_DOCS = 3
+LEAST_SHARE = 750
 STEPS = 1500
 DIM = 12
 WIDTHS = (1, 2, 3)
 FILTERS = 8
-EPOCHS = 6
+EPOCHS = 10
 INIT = 0.05
 EMBEDDING_RATE = 0.2
 LEAST_CALIBRATION = 50
@@ -161,7 +162,7 @@ class Model:
     def fit(self, docs: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, batch: int = 32, rate: float = 0.005, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
         texts = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=SLOTS)
-        kept = np.flatnonzero(texts >= LEAST_DOCS)
+        kept = np.flatnonzero(texts >= max(LEAST_DOCS, len(docs) // LEAST_SHARE))
         kept = kept[kept > 0]
         self.index[kept] = np.arange(1, len(kept) + 1)
         self.embedding = rng.normal(0, INIT, (len(kept) + 1, DIM)).astype(np.float32)
