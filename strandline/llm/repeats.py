@@ -20,6 +20,7 @@ of the same doc_id never remove each other's bytes; extra columns are ignored; a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,24 +56,19 @@ def substring_hashes(data: np.ndarray) -> np.ndarray:
     return mix(h[:-8] * _STEP[4] + eight[16:])
 
 
-def window_anchors(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of ``depth`` bytes in data, the place of its anchor and the anchor's hash."""
+def window_anchors(data: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For the windows of ``depth`` bytes in data, a segment at a time: where the segment starts, the place of each window's anchor and the anchor's hash."""
     span = depth - ANCHOR + 1
-    n = len(data) - depth + 1
-    place, code = np.empty(max(0, n), np.int64), np.empty(max(0, n), np.uint64)
-    for at in range(0, n, SEGMENT):
+    for at in range(0, len(data) - depth + 1, SEGMENT):
         h = substring_hashes(data[at : min(len(data), at + SEGMENT + depth - 1)])
-        key = (h & U64(0xFFFFFFFFFF000000)) | np.arange(len(h), dtype=np.uint64)
-        low, width = key, 1
+        low, width = (h & U64(0xFFFFFFFFFF000000)) | np.arange(len(h), dtype=np.uint64), 1
         while 2 * width <= span:
             low = np.minimum(low[:-width], low[width:])
             width *= 2
         if width < span:
             low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
         own = (low & U64(0xFFFFFF)).astype(np.int64)
-        place[at : at + len(own)] = own + at
-        code[at : at + len(own)] = h[own]
-    return place, code
+        yield at, own + at, h[own]
 
 
 class Block:
@@ -92,17 +88,23 @@ class Block:
         self.starts = self.ends - sizes
         self.raw = b"".join(bodies)
         data = np.frombuffer(self.raw, np.uint8)
-        place, code = window_anchors(data, depth)
-        text = np.repeat(np.arange(len(bodies)), sizes)[: len(place)]
-        whole = self.ends[text] - depth >= np.arange(len(place)) if len(place) else np.zeros(0, bool)
-        new = np.ones(len(place), bool)
-        new[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1]) | ~whole[:-1]
-        first = np.flatnonzero(new & whole)
-        stop = np.flatnonzero(np.append(new[1:] | ~whole[1:], True) & whole) if len(place) else first
-        self.first, self.last = first, stop
-        self.anchor = mix(code[first] + U64(0x9E3779B97F4A7C15)) if len(first) else np.zeros(0, np.uint64)
-        self.place = (place[first] - first).astype(np.uint8)
-        self.text = text[first]
+        runs, stops = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.int64))], []
+        before = (-1, -1, False)  # place, text and wholeness of the window before
+        for at, place, code in window_anchors(data, depth):
+            window = np.arange(at, at + len(place))
+            text = np.searchsorted(self.ends, window, "right")
+            whole = self.ends[text] - depth >= window
+            place_, text_, whole_ = (np.concatenate(([x], y[:-1])) for x, y in zip(before, (place, text, whole)))
+            new = (place != place_) | (text != text_) | ~whole_.astype(bool)
+            first = np.flatnonzero(new & whole)
+            runs.append((window[first], code[first], (place[first] - window[first]).astype(np.uint8), text[first]))
+            stops.append(window[np.flatnonzero((new | ~whole) & whole_.astype(bool))] - 1)
+            before = (place[-1], text[-1], whole[-1])
+        if before[2]:
+            stops.append(np.array([len(data) - depth]))
+        self.first, code, self.place, self.text = (np.concatenate([r[i] for r in runs]) for i in range(4))
+        self.last = np.concatenate([*stops, np.zeros(0, np.int64)]).astype(np.int64)
+        self.anchor = mix(code + U64(0x9E3779B97F4A7C15))
         self.doc = ids[self.text]
 
 
@@ -202,16 +204,15 @@ def _judge(depth: int):
         mask = np.zeros(len(number), np.uint32)
         at = sample[mixed]
         many = size[at] - depth + 1
-        owner = np.repeat(np.arange(len(mixed)), many)
-        offset = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
-        if len(owner):
-            data = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), depth)
-            windows = data[starts[at][owner] + offset]
-            # windows of one anchor are comparable where the anchor lies at the same distance
-            before = place[at].astype(np.int64)[owner] - offset
-            best = sort_windows(group[mixed][owner] * 64 + before, windows, least[mixed][owner], depth)
-            hit = best < least[mixed][owner]
-            np.bitwise_or.at(mask, mixed[owner[hit]], np.uint32(1) << offset[hit].astype(np.uint32))
+        data = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), depth) if len(mixed) else None
+        # windows of one anchor are comparable where the anchor lies at the same distance: one distance at a time, at most one window of each run
+        for before in range(depth - ANCHOR + 1 if len(mixed) else 0):
+            offset = place[at].astype(np.int64) - before
+            own = np.flatnonzero((offset >= 0) & (offset < many))
+            if len(own):
+                best = sort_windows(group[mixed[own]], data[starts[at[own]] + offset[own]], least[mixed[own]], depth)
+                hit = own[best < least[mixed[own]]]
+                mask[mixed[hit]] |= np.uint32(1) << offset[hit].astype(np.uint32)
         bucket, rows, s = sent["bucket"][0].as_py(), [], 0
         for block, n in zip(sent["block"].to_pylist(), counts):
             own = run_of[s : s + n]
