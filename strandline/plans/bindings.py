@@ -54,9 +54,10 @@ def ev_shots(spark, sf) -> DataFrame:
 
 
 def emb_frames(spark, sf) -> DataFrame:
-    e = table(spark, sf, "embeddings")
-    w = W.partitionBy("label").orderBy("vec_id")
-    return e.select(F.col("label").alias("video"), F.row_number().over(w).alias("i"), "vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    """Frames of videos of at most a thousand rows: the label and the thousand that a vector belongs to, so that videos grow in number and not in length."""
+    e = table(spark, sf, "embeddings").withColumn("video", F.col("label").cast("long") * 1_000_000 + F.floor(F.col("vec_id") / 1000))
+    w = W.partitionBy("video").orderBy("vec_id")
+    return e.select("video", F.row_number().over(w).alias("i"), "vec_id", F.col("embedding").cast("array<double>").alias("x"))
 
 
 def emb_planes(spark, sf) -> DataFrame:
@@ -98,7 +99,7 @@ SQL = {
           select video, range_start as t from ev_ranges union all select video, range_end from ev_ranges
           union all select p.video, time_ms from ev_points p join ev_ranges r using (video) where kind = 'view' and time_ms > range_start and time_ms < range_end))
       window w as (partition by video order by t) qualify end_ms is not null""",
-    "emb_frames": "select label as video, row_number() over (partition by label order by vec_id) as i, vec_id, embedding::double[] as x from embeddings",
+    "emb_frames": "select label::bigint * 1000000 + vec_id // 1000 as video, row_number() over (partition by label, vec_id // 1000 order by vec_id) as i, vec_id, embedding::double[] as x from embeddings",
     "emb_planes": """select video, i, list_transform(x[1:16], lambda a: abs(a) - floor(abs(a))) as hue, list_transform(x[17:32], lambda a: abs(a) - floor(abs(a))) as saturation,
         list_transform(x[33:48], lambda a: abs(a) - floor(abs(a))) as "value" from emb_frames""",
     "spans": """select o_custkey as video, (epoch_us(least(o_orderdate, l_shipdate)) // 1000) as start_ms,
