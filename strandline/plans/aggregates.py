@@ -11,7 +11,7 @@ from ..operators import islands as I
 from ..operators import joins as J
 from .bindings import HOUR, conv, ev_points, ev_ranges, ev_seg, ev_shots, spans, sql, table
 from .islands import AUDIO, associations, overlap_ratios
-from .joins import _AROUND, _ATTR, BUCKET, around, attributed, matches
+from .joins import _AROUND, _ATTR, BUCKET, around, attributed, matches, match_sql
 from ..operators import quality as Q
 from .registry import query
 from .signals import keyframes, _KEYS
@@ -229,9 +229,14 @@ def status_rollups(spark, sf):
     return A.status_rollup(table(spark, sf, "orders").select(F.col("o_custkey").alias("video"), "o_orderstatus"), "o_orderstatus", complete="F")
 
 
-@query("eval_boundary")
+_SCORES = """, g as (select video, count(*) as g from gold group by video), f as (select video, n as f from det), h as (select video, count(*) as hits from matched group by video),
+scores as (select video, coalesce(hits, 0) as hits, coalesce(g, 0) - coalesce(hits, 0) as missed, coalesce(f, 0) - coalesce(hits, 0) as false_positives, case when coalesce(g, 0) = 0 then 1.0 else coalesce(hits, 0) / g end as recall, case when coalesce(f, 0) = 0 then 1.0 else coalesce(hits, 0) / f end as precision
+  from g full join f using (video) left join h using (video))"""
+
+
+@query("eval_boundary", match_sql("7200000") + _SCORES + " select * from scores")
 def eval_boundary(spark, sf):
-    """On greedy matches; compared with a plain loop in the tests."""
+    """On greedy matches; also compared with a plain loop in the tests."""
     golden, found, tolerance = matches(spark, sf)
     return A.recall_precision(golden, found, J.greedy_match(golden, found, tolerance))
 
@@ -329,7 +334,8 @@ def pair_view(spark, sf):
     return view.select("video", F.concat_ws("--", "left", "right").alias("pair_id"), *Q.METRICS, "n_lacking", "status", "semantics", "frame_source", "left_frame_ms", "right_frame_ms")
 
 
-@query("golden_gate")
+@query("golden_gate", match_sql("(case when g.video % 2 = 0 then 7200000 else 3600000 end)") + _SCORES + """ select video, recall, precision,
+  video % 7 = 0 or recall >= (case when video % 2 = 0 then 0.2 else 0.5 end)::double and precision >= (case when video % 2 = 0 then 0.1 else 0.25 end)::double as passed from scores""")
 def golden_gate(spark, sf):
     """Each video against its own minimum recall and precision, with its own tolerance; every seventh has no limits."""
     v = F.col("video")

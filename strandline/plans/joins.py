@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import islands as I
 from ..operators import joins as J
-from .bindings import HOUR, conv, ev_points, ev_ranges, ev_seg, ev_series, ev_shots, spans, sql, table
+from .bindings import SQL, HOUR, conv, ev_points, ev_ranges, ev_seg, ev_series, ev_shots, spans, sql, table
 from .islands import _RUNS, AUDIO, GAP, SYNC, associations, audio_points
 from .registry import query
 
@@ -125,9 +125,20 @@ def matches(spark, sf):
     return golden, ev_points(spark, sf, "purchase", "click").select("video", F.col("time_ms").alias("t")), 2 * HOUR
 
 
-@query("greedy_tolerance_match")
+def match_sql(tolerance: str) -> str:
+    """Greedy matching as a recursion over the golden times of a video: the list of free detections goes along. ``tolerance`` may use the video."""
+    return f"""with recursive ev_points as ({SQL["ev_points"]}), gold as (select video, time_ms as t, row_number() over (partition by video order by time_ms) as k from ev_points where kind = 'signup'),
+det as (select video, list(time_ms order by time_ms) as free, count(*) as n from ev_points where kind in ('purchase', 'click') group by video),
+rec as (select g.video, 0::bigint as k, 0::bigint as t, null::bigint as found, coalesce(free, []::bigint[]) as free from (select distinct video from gold) g left join det using (video) union all
+  select g.video, g.k, g.t, w.near, case when w.near is null then rec.free else list_concat(rec.free[:list_position(rec.free, w.near) - 1], rec.free[list_position(rec.free, w.near) + 1:]) end
+  from rec join gold g on g.video = rec.video and g.k = rec.k + 1,
+  lateral (select list_sort(list_transform(list_filter(rec.free, lambda x: abs(x - g.t) <= {tolerance}), lambda x: {{'d': abs(x - g.t), 'x': x}}))[1].x as near) w),
+matched as (select video, t as golden_t, found as found_t from rec where found is not null)"""
+
+
+@query("greedy_tolerance_match", match_sql("7200000") + " select * from matched")
 def greedy_tolerance_match(spark, sf):
-    """Sequential by definition; compared with a plain loop in the tests."""
+    """Sequential by definition; also compared with a plain loop in the tests."""
     golden, found, tolerance = matches(spark, sf)
     return J.greedy_match(golden, found, tolerance).select("video", "golden_t", "found_t")
 

@@ -10,7 +10,7 @@ from ..operators import islands as I
 from ..operators import joins as J
 from ..operators import signal as G
 from .bindings import HOUR, emb_frames, emb_planes, ev_points, ev_ranges, ev_seg, ev_series, ev_shots, sql, table
-from .islands import _GAPS
+from .islands import _GAPS, _recursive
 from .registry import query
 
 _FRAMES = ", f as (select *, lag(x) over (partition by video order by i) as p from emb_frames)"
@@ -66,9 +66,13 @@ def cut_candidates(spark, sf):
     return candidates(spark, sf).select("video", "i", "reason", "confidence", "suppressed")
 
 
-@query("nms_confidence")
+@query("nms_confidence", _recursive(sql("ev_series", _RATIO + """, o as (select video, i, confidence, row_number() over (partition by video order by value desc, i) as k from cand where suppressed is null),
+rec as (select distinct video, 0::bigint as k, 0::bigint as i, '' as confidence, null::bigint as merged_into, []::struct(p bigint, c varchar)[] as kept from o union all
+  select o.video, o.k, o.i, o.confidence, w.way, case when w.way is null then list_append(rec.kept, {'p': o.i, 'c': o.confidence}) else rec.kept end
+  from rec join o on o.video = rec.video and o.k = rec.k + 1, lateral (select list_filter(rec.kept, lambda x: abs(o.i - x.p) < case when x.c = 'high' and o.confidence = 'high' then 2 else 6 end)[1].p as way) w)
+select video, i, confidence, merged_into from rec where k > 0""")))
 def nms_confidence(spark, sf):
-    """Greedy; compared with a plain loop in the tests."""
+    """Greedy by descending value; also compared with a plain loop in the tests."""
     rows = candidates(spark, sf).where("suppressed is null").select("video", F.col("i").cast("long").alias("i"), "value", "confidence")
     return G.merge_short(rows, 6, 2).select("video", "i", "confidence", "merged_into")
 
@@ -100,15 +104,25 @@ def local_peaks(spark, sf):
     return G.local_peaks(ev_series(spark, sf), 40).select("video", "i", "value")
 
 
-@query("nms_distance")
+def _apart(rows: str, score: str, position: str, step: int) -> str:
+    """Greedy suppression as a recursion over the rank of each row: the list of kept positions goes along."""
+    return f""", o as (select *, row_number() over (partition by video order by {score} desc, {position}) as k from {rows}),
+rec as (select distinct video, 0::bigint as k, false as keep, []::bigint[] as kept from o union all
+  select o.video, o.k, w.free, case when w.free then list_append(rec.kept, o.{position}::bigint) else rec.kept end
+  from rec join o on o.video = rec.video and o.k = rec.k + 1, lateral (select len(list_filter(rec.kept, lambda x: abs(o.{position} - x) < {step})) = 0 as free) w),
+left_ as (select o.* from o join rec on o.video = rec.video and o.k = rec.k where rec.keep)"""
+
+
+@query("nms_distance", _recursive(sql("ev_series", _PEAKS + _apart("peaks", "value", "i", 4) + " select video, i, value from left_")))
 def nms_distance(spark, sf):
-    """Greedy; compared with a plain loop in the tests."""
+    """Greedy by descending value; also compared with a plain loop in the tests."""
     return G.suppress_close(G.local_peaks(ev_series(spark, sf).select("video", "i", "value"), 40), "value", 4)
 
 
-@query("texture_events")
+@query("texture_events", _recursive(sql("ev_series", ", d as (select video, i, time_ms, value / 100 - lag(value / 100) over (partition by video order by i) as delta from ev_series), e as (select *, abs(delta) as size from d where abs(delta) >= 0.1)"
+    + _apart("e", "size", "time_ms", 6 * HOUR) + " select video, i, time_ms, case when delta > 0 then 'textureRise' else 'textureFall' end as kind, round(delta, 6) as delta from left_")))
 def texture_events(spark, sf):
-    """Greedy; compared with a plain loop in the tests."""
+    """Greedy by descending step; also compared with a plain loop in the tests."""
     rows = ev_series(spark, sf).select("video", "i", "time_ms", (F.col("value") / 100).alias("flatness"))
     return G.texture_events(rows, 0.1, 6 * HOUR).select("video", "i", "time_ms", "kind", F.round("delta", 6).alias("delta"))
 

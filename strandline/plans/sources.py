@@ -99,7 +99,7 @@ def resolver_registry(spark, sf):
     return r.resolve(ev_ranges(spark, sf))
 
 
-@query("injectable_scorers")
+@query("injectable_scorers", "select conv_id || '/' || turn as key, length(coalesce(text, ''))::double as score, 'batch' as status, 1 as attempts from conversations")
 def injectable_scorers(spark, sf):
     """The scorer is a parameter; a deterministic one stands in for a service."""
     from ..operators.scoring import scored
