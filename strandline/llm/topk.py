@@ -54,6 +54,7 @@ def _extremes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if batch.num_rows:
             x = _matrix(batch.column("vector"), batch.num_rows)
             low, high = (x.min(0), x.max(0)) if low is None else (np.minimum(low, x.min(0)), np.maximum(high, x.max(0)))
+    low, high = (None if v is None else v.astype(np.int64) for v in (low, high))
     n = 0 if low is None else len(low)
     yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array(low if n else [], pa.int64()), pa.array(high if n else [], pa.int64())], names=["dim", "low", "high"])
 
@@ -107,7 +108,7 @@ def _scores(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """query, row, vec_id, score: exact vectors fetched by row number."""
     candidates = pairs.select("query", "row").join(rows.select("row", "vec_id", F.col("vector").alias("x")), "row")
     both = candidates.join(rows.select(F.col("row").alias("query"), F.col("vector").alias("y")), "query")
-    score = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0).cast("bigint"), lambda s, v: s + v)
+    score = F.aggregate(F.zip_with("x", "y", lambda a, b: a.cast("bigint") * b), F.lit(0).cast("bigint"), lambda s, v: s + v)
     return both.select("query", "row", "vec_id", score.alias("score"))
 
 
@@ -126,8 +127,8 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
     if dim * most * most >= 2.0**62:
         raise ValueError("components are too large for scores of 64 bits")
     slack = dim * dim * most * most * 2.0**-51
-    # row numbers have to stay the same in every pass
-    rows = cut(given.where(F.size("embedding") == dim).select(F.monotonically_increasing_id().alias("row"), "vec_id", whole.cast("array<long>").alias("vector")))
+    # row numbers have to stay the same in every pass; components are below 2**31 as scores are below 2**62
+    rows = cut(given.where(F.size("embedding") == dim).select(F.monotonically_increasing_id().alias("row"), "vec_id", whole.cast("array<int>").alias("vector")))
     edges = rows.mapInArrow(_extremes, "dim int, low bigint, high bigint").groupBy("dim").agg(F.min("low").alias("low"), F.max("high").alias("high")).orderBy("dim").collect()  # dim rows
     low, high = (np.array([r[c] for r in edges], np.int64) for c in ("low", "high"))
     step = np.maximum(1, -(-(high - low + 1) // CELLS))
