@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, extract, jaccard, lines, pieces, pseudo, repeats, topk, toxicity, urls
+from . import decontaminate, dialogs, extract, jaccard, lines, middle, pieces, pseudo, repeats, tokens, topk, toxicity, urls
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_topk": topk.query,
         "op9_pseudo_likelihood": pseudo.query,
         "op10_html_extraction": extract.query,
+        "op11_token_counts": tokens.query,
+        "op12_fill_in_middle": middle.query,
+        "op13_conversation_repair": dialogs.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": urls.ORACLE, "op7_line_dedup": lines.ORACLE, "op8_topk": topk.ORACLE}
+    return {"op5_url_filter": urls.ORACLE, "op7_line_dedup": lines.ORACLE, "op8_topk": topk.ORACLE, "op12_fill_in_middle": middle.ORACLE}
