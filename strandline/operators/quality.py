@@ -1,254 +1,251 @@
-"""Integrity rules over tables. Every rule gives issues: severity, artifact, path, message, expected, actual."""
+"""Integrity rules over tables. Every rule gives issues: severity, artifact, path, message, expected, actual.
+
+Each group comes twice: as facts, which many groups share one judgement of (see ``rules``), and as issues. Every artifact is read once.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ISSUE = ("severity", "artifact", "path", "message", "expected", "actual")
+from .rules import ISSUE, Sql, define, differs, facts, ident, judge, now, path_of, together, use, word
+
+__all__ = ["ISSUE"]
 
 
-def issues(df: DataFrame, artifact: str, path: Column, message: str | Column, expected: Column | None = None, actual: Column | None = None, severity: str | Column = "error") -> DataFrame:
-    text = lambda c: F.lit(None).cast("string") if c is None else c.cast("string")
-    lit = lambda c: F.lit(c) if isinstance(c, str) else c
-    return df.select(lit(severity).alias("severity"), F.lit(artifact).alias("artifact"), path.cast("string").alias("path"), lit(message).alias("message"), text(expected).alias("expected"), text(actual).alias("actual"))
+def _issues_of(group):
+    """A group of facts as issues of its own."""
 
+    @wraps(group)
+    def rules(*args, **more) -> DataFrame:
+        return judge(group(*args, **more))
 
-def all_issues(parts: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+    return rules
 
 
-def schema_rules(df: DataFrame, artifact: str, path: Column, rules: Mapping[str, Mapping]) -> DataFrame:
+def schema_facts(df: DataFrame, artifact: str, path: Column, rules: Mapping[str, Mapping]) -> DataFrame:
     """rules: column -> any of required, enum, pattern, least, most. One pass: each row explodes to the rules that it breaks."""
     broken = []
     for name, rule in rules.items():
-        c = F.col(name)
         tests = {
-            "required": c.isNull() if rule.get("required") else None,
-            "enum": ~c.isin(list(rule["enum"])) if "enum" in rule else None,
-            "pattern": ~c.cast("string").rlike(rule["pattern"]) if "pattern" in rule else None,
-            "minimum": c < rule["least"] if "least" in rule else None,
-            "maximum": c > rule["most"] if "most" in rule else None,
+            "required": f"{name} is null" if rule.get("required") else None,
+            "enum": f"{name} not in ({', '.join(map(word, rule['enum']))})" if "enum" in rule else None,
+            "pattern": f"not cast({name} as string) rlike {word(rule['pattern'])}" if "pattern" in rule else None,
+            "minimum": f"{name} < {rule['least']}" if "least" in rule else None,
+            "maximum": f"{name} > {rule['most']}" if "most" in rule else None,
         }
-        broken += [F.when(test, F.struct(F.lit(f"{name}: {kind}").alias("message"), c.cast("string").alias("actual"))) for kind, test in tests.items() if test is not None]
-    rows = df.select(path.alias("path"), F.explode(F.array_compact(F.array(*broken))).alias("b"))
-    return issues(rows, artifact, F.col("path"), F.col("b.message"), None, F.col("b.actual"))
-
-
-def unknown_references(df: DataFrame, known: DataFrame, key: str, known_key: str, artifact: str, path: Column, severity: str = "error") -> DataFrame:
-    ids = known.select(F.col(known_key).alias("_known")).distinct()
-    rows = df.where(F.col(key).isNotNull()).join(ids, F.col(key) == F.col("_known"), "left_anti")
-    return issues(rows, artifact, path, f"unknown {key}", None, F.col(key), severity)
-
-
-def differs(df: DataFrame, artifact: str, path: Column, message: str, expected: Column, actual: Column, severity: str | Column = "error") -> DataFrame:
-    """Rows where actual is not expected; null equals null."""
-    return issues(df.where(~expected.eqNullSafe(actual)), artifact, path, message, expected, actual, severity)
+        broken += [now(test, artifact, "_path", f"{name}: {kind}", None, name) for kind, test in tests.items() if test is not None]
+    return facts(df.withColumn("_path", path), *broken)
 
 
-def counts_differ(declared: DataFrame, found: DataFrame, keys: Sequence[str], artifact: str, message: str) -> DataFrame:
-    """declared: keys, n; found: keys, n. Rows that only one side has count 0 on the other."""
-    both = declared.withColumnRenamed("n", "_d").join(found.withColumnRenamed("n", "_f"), list(keys), "full").fillna(0, ["_d", "_f"])
-    return issues(both.where("_d <> _f"), artifact, F.concat_ws("/", *keys), message, F.col("_f"), F.col("_d"))
+def equal_facts(df: DataFrame, artifact: str, path: Column, message: str, expected: Column, actual: Column) -> DataFrame:
+    """Rows where actual is not expected."""
+    return facts(df.select(path.alias("_path"), expected.alias("_a"), actual.alias("_b")), now(differs("_a", "_b"), artifact, "_path", message, "_a", "_b"))
 
 
-def _key(*columns: str) -> Column:
-    return F.concat_ws("/", *columns)
+def audio_cut_facts(cuts: DataFrame, known: DataFrame, tolerance_ms: int) -> DataFrame:
+    """cuts: id, offset_ms, declared, ref; known: ref. The declared offset is the offset, lies within the tolerance, and the reference is known."""
+    return together([
+        facts(cuts, now(differs("offset_ms", "declared"), "audio_cuts", "id", "offset", "offset_ms", "declared"), now(f"abs(offset_ms) > {tolerance_ms}", "audio_cuts", "id", "beyond tolerance", str(tolerance_ms), "offset_ms"),
+              use("cuts.ref", ident("ref"), "undefined", artifact="audio_cuts", path="id", message="unknown ref", actual="ref")),
+        facts(known, define("cuts.ref", ident("ref"))),
+    ])
 
 
-def missing_from(rows: DataFrame, known: DataFrame, on: Sequence[str], artifact: str, path: Column, message: str, actual: Column | None = None, severity: str = "error") -> DataFrame:
-    """An issue for each row whose columns ``on`` (not null) are no row of ``known``."""
-    some = rows.dropna(subset=list(on))
-    return issues(some.join(known.select(*on).distinct(), list(on), "left_anti"), artifact, path, message, None, actual, severity)
+def music_facts(rows: DataFrame, declared: DataFrame) -> DataFrame:
+    """rows: video, state, id, ratio; declared: video, state, n. Ratios lie in 0..1, and as many rows have a state as declared (0 where one side has none)."""
+    key, told = ident("video", "state"), {"artifact": "music", "path": path_of("video", "state"), "message": "tally"}
+    return together([
+        facts(rows, now("ratio < 0 or ratio > 1", "music", "id", "ratio outside"), use("music.tally", key, "undeclared", **told)),
+        facts(declared, define("music.tally", key, "count", said="n", **told)),
+    ])
 
 
-def shot_rules(shots: DataFrame, ranges: DataFrame, partial: Column, declared: DataFrame | None = None, keys: Sequence[str] = ("video",)) -> DataFrame:
+def shot_facts(shots: DataFrame, ranges: DataFrame, partial: Column, declared: DataFrame | None = None, keys: Sequence[str] = ("video",)) -> DataFrame:
     """Sequence without gaps, end after start, duration identity, overlap, adjacency (a warning where the analysis is partial), and cover of the range;
     types of the first and last boundary where shots have type_in and type_out, and the number of boundaries where ``declared`` (keys, n) is given.
 
     shots: seq, start_ms, end_ms, duration_ms."""
-    w = W.partitionBy(*keys).orderBy("seq")
-    rows = shots.withColumn("_next", F.lead("start_ms").over(w)).withColumn("_rank", F.row_number().over(w))
-    path, video = _key(*keys, "seq"), _key(*keys)
-    whole = [F.min("start_ms").alias("_a"), F.max("end_ms").alias("_b"), (F.count("*") - 1).alias("n")]
-    typed = {"type_in", "type_out"} <= set(shots.columns)
-    if typed:
-        whole += [F.min_by("type_in", "seq").alias("_in"), F.max_by("type_out", "seq").alias("_out")]
-    ends = shots.groupBy(*keys).agg(*whole).join(ranges, list(keys))
-    gap = F.when(partial, "warning").otherwise("error")
-    out = [
-        differs(rows, "shots", path, "sequence", F.col("_rank"), F.col("seq")),
-        issues(rows.where("end_ms <= start_ms"), "shots", path, "end before start", F.col("start_ms"), F.col("end_ms")),
-        differs(rows, "shots", path, "duration", F.col("end_ms") - F.col("start_ms"), F.col("duration_ms")),
-        issues(rows.where("_next < end_ms"), "shots", path, "overlap", F.col("end_ms"), F.col("_next")),
-        issues(rows.where("_next > end_ms"), "shots", path, "not adjacent", F.col("end_ms"), F.col("_next"), gap),
-        issues(ends.where("_a <> range_start"), "shots", video, "range start not covered", F.col("range_start"), F.col("_a")),
-        issues(ends.where("_b <> range_end"), "shots", video, "range end not covered", F.col("range_end"), F.col("_b")),
+    over = f"over (partition by {', '.join(keys)} order by seq)"
+    rows = shots.select("*", partial.alias("_partial"), F.expr(f"lead(start_ms) {over} as _next"), F.expr(f"row_number() {over} as _rank"), F.expr(f"lead(1) {over} is null as _last"))
+    path, video, key = path_of(*keys, "seq"), path_of(*keys), ident(*keys)
+    own = [
+        now(differs("_rank", "seq"), "shots", path, "sequence", "_rank", "seq"), now("end_ms <= start_ms", "shots", path, "end before start", "start_ms", "end_ms"),
+        now(differs("end_ms - start_ms", "duration_ms"), "shots", path, "duration", "end_ms - start_ms", "duration_ms"), now("_next < end_ms", "shots", path, "overlap", "end_ms", "_next"),
+        now("_next > end_ms", "shots", path, "not adjacent", "end_ms", "_next", Sql("if(_partial, 'warning', 'error')")), use("shots.cover", key, low="start_ms", high="end_ms"),
     ]
-    if typed:
-        out += [differs(ends, "shots", video, "first boundary", F.lit("sourceStart"), F.col("_in")), differs(ends, "shots", video, "last boundary", F.lit("sourceEnd"), F.col("_out"))]
+    if {"type_in", "type_out"} <= set(shots.columns):
+        ends = [("_rank = 1", "first boundary", "'sourceStart'", "type_in"), ("_last", "last boundary", "'sourceEnd'", "type_out")]
+        own += [now(f"{at} and {differs(wanted, given)}", "shots", video, message, wanted, given) for at, message, wanted, given in ends]
+    told = lambda message: {"artifact": "shots", "path": video, "message": message}
+    parts = [facts(ranges, define("shots.cover", key, "from", said="range_start", **told("range start not covered")), define("shots.cover", key, "to", said="range_end", **told("range end not covered")))]
     if declared is not None:
-        out.append(counts_differ(declared, ends.select(*keys, "n"), keys, "shots", "boundary count"))
-    return all_issues(out)
+        own.append(use("shots.boundaries", key, "undeclared", n="if(_rank > 1, 1, 0)", **told("boundary count")))
+        parts.append(facts(declared, define("shots.boundaries", key, "count", said="n", **told("boundary count"))))
+    return together([facts(rows, *own), *parts])
 
 
-def coverage_rules(rows: DataFrame, shots: DataFrame, complete: Sequence[str], strict: bool = False, on: Sequence[str] = ("shot",)) -> DataFrame:
+def coverage_facts(rows: DataFrame, shots: DataFrame, complete: Sequence[str], strict: bool = False, on: Sequence[str] = ("shot",)) -> DataFrame:
     """Rows of shot-level artifacts (artifact, path, ``on``) must name known shots; complete artifacts must name all of them (a warning unless strict)."""
-    known = shots.select(*on).distinct()
-    unknown = rows.join(known, list(on), "left_anti")
-    wanted = known.withColumn("artifact", F.explode(F.array(*map(F.lit, complete))))
-    lost = wanted.join(rows.select("artifact", *on).distinct(), ["artifact", *on], "left_anti")
-    show = lambda df, path, message, severity: df.select(F.lit(severity).alias("severity"), "artifact", path.cast("string").alias("path"), F.lit(message).alias("message"), F.lit(None).cast("string").alias("expected"), _key(*on).alias("actual"))
-    return show(unknown, F.col("path"), "unknown shot", "error").unionByName(show(lost, _key(*on), "not covered", "error" if strict else "warning"))
+    name, severity = path_of(*on), "error" if strict else "warning"
+    return together([
+        facts(rows, use("cover.shot", name, "undefined", artifact=Sql("artifact"), path="path", message="unknown shot", actual=name), use("cover.all", ident("artifact", name), when=f"artifact in ({', '.join(map(word, complete))})" if complete else "false")),
+        facts(shots, define("cover.shot", name), *(define("cover.all", ident(word(a), name), "unused", artifact=a, path=name, message="not covered", actual=name, severity=severity) for a in complete)),
+    ])
 
 
-def frame_rules(frames: DataFrame, shots: DataFrame, ranges: DataFrame, files: DataFrame) -> DataFrame:
+def frame_facts(frames: DataFrame, shots: DataFrame, ranges: DataFrame, files: DataFrame) -> DataFrame:
     """frames: video, i, id, shot, t, file. The id is the place, the shot is known, the time lies in the range, the file (listed in ``files``: file) exists."""
-    path = _key("video", "i")
-    timed = frames.join(ranges, "video")
-    return all_issues([
-        differs(frames, "frames", path, "id", F.col("i"), F.col("id")), missing_from(frames, shots, ["video", "shot"], "frames", path, "unknown shot", F.col("shot")),
-        issues(timed.where("t < range_start or t >= range_end"), "frames", path, "time outside", F.col("range_end"), F.col("t")), missing_from(frames, files, ["file"], "frames", path, "no such file", F.col("file")),
+    path = path_of("video", "i")
+    own = {"artifact": "frames", "path": path}
+    return together([
+        facts(frames.join(ranges, "video", "left"), now(differs("i", "id"), "frames", path, "id", "i", "id"), now("t < range_start or t >= range_end", "frames", path, "time outside", "range_end", "t"),
+              use("frames.shot", ident("video", "shot"), "undefined", message="unknown shot", actual="shot", **own), use("frames.file", ident("file"), "undefined", message="no such file", actual="file", **own)),
+        facts(shots, define("frames.shot", ident("video", "shot"))), facts(files, define("frames.file", ident("file"))),
     ])
 
 
-def batch_rules(batches: DataFrame, members: DataFrame, responses: DataFrame, statuses: DataFrame, docs: DataFrame) -> DataFrame:
+def batch_facts(batches: DataFrame, members: DataFrame, responses: DataFrame, statuses: DataFrame, docs: DataFrame) -> DataFrame:
     """batches: video, batch, status, has_response; members, responses: video, batch, shot; statuses: video, shot, status; docs: video, status, terminal and counts failed, pending, permanent.
 
     The shots of a response are those of its batch (a failed batch may have none), every member has a status, nothing is pending in a terminal document, and a complete one counts no failures."""
-    asked = batches.where(~((F.col("status") == "failed") & ~F.col("has_response"))).select("video", "batch")
-    on = ["video", "batch", "shot"]
-    a, b = members.select(*on, F.lit(1).alias("_a")).distinct(), responses.select(*on, F.lit(1).alias("_b")).distinct()
-    odd = a.join(b, on, "full").where("_a is null or _b is null").join(asked, ["video", "batch"]).groupBy("video", "batch").agg(F.count("_a").alias("lost"), F.count("_b").alias("foreign"))
-    waiting = statuses.where("status = 'pending'").join(docs.where("terminal").select("video"), "video").groupBy("video").agg(F.count("*").alias("n"))
-    counts = docs.where("status = 'complete'").select("video", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("bigint").alias("n")) for c in ("failed", "pending", "permanent")])).alias("x")).select("video", "x.*")
-    return all_issues([
-        issues(odd, "batches", _key("video", "batch"), "response differs", F.col("lost"), F.col("foreign")), missing_from(members, statuses, ["video", "shot"], "batches", _key("video", "batch", "shot"), "no status"),
-        issues(waiting, "batches", F.col("video"), "pending in a terminal document", F.lit(0), F.col("n")), issues(counts.where("n <> 0"), "batches", _key("video", "field"), "complete with failures", F.lit(0), F.col("n")),
+    on, batch, shot = ["video", "batch", "shot"], ident("video", "batch"), ident("video", "shot")
+    sides = members.select(*on, F.lit(True).alias("_a")).unionByName(responses.select(*on, F.lit(False).alias("_a")))
+    sides = sides.groupBy(*on).agg(F.expr("bool_or(_a) as _asked"), F.expr("bool_or(not _a) as _told"))
+    own = lambda path, message: {"artifact": "batches", "path": path, "message": message}
+    return together([
+        facts(sides, use("batches.answer", batch, when="_asked <> _told", n="int(_asked)", x="int(_told)"), use("batches.status", shot, "undefined", when="_asked", **own(path_of(*on), "no status"))),
+        facts(batches, define("batches.answer", batch, "two sums", when="not (status = 'failed' and not has_response)", **own(path_of("video", "batch"), "response differs"))),
+        facts(statuses, define("batches.status", shot), use("batches.pending", ident("video"), when="status = 'pending'")),
+        facts(docs, define("batches.pending", ident("video"), "forbidden", when="terminal", **own("video", "pending in a terminal document")),
+              *(now(f"status = 'complete' and {f} <> 0", "batches", path_of("video", word(f)), "complete with failures", "0", f) for f in ("failed", "pending", "permanent"))),
     ])
 
 
-def story_rules(blocks: DataFrame, members: DataFrame, shots: DataFrame, slots: DataFrame, docs: DataFrame) -> DataFrame:
+def story_facts(blocks: DataFrame, members: DataFrame, shots: DataFrame, slots: DataFrame, docs: DataFrame) -> DataFrame:
     """blocks: video, block (its name), start_ms, end_ms, relation (text); members: video, block, j, shot; shots: video, shot, seq, start_ms, end_ms; slots: video, slot, j, block; docs: video, status.
 
     Members are known shots in order, each block's times are those of its first and last shot, relations name another known block, every shot is in exactly one block, blocks
     cover the sequence one after the other, slots name known blocks, and in a complete story every block is in a slot."""
-    path = _key("video", "block")
-    known = members.join(shots.select("video", "shot", "seq", F.col("start_ms").alias("_s"), F.col("end_ms").alias("_e")), ["video", "shot"], "left")
-    back = F.coalesce(F.col("seq") < F.lag("seq").over(W.partitionBy("video", "block").orderBy("j")), F.lit(False))
-    per = known.withColumn("_back", back).groupBy("video", "block").agg(F.bool_or("_back").alias("_back"), F.count_if(F.col("seq").isNull()).alias("_unknown"), F.min_by("_s", "j").alias("_s"), F.max_by("_e", "j").alias("_e"), F.min("seq").alias("_first"))
-    whole = per.where("_unknown = 0")
-    derived = whole.join(blocks, ["video", "block"])
-    targets = blocks.select("video", "block", F.explode(F.array_distinct(F.regexp_extract_all("relation", F.lit("→ *([A-Za-z0-9]+)"), F.lit(1)))).alias("target"))
-    names = blocks.select("video", F.col("block").alias("target"))
-    times = shots.select("video", "shot").join(members.groupBy("video", "shot").agg(F.count("*").alias("n")), ["video", "shot"], "left").fillna(0, ["n"])
+    # shots and members come together once, by video; every window below finds them there
+    rows = members.select("video", F.lit(True).alias("_m"), "block", "j", "shot").unionByName(shots.select("video", F.lit(False).alias("_m"), "shot", "seq", "start_ms", "end_ms"), allowMissingColumns=True).repartition("video")
+    same, group = "over (partition by video, shot)", "partition by video, _m, block"
+    rows = rows.selectExpr("video", "_m", "block", "j", "shot", *(f"max({f}) {same} as {f}" for f in ("seq", "start_ms", "end_ms")), f"count_if(_m) {same} as _n")
+    rows = rows.selectExpr("*", f"coalesce(seq < lag(seq) over ({group} order by j), false) as _back", f"row_number() over ({group} order by j) as _at")
+    rows = rows.selectExpr("*", *(f"{e} over ({group}) as {a}" for e, a in (("count_if(seq is null)", "_unknown"), ("bool_or(_back)", "_torn"), ("min(seq)", "_first"), ("min_by(start_ms, j)", "_s"), ("max_by(end_ms, j)", "_e"))))
     # members by block, then by sequence: the k-th must be the k-th shot
-    inside = known.where("seq is not null").join(per.select("video", "block", "_first"), ["video", "block"])
-    laid = inside.select("video", F.row_number().over(W.partitionBy("video").orderBy("_first", "block", "seq")).alias("k"), F.col("seq").alias("_laid"))
-    line = shots.select("video", F.row_number().over(W.partitionBy("video").orderBy("seq")).alias("k"), "seq")
-    torn = line.join(laid, ["video", "k"], "full").where(~F.col("seq").eqNullSafe(F.col("_laid"))).groupBy("video").agg(F.min("k").alias("k"))
-    torn = torn.join(blocks.select("video").distinct(), "video")
-    placed = slots.select("video", "block").distinct()
-    return all_issues([
-        issues(known.where("seq is null"), "story", _key("video", "block", "j"), "unknown shot", None, F.col("shot")), issues(whole.where("_back"), "story", path, "shots out of order"),
-        differs(derived, "story", path, "start", F.col("_s"), F.col("start_ms")), differs(derived, "story", path, "end", F.col("_e"), F.col("end_ms")),
-        issues(targets.join(names, ["video", "target"], "left_anti"), "story", path, "unknown target", None, F.col("target")), issues(targets.where("target = block"), "story", path, "relation to itself"),
-        issues(times.where("n = 0"), "story", _key("video", "shot"), "in no block"), issues(times.where("n > 1"), "story", _key("video", "shot"), "in several blocks", F.lit(1), F.col("n")),
-        issues(torn, "story", F.col("video"), "blocks do not cover the sequence", None, F.col("k")),
-        missing_from(slots, blocks, ["video", "block"], "story", _key("video", "slot", "j"), "unknown block", F.col("block")),
-        missing_from(blocks.join(docs.where("status = 'complete'").select("video"), "video"), placed, ["video", "block"], "story", path, "in no slot"),
+    rows = rows.selectExpr("*", "row_number() over (partition by video, _m, seq is null order by if(_m, _first, null), if(_m, block, null), seq) as _k")
+    place = "over (partition by video, seq is null, _k)"
+    rows = rows.selectExpr("*", f"seq is not null and {differs(f'max(if(_m, seq, null)) {place}', f'max(if(_m, null, seq)) {place}')} as _odd")
+    path, block, video = path_of("video", "block"), ident("video", "block"), ident("video")
+    own = lambda path, message, **more: {"artifact": "story", "path": path, "message": message, **more}
+    whole, at_shot = "_m and _at = 1 and _unknown = 0", path_of("video", "shot")
+    targets = "array_distinct(regexp_extract_all(relation, '→ *([A-Za-z0-9]+)', 1))"
+    return together([
+        facts(rows, now("_m and seq is null", "story", path_of("video", "block", "j"), "unknown shot", None, "shot"), now(f"{whole} and _torn", "story", path, "shots out of order"), use("story.block", block, when=whole, low="_s", high="_e"),
+              now("not _m and _n = 0", "story", at_shot, "in no block"), now("not _m and _n > 1", "story", at_shot, "in several blocks", "1", "_n"), use("story.torn", video, when="_odd", low="_k")),
+        facts(blocks.join(docs.select("video", "status"), "video", "left"), define("story.block", block, "start", said="start_ms", **own(path, "start")), define("story.block", block, "end", said="end_ms", **own(path, "end")),
+              define("story.name", block), now(f"array_contains({targets}, block)", "story", path, "relation to itself"), define("story.slot", block, "unused", when="status = 'complete'", **own(path, "in no slot")),
+              define("story.torn", video, "number of first", **own("video", "blocks do not cover the sequence")),
+              more=[f"coalesce(transform({targets}, t -> {use('story.name', ident('video', 't'), 'undefined', **own(path, 'unknown target', actual='t'))}), array())"]),
+        facts(slots, use("story.name", block, "undefined", **own(path_of("video", "slot", "j"), "unknown block", actual="block")), use("story.slot", block)),
     ])
 
 
-def profile_rules(slots: DataFrame, slot_shots: DataFrame, roles: DataFrame, role_shots: DataFrame, requirements: DataFrame, chains: DataFrame, story_slots: DataFrame, story_blocks: DataFrame, shots: DataFrame) -> DataFrame:
+def profile_facts(slots: DataFrame, slot_shots: DataFrame, roles: DataFrame, role_shots: DataFrame, requirements: DataFrame, chains: DataFrame, story_slots: DataFrame, story_blocks: DataFrame, shots: DataFrame) -> DataFrame:
     """slots: video, slot, share, count, avg_sec; slot_shots: video, slot, shot; roles: video, role, slot, block; role_shots: video, role, shot; requirements: video, pos, slot; chains: video, pos, from_slot, to_slot, block;
     story_slots: video, slot, block; story_blocks: video, block, shot; shots: video, shot, duration_ms.
 
     The profile has the story's slots; shares lie in 0..1 and sum to 1; counts and averages are those of the slot's shots; hook and payoff name a slot, a block of that slot and shots of that block; requirements and chains name known slots and blocks."""
-    slot, role = _key("video", "slot"), _key("video", "role")
-    told, blocks = story_slots.select("video", "slot").distinct(), story_blocks.select("video", "block").distinct()
-    held = slot_shots.join(shots, ["video", "shot"], "left")
-    per = slots.join(held.groupBy("video", "slot").agg(F.count("shot").alias("_n"), (F.avg("duration_ms") / 1000).alias("_avg")), ["video", "slot"], "left").fillna(0, ["_n"])
-    sums = slots.groupBy("video").agg(F.sum("share").alias("sum"))
-    named = role_shots.join(roles.select("video", "role", "block"), ["video", "role"])
-    ends = chains.select("video", "pos", F.explode(F.array(F.struct(F.lit("from").alias("end"), F.col("from_slot").alias("slot")), F.struct(F.lit("to").alias("end"), F.col("to_slot").alias("slot")))).alias("x")).select("video", "pos", "x.*")
-    known_roles = roles.join(told, ["video", "slot"]).join(blocks, ["video", "block"])
-    return all_issues([
-        missing_from(told, slots, ["video", "slot"], "profile", slot, "slot is missing"), missing_from(slots, told, ["video", "slot"], "profile", slot, "slot is foreign"),
-        issues(slots.where("share < 0 or share > 1"), "profile", slot, "share outside"), issues(sums.where("abs(sum - 1) > 0.000001"), "profile", F.col("video"), "shares do not sum to 1"),
-        missing_from(slot_shots, shots, ["video", "shot"], "profile", slot, "unknown shot", F.col("shot")), differs(per, "profile", slot, "shot count", F.col("_n"), F.col("count")),
-        issues(per.where("abs(_avg - avg_sec) > 0.01"), "profile", slot, "average"),
-        missing_from(roles, told, ["video", "slot"], "profile", role, "role of unknown slot", F.col("slot")), missing_from(roles, blocks, ["video", "block"], "profile", role, "role of unknown block", F.col("block")),
-        missing_from(known_roles, story_slots, ["video", "slot", "block"], "profile", role, "block outside the slot", F.col("block")),
-        missing_from(role_shots, shots, ["video", "shot"], "profile", role, "role of unknown shot", F.col("shot")), missing_from(named, story_blocks, ["video", "block", "shot"], "profile", role, "shot outside the block", F.col("shot")),
-        missing_from(requirements, told, ["video", "slot"], "profile", _key("video", "pos"), "requirement of unknown slot", F.col("slot")),
-        missing_from(ends, told, ["video", "slot"], "profile", _key("video", "pos", "end"), "chain of unknown slot", F.col("slot")), missing_from(chains, blocks, ["video", "block"], "profile", _key("video", "pos"), "chain of unknown block", F.col("block")),
+    at_slot, at_role, at_pos = path_of("video", "slot"), path_of("video", "role"), path_of("video", "pos")
+    slot, block, member, pair = ident("video", "slot"), ident("video", "block"), ident("video", "block", "shot"), ident("video", "slot", "block")
+    own = lambda path, message, **more: {"artifact": "profile", "path": path, "message": message, **more}
+    # the shots of slots and of roles meet the shots at once
+    named = roles.join(role_shots, ["video", "role"], "full").select("video", "role", "slot", "block", "shot")
+    held = slot_shots.select("video", "slot", "shot").unionByName(named, allowMissingColumns=True).join(shots.select("video", "shot", "duration_ms", F.lit(True).alias("_known")), ["video", "shot"], "left")
+    a_role, a_slot, foreign = "role is not null", "role is null", "shot is not null and _known is null"
+    outside = own(at_role, "block outside the slot", actual="block", parts="3", when=a_role)
+    ends = [use("profile.told", ident("video", f"{end}_slot"), "undefined", **own(path_of("video", "pos", word(end)), "chain of unknown slot", actual=f"{end}_slot")) for end in ("from", "to")]
+    return together([
+        facts(held, now(f"{a_slot} and {foreign}", "profile", at_slot, "unknown shot", None, "shot"), now(f"{a_role} and {foreign}", "profile", at_role, "role of unknown shot", None, "shot"),
+              use("profile.held", slot, when=f"{a_slot} and shot is not null"), use("profile.mean", slot, when=f"{a_slot} and duration_ms is not null", x="duration_ms / 1000"),
+              use("profile.told", slot, "undefined once", when=a_role, **own(at_role, "role of unknown slot", actual="slot")), use("profile.blocks", block, "undefined once", when=a_role, **own(at_role, "role of unknown block", actual="block")),
+              use("profile.told", slot, "defined", **outside), use("profile.blocks", block, "defined", **outside), use("profile.pairs", pair, "undefined", **outside),
+              use("profile.members", member, "undefined", when=a_role, **own(at_role, "shot outside the block", actual="shot"))),
+        facts(slots, define("profile.slots", slot), use("profile.told", slot, "undefined", **own(at_slot, "slot is foreign")), now("share < 0 or share > 1", "profile", at_slot, "share outside"),
+              use("profile.share", ident("video"), "sum is one", x="share", **own("video", "shares do not sum to 1")), define("profile.held", slot, "count", said="count", **own(at_slot, "shot count")),
+              define("profile.mean", slot, "mean", mean="avg_sec", **own(at_slot, "average"))),
+        facts(story_slots, define("profile.told", slot), define("profile.pairs", pair), use("profile.slots", slot, "undefined once", **own(at_slot, "slot is missing"))),
+        facts(story_blocks, define("profile.blocks", block), define("profile.members", member)),
+        facts(requirements, use("profile.told", slot, "undefined", **own(at_pos, "requirement of unknown slot", actual="slot"))),
+        facts(chains, *ends, use("profile.blocks", block, "undefined", **own(at_pos, "chain of unknown block", actual="block"))),
     ])
 
 
-def timeline_rules(docs: DataFrame, points: DataFrame, peaks: DataFrame) -> DataFrame:
+def timeline_facts(docs: DataFrame, points: DataFrame, peaks: DataFrame) -> DataFrame:
     """docs: video, mode, frame_count, range_start, range_end, wave_status, bin_count, bin_ms; points: video, i, t (double); peaks: video, i, lo, hi.
 
     With a frame index: some frames, whole times from 0 that never go back and lie in the range, as many as counted. With a complete waveform: some bins, as many as counted, of at least 1 ms, and none upside down (only the first is told)."""
-    indexed, waved = docs.where("mode = 'pts-index'"), docs.where("wave_status = 'complete'")
-    path = _key("video", "i")
-    rows = points.join(indexed.select("video", "range_start", "range_end"), "video").withColumn("_good", (F.col("t") >= 0) & (F.col("t") == F.floor("t")))
-    before = F.last(F.when(F.col("_good"), F.col("t")), ignorenulls=True).over(W.partitionBy("video").orderBy("i").rowsBetween(W.unboundedPreceding, -1))
-    rows = rows.withColumn("_before", before)
-    good, told = rows.where("_good"), lambda c: F.col(c).cast("bigint")
-    count = lambda docs_, of, n: docs_.join(of.groupBy("video").agg(F.count("*").alias("_n")), "video", "left").fillna(0, ["_n"]).withColumn("_said", F.col(n))
-    frames, bins = count(indexed, points, "frame_count"), count(waved, peaks, "bin_count")
-    upside = peaks.where("lo > hi").join(waved.select("video"), "video").groupBy("video").agg(F.min("i").alias("i"))
-    return all_issues([
-        issues(frames.where("_n = 0"), "timeline", F.col("video"), "no frames"), issues(rows.where("not coalesce(_good, false)"), "timeline", path, "no whole time", None, F.col("t").cast("bigint")),
-        issues(good.where("t < _before"), "timeline", path, "not monotone", told("_before"), told("t")), issues(good.where("t < range_start or t >= range_end"), "timeline", path, "outside", None, told("t")),
-        issues(frames.where("_n > 0 and _said <> _n"), "timeline", F.col("video"), "frame count", F.col("_n"), F.col("_said")),
-        issues(bins.where("_n = 0"), "timeline", F.col("video"), "no bins"), issues(bins.where("_n > 0 and _said <> _n"), "timeline", F.col("video"), "bin count", F.col("_n"), F.col("_said")),
-        issues(bins.where("_n > 0 and coalesce(bin_ms, 0) < 1"), "timeline", F.col("video"), "bin length", F.lit(1), F.col("bin_ms")), issues(upside, "timeline", path, "bin upside down"),
+    path, video, order = path_of("video", "i"), ident("video"), "partition by video order by i"
+    rows = points.join(docs, "video", "full").selectExpr("*", "coalesce(t >= 0 and t = floor(t), false) as _good")
+    rows = rows.selectExpr("*", f"last(if(_good, t, null), true) over ({order} rows between unbounded preceding and 1 preceding) as _before", f"row_number() over ({order}) = 1 as _head")
+    # facts of a document are told by its first point
+    indexed, waved, time = "mode = 'pts-index' and i is not null", "_head and wave_status = 'complete'", "cast(t as bigint)"
+    counted, good = "_head and mode = 'pts-index'", f"{indexed} and _good"
+    own = lambda message, path="video", **more: {"artifact": "timeline", "path": path, "message": message, **more}
+    return together([
+        facts(rows, now(f"{indexed} and not _good", "timeline", path, "no whole time", None, time), now(f"{good} and t < _before", "timeline", path, "not monotone", "cast(_before as bigint)", time),
+              now(f"{good} and (t < range_start or t >= range_end)", "timeline", path, "outside", None, time), use("timeline.frames", video, when="i is not null"),
+              define("timeline.frames", video, "unused", when=counted, **own("no frames")), define("timeline.frames", video, "count if any", when=counted, said="frame_count", **own("frame count")),
+              define("timeline.bins", video, "unused", when=waved, **own("no bins")), define("timeline.bins", video, "count if any", when=waved, said="bin_count", **own("bin count")),
+              define("timeline.bins", video, "used", when=f"{waved} and coalesce(bin_ms, 0) < 1", **own("bin length", expected="1", actual="bin_ms")), define("timeline.upside", video, "place of first", when=waved, **own("bin upside down"))),
+        facts(peaks, use("timeline.bins", video), use("timeline.upside", video, when="lo > hi", low="i")),
     ])
 
 
 METRICS = ("lumaDelta", "audioLevelDeltaDb", "cameraMotionChange", "audioCutAligned", "speechGapMs", "speechSpansBoundary", "musicContinuity")
 
 
-def relation_rules(relations: DataFrame, metrics: DataFrame, shots: DataFrame) -> DataFrame:
+def relation_facts(relations: DataFrame, metrics: DataFrame, shots: DataFrame) -> DataFrame:
     """relations: video, pos, pair, left, boundary_ms; metrics: video, pair, name, status, refs; shots: video, shot, seq, end_ms.
 
     The pairs are the adjacent shots in order (the first difference of a video is told), the boundary is the left shot's end, all metrics are there, and one with a value has references."""
-    w = W.partitionBy("video").orderBy("seq")
-    pairs = shots.select("video", F.row_number().over(w).alias("k"), F.concat_ws("--", "shot", F.lead("shot").over(w)).alias("wanted"), F.lead("shot").over(w).alias("_right")).where("_right is not null").drop("_right")
-    given = relations.select("video", F.row_number().over(W.partitionBy("video").orderBy("pos")).alias("k"), "pair")
-    odd = pairs.join(given, ["video", "k"], "full").where(~F.col("wanted").eqNullSafe(F.col("pair"))).groupBy("video").agg(F.min(F.struct("k", "wanted", "pair")).alias("o")).select("video", "o.*")
-    ends = relations.join(shots.select("video", F.col("shot").alias("left"), "end_ms"), ["video", "left"])
-    wanted = relations.select("video", "pair", F.explode(F.array(*map(F.lit, METRICS))).alias("name"))
-    bare = metrics.where((F.col("status") == "value") & (F.coalesce(F.size("refs"), F.lit(0)) <= 0))
-    return all_issues([
-        issues(odd, "relations", F.col("video"), "pairs are not the adjacent shots", F.col("wanted"), F.col("pair")), issues(ends.where("boundary_ms <> end_ms"), "relations", _key("video", "pair"), "boundary", F.col("end_ms"), F.col("boundary_ms")),
-        missing_from(wanted, metrics, ["video", "pair", "name"], "relations", _key("video", "pair", "name"), "metric is missing"), issues(bare, "relations", _key("video", "pair", "name"), "value without references"),
+    rows = shots.select("video", F.lit(False).alias("_g"), F.col("seq").alias("_at"), "shot", "end_ms")
+    rows = rows.unionByName(relations.select("video", F.lit(True).alias("_g"), F.col("pos").alias("_at"), F.col("left").alias("shot"), "pair", "boundary_ms"), allowMissingColumns=True).repartition("video")
+    order, place, same = "over (partition by video, _g order by _at)", "over (partition by video, _k)", "over (partition by video, shot)"
+    rows = rows.selectExpr("*", f"row_number() {order} as _k", f"if(_g, null, concat(shot, '--', lead(shot) {order})) as _wanted")
+    rows = rows.selectExpr("video", "_g", "_k", "pair", "boundary_ms", f"max(_wanted) {place} as _wanted", f"max(pair) {place} as _pair", f"min(_g) {place} = _g as _one", f"max(end_ms) {same} as end_ms")
+    rows = rows.selectExpr("*", f"_one and {differs('_wanted', '_pair')} as _odd").selectExpr("*", "min(if(_odd, _k, null)) over (partition by video) = _k as _first")
+    own = lambda message, *names: {"artifact": "relations", "path": path_of("video", "pair", *names), "message": message}
+    return together([
+        facts(rows, now("_odd and _first", "relations", "video", "pairs are not the adjacent shots", "_wanted", "_pair"), now("_g and boundary_ms <> end_ms", "relations", path_of("video", "pair"), "boundary", "end_ms", "boundary_ms"),
+              *(use("relations.metric", ident("video", "pair", word(m)), "undefined", when="_g", **own("metric is missing", word(m))) for m in METRICS)),
+        facts(metrics, define("relations.metric", ident("video", "pair", "name")), now("status = 'value' and coalesce(size(refs), 0) <= 0", "relations", path_of("video", "pair", "name"), "value without references")),
     ])
 
 
-def reference_rules(refs: DataFrame, artifacts: DataFrame, files: DataFrame, inventory: DataFrame) -> DataFrame:
+def reference_facts(refs: DataFrame, artifacts: DataFrame, files: DataFrame, inventory: DataFrame) -> DataFrame:
     """refs: artifact, path, ref (null where the entry is no text); artifacts: file (of every known artifact); files: file (that exist); inventory: file, path, kind of JSON files.
 
     Syntax, then the file (a known artifact that is missing is a warning, any other missing file an error), then the pointer."""
     from ..functions.scalars import evidence_ref
     from .documents import resolve_pointers
 
-    rows = refs.withColumn("_r", evidence_ref("ref")).withColumn("file", F.substring_index("ref", "#", 1)).withColumn("pointer", F.when(F.instr("ref", "#") > 0, F.expr("substring(ref, instr(ref, '#') + 1)")))
-    show = lambda df, message, severity="error": df.select(F.lit(severity).alias("severity"), "artifact", "path", (F.lit(message) if isinstance(message, str) else message).alias("message"), F.lit(None).cast("string").alias("expected"), F.col("ref").alias("actual"))
-    good = rows.where("ref is not null and _r.reason is null")
-    there, gone = good.join(files.select("file").distinct(), "file", "left_semi"), good.join(files.select("file").distinct(), "file", "left_anti")
-    known = artifacts.select("file").distinct()
-    walked = resolve_pointers(there.where("pointer is not null").select("artifact", "path", "ref", "file", "pointer"), inventory)
-    return all_issues([
-        show(rows.where("ref is null"), "no text"), show(rows.where("ref is not null and _r.reason is not null"), F.concat(F.lit("syntax: "), F.col("_r.reason"))),
-        show(gone.join(known, "file", "left_semi"), "artifact is missing", "warning"), show(gone.join(known, "file", "left_anti"), "file does not exist"), show(walked.where("error is not null"), F.concat(F.lit("pointer: "), F.col("error"))),
-    ])
+    rows = refs.withColumn("_r", evidence_ref("ref")).selectExpr("*", "substring_index(ref, '#', 1) as file", "if(instr(ref, '#') > 0, substring(ref, instr(ref, '#') + 1), null) as pointer")
+    known = files.select("file", F.lit(True).alias("_f")).unionByName(artifacts.select("file", F.lit(False).alias("_f"))).groupBy("file").agg(F.expr("bool_or(_f) as _there"), F.expr("bool_or(not _f) as _named"))
+    rows = rows.join(known, "file", "left").fillna(False, ["_there", "_named"]).selectExpr("*", "ref is not null and _r.reason is null as _good")
+    walked = resolve_pointers(rows.withColumn("pointer", F.expr("if(_good and _there, pointer, null)")), inventory)
+    tell = lambda broken, message, severity="error": now(broken, Sql("artifact"), "path", message, None, "ref", severity)
+    return facts(
+        walked, tell("ref is null", "no text"), tell("ref is not null and not _good", Sql("concat('syntax: ', _r.reason)")), tell("_good and not _there and _named", "artifact is missing", "warning"),
+        tell("_good and not _there and not _named", "file does not exist"), tell("pointer is not null and error is not null", Sql("concat('pointer: ', error)")))
+
+
+schema_rules, equal_rules, audio_cut_rules, music_rules, shot_rules, coverage_rules, frame_rules, batch_rules, story_rules, profile_rules, timeline_rules, relation_rules, reference_rules = map(_issues_of, (
+    schema_facts, equal_facts, audio_cut_facts, music_facts, shot_facts, coverage_facts, frame_facts, batch_facts, story_facts, profile_facts, timeline_facts, relation_facts, reference_facts))
 
 
 def gate(found: DataFrame, strict: bool = True) -> DataFrame:

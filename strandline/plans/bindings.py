@@ -47,10 +47,14 @@ def ev_ranges(spark, sf) -> DataFrame:
 
 
 def ev_shots(spark, sf) -> DataFrame:
-    """Contiguous shots of a user's range, cut at ``view`` events."""
-    from ..operators.islands import cuts_to_partition
-
-    return cuts_to_partition(ev_points(spark, sf, "view").select("video", F.col("time_ms").alias("cut_ms")), ev_ranges(spark, sf))
+    """Contiguous shots of a user's range, cut at ``view`` events. Events are read and shuffled once: the first row of a user carries the ends of the range."""
+    t, w = F.col("t"), W.partitionBy("video")
+    e = table(spark, sf, "events").select(F.col("user_id").alias("video"), ms("ts").alias("t"), (F.col("event_type") == "view").alias("cut"))
+    e = e.select("video", "t", "cut", F.min("t").over(w).alias("low"), (F.max("t").over(w) + 1).alias("high"))
+    times = F.array_compact(F.array(F.when(F.col("cut") & (t > F.col("low")) & (t < F.col("high")), t), F.when(t == F.col("low"), t), F.when(t == F.col("low"), F.col("high"))))
+    cuts = e.select("video", F.explode(times).alias("start_ms")).distinct()
+    order = w.orderBy("start_ms")
+    return cuts.select("video", F.row_number().over(order).alias("seq"), "start_ms", F.lead("start_ms").over(order).alias("end_ms")).where("end_ms is not null")
 
 
 def emb_frames(spark, sf) -> DataFrame:
