@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .chains import decide
+from .scan import merged, running
 
 KEYS = ("video",)
 
@@ -23,17 +24,22 @@ def number_islands(df: DataFrame, opens: Column, order: Sequence, keys: Sequence
     return df.withColumn("_opens", opens.cast("long")).withColumn(name, F.sum("_opens").over(w)).drop("_opens")
 
 
-def merge_intervals(df: DataFrame, max_gap: int = 0, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Sorted union: an interval joins when its start is at most ``max_gap`` after the largest end so far; empty ones are dropped."""
+def merge_intervals(df: DataFrame, max_gap: int = 0, keys: Sequence[str] = KEYS, segment_rows: int | None = None) -> DataFrame:
+    """Sorted union: an interval joins when its start is at most ``max_gap`` after the largest end so far; empty ones are dropped. ``segment_rows``: longer videos are scanned by many tasks."""
     order = ("start_ms", "end_ms")
+    if segment_rows is not None:
+        return merged(df.where("end_ms > start_ms"), lambda before: F.col("start_ms") - before > max_gap, order, keys, segment_rows).drop("island")
     rows = df.where("end_ms > start_ms").withColumn("_before", _running_end(keys, order))
     rows = number_islands(rows, F.col("_before").isNull() | (F.col("start_ms") - F.col("_before") > max_gap), order, keys)
     return rows.groupBy(*keys, "island").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n")).drop("island")
 
 
-def speech_runs(df: DataFrame, gap_ms: int, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Runs of segments, split where a gap reaches ``gap_ms`` (equality splits); a run ends at its largest end. Rows are numbered from 0 in start order."""
+def speech_runs(df: DataFrame, gap_ms: int, keys: Sequence[str] = KEYS, segment_rows: int | None = None) -> DataFrame:
+    """Runs of segments, split where a gap reaches ``gap_ms`` (equality splits); a run ends at its largest end. Rows are numbered from 0 in start order. ``segment_rows``: as in merge_intervals."""
     order = ("start_ms", "end_ms", "pos")
+    if segment_rows is not None:
+        runs = merged(df, lambda before: F.col("start_ms") - before >= gap_ms, order, keys, segment_rows)
+        return runs.select(*keys, (F.col("island") - 1).alias("run"), "start_ms", "end_ms", "n")
     rows = df.withColumn("_before", _running_end(keys, order))
     rows = number_islands(rows, F.col("_before").isNull() | (F.col("start_ms") - F.col("_before") >= gap_ms), order, keys, "run")
     runs = rows.groupBy(*keys, "run").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n"))
@@ -44,9 +50,9 @@ def clip(df: DataFrame, low: str | Column, high: str | Column) -> DataFrame:
     return df.withColumn("start_ms", F.greatest("start_ms", low)).withColumn("end_ms", F.least("end_ms", high)).where("end_ms > start_ms")
 
 
-def union_length(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Length of the union, counting overlaps once: each interval adds what lies beyond the largest end so far."""
-    rows = df.where("end_ms > start_ms").withColumn("_before", _running_end(keys, ("start_ms", "end_ms")))
+def union_length(df: DataFrame, keys: Sequence[str] = KEYS, segment_rows: int | None = None) -> DataFrame:
+    """Length of the union, counting overlaps once: each interval adds what lies beyond the largest end so far. ``segment_rows``: longer videos are scanned by many tasks."""
+    rows = running(df.where("end_ms > start_ms"), ("start_ms", "end_ms"), {"_before": ("max", "end_ms")}, keys, inclusive=False, segment_rows=segment_rows)
     new = F.greatest(F.lit(0), F.col("end_ms") - F.greatest("start_ms", F.coalesce("_before", "start_ms")))
     return rows.groupBy(*keys).agg(F.sum(new).alias("union_ms"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .chains import decide, number_chains
+from .scan import running
 
 KEYS = ("video",)
 FOREVER = (1 << 62)
@@ -84,8 +85,9 @@ def dominant_overlap(shots: DataFrame, runs: DataFrame, bucket_ms: int, keys: Se
     return rows.join(first, list(keys), "left").select(*shots.columns, F.coalesce("_best", "_ended", "_first", F.lit(-1)).alias("run"))
 
 
-def speech_around(boundaries: DataFrame, segments: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """For each boundary b_ms: the last end at or before it, the first start at or after it, whether a segment spans it, and the gap (0 if spanned, null if a side is missing)."""
+def speech_around(boundaries: DataFrame, segments: DataFrame, keys: Sequence[str] = KEYS, segment_rows: int | None = None) -> DataFrame:
+    """For each boundary b_ms: the last end at or before it, the first start at or after it, whether a segment spans it, and the gap (0 if spanned, null if a side is missing).
+    ``segment_rows``: longer videos are scanned by many tasks."""
     ends = segments.select(*keys, F.col("end_ms").alias("_t"), F.lit(0).alias("_kind"), F.col("end_ms").alias("_end"))
     starts = segments.select(*keys, F.col("start_ms").alias("_t"), F.lit(2).alias("_kind"), F.col("start_ms").alias("_start"))
     # started before b and not ended by b: running counts of starts less ends strictly before, ends up to b
@@ -94,9 +96,8 @@ def speech_around(boundaries: DataFrame, segments: DataFrame, keys: Sequence[str
     both = boundaries.withColumn("_t", F.col("b_ms")).withColumn("_kind", F.lit(1))
     for side in (ends, starts, opens, closes):
         both = both.unionByName(side, allowMissingColumns=True)
-    order = ("_t", "_kind")
-    spanned = F.sum("_open").over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    rows = both.withColumn("prev_end", _last("_end", keys, order)).withColumn("next_start", _last("_start", keys, order, back=False)).withColumn("spans", F.coalesce(spanned, F.lit(0)) > 0)
+    folds = {"prev_end": ("last", "_end"), "next_start": ("next", "_start"), "_spanned": ("sum", "_open")}
+    rows = running(both, ("_t", "_kind"), folds, keys, segment_rows=segment_rows).withColumn("spans", F.coalesce("_spanned", F.lit(0)) > 0)
     gap = F.when(F.col("spans"), 0).otherwise(F.when(F.col("prev_end").isNotNull() & F.col("next_start").isNotNull(), F.greatest(F.col("next_start") - F.col("prev_end"), F.lit(0))))
     return rows.where("_kind = 1").select(*boundaries.columns, "prev_end", "next_start", "spans", gap.alias("gap_ms"))
 

@@ -5,12 +5,14 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import motion_confidence, motion_intensity
 from .chains import decide, number_chains
+from .scan import running
 
 KEYS = ("video",)
 SILENCE_DB = -99.0
@@ -160,14 +162,47 @@ def autocorrelation(x: Column, lag: int) -> Column:
     return F.when(power > 0, dot(a, b) / power).otherwise(0.0)
 
 
-def novelty(df: DataFrame, features: dict[str, tuple[float, float]], half: int = 50, index: str = "i", keys: Sequence[str] = KEYS) -> DataFrame:
-    """Adds novelty of each frame against the one before. features: name -> (weight, least scale); a change counts in units of the local median change."""
-    w = _w(keys, index)
-    rows, score = df, F.lit(0.0)
+#: Rows of one piece of a signal in a sliding computation; pieces overlap by the reach of the window.
+PIECE_ROWS = 4096
+
+
+def _sliding_medians(columns: Sequence[str], half: int):
+    """Medians of each column over ``half`` rows on both sides, nulls left out, by a sorted ring: one insertion and one removal a row."""
+
+    def run(piece: pa.Table) -> pa.Table:
+        piece = piece.sort_by("_pos")
+        for name in columns:
+            values, ring, out = piece[name].to_pylist(), [], []
+            for at in range(-half, len(values)):
+                if at + half < len(values) and values[at + half] is not None:
+                    insort(ring, values[at + half])
+                if at > half and values[at - half - 1] is not None:
+                    del ring[bisect_left(ring, values[at - half - 1])]
+                if at >= 0:
+                    k = len(ring)
+                    out.append(None if not k else ring[k // 2] if k % 2 else (ring[k // 2 - 1] + ring[k // 2]) / 2)
+            piece = piece.set_column(piece.schema.get_field_index(f"{name}_median"), f"{name}_median", pa.array(out, pa.float64()))
+        return piece
+
+    return run
+
+
+def novelty(df: DataFrame, features: dict[str, tuple[float, float]], half: int = 50, index: str = "i", keys: Sequence[str] = KEYS, piece_rows: int = PIECE_ROWS, segment_rows: int | None = None) -> DataFrame:
+    """Adds novelty of each frame against the one before. features: name -> (weight, least scale); a change counts in units of the local median change.
+
+    A signal is cut into pieces that overlap by the window's reach, so that a long video is spread over tasks and a piece is bounded."""
+    changes = [f"_{n}" for n in features]
+    rows = running(df, (index,), {"_pos": ("sum", F.lit(1))}, keys, segment_rows=segment_rows)
+    piece = lambda at: F.floor(at / piece_rows).cast("int")
+    own = F.col("_pos") - 1
+    rows = rows.withColumn("_piece", F.explode(F.sequence(piece(F.greatest(own - half - 1, F.lit(0))), piece(own + half + 1))))
+    before = W.partitionBy(*keys, "_piece").orderBy("_pos")
+    rows = rows.withColumns({c: F.abs(F.col(c[1:]).cast("double") - F.lag(c[1:]).over(before)) for c in changes}).withColumns({f"{c}_median": F.lit(None).cast("double") for c in changes})
+    rows = rows.groupBy(*keys, "_piece").applyInArrow(_sliding_medians(changes, half), rows.schema).where(piece(own) == F.col("_piece"))
+    score = F.lit(0.0)
     for name, (weight, least) in features.items():
-        rows = rows.withColumn(f"_{name}", F.abs(F.col(name) - F.lag(name).over(w)))
-        score = score + weight * F.col(f"_{name}") / F.greatest(F.expr(f"percentile(_{name}, 0.5)").over(w.rowsBetween(-half, half)), F.lit(least))
-    return rows.withColumn("novelty", score).drop(*[f"_{n}" for n in features])
+        score = score + weight * F.col(f"_{name}") / F.greatest(F.col(f"_{name}_median"), F.lit(least))
+    return rows.select(*df.columns, score.alias("novelty"))
 
 
 def local_peaks(df: DataFrame, threshold: float, value: str = "value", index: str = "i", keys: Sequence[str] = KEYS) -> DataFrame:

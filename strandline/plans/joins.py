@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import islands as I
 from ..operators import joins as J
+from ..operators.scan import running
 from .bindings import SQL, HOUR, conv, ev_points, ev_ranges, ev_seg, ev_series, ev_shots, spans, sql, table
 from .islands import _RUNS, AUDIO, GAP, SYNC, associations, audio_points
-from .registry import query
+from .registry import QUERIES, query
 
 BUCKET = 6 * HOUR
 
@@ -80,8 +81,8 @@ around as (select b.video, b.seq, b_ms, max(g.end_ms) filter (where g.end_ms <=
 gaps as (select *, case when spans then 0 when prev_end is not null and next_start is not null then greatest(next_start - prev_end, 0) end as gap_ms from around)"""
 
 
-def around(spark, sf):
-    return J.speech_around(ev_shots(spark, sf).select("video", "seq", F.col("end_ms").alias("b_ms")), ev_seg(spark, sf))
+def around(spark, sf, segment_rows=None):
+    return J.speech_around(ev_shots(spark, sf).select("video", "seq", F.col("end_ms").alias("b_ms")), ev_seg(spark, sf), segment_rows=segment_rows)
 
 
 @query("asof_prev_next", sql("ev_shots ev_seg", _AROUND + " select * from gaps"))
@@ -219,17 +220,16 @@ def centered_rows_frame(spark, sf):
 
 
 @query("running_extent", sql("spans", """ select video, start_ms, end_ms, order_key, line, max(end_ms) over w as far_ms, sum(end_ms - start_ms) over w as total_ms from spans window w as (partition by video order by start_ms, end_ms, order_key, line, quantity rows unbounded preceding)"""))
-def running_extent(spark, sf):
-    w = W.partitionBy("video").orderBy("start_ms", "end_ms", "order_key", "line", "quantity").rowsBetween(W.unboundedPreceding, 0)
-    return spans(spark, sf).select("video", "start_ms", "end_ms", "order_key", "line", F.max("end_ms").over(w).alias("far_ms"), F.sum(F.col("end_ms") - F.col("start_ms")).over(w).alias("total_ms"))
+def running_extent(spark, sf, segment_rows=None):
+    folds = {"far_ms": ("max", "end_ms"), "total_ms": ("sum", F.col("end_ms") - F.col("start_ms"))}
+    return running(spans(spark, sf), ("start_ms", "end_ms", "order_key", "line", "quantity"), folds, segment_rows=segment_rows).drop("quantity")
 
 
 @query("forward_fill", sql("doc_lines", """ select video, pos::int as pos, last_value(case when length(line) < 40 then line end ignore nulls) over (partition by video order by pos) as header from doc_lines"""))
-def forward_fill(spark, sf):
+def forward_fill(spark, sf, segment_rows=None):
     from .bindings import doc_lines
 
-    w = W.partitionBy("video").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    return doc_lines(spark, sf).select("video", "pos", F.last(F.when(F.length("line") < 40, F.col("line")), ignorenulls=True).over(w).alias("header"))
+    return running(doc_lines(spark, sf), ("pos",), {"header": ("last", F.when(F.length("line") < 40, F.col("line")))}, segment_rows=segment_rows).drop("line")
 
 
 @query("topn_per_group", "select o_custkey, o_orderkey from orders qualify row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) <= 4")
@@ -291,3 +291,13 @@ def set_alignment(spark, sf):
     part = lambda cond, mark: c.where(cond).select(F.col("c_nationkey").alias("v"), F.col("c_mktsegment").alias("id")).distinct().withColumn(mark, F.lit(True))
     both = part("c_acctbal > 9000", "a").join(part("c_acctbal < -900", "b"), ["v", "id"], "full")
     return both.groupBy("v").agg(F.bool_and(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("aligned"))
+
+
+#: Videos of more rows than this are cut into segments in the queries below, few enough that most of the tables' videos are.
+SEGMENT_ROWS = 16
+query("running_extent_segmented", QUERIES["running_extent"][1])(lambda spark, sf: running_extent(spark, sf, SEGMENT_ROWS))
+query("forward_fill_segmented", QUERIES["forward_fill"][1])(lambda spark, sf: forward_fill(spark, sf, SEGMENT_ROWS))
+query("asof_prev_next_segmented", QUERIES["asof_prev_next"][1])(lambda spark, sf: around(spark, sf, SEGMENT_ROWS))
+query("merge_intervals_segmented", QUERIES["merge_intervals"][1])(lambda spark, sf: I.merge_intervals(spans(spark, sf).select("video", "start_ms", "end_ms"), segment_rows=SEGMENT_ROWS))
+query("interval_union_length_segmented", QUERIES["interval_union_length"][1])(lambda spark, sf: I.union_length(spans(spark, sf), segment_rows=SEGMENT_ROWS))
+query("speech_runs_segmented", QUERIES["speech_runs"][1])(lambda spark, sf: I.speech_runs(ev_seg(spark, sf), GAP, segment_rows=SEGMENT_ROWS))
