@@ -1,12 +1,15 @@
 """Main-text extraction by composite text density.
 
 Each page becomes a light DOM in one pass that never reads a character twice (implied ends of p, li and the like are honoured; quotes count only
-after "=", and one that is never closed ends with its tag). Elements that are furniture by tag or role, or whose class or id is wholly made of
-names of menus, adverts or reader comments, are left out. Every other node gets a composite density, its characters per tag with a logarithm that
-falls with the share of link characters and tags, and a density sum over its children. The node of the largest sum is
-the core; the smallest density on its path up to the body is the threshold. The core widens to the article or main element around it, or else to
-ancestors of whose other children none but headings is below the threshold. Elements inside it with names that may be furniture or not
-(notice, share, header) go only if measures agree: many link characters, or a density below the core's own without a heading in them.
+after "=", and one that is never closed ends with its tag). Elements that are furniture by tag or role are left out. Every other node gets a composite density,
+its characters per tag with a logarithm that falls with the share of link characters and tags, and a density sum over its children. The node of the largest sum is
+the core; the smallest density on its path up to the body is the threshold. The core widens to the article or main element around it (with the articles beside it that are
+dense as well), or else to ancestors of whose other children none but headings is below the threshold.
+
+Names are evidence, never a verdict. An element one of whose classes or whose id has a word for menus, adverts, notices or reader comments is furniture if it is mostly links, or
+if there is a core without it that holds more text (for comments, and where the core is an article or main element, a fifth is enough); else it takes part like any other, so that an article in a box with such a name is found.
+Elements inside the core with names that may be furniture or not (notice, share, header) go only if measures agree: many link characters, or a density below the core's own without a
+heading in them. Reader comments are also told by structure: like siblings that each have an author or time and a link to reply.
 
 Defined results: null or empty html, and pages without text outside furniture, give ''; truncated pages are read as far
 as they go (an unfinished tag at the end is dropped, an unfinished character reference is text); plain text without tags is its own
@@ -43,30 +46,38 @@ FURNITURE_TAGS = frozenset(
     "script style noscript template iframe object svg math canvas audio video head title nav footer aside form button select textarea input dialog menu datalist".split()
 )
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-#: Words of names that are furniture whatever they hold, words that are if measures agree, and words that say nothing beside them (fixed values).
+#: Words of names that speak for furniture, those of reader comments, words that do only as a whole name, and words that say nothing beside them (fixed values).
 FURNITURE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr popup modal "
-    "nav navbar navigation menu menus breadcrumb breadcrumbs masthead topbar footer sidebar sidebars pagination pager "
-    "subscribe newsletter comment comments commentlist disqus".split()
+    "ad ads adv advert adverts advertisement advertising advertorial sponsor sponsored cookie cookies consent gdpr privacy popup modal "
+    "nav navbar navigation menu menus breadcrumb breadcrumbs masthead topbar footer sidebar sidebars pagination pager subscribe newsletter".split()
 )
+COMMENT_WORDS = frozenset("comment comments commentlist disqus replies responses reactions".split())
 MAYBE_WORDS = frozenset(
-    "banner promo promotion notice notices alert overlay header aside widget widgets toolbar related recommended share sharing social signup login reply replies respond discussion".split()
+    "banner promo promotion notice notices alert overlay header aside widget widgets toolbar related recommended share sharing social signup login reply respond discussion".split()
 )
 PLAIN_WORDS = frozenset(
     "area bar block body bottom box button buttons container content form group holder inner item items left link links list main outer page panel post posts "
     "right row section site slot thread top wrap wrapper".split()
 )
+BYLINE_WORDS = frozenset("author byline date time timestamp user username avatar posted".split())
+REPLY_WORDS = frozenset("reply respond antworten antwort répondre responder".split())
 LINK_SHARE = 1 / 3
+#: A named element takes part if no core without it has as much text; one of comments, or beside an article or main element, if that has less than this share of its text.
+#: It must have some text to be an article.
+OTHER_SHARE = 1 / 5
+LEAST_ARTICLE = 60
+#: Articles beside the core's that are at least this dense, against it, belong to the page's text.
+ARTICLE_SHARE = 1 / 4
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header caption figcaption".split())
 _WORD = re.compile("[a-z]+")
 _CAMEL = re.compile("(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "chars", "own", "tags", "link_chars", "link_tags", "density", "total", "furniture", "maybe", "heading")
+    __slots__ = ("tag", "parent", "parts", "chars", "own", "tags", "link_chars", "link_tags", "density", "total", "furniture", "maybe", "named", "heading", "byline", "reply")
 
-    def __init__(self, tag: str, parent: Node | None, furniture: bool = False, maybe: bool = False) -> None:
-        self.tag, self.parent, self.furniture, self.maybe = tag, parent, furniture, maybe
+    def __init__(self, tag: str, parent: Node | None, furniture: bool = False, maybe: bool = False, named: str = "", byline: bool = False) -> None:
+        self.tag, self.parent, self.furniture, self.maybe, self.named, self.byline, self.reply = tag, parent, furniture, maybe, named, byline or tag == "time", False
         self.parts: list[Node | str] = []
         self.chars = self.own = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
@@ -167,25 +178,24 @@ class Builder:
                 depth -= 1
             self._pop_to(depth)
 
-    def _furniture(self, tag: str, attributes: str) -> tuple[bool, bool]:
-        """Whether the element is furniture, and whether it may be."""
+    def _furniture(self, tag: str, attributes: str) -> tuple[bool, bool, str, bool]:
+        """Whether the element is furniture, whether it may be, what its names speak for, and whether they name an author or a time."""
         if tag in FURNITURE_TAGS or tag == "header" and not (self.open.get("article") or self.open.get("main")):
-            return True, False
+            return True, False, "", False
         if not attributes or not _TELLING.search(attributes):
-            return False, False
+            return False, False, "", False
         given = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
         if given.get("role", "").lower() in FURNITURE_ROLES or "hidden" in given or given.get("aria-hidden") == "true":
-            return True, False
+            return True, False, "", False
         if tag in ("body", "main"):
-            return False, False
-        maybe = False
+            return False, False, "", False
+        maybe, named, byline = False, "", False
         for name in [*given.get("class", "").split(), given.get("id", "")]:
-            words = set(_WORD.findall(_CAMEL.sub(" ", name).lower())) - PLAIN_WORDS
-            if words and words <= FURNITURE_WORDS | MAYBE_WORDS:
-                if words & FURNITURE_WORDS:
-                    return True, False
-                maybe = True
-        return False, maybe
+            words = set(_WORD.findall(_CAMEL.sub(" ", name).lower()))
+            named = "comments" if words & COMMENT_WORDS else named or ("furniture" if words & FURNITURE_WORDS else "")
+            maybe |= bool(words - PLAIN_WORDS) and words - PLAIN_WORDS <= MAYBE_WORDS
+            byline |= bool(words & BYLINE_WORDS)
+        return False, maybe and not named, named, byline
 
 
 def parse(html: str) -> Node:
@@ -204,13 +214,25 @@ def _ordered(root: Node) -> list[Node]:
     return out
 
 
+def _is_reply(node: Node) -> bool:
+    text = "".join(x for x in node.parts if isinstance(x, str)).strip() if node.tag in ("a", "button") else ""
+    return 0 < len(text) <= 24 and not REPLY_WORDS.isdisjoint(text.lower().split())
+
+
 def _measure(nodes: list[Node]) -> None:
     for node in reversed(nodes):
+        node.chars = node.own = node.tags = node.link_chars = node.link_tags = 0
+        node.density = node.total = 0.0
+        node.heading = node.reply = False
         for x in node.parts:
             if isinstance(x, str):
                 node.own += len("".join(x.split()))
-            elif not x.furniture:
+            elif x.furniture:
+                node.reply |= _is_reply(x)
+            else:
                 node.chars += x.chars
+                node.byline |= x.byline
+                node.reply |= x.reply or _is_reply(x)
                 node.heading |= x.heading or x.tag in HEADINGS and x.chars > 0
                 node.tags += x.tags + 1
                 node.link_chars += x.chars if x.tag == "a" else x.link_chars
@@ -246,19 +268,57 @@ def _path(node: Node) -> list[Node]:
     return out
 
 
-def widened(best: Node) -> Node:
+def _comment_lists(nodes: list[Node]) -> list[Node]:
+    """Nodes whose like children each have an author or time and a link to reply."""
+    out = []
+    for node in nodes:
+        if node.reply and node.byline:
+            kids = [x for x in node.parts if isinstance(x, Node) and not x.furniture and x.chars]
+            marked = [x for x in kids if x.byline and x.reply]
+            if len(marked) >= 2 and len({x.tag for x in marked}) == 1:
+                out.append(node)
+    return out
+
+
+def _judge_names(root: Node) -> Node | None:
+    """Decides about named elements by measures, and returns the densest node."""
+    nodes = _ordered(root)
+    _measure(nodes)
+    for node in _comment_lists(nodes):  # the comments only: what else stands beside them may be the article
+        for x in node.parts:
+            if isinstance(x, Node) and x.byline and x.reply:
+                x.furniture = True
+    named = [x for x in nodes if x.named and not x.furniture]
+    held = [(x, x.chars, x.link_chars if x.tag != "a" else x.chars) for x in named]
+    for x in named:
+        x.furniture = True
+    best = densest(root)
+    found = [] if best is None else widened(best)
+    without, told = max((x.chars for x in found), default=0), any(x.tag in ("article", "main") for x in found)
+    freed = [x for x, chars, links in held if links < LINK_SHARE * chars and chars >= LEAST_ARTICLE and without < chars * (OTHER_SHARE if told or x.named == "comments" else 1)]
+    if not freed:
+        return best
+    for x in freed:
+        x.furniture = False
+    return densest(root)
+
+
+def widened(best: Node) -> list[Node]:
+    """The elements whose text is the article, in page order."""
     path = _path(best)
     for tag in ("article", "main"):
         around = [n for n in path if n.tag == tag]
         if around:
-            return around[-1]
+            own = around[-1]
+            beside = [x for x in own.parent.parts if isinstance(x, Node) and x.tag == tag and not x.furniture] if own.parent is not None else [own]
+            return [x for x in beside if x is own or x.density >= ARTICLE_SHARE * own.density and x.link_chars < LINK_SHARE * x.chars]
     threshold = min(n.density for n in path)
     for above in path[1:]:
         others = [x for x in above.parts if isinstance(x, Node) and not x.furniture and x.chars and x is not best]
         if any(x.density < threshold and x.tag not in HEADINGS or x.maybe for x in others):
             break
         best = above
-    return best
+    return [best]
 
 
 def _settle(node: Node) -> None:
@@ -269,13 +329,15 @@ def _settle(node: Node) -> None:
             x.furniture = links >= LINK_SHARE * x.chars or x.density < node.density and not x.heading
 
 
-def core(root: Node) -> Node | None:
-    best = densest(root)
+def core(root: Node) -> list[Node]:
+    """The elements that are the page's text."""
+    best = _judge_names(root)
     if best is None:
-        return None
-    best = widened(best)
-    _settle(best)
-    return best
+        return []
+    found = widened(best)
+    for node in found:
+        _settle(node)
+    return found
 
 
 def text_of(node: Node) -> str:
@@ -309,9 +371,7 @@ def text_of(node: Node) -> str:
 
 
 def main_text(html: str) -> str:
-    root = parse(html)
-    best = core(root)
-    return text_of(best) if best is not None else ""
+    return "\n".join(filter(None, map(text_of, core(parse(html)))))
 
 
 SCHEMA = "page_id bigint, url string, text string"

@@ -127,6 +127,37 @@ def test_extraction(spark):
     assert len(extract.main_text("<div>" * 30000 + "deep" + "</div>" * 30000)) == 4
 
 
+BODY = "<p>The first paragraph of the body has some words, and more of them.</p><p>The second one is about as long as that, with a few words left.</p>"
+BODY_TEXT = "The first paragraph of the body has some words, and more of them.\nThe second one is about as long as that, with a few words left."
+
+
+@pytest.mark.parametrize("page", ["<div class='sponsored'>{}</div>", "<div class='sponsored-content'>{}</div>", "<div class='newsletter'>{}</div>", "<div id='modal-content'>{}</div>", "<div class='comment-page'>{}</div>",
+                                  "<article class='menu'>{}</article>", "<a href=#>Skip</a><div id=page class=has-sidebar><div class=ad>Buy this.</div><div>{}</div></div>", "<h1></h1><div class=nav-open><div class='menu'><a href=1>One</a></div>{}</div>"])
+def test_names_do_not_delete_articles(page):
+    assert extract.main_text(page.format(BODY)).removeprefix("Buy this.\n").removeprefix("Skip\n") == BODY_TEXT
+
+
+@pytest.mark.parametrize("name", ["reader-comments", "user-comments", "entry-comments", "responses", "commentList", "privacy-hint", "advertorial-box", "google-ad", "site-nav", "related-posts-ads"])
+def test_names_speak_by_any_word(name):
+    extra = f"<div class='{name}'><p>Nice post, thanks</p></div>"
+    for page in (f"<article>{BODY}{extra}</article>", f"<div>{BODY}</div>{extra}", f"{extra}<main>{BODY}</main>", f"<article>{BODY}</article><section id='{name}'>{'<p>A long comment goes here.</p>' * 9}</section>"):
+        assert extract.main_text(page) == BODY_TEXT
+
+
+def test_comments_are_told_by_structure():
+    one = "<li><span class=author>Bob</span> <time>May 1</time><p>I think this is fine.</p>{}</li>"
+    for reply in ("<a href=#>Reply</a>", "<button>Antworten</button>"):
+        assert extract.main_text(f"<article>{BODY}<ul>{one.format(reply) * 4}</ul></article>") == BODY_TEXT
+    kept = extract.main_text(f"<article>{BODY}<ul>{one.format('') * 2}</ul></article>")
+    assert kept.startswith(BODY_TEXT) and "I think this is fine." in kept
+
+
+def test_articles_beside_each_other_are_kept():
+    links = "<article><a href=1>One link that is long</a> <a href=2>Another link</a></article>"
+    assert extract.main_text(f"<nav>x</nav><div><article>{BODY}</article>{links}<article><h2>Next</h2>{BODY}</article></div>") == f"{BODY_TEXT}\nNext\n{BODY_TEXT}"
+    assert extract.main_text("<div class=ad>An advert with a good many words in it, more than the article has.</div><article><h1>Short.</h1><p>An article.</p></article>") == "Short.\nAn article."
+
+
 def test_extraction_reads_hostile_pages_once():
     pages = ['<a "' * 250_000, '<a x=">" ' * 100_000, "<a x='" * 150_000, "<span>" * 60_000 + "<li>x" * 60_000, "<p><table>" + "<span>" * 60_000 + "<div></div>" * 60_000, "<!--" * 200_000, "<div class=notice>x" * 50_000]
     for page in pages:
