@@ -33,18 +33,58 @@ def test_top_k_of_odd_tables(spark):
     assert topk.top_k(df.limit(0)).count() == 0
     assert [tuple(r) for r in topk.top_k(df).collect()] == [(0, 1, 1, 4 * 256 * 256)]
     assert topk.top_k(df.limit(1)).count() == 0
-    with pytest.raises(ValueError):
-        topk.top_k(spark.createDataFrame([(0, [1e30])], "vec_id bigint, embedding array<double>"))
+    huge = spark.createDataFrame([(0, [1e30, 1.0]), (50, [2.0, 1.0]), (1, [-1e30, 0.0]), (2, [1.0, 1e5]), (3, [1.7e308, 0.0]), (4, [1e7, 3.0]), (5, [5.0, 5.0])], "vec_id bigint, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(huge).collect())
+    vectors = {0: (int(1e30 * 256), 256), 50: (512, 256), 1: (-int(1e30 * 256), 0), 2: (256, 25_600_000), 4: (2_560_000_000, 768), 5: (1280, 1280)}  # the scaled 1.7e308 is not finite
+    clip = lambda x: min(max(x, -(2**63)), 2**63 - 1)
+    want = []
+    for q in (0, 50):
+        best = sorted((-clip(sum(a * b for a, b in zip(vectors[q], v))), i) for i, v in vectors.items() if i != q)[:5]
+        want += [(q, r, i, -x) for r, (x, i) in enumerate(best, 1)]
+    assert got == sorted(want)
+
+
+def test_outliers_and_copies_leave_few_candidates(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = rng.normal(0, 1, (1500, 16))
+    base[7] *= 1000
+    base[200:900] = base[200]  # copies
+    seen = []
+    monkeypatch.setattr(topk, "cut", lambda df: seen.append(df) or topk_cut(df))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "vec_id bigint, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, block_rows=400).collect())
+    x = np.floor(256 * base).astype(np.int64)
+    want = [(q, r, i, -s) for q in range(0, 1500, 50) for r, (s, i) in enumerate(sorted((-int(x[q] @ x[i]), i) for i in range(1500) if i != q)[:5], 1)]
+    assert got == want
+    grid = topk.Grid(x[[i for i in range(1500) if i != 7]].min(0).astype(float), x[[i for i in range(1500) if i != 7]].max(0).astype(float))
+    rest = np.array([i for i in range(1500) if i != 7 and not 200 <= i < 900])
+    q, r, _, _ = topk.scan_block(np.array([0, 50]), x[[0, 50]].astype(float), rest, grid.cells_of(x[rest]), grid, 5)
+    assert len(r) < 100  # without the outlier's own band every row would remain
+
+
+topk_cut = topk.cut
+
+
+def test_equal_vectors_cost_k_rows_a_block():
+    grid = topk.Grid(np.full(4, 3.0), np.full(4, 3.0))
+    x = np.full((900, 4), 3.0)
+    q, r, low, high = topk.scan_block(np.array([2, 899]), x[:2], np.arange(900), grid.cells_of(x), grid, 5)
+    assert r.tolist() == [0, 1, 3, 4, 5, 0, 1, 2, 3, 4] and (low == high).all()
 
 
 def test_cell_bounds_hold():
     rng = np.random.default_rng(5)
-    x, q = rng.integers(-900, 900, (300, 20)), rng.integers(-900, 900, (7, 20))
-    low = x.min(0)
-    step = np.maximum(1, -(-(x.max(0) - low + 1) // topk.CELLS))
-    lower, upper = topk.bounds(q.astype(float), topk.cells_of(x, low, step), low.astype(float), step.astype(float))
-    exact = q @ x.T
-    assert (lower <= exact).all() and (exact <= upper).all() and (upper - lower).max() < 2 * 20 * 900 * step.max()
+    for size in (100, 900, 2**40, 2**62, 1e200):
+        x, q = np.floor(rng.uniform(-size, size, (300, 20))), np.floor(rng.uniform(-size, size, (7, 20)))
+        grid = topk.Grid(x.min(0), x.max(0))
+        lower, upper = grid.bounds(q, grid.cells_of(x))
+        exact = np.array([[min(max(sum(int(a) * int(b) for a, b in zip(v, w)), -(2**63)), 2**63) for w in x] for v in q], object)
+        assert all(lower[i, j] <= exact[i, j] <= upper[i, j] for i in range(7) for j in range(300))
+        assert [int(s) for s in topk.score_pairs(np.repeat(q, 300, 0), np.tile(x, (7, 1)))] == [min(e, 2**63 - 1) for e in exact.ravel()]
+    small = rng.integers(-900, 900, (300, 20)).astype(float)
+    grid = topk.Grid(small.min(0), small.max(0))
+    lower, upper = grid.bounds(small[:7], grid.cells_of(small))
+    assert (upper - lower).max() < 2 * 20 * 900 * grid.step.max()
 
 
 def toxic_case(n):
