@@ -146,13 +146,16 @@ def _clean(given: Broadcast):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS, block_bytes: int = AUTOMATON_BYTES) -> DataFrame:
-    """The rows of ``docs``, all columns, without any window of the benchmark; no row is shuffled. One pass for each block of items."""
+    """The rows of ``docs``, all columns, without any window of the benchmark; no row is shuffled. One pass for each block of items, with what is left written
+    between passes, so that no task has two automata at a time."""
     spark = docs.sparkSession
     items = _items(benchmark)
     blocks = _blocks(items, block_bytes)
     for b in range(blocks):
         given = spark.sparkContext.broadcast(_block(items, n, b, blocks))
         docs = docs.mapInArrow(_clean(given), docs.schema)
+        if b < blocks - 1:
+            docs = cut(docs)
     return docs
 
 
@@ -180,20 +183,25 @@ def _in_blocks(docs: DataFrame, items: DataFrame, n: int, blocks: int) -> DataFr
     merged = parts.groupBy(F.col("doc_id").alias("row")).agg(
         F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    start = F.struct(F.lit(0).cast("bigint").alias("start"), F.lit(-1).cast("bigint").alias("end"))
-    # spans of different blocks may overlap: keep the part of each that lies beyond all earlier ones, then join neighbours
-    fold = F.aggregate("spans", F.array(start), lambda done, s: F.when(
-        s["start"] <= F.element_at(done, -1)["end"],
-        F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end")))),
-    ).otherwise(F.concat(done, F.array(s))))
-    joined = rows.join(merged, "row").withColumn("spans", F.filter(fold, lambda s: s["end"] > s["start"]))
+    joined = rows.join(merged, "row")
     return joined.mapInArrow(_count_hits, SCHEMA)
 
 
+def _joined(spans: list[dict]) -> list[dict]:
+    """Spans in order of start: those that overlap or touch as one."""
+    out: list[dict] = []
+    for s in spans:
+        if out and s["start"] <= out[-1]["end"]:
+            out[-1]["end"] = max(out[-1]["end"], s["end"])
+        else:
+            out.append(dict(s))
+    return out
+
+
 def _count_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hit words again from the merged spans."""
+    """Join the spans of all blocks, and count hit words again."""
     for batch in slices(batches):
-        hits, spans = [], batch.column("spans").to_pylist()
+        hits, spans = [], [_joined(own) for own in batch.column("spans").to_pylist()]
         for text, own in zip(batch.column("text").to_pylist(), spans):
             hits.append(sum(len((text or "")[s["start"] : s["end"]].encode().translate(_WORDS).split()) for s in own))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(hits, pa.int64()), batch.column("items").cast(_ARROW.field("items").type), pa.array(spans, _ARROW.field("spans").type)], schema=_ARROW)

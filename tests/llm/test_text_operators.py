@@ -92,6 +92,22 @@ def test_decontamination_equals_brute_force(spark, block_bytes):
     assert decontaminate.decontaminate(docs_of(spark, []), bench).count() == 0
 
 
+def test_one_automaton_at_a_time(spark):
+    texts, items = contaminated_case()
+    docs, bench = docs_of(spark, texts), spark.createDataFrame(items, "item_id bigint, text string")
+    for block_bytes in (1 << 20, 120):
+        kept = decontaminate.drop_contaminated(docs, bench, block_bytes=block_bytes)
+        assert kept._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+        assert sorted(r.doc_id for r in kept.collect()) == [i for i, h in enumerate(hits(texts, items)) if not h[1]]
+
+
+def test_spans_join_in_one_pass():
+    spans = [{"start": 3 * i, "end": 3 * i + (4 if i % 2 else 2)} for i in range(200_000)]
+    began = time.process_time()
+    joined = decontaminate._joined(spans)
+    assert time.process_time() - began < 3 and joined[:3] == [{"start": 0, "end": 2}, {"start": 3, "end": 8}, {"start": 9, "end": 14}]
+
+
 PAGES = {
     "": "",
     None: "",
