@@ -11,6 +11,7 @@ from ..operators import observe as O
 from ..operators import quality as Q
 from ..operators import replies as R
 from .aggregates import hierarchy, hits, music_states, _HITS, _MUSIC
+from ..sources.corpus import shared_folder
 from .bindings import conv, ev_points, ev_ranges, ev_seg, ev_shots, sql, table
 from .joins import _ATTR, attributed
 from .registry import query
@@ -324,16 +325,16 @@ def step_status(spark, sf):
 
 
 # Replies made from whole texts: the ids of a document's lines, with fences, cut ends, lost or repeated shots and missing fields.
-_GROUPED = """with d as (select doc_id, len(string_split(text, chr(10))) as n from documents), s as (select doc_id, n, list_transform(range(0, n), lambda i: '{"shotID": "S' || i || '", ' || case when doc_id % 7 = 4 and i = 0 then '' else '"look": "' || (i * doc_id) % 10 || '", ' end || '"tone": "t"}') as shots from d),
+_GROUPED = """with d as (select doc_id, len(string_split(text, chr(10))) as n from documents), s as (select doc_id, n, list_transform(range(0, n), lambda i: '{"shotID": "S' || i || '", ' || case when doc_id % 7 = 4 and i = 0 then '' when doc_id % 7 = 5 and i = 0 then '"look": 7, ' else '"look": "' || (i * doc_id) % 10 || '", ' end || '"tone": "t"}') as shots from d),
 r as (select doc_id, n, case doc_id % 7 when 2 then list_append(shots, shots[1]) when 3 then shots[1:n - 1] else shots end as shots from s) """
 
 
-@query("parse_group_response", _GROUPED + """select doc_id, case when doc_id % 7 = 1 then 'not json' when doc_id % 7 = 4 then 'schema' when doc_id % 7 in (2, 3) then 'ids' else 'ok' end as verdict, case when doc_id % 7 in (0, 5, 6) then n end as n_shots, case when doc_id % 7 in (0, 5, 6) then list_sum(list_transform(range(0, n), lambda i: (i * doc_id) % 10))::bigint end as looks from r""")
+@query("parse_group_response", _GROUPED + """select doc_id, case when doc_id % 7 = 1 then 'not json' when doc_id % 7 in (4, 5) then 'schema' when doc_id % 7 in (2, 3) then 'ids' else 'ok' end as verdict, case when doc_id % 7 in (0, 6) then n end as n_shots, case when doc_id % 7 in (0, 6) then list_sum(list_transform(range(0, n), lambda i: (i * doc_id) % 10))::bigint end as looks from r""")
 def parse_group_response(spark, sf):
     """One fence is stripped, the shape is checked, and the ids must be those that were asked for."""
     i = F.col("doc_id")
     rows = table(spark, sf, "documents").select("doc_id", F.size(F.split("text", "\n", -1)).alias("n"))
-    shot = lambda k: F.concat(F.lit('{"shotID": "S'), k, F.lit('", '), F.when((i % 7 == 4) & (k == 0), "").otherwise(F.concat(F.lit('"look": "'), k * i % 10, F.lit('", '))), F.lit('"tone": "t"}'))
+    shot = lambda k: F.concat(F.lit('{"shotID": "S'), k, F.lit('", '), F.when((i % 7 == 4) & (k == 0), "").when((i % 7 == 5) & (k == 0), '"look": 7, ').otherwise(F.concat(F.lit('"look": "'), k * i % 10, F.lit('", '))), F.lit('"tone": "t"}'))
     shots = F.transform(F.sequence(F.lit(0), F.col("n") - 1), shot)
     rows = rows.withColumn("shots", shots).withColumn("ids", F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.concat(F.lit("S"), k)))
     given = F.when(i % 7 == 2, F.array_append("shots", F.col("shots")[0])).when(i % 7 == 3, F.slice("shots", F.lit(1), F.col("n") - 1)).otherwise(F.col("shots"))
@@ -362,23 +363,63 @@ union all select video, 'slot id' from v where video % 11 = 6 union all select v
 union all select distinct video, 'slot twice' from v where video % 13 = 5 union all select video, 'slot without blocks' from v where video % 13 = 7) """
 
 
-@query("story_fill_validation", sql("ev_shots", _FILL + "select v.video, coalesce(string_agg(rule, ',' order by rule), '') as rules, count(rule) = 0 as accepted from v left join rules using (video) group by v.video"))
-def story_fill_validation(spark, sf):
-    """Blocks of four shots and one slot for all of them; each eleventh video breaks a rule of its own. One broken rule rejects the video's reply."""
+_STORY_ENUMS, _STORY_LISTS = {"primaryRole": ["hook", "body", "payoff"]}, {"informationRole": ["fact", "view"]}
+
+
+def _story_replies(spark, sf):
+    """Blocks of four shots and one slot for all of them, as the text of a reply in fences; each eleventh video breaks a rule of its own, each seventeenth the types."""
     b, v = F.floor((F.col("seq") - 1) / 4), F.col("video")
     shots = ev_shots(spark, sf)
-    scaffold = shots.groupBy("video", F.concat(F.lit("B"), b).alias("block")).agg(F.sort_array(F.collect_list("seq")).alias("shots"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
-    first, at = F.col("block") == "B0", v % 11
-    blocks = scaffold.select("video", "block", F.when((at == 3) & first, F.slice("shots", 2, 9)).otherwise(F.col("shots")).alias("shots"), (F.col("start_ms") + ((at == 4) & first).cast("int")).alias("start_ms"), "end_ms", F.when((at == 5) & first, "a title of more than twelve").otherwise("title").alias("title"))
-    blocks = blocks.where(~((v % 11 == 1) & first)).unionByName(blocks.where((v % 11 == 2) & first))
-    slot = F.when(at == 6, "slot one").otherwise("S01")
-    every = scaffold.groupBy("video").agg(F.array_sort(F.collect_list("block")).alias("all"))
+    scaffold = shots.groupBy("video", F.concat(F.lit("B"), b).alias("block")).agg(F.transform(F.sort_array(F.collect_list("seq")), lambda x: x.cast("string")).alias("shots"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+    first, at, odd = F.col("block") == "B0", v % 11, v % 17
+    title = F.when((at == 5) & first, "a title of more than twelve").otherwise(" title ")
+    block = F.struct(
+        F.col("block").alias("storyBlockID"), F.when((at == 3) & first, F.slice("shots", 2, 9)).otherwise(F.col("shots")).alias("shotIDs"), (F.col("start_ms") + ((at == 4) & first).cast("int")).alias("startMs"), F.col("end_ms").alias("endMs"), title.alias("blockTitle"),
+        F.when(v % 2 == 0, " hook").otherwise("odd").alias("primaryRole"), F.concat_ws("，", F.lit("view"), F.lit("odd"), F.col("block"), F.lit("fact "), F.lit("view")).alias("informationRole"), (v % 3).alias("coreContent"))
+    copies = F.when((at == 1) & first, 0).when((at == 2) & first, 2).otherwise(1)
+    every = scaffold.groupBy("video").agg(F.array_sort(F.collect_list("block")).alias("all"), F.flatten(F.collect_list(F.array_repeat(block, copies))).alias("blocks"))
     named = F.when(at == 9, F.array_append("all", F.lit("B999"))).when(at == 10, F.filter("all", lambda x: x != "B0")).otherwise(F.col("all"))
-    slots = every.select("video", slot.alias("slot"), F.when(at == 7, F.array(F.lit("odd"))).otherwise(F.array(F.lit("hook"), F.lit("odd"))).alias("types"), F.when(at == 8, "a title of more than fifteen").otherwise("title").alias("title"), named.alias("blocks"))
-    again = slots.where("video % 13 = 5")
-    empty = slots.where("video % 13 = 7").select("video", F.lit("S02").alias("slot"), F.array(F.lit("hook")).alias("types"), "title", F.array().cast("array<string>").alias("blocks")).withColumn("title", F.lit("x"))
-    rules = R.story_fill_rules(scaffold, blocks, slots.unionByName(again).unionByName(empty), ["hook", "body", "payoff"]).groupBy("video").agg(F.array_join(F.array_sort(F.collect_list("rule")), ",").alias("rules"))
-    return every.select("video").join(rules, "video", "left").select("video", F.coalesce("rules", F.lit("")).alias("rules"), F.col("rules").isNull().alias("accepted"))
+    slot = lambda i, types, name, of: F.struct(i.alias("slotID"), types.alias("slotType"), name.alias("slotTitle"), of.alias("blockIDs"), F.lit(" why ").alias("slotRationale"))
+    main = slot(F.when(at == 6, "slot one").otherwise("S001"), F.when(at == 7, "odd").otherwise("hook、odd"), F.when(at == 8, "a title of more than fifteen").otherwise("title"), named)
+    empty = slot(F.lit("S002"), F.lit("hook"), F.lit("x"), F.array().cast("array<string>"))
+    slots = F.concat(F.array(main), F.when(v % 13 == 5, F.array(main)).when(v % 13 == 7, F.array(empty)).otherwise(F.slice(F.array(main), 1, 0)))
+    whole = F.to_json(F.struct("blocks", slots.alias("slots")))
+    # a number in place of text, text in place of a number, an object for a list, a cut end
+    body = F.when(odd == 1, F.regexp_replace(whole, '"storyBlockID":"B0"', '"storyBlockID":0')).when(odd == 2, F.regexp_replace(whole, '"endMs":([0-9]+)', '"endMs":"$1"')).when(odd == 3, F.concat(F.lit('{"blocks": {}, "slots": []}')))
+    body = body.when(odd == 4, F.substring(whole, 1, 40)).otherwise(whole)
+    replies = every.select("video", F.concat(F.lit("```json\n"), body, F.lit("\n```")).alias("reply"))
+    folder, out = shared_folder(spark, "story"), []
+    for name, rows in (("replies", replies), ("scaffold", scaffold)):  # written once, read by every rule
+        rows.write.parquet(f"{folder}/{name}")
+        out.append(spark.read.schema(rows.schema).parquet(f"{folder}/{name}"))
+    return tuple(out)
+
+
+def _story_filled(spark, sf):
+    replies, scaffold = _story_replies(spark, sf)
+    return replies, *R.story_reply(replies, "reply", scaffold, _STORY_ENUMS, _STORY_LISTS, ["coreContent"], ["hook", "body", "payoff"])
+
+
+_FILL_TYPES = """, typed as (select * from rules where video % 17 not in (3, 4) union select video, 'block ids' from v where video % 17 = 1 union select video, 'bounds moved' from v where video % 17 = 2
+  union select video, 'blocks are no list' from v where video % 17 = 3 union select video, 'not json' from v where video % 17 = 4),
+told as (select * from typed where not (video % 17 = 1 and rule in ('shots moved', 'bounds moved'))) """
+
+
+@query("story_fill_validation", sql("ev_shots", _FILL + _FILL_TYPES + "select v.video, coalesce(string_agg(rule, ',' order by rule), '') as rules, count(rule) = 0 as accepted from v left join told using (video) group by v.video"))
+def story_fill_validation(spark, sf):
+    """From the text of a reply to what is wrong with it: shape and types, ids, shots and times, titles, slots."""
+    replies, rules, _, _ = _story_filled(spark, sf)
+    told = rules.groupBy("video").agg(F.array_join(F.array_sort(F.collect_list("rule")), ",").alias("rules"))
+    return replies.select("video").join(told, "video", "left").select("video", F.coalesce("rules", F.lit("")).alias("rules"), F.col("rules").isNull().alias("accepted"))
+
+
+@query("story_fill_accepted", sql("ev_shots", _FILL + _FILL_TYPES + """select video, block, array_to_string(shots, ',') as shots, s as start_ms, e as end_ms, 'title' as title, case when video % 2 = 0 then 'hook' else 'unknown' end as role, 'view、fact' as roles, (video % 3)::varchar as content,
+  'S001' as slot, 'hook' as types, 'why' as rationale from b0 where video not in (select video from told)"""))
+def story_fill_accepted(spark, sf):
+    """The accepted narrative: blocks with normalised values on the scaffold's shots and times, with their slot."""
+    _, _, blocks, slots = _story_filled(spark, sf)
+    of = slots.select("video", "slot", "types", "rationale", F.explode("blocks").alias("block"))
+    return blocks.join(of, ["video", "block"]).select("video", "block", F.array_join("shots", ",").alias("shots"), "start_ms", "end_ms", "title", F.col("primaryRole").alias("role"), F.col("informationRole").alias("roles"), F.col("coreContent").alias("content"), "slot", "types", "rationale")
 
 
 _ENUMS = {"relation": ["user", "assistant"], "cut": ["hard", "soft"], "rhythm": ["fast", "slow"], "focus": ["same", "new"]}
@@ -387,7 +428,9 @@ s as (select *, list_filter(words, lambda x: x in ('the', 'of', 'in')) as kept,
 
 
 @query("pair_semantics", sql("conv", _SEMANTIC + """ select video, seq, good as parsed, case when good and state in ('user', 'assistant') then state end as relation, case when good and k % 3 = 0 then 'hard' end as cut, case when good then 'fast' end as rhythm, case when good and k % 4 <> 0 then 'new' end as focus,
-  case when not good or k % 6 = 0 then 'unknown' when len(kept) = 0 then 'absent-claimed' else 'value' end as motivation_state, case when good and k % 6 <> 0 and len(kept) > 0 then array_to_string(kept, ',') end as motivations, case when good and k % 5 <> 0 then 'summary ' || seq end as summary from s"""))
+  case when not good or k % 6 = 0 then 'unknown' when len(kept) = 0 then 'absent-claimed' else 'value' end as motivation_state, case when good and k % 6 <> 0 and len(kept) > 0 then array_to_string(kept, ',') end as motivations, case when good and k % 5 <> 0 then 'summary ' || seq end as summary,
+  case when good and state in ('user', 'assistant') then 'medium' else 'unknown' end as relation_confidence, case when not good or k % 6 = 0 then 'unknown' else 'low' end as motivation_confidence, 'raw/pairs.json#relations[' || seq || '].semantic.raw' as ref,
+  case when good then (state not in ('user', 'assistant'))::int + (k % 3 <> 0)::int + (k % 4 = 0)::int + (k % 6 = 0 or len(kept) < len(words))::int + (k % 5 = 0)::int end as n_issues from s"""))
 def pair_semantics(spark, sf):
     """Replies built from whole turns: an enum out of range leaves its field unknown; motivations outside the list go, and none left is a claim of absence."""
     k = F.col("video") + F.col("seq")
@@ -396,8 +439,9 @@ def pair_semantics(spark, sf):
     body = F.concat(
         F.lit("{"), text("relation", F.col("state")), text("cut", F.when(k % 3 == 0, "hard").otherwise("other")), text("rhythm", F.lit("fast")), F.when(k % 4 == 0, "").otherwise(text("focus", F.lit("new"))),
         F.when(k % 6 == 0, "").otherwise(F.concat(F.lit('"editMotivations": '), F.to_json(words), F.lit(", "))), F.lit('"relationSummary": "'), F.when(k % 5 == 0, "  ").otherwise(F.concat(F.lit(" summary "), "seq")), F.when(k % 10 == 9, '"').otherwise('"}'))
-    got = R.pair_semantics(conv(spark, sf).select("video", "seq", body.alias("reply")), "reply", _ENUMS, ["the", "of", "in"])
-    return got.select("video", "seq", "parsed", *[F.col(f"{n}_value").alias(n) for n in _ENUMS], F.col("motivations_state").alias("motivation_state"), F.array_join("motivations_value", ",").alias("motivations"), F.col("summary_value").alias("summary"))
+    got = R.pair_semantics(conv(spark, sf).select("video", "seq", body.alias("reply")), "reply", _ENUMS, ["the", "of", "in"], F.concat(F.lit("raw/pairs.json#relations["), "seq", F.lit("]")))
+    return got.select("video", "seq", "parsed", *[F.col(f"{n}_value").alias(n) for n in _ENUMS], F.col("motivations_state").alias("motivation_state"), F.array_join("motivations_value", ",").alias("motivations"), F.col("summary_value").alias("summary"),
+        "relation_confidence", F.col("motivations_confidence").alias("motivation_confidence"), F.col("refs")[0].alias("ref"), F.size("issues").alias("n_issues"))
 
 
 _DISTILL = [
