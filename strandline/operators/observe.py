@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -100,7 +100,7 @@ def split_changes(log: DataFrame, boundary: Column) -> tuple[DataFrame, DataFram
 def lineage(df: DataFrame, graph: dict[str, tuple[Sequence[str], str, str]], size: int = 16) -> DataFrame:
     """Adds a fingerprint for each artifact of the graph, in order: name -> (upstream artifacts or columns, configuration, version)."""
     for name, (above, config, version) in graph.items():
-        df = df.withColumn(name, chained_fingerprint(*[F.col(c).cast("string") for c in above], F.lit(config), F.lit(version), size=size))
+        df = df.withColumn(name, chained_fingerprint({**{c: F.col(c) for c in above}, "config": F.lit(config), "version": F.lit(version)}, size=size))
     return df
 
 
@@ -159,9 +159,11 @@ def stale(expected: DataFrame, manifest: DataFrame, keys: Sequence[str]) -> Data
     return expected.join(m, list(keys), "left").withColumn("reason", reason).where("reason is not null").drop("_f", "_s", "_v", "_row")
 
 
-def chained_fingerprint(*parts: str | Column, size: int = 16) -> Column:
-    """Fingerprint of an artifact from its upstream fingerprints, configuration and version."""
-    return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, size)
+def chained_fingerprint(parts: Mapping[str, Column], size: int = 16) -> Column:
+    """Fingerprint of an artifact from its named parts (upstream fingerprints, configuration, version): the hash of their JSON in order of names, so that a part that is null, one that
+    is missing and one that holds a separator are all told apart."""
+    named = F.struct(*(parts[name].alias(name) for name in sorted(parts)))
+    return F.substring(F.sha2(F.to_json(named, {"ignoreNullFields": "false"}), 256), 1, size)
 
 
 def numbered_batches(df: DataFrame, order: Sequence[str], size: int, keys: Sequence[str]) -> DataFrame:

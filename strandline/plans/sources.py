@@ -175,5 +175,6 @@ def validated_sink(spark, sf):
     """Writes in two appends; the manifest's last row counts both. Its fingerprint and time are left out here and tested by reading the files back."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     folder, valid = C.shared_folder(spark, "sink"), F.col("o_orderstatus").isin("F", "O")
-    C.write_valid(o.where("o_orderkey % 2 = 0"), valid, folder, "orders", "o_orderkey")
-    return C.write_valid(o.where("o_orderkey % 2 = 1"), valid, folder, "orders", "o_orderkey").drop("fingerprint", "updated_at")
+    C.write_valid(o.where("o_orderkey % 2 = 0"), valid, folder, "orders", "even")
+    C.write_valid(o.where("o_orderkey % 2 = 0"), valid, folder, "orders", "even")  # written again
+    return C.write_valid(o.where("o_orderkey % 2 = 1"), valid, folder, "orders", "odd").drop("fingerprint", "updated_at")

@@ -145,26 +145,41 @@ def prefer_current_name(current: DataFrame, former: DataFrame, keys: list[str])
     return current.unionByName(former.join(current.select(*keys), keys, "left_anti"))
 
 
-def write_valid(df: DataFrame, valid: Column, folder: str, artifact: str, key: str, schema_version: str = "1") -> DataFrame:
-    """Appends valid rows to <folder>/<artifact>, the others to <folder>/quarantine/<artifact>, and a row to <folder>/manifest; gives that row: artifact, path, fingerprint of the valid rows (whatever their order), counts, status, version and time.
-
-    The last row of an artifact is its state."""
-    ok = F.coalesce(valid, F.lit(False))
-    path = f"{folder}/{artifact}"
-    good, bad = df.where(ok), df.where(~ok)
-    good.write.mode("append").parquet(path)
-    bad.write.mode("append").parquet(f"{folder}/quarantine/{artifact}")
-    spark = df.sparkSession
-    good, bad = spark.read.schema(df.schema).parquet(path), spark.read.schema(df.schema).parquet(f"{folder}/quarantine/{artifact}")
-    mark = F.conv(F.substring(F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256), 1, 12), 16, 10).cast("bigint")
-    rows = good.agg(F.count("*").alias("n_valid"), F.coalesce(F.bit_xor(mark), F.lit(0)).alias("_mark")).withColumn("n_quarantined", bad.agg(F.count("*")).scalar())
-    status = F.when(F.col("n_quarantined") == 0, "complete").when(F.col("n_valid") > 0, "partial").otherwise("failed")
-    row = rows.select(F.lit(artifact).alias("artifact"), F.lit(artifact).alias("path"), F.lower(F.hex("_mark")).alias("fingerprint"), "n_valid", "n_quarantined", status.alias("status"), F.lit(schema_version).alias("schema_version"), F.current_timestamp().alias("updated_at"))
-    row.write.mode("append").parquet(f"{folder}/manifest")
+_MARKS = ("mark_a", "mark_b")
+
+
+def write_valid(df: DataFrame, valid: Column, folder: str, artifact: str, batch: str, schema_version: str = "1") -> DataFrame:
+    """Appends a batch: valid rows to <folder>/<artifact>, the others to <folder>/quarantine/<artifact>; gives the artifact's state (see ``manifest``).
+
+    Files are staged under the batch's name, and one row of <folder>/manifest commits them; readers see committed batches only. So a batch that is written again changes nothing, and one that stops
+    before its commit leaves nothing. The row carries counts and the sum of 128-bit hashes of the valid rows: a multiset's fingerprint, which batches add up to without reading the sink again."""
+    ok, spark = F.coalesce(valid, F.lit(False)), df.sparkSession
+    good, bad = f"{folder}/{artifact}/batch={batch}", f"{folder}/quarantine/{artifact}/batch={batch}"
+    df.where(ok).write.mode("overwrite").parquet(good)
+    df.where(~ok).write.mode("overwrite").parquet(bad)
+    hashed = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
+    part = lambda at: F.conv(F.substring(hashed, at, 16), 16, 10).cast("decimal(20,0)")
+    rows = spark.read.schema(df.schema).parquet(good).select(*(part(at).alias(name) for at, name in zip((1, 17), _MARKS)))
+    sums = rows.agg(F.count("*").alias("n_valid"), *(F.coalesce(F.sum(name), F.lit(0)).cast("decimal(38,0)").alias(name) for name in _MARKS))
+    sums = sums.withColumn("n_quarantined", spark.read.schema(df.schema).parquet(bad).agg(F.count("*")).scalar())
+    sums.select("*", F.lit(schema_version).alias("schema_version"), F.current_timestamp().alias("updated_at")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest/artifact={artifact}/batch={batch}")
     return manifest(spark, folder).where(F.col("artifact") == artifact)
 
 
+_COMMITS = "n_valid bigint, mark_a decimal(38,0), mark_b decimal(38,0), n_quarantined bigint, schema_version string, updated_at timestamp, artifact string, batch string"
+
+
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """The last row of every artifact."""
-    rows = spark.read.parquet(f"{folder}/manifest")
-    return rows.groupBy("artifact").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "artifact"]), "updated_at").alias("m")).select("artifact", "m.*")
+    """The state of every artifact over its committed batches: artifact, path, fingerprint of the valid rows (whatever their order and batches), counts, status, last version and time."""
+    rows = spark.read.schema(_COMMITS).parquet(f"{folder}/manifest").groupBy("artifact").agg(
+        *(F.sum(c).alias(c) for c in (*_MARKS, "n_valid", "n_quarantined")), F.max_by("schema_version", "updated_at").alias("schema_version"), F.max("updated_at").alias("updated_at"))
+    status = F.when(F.col("n_quarantined") == 0, "complete").when(F.col("n_valid") > 0, "partial").otherwise("failed")
+    fingerprint = F.substring(F.sha2(F.concat_ws("/", "n_valid", *_MARKS), 256), 1, 32)
+    return rows.select("artifact", F.col("artifact").alias("path"), fingerprint.alias("fingerprint"), "n_valid", "n_quarantined", status.alias("status"), "schema_version", "updated_at")
+
+
+def read_valid(spark: SparkSession, folder: str, artifact: str, schema: T.StructType, quarantined: bool = False) -> DataFrame:
+    """The rows of the committed batches of an artifact."""
+    batches = [r.batch for r in spark.read.schema(_COMMITS).parquet(f"{folder}/manifest").where(F.col("artifact") == artifact).select("batch").distinct().collect()]  # a name a batch
+    base = f"{folder}/{'quarantine/' if quarantined else ''}{artifact}"
+    return spark.read.schema(schema).parquet(*(f"{base}/batch={b}" for b in batches)) if batches else spark.createDataFrame([], schema)

@@ -1,5 +1,6 @@
 """Operators without SQL, or whose SQL could repeat a misreading, on rows derived by hand."""
 
+import hashlib
 import json
 import random
 
@@ -64,13 +65,32 @@ def test_golden_gate(spark):
 
 def test_sink_reads_back(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "k long, v string")
-    first = C.write_valid(df.where("k < 3"), F.col("v").isNotNull(), str(tmp_path), "rows", "k").first()
-    last = C.write_valid(df.where("k = 3"), F.col("v").isNotNull(), str(tmp_path), "rows", "k").first()
+    ok, to = F.col("v").isNotNull(), str(tmp_path)
+    first = C.write_valid(df.where("k < 3"), ok, to, "rows", "a").first()
+    last = C.write_valid(df.where("k = 3"), ok, to, "rows", "b").first()
     assert (first.n_valid, first.n_quarantined, first.status) == (1, 1, "partial") and (last.n_valid, last.n_quarantined) == (2, 1) and last.updated_at > first.updated_at
-    assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/rows").collect()) == [(1, "a"), (3, "b")] and [tuple(r) for r in spark.read.parquet(f"{tmp_path}/quarantine/rows").collect()] == [(2, None)]
-    other = C.write_valid(df.where("v is not null").orderBy(F.desc("k")), F.lit(True), str(tmp_path / "b"), "rows", "k").first()
+    read = lambda quarantined=False: sorted(tuple(r) for r in C.read_valid(spark, to, "rows", df.schema, quarantined).collect())
+    assert read() == [(1, "a"), (3, "b")] and read(True) == [(2, None)]
+    other = C.write_valid(df.where("v is not null").orderBy(F.desc("k")), F.lit(True), str(tmp_path / "b"), "rows", "a").first()
     assert other.fingerprint == last.fingerprint and other.status == "complete"
-    assert spark.read.parquet(f"{tmp_path}/manifest").count() == 2
+    # a batch that is written again changes nothing, a row that repeats does
+    again = C.write_valid(df.where("k = 3"), ok, to, "rows", "b").first()
+    assert (again.fingerprint, again.n_valid, again.n_quarantined) == (last.fingerprint, 2, 1) and len(read()) == 2
+    twice = C.write_valid(df.where("k = 3"), ok, to, "rows", "c").first()
+    more = C.write_valid(df.where("k = 3"), ok, to, "rows", "d").first()
+    assert len({last.fingerprint, twice.fingerprint, more.fingerprint}) == 3 and len(read()) == 4
+    # a batch without its commit is not there
+    df.write.parquet(f"{to}/rows/batch=e")
+    assert len(read()) == 4 and C.manifest(spark, to).first().n_valid == 4
+    assert C.read_valid(spark, to, "none", df.schema).count() == 0
+
+
+def test_fingerprints_tell_parts_apart(spark):
+    rows = [("a", None, "b"), ("a", "b", None), ("a|b", None, None), ("a", "", "b"), ("a", "b", ""), (None, None, None)]
+    df = spark.createDataFrame(rows, "x string, y string, z string")
+    assert len({r.f for r in df.select(O.chained_fingerprint({c: F.col(c) for c in "xyz"}).alias("f")).collect()}) == len(rows)
+    first = df.select(O.chained_fingerprint({"y": F.col("y"), "x": F.col("x")}).alias("f")).first().f
+    assert first == hashlib.sha256(b'{"x":"a","y":null}').hexdigest()[:16]
 
 
 DOC = {"shots": [{"id": "A", "evidenceRefs": ["raw/a.json#shots[0].id", 5]}, {"id": None, "deep": [{"evidenceRefs": ["raw/b.json", "x.txt", "../a"]}]}], "evidenceRefs": "no list"}
