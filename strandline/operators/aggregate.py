@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .islands import clip, union_length
+from .quantiles import exact_percentiles
+from .scan import SEGMENT_ROWS
 
 KEYS = ("video",)
 
@@ -34,9 +36,11 @@ def distribution(df: DataFrame, value: str, keys: Sequence[str] = KEYS, excluded
     return rows.withColumn("share", F.round(F.col("n") / F.sum("n").over(W.partitionBy(*keys)), 4))
 
 
-def duration_stats(df: DataFrame, duration: str, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Mean and median seconds; the tenth and ninetieth percentile from five rows on."""
-    rows = df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(duration).alias("_m"), F.percentile(duration, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("_p"))
+def duration_stats(df: DataFrame, duration: str, keys: Sequence[str] = KEYS, hot_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """Mean and median seconds; the tenth and ninetieth percentile from five rows on. A key of more than ``hot_rows`` rows is spread over many tasks."""
+    whole = df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(duration).alias("_m"))
+    ranks = exact_percentiles(df, duration, (0.1, 0.5, 0.9), keys, "_p", hot_rows).withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    rows = whole.join(ranks, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys], "left")
     many = F.col("n") >= 5
     return rows.select(*keys, "n", seconds("_m").alias("mean_sec"), seconds(F.col("_p")[1]).alias("p50_sec"), F.when(many, seconds(F.col("_p")[0])).alias("p10_sec"), F.when(many, seconds(F.col("_p")[2])).alias("p90_sec"))
 

@@ -13,7 +13,7 @@ from .bindings import HOUR, conv, ev_points, ev_ranges, ev_seg, ev_shots, spans,
 from .islands import AUDIO, associations, overlap_ratios
 from .joins import _AROUND, _ATTR, BUCKET, around, attributed, matches, match_sql
 from ..operators import quality as Q
-from .registry import query
+from .registry import QUERIES, query
 from .signals import keyframes, _KEYS
 
 _HITS = ", hit as (select s.video, s.seq, p.value, p.kind from ev_shots s left join ev_points p on p.video = s.video and time_ms >= start_ms and time_ms < end_ms)"
@@ -89,6 +89,12 @@ def duration_stats(spark, sf):
     return A.duration_stats(spans(spark, sf).withColumn("d", F.col("end_ms") - F.col("start_ms")), "d")
 
 
+@query("duration_stats_spread", QUERIES["duration_stats"][1])
+def duration_stats_spread(spark, sf):
+    """Every key of more than 30 rows counts as hot here."""
+    return A.duration_stats(spans(spark, sf).withColumn("d", F.col("end_ms") - F.col("start_ms")), "d", hot_rows=30)
+
+
 _COVER = """, r as (select video, min(start_ms) + 864000000 as range_start, max(end_ms) as range_end from spans group by video having max(end_ms) > min(start_ms) + 864000000),
 c as (select s.video, greatest(start_ms, range_start) as a, least(end_ms, range_end) as b from spans s join r using (video) where least(end_ms, range_end) > greatest(start_ms, range_start)),
 o as (select *, max(b) over (partition by video order by a, b rows between unbounded preceding and 1 preceding) as before from c),
