@@ -105,6 +105,34 @@ def test_references_are_found_at_any_depth(spark):
     assert {(s, m) for _, s, m in got} == {("error", "no text"), ("warning", "artifact is missing"), ("error", "file does not exist"), ("error", "syntax: parent")}
 
 
+def _paths(node, steps=()):
+    yield "/".join(steps), {dict: "object", list: "array", str: "string", bool: "boolean", int: "number", float: "number", type(None): "null"}[type(node)]
+    for step, child in node.items() if isinstance(node, dict) else ((f"[{i}]", x) for i, x in enumerate(node)) if isinstance(node, list) else ():
+        yield from _paths(child, (*steps, step))
+
+
+def test_inventory_of_any_document(spark):
+    """Brackets and quotes inside texts, escapes, depth, scalars at the root, texts that are no JSON; nothing of it runs in Python."""
+    rnd = random.Random(11)
+
+    def any_node(depth):
+        if depth == 0 or rnd.random() < 0.2:
+            return rnd.choice([None, True, 3, 2.5, 10**25, "", 'a"]}', "\\", "\\\"[", "[{", "\n", "日本"])
+        return [any_node(depth - 1) for _ in range(rnd.randrange(4))] if rnd.random() < 0.5 else {rnd.choice("abc[]{}\"\\") + str(i): any_node(depth - 1) for i in range(rnd.randrange(4))}
+
+    deep = 0
+    for _ in range(60):
+        deep = [deep] if rnd.random() < 0.5 else {"k": deep}
+    values = {f"d{i}": any_node(6) for i in range(60)} | {"deep": deep, "wide": list(range(3000)), "evidenceRefs": [["x", {"evidenceRefs": "no list"}]]}
+    rows = [(f, json.dumps(v, ensure_ascii=rnd.random() < 0.5)) for f, v in values.items()]
+    found = D.inventory(spark.createDataFrame([*rows, ("bad", '{"a": [1'), ("none", None), ("empty", "")], "file string, doc string"))
+    want = sorted([(f, *p) for f, v in values.items() for p in _paths(v)] + [(f, "", "null") for f in ("bad", "none", "empty")])
+    assert sorted(map(tuple, found.collect())) == want
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString() and "Arrow" not in found._jdf.queryExecution().executedPlan().toString()
+    assert D.inventory(spark.createDataFrame([], "file string, doc string")).count() == 0
+    assert D.inventory(spark.createDataFrame([("a", "[" * 5000 + "]" * 5000), ("b", '{"a": 1, "a": 2}')], "file string, doc string")).count() == 2
+
+
 @pytest.mark.parametrize(
     ("pointer", "error"),
     [("shots", None), ("shots[1].id", None), ("shots[2]", "out of bounds"), ("shots.id", "wrong type"), ("shots[0][0]", "wrong type"), ("shots[0].name", "missing key"), ("shots[0].id.x", "wrong type"), ("shots[0]..id", "bad segment"), ("", "bad segment"), ("evidenceRefs", None)],
