@@ -24,7 +24,7 @@ MODEL_FIELDS = (
     "audio.bgmStyle audio.soundEvents components.nonTextOverlayEvents"
 ).split()
 #: Fields that detectors and rules fill.
-DETECTED_FIELDS = "audio.speech audio.bgmPresence audio.energy visual.qualityFlags visual.cameraMovement visual.movementIntensity visual.contentSummary editing.transition".split()
+DETECTED_FIELDS = "audio.speech audio.bgmPresence audio.energy quality.flags visual.cameraMovement visual.movementIntensity visual.contentSummary editing.transition".split()
 COLUMNS = ("field", "value", "state", "confidence", "refs", "source", "verified", "original")
 
 

@@ -10,6 +10,7 @@ from ..operators import aggregate as A
 from ..operators import observe as O
 from ..operators import quality as Q
 from ..operators import replies as R
+from ..operators.detectors import AGREEING, CAMERA_FIELD, SUMMARY_FIELDS, detected_observations
 from .aggregates import hierarchy, hits, music_states, _HITS, _MUSIC
 from ..sources.corpus import shared_folder
 from .bindings import conv, ev_points, ev_ranges, ev_seg, ev_shots, sql, table
@@ -250,6 +251,64 @@ def observations_long(spark, sf):
     return long_observations(spark, sf).withColumn("refs", F.array_join("refs", ","))
 
 
+_SEEN = [*SUMMARY_FIELDS, CAMERA_FIELD]
+_AGREE = " union all ".join(f"select '{m}' as m, unnest({ws}) as w" for m, ws in AGREEING.items())
+
+
+def _part(field: str, value: str, state: str, confidence: str, refs: str, source: str, original: str = "null", review: str = "null") -> str:
+    return f"select video, seq, '{field}' as field, ({value})::varchar as value, {state} as state, {confidence} as confidence, {refs} as refs, {source} as source, ({original})::varchar as original, ({review})::varchar as review from b"
+
+
+_RESOLVED = _HITS + _MUSIC + _ATTR + f""", sp as (select video, seq, string_agg(trim(text), ' ' order by pos) as said, string_agg('raw/asr.json#transcript.segments[' || pos || ']', ',' order by pos) as spoken from attr group by all),
+h as (select video, seq, median(value) as m, count(value) as n, max(value) as top from hit group by all),
+mo as (select video, seq, field, k, 'raw/unified-media.json#shots[' || (seq - 1) || ']' as base, seq % 9 <> 0 as here, seq % 9 <> 0 and (seq + k) % 5 <> 0 as has, (seq + k) % 5 as slot, case when k < 4 then 's' || (seq % 10) else case video % 3 when 0 then '固定' when 1 then '摇' else '推 → 手持' end end as raw
+  from ev_shots cross join (select unnest([{", ".join(f"'{f}'" for f in _SEEN)}]) as field, unnest(range(0, 5)) as k)),
+mv as (select *, case when not has or slot = 2 then 'unknown' when slot = 1 then 'absent-claimed' else 'value' end as state, case when has then case when seq % 2 = 0 then 'high' else 'low' end else 'unknown' end as confidence, case when not here then '' when not has then base else base || '.' || field end as refs from mo),
+sm as (select video, seq, string_agg(raw, '；' order by k) as summary, any_value(confidence) as sure, string_agg(refs, ',' order by k) as seen from mv where k < 4 and state = 'value' group by all),
+cam as (select video, seq, state as cstate, case when state = 'value' then raw end as cvalue, confidence as csure, refs as crefs, case when has and state <> 'value' then case slot when 1 then 'none' else ' Unknown ' end end as corig from mv where k = 4),
+agree as ({_AGREE}), b0 as (select s.video, s.seq, m, n, top, said, spoken, u.state as mstate, u.confidence as msure, summary, sure, seen, cstate, cvalue, csure, crefs, corig, '#shots[' || (s.seq - 1) || ']' as p, s.video % 7 <> 0 as moved,
+  case when s.video % 7 <> 0 then case n % 4 when 0 then 'unknown' when 1 then 'pan_left' when 2 then 'static' else 'handheld' end end as move, case when n >= 2 then 'medium' else 'unknown' end as vsure,
+  case when n >= 3 then case when m / 10 < 1 then 'static' when m / 10 < 3 then 'low' when m / 10 < 10 then 'medium' else 'high' end else 'unknown' end as pace, case when s.seq % 2 = 1 then 'high' else 'unknown' end as bsure, case when s.seq = 1 then 'sourceStart' when s.seq % 5 = 0 then 'dissolve' else 'hardCutCandidate' end as kind
+  from ev_shots s join h using (video, seq) join music_state u using (video, seq) left join sp using (video, seq) left join sm using (video, seq) join cam using (video, seq)),
+b as (select *, move <> 'unknown' and case cstate when 'absent-claimed' then move <> 'static' when 'value' then exists (select 1 from unnest(string_split(cvalue, ' → ')) t(w) where (move, w) not in (select (m, w) from agree)) else false end as odd from b0) """ + " union all ".join([
+    _part("audio.speech", "case when video % 6 <> 0 then said end", "case when video % 6 <> 0 and said is not null then 'value' else 'unknown' end", "case when video % 6 <> 0 and said is not null then 'high' else 'unknown' end", "case when video % 6 = 0 then '' else coalesce(spoken, 'raw/asr.json#transcript.segments') end", "case when video % 6 = 0 then 'fallback' else 'asr' end"),
+    _part("audio.bgmPresence", "case when video % 5 <> 0 and mstate = 'music' then '有' end", "case when video % 5 = 0 then 'unknown' when mstate = 'music' then 'value' when mstate = 'silent' then 'absent' else 'unknown' end", "case when video % 5 = 0 then 'unknown' when mstate = 'silent' and msure = 'unknown' then 'high' else msure end", "case when video % 5 = 0 then '' else 'raw/music-flags.json' || p end", "case when video % 5 = 0 then 'fallback' else 'audioDetector' end", "case when video % 5 <> 0 and mstate = 'unknown' then mstate end"),
+    _part("audio.energy", "case when n > 0 then case when m < 40 then '静音' when m < 60 then '低' when m < 75 then '中' when m < 88 then '高' else '峰值' end end", "case when n > 0 then 'value' else 'unknown' end", "case when n > 0 then 'high' else 'unknown' end", "case when n > 0 then 'raw/audio-energy.json' || p else '' end", "case when n > 0 then 'ffmpeg' else 'fallback' end"),
+    _part("quality.flags", "case when n >= 2 then case when top > 150 then 'clipped' else '' end end", "case when n >= 2 then 'value' else 'unknown' end", "case when n >= 2 then 'high' else 'unknown' end", "'raw/quality-flags.json' || p", "'ffmpeg'"),
+    _part(CAMERA_FIELD, "case when move <> 'unknown' then move else cvalue end", "case when move <> 'unknown' then 'value' else cstate end", "case when move <> 'unknown' then vsure when cstate <> 'unknown' then csure when moved then vsure else 'unknown' end", "case when move <> 'unknown' then 'raw/camera-motion.json' || p || case when odd then ',' || crefs else '' end when cstate <> 'unknown' then crefs when moved then 'raw/camera-motion.json' || p else '' end",
+          "case when move <> 'unknown' then 'appleVision' when cstate <> 'unknown' then 'unifiedModel' when moved then 'appleVision' else 'fallback' end", "case when coalesce(move, 'unknown') = 'unknown' and cstate <> 'unknown' then corig end", "case when odd then 'visual.cameraMovement: detector {' || move || '}, model {' || coalesce(corig, cvalue) || '}' end"),
+    _part("visual.movementIntensity", "case when moved and pace <> 'unknown' then pace end", "case when moved and pace <> 'unknown' then 'value' else 'unknown' end", "case when moved then vsure else 'unknown' end", "case when moved then 'raw/camera-motion.json' || p else '' end", "case when moved then 'appleVision' else 'fallback' end", "case when moved and pace = 'unknown' then pace end"),
+    _part("visual.contentSummary", "summary", "case when summary is not null then 'value' else 'unknown' end", "coalesce(sure, 'unknown')", "coalesce(seen, '')", "case when summary is not null then 'aggregate' else 'fallback' end"),
+    _part("editing.transition", "case when kind = 'hardCutCandidate' then '硬切' end", "case kind when 'hardCutCandidate' then 'value' when 'sourceStart' then 'absent' else 'unknown' end", "case when kind = 'sourceStart' then 'high' else bsure end", "'raw/shots.json' || p || '.boundaryIn'", "'ffmpeg'", "case when kind = 'dissolve' then kind end")])
+
+
+@query("observations_detected", sql("ev_shots ev_seg ev_points", _RESOLVED))
+def observations_detected(spark, sf):
+    """The eight detected fields of every shot from transcript, music, energy, motion and boundaries as this library computes them, beside a model's reply of five fields. Transcripts lack for videos that are multiples of 6, music of 5, motion of 7."""
+    v, q, n, m = F.col("video"), F.col("seq"), F.col("n"), F.col("median")
+    keys, at = ["video", "seq"], (F.col("seq") - 1).alias("place")
+    speech = attributed(spark, sf).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("pos").alias("place"), "text"))).alias("_s"))
+    rows = A.by_shot(ev_shots(spark, sf), hits(spark, sf), "value", keys).join(music_states(spark, sf).select(*keys, "state", "confidence"), keys).join(speech, keys, "left")
+    pace = F.when(n >= 3, S.motion_intensity(m / 10)).otherwise("unknown")
+    move = F.when(n % 4 == 0, "unknown").when(n % 4 == 1, "pan_left").when(n % 4 == 2, "static").otherwise("handheld")
+    cut = F.when(q == 1, "sourceStart").when(q % 5 == 0, "dissolve").otherwise("hardCutCandidate")
+    shots = rows.select(
+        *keys, F.when(v % 6 != 0, F.struct(F.col("_s").alias("segments"))).alias("speech"), F.when(v % 5 != 0, F.struct(at, "state", "confidence")).alias("music"), F.when(n > 0, F.struct(at, S.loudness_label(m - 100).alias("label"))).alias("energy"),
+        F.struct(at, F.when(F.col("most") > 150, F.array(F.lit("clipped"))).otherwise(F.array().cast("array<string>")).alias("flags"), F.when(n >= 2, "high").otherwise("unknown").alias("confidence")).alias("quality"),
+        F.when(v % 7 != 0, F.struct(at, move.alias("camera"), pace.alias("intensity"), F.when(n >= 2, "medium").otherwise("unknown").alias("confidence"))).alias("motion"),
+        F.struct(at, cut.alias("type"), F.when(q % 2 == 1, "high").otherwise("unknown").alias("confidence")).alias("boundary"))
+    words = F.when(v % 3 == 0, "固定").when(v % 3 == 1, "摇").otherwise("推 → 手持")
+    raws = []
+    for k, f in enumerate(_SEEN):
+        text = F.concat(F.lit("s"), q % 10) if k < 4 else words
+        raws.append(F.when((q + k) % 5 != 0, F.struct(F.lit(f).alias("key"), F.when((q + k) % 5 == 1, "none").when((q + k) % 5 == 2, " Unknown ").otherwise(text).alias("value"))))
+    replies = ev_shots(spark, sf).select(
+        *keys, F.when(q % 9 != 0, "succeeded").otherwise("failed").alias("status"), F.concat(F.lit("raw/unified-media.json#shots["), q - 1, F.lit("]")).alias("base_ref"), F.map_from_entries(F.array_compact(F.array(*raws))).alias("raw"),
+        F.create_map(F.lit("visual"), F.when(q % 2 == 0, "high").otherwise("low")).alias("sure"))
+    out = detected_observations(shots, O.model_observations(replies, keys, {}, _SEEN), keys)
+    return out.withColumn("refs", F.array_join("refs", ",")).drop("verified")
+
+
 _NEED = ["visual.contentSummary", "visual.framing", "audio.speech"]
 _COMPLETE = _LONG + """, o as (select * replace (p_partkey % 2 = 0 as verified) from long where not (field = 'audio.speech' and p_partkey % 19 = 0)),
 need as (select p_partkey, unnest([""" + ", ".join(f"'{n}'" for n in _NEED) + """]) as field from (select distinct p_partkey from o)), u as (
