@@ -105,7 +105,8 @@ def seam_alignment(slots: DataFrame, seams: DataFrame, least: float = 0.5, keys:
 def pair_metric_rows(pairs: DataFrame, keys: Sequence[str] = ("video",)) -> DataFrame:
     """keys, left, right, metric, value (text), status, unit, refs: seven rows an adjacent pair, whatever is missing.
 
-    pairs: left, right (their places from 0 are left_at, right_at), luma, db, move and music of both sides (left_luma, right_luma and so on), aligned (null without audio boundaries), gap_ms and spans (null without speech)."""
+    pairs: left, right (their places from 0 are left_at, right_at), luma, db, move and music of both sides (left_luma, right_luma and so on), aligned (null without audio boundaries), gap_ms and spans (null without speech),
+    left_frame and right_frame (files of the two frames at the boundary, null where there is none: they are the evidence of the luma difference, also of one that could not be measured)."""
     c = F.col
     at = lambda doc: F.array(F.concat(F.lit(f"raw/{doc}.json#shots["), c("left_at").cast("string"), F.lit("]")), F.concat(F.lit(f"raw/{doc}.json#shots["), c("right_at").cast("string"), F.lit("]")))
     none = F.array().cast("array<string>")
@@ -113,14 +114,15 @@ def pair_metric_rows(pairs: DataFrame, keys: Sequence[str] = ("video",)) -> Data
     some = lambda name: c(f"left_{name}").isNotNull() | c(f"right_{name}").isNotNull()
     delta = lambda name, places: F.format_string(f"%.{places}f", F.round((c(f"right_{name}") - c(f"left_{name}")).cast("double"), places))
 
-    def cell(name: str, there: Column, value: Column, refs: Column, unit: str | None = None, lacking: str = "unknown") -> Column:
+    def cell(name: str, there: Column, value: Column, refs: Column, unit: str | None = None, lacking: str = "unknown", lacking_refs: Column = none) -> Column:
         there = F.coalesce(there, F.lit(False))
-        return F.struct(F.lit(name).alias("metric"), F.when(there, value.cast("string")).alias("value"), F.when(there, "value").otherwise(lacking).alias("status"), F.lit(unit).alias("unit"), F.when(there, refs).otherwise(none).alias("refs"))
+        return F.struct(F.lit(name).alias("metric"), F.when(there, value.cast("string")).alias("value"), F.when(there, "value").otherwise(lacking).alias("status"), F.lit(unit).alias("unit"), F.when(there, refs).otherwise(lacking_refs).alias("refs"))
 
     both = lambda name: c(f"left_{name}").isNotNull() & c(f"right_{name}").isNotNull()
     one = lambda ref: F.array(F.lit(ref))
+    frames = F.array_compact(F.array("left_frame", "right_frame"))
     cells = F.array(
-        cell("lumaDelta", both("luma"), delta("luma", 3), at("frame-evidence"), None, "unavailable"), cell("audioLevelDeltaDb", both("db"), delta("db", 2), at("audio-energy"), "dB"),
+        cell("lumaDelta", both("luma"), delta("luma", 3), frames, None, "unavailable", frames), cell("audioLevelDeltaDb", both("db"), delta("db", 2), at("audio-energy"), "dB"),
         cell("cameraMotionChange", some("move"), side("move"), at("camera-motion")), cell("audioCutAligned", c("aligned").isNotNull(), c("aligned"), one("raw/audio-cuts.json#boundaries")),
         cell("speechGapMs", c("gap_ms").isNotNull(), c("gap_ms"), one("raw/asr.json#segments"), "ms"), cell("speechSpansBoundary", c("spans").isNotNull(), c("spans"), one("raw/asr.json#segments")),
         cell("musicContinuity", some("music"), side("music"), at("music-flags")))

@@ -21,6 +21,10 @@ def number_chains(df: DataFrame, opens: Column, order: str, keys: Sequence[str])
     return df.withColumn("_opens", opens.cast("long")).withColumn("chain", F.sum("_opens").over(w.rangeBetween(W.unboundedPreceding, 0))).drop("_opens")
 
 
+def _same(a, b) -> bool:
+    return a == b or (pd.isna(a) and pd.isna(b))
+
+
 def decide(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs: Sequence[str], rule: Callable[..., list], name: str, kind: str) -> DataFrame:
     """Adds ``name`` (of SQL type ``kind``): rule gets the lists of a chain's inputs, in order, and gives a list of results."""
     by = [*keys, "chain"]
@@ -37,20 +41,28 @@ def decide(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs: Seq
         change[:1] = True
         for c in by:
             values = pdf[c].to_numpy()
-            change[1:] |= values[1:] != values[:-1]
+            change[1:] |= (values[1:] != values[:-1]) & ~(pd.isna(values[1:]) & pd.isna(values[:-1]))
         return np.flatnonzero(change)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
+        held: list[pd.DataFrame] = []  # the pieces of the last chain, joined once when it ends
         for pdf in parts:
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
             if not len(pdf):
                 continue
             starts = starts_of(pdf)
-            held = pdf.iloc[starts[-1] :].reset_index(drop=True)
+            if held:
+                goes_on = all(_same(held[0][c].iloc[0], pdf[c].iloc[0]) for c in by)
+                if goes_on and len(starts) == 1:
+                    held.append(pdf)
+                    continue
+                if goes_on:
+                    held.append(pdf.iloc[: starts[1]])
+                    pdf, starts = pdf.iloc[starts[1] :], starts[1:] - starts[1]
+                yield settle(pd.concat(held, ignore_index=True), np.zeros(1, np.int64))
             if len(starts) > 1:
-                yield settle(pdf.iloc[: starts[-1]], starts[:-1])
-        if held is not None and len(held):
-            yield settle(held, np.zeros(1, np.int64))
+                yield settle(pdf.iloc[: starts[-1]].reset_index(drop=True), starts[:-1])
+            held = [pdf.iloc[starts[-1] :]]
+        if held:
+            yield settle(pd.concat(held, ignore_index=True), np.zeros(1, np.int64))
 
     return df.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)

@@ -298,12 +298,15 @@ _AT = "case when {t} then 'raw/{d}.json#shots[' || (l - 1) || '],raw/{d}.json#sh
 
 
 def _cell(name: str, there: str, value: str, refs: str, unit: str = "null", lacking: str = "unknown") -> str:
+    if refs == "#frames":
+        refs = "concat_ws(',', case when lm is not null then 'frames/' || l || '--' || r || '/left-exit.jpg' end, case when rm is not null then 'frames/' || l || '--' || r || '/right-entry.jpg' end)"
+        return f"select video, l as left_shot, r as right_shot, '{name}' as metric, case when {there} then ({value})::varchar end as value, case when {there} then 'value' else '{lacking}' end as status, {unit}::varchar as unit, {refs} as refs from w"
     refs = _AT.format(t=there, d=refs) if "#" not in refs else f"case when {there} then '{refs}' else '' end"
     return f"select video, l as left_shot, r as right_shot, '{name}' as metric, case when {there} then ({value})::varchar end as value, case when {there} then 'value' else '{lacking}' end as status, {unit}::varchar as unit, {refs} as refs from w"
 
 
 _CELLS = _WIDE + " , cells as (" + " union all ".join([
-    _cell("lumaDelta", "lm is not null and rm is not null", "printf('%.3f', round(rm - lm, 3))", "frame-evidence", lacking="unavailable"), _cell("audioLevelDeltaDb", "ld is not null and rd is not null", "printf('%.2f', round(rd - ld, 2))", "audio-energy", "'dB'"),
+    _cell("lumaDelta", "lm is not null and rm is not null", "printf('%.3f', round(rm - lm, 3))", "#frames", lacking="unavailable"), _cell("audioLevelDeltaDb", "ld is not null and rd is not null", "printf('%.2f', round(rd - ld, 2))", "audio-energy", "'dB'"),
     _cell("cameraMotionChange", "lv is not null or rv is not null", "coalesce(lv, '-') || ' > ' || coalesce(rv, '-')", "camera-motion"), _cell("audioCutAligned", "aligned is not null", "aligned", "raw/audio-cuts.json#boundaries"),
     _cell("speechGapMs", "gap_ms is not null", "gap_ms", "raw/asr.json#segments", "'ms'"), _cell("speechSpansBoundary", "spans is not null", "spans", "raw/asr.json#segments"),
     _cell("musicContinuity", "lu is not null or ru is not null", "coalesce(lu, '-') || ' > ' || coalesce(ru, '-')", "music-flags")]) + ")"
@@ -317,6 +320,8 @@ def wide_pairs(spark, sf):
     gaps = around(spark, sf).select("video", F.col("seq").alias("left_seq"), "gap_ms", "spans")
     cuts = J.band_exists(pairs.select("video", F.col("left_end_ms").alias("cut_ms")), ev_points(spark, sf, "purchase").select("video", F.col("time_ms").alias("audio_ms")), HOUR)
     pairs = pairs.join(gaps, ["video", "left_seq"]).join(cuts.select("video", F.col("cut_ms").alias("left_end_ms"), "aligned"), ["video", "left_end_ms"])
+    frame = lambda side, name: F.when(F.col(f"{side}_luma").isNotNull(), F.format_string(f"frames/%d--%d/{name}.jpg", "left_seq", "right_seq"))
+    pairs = pairs.withColumn("left_frame", frame("left", "left-exit")).withColumn("right_frame", frame("right", "right-entry"))
     return pairs.withColumn("left", F.col("left_seq")).withColumn("right", F.col("right_seq")).withColumn("left_at", F.col("left_seq") - 1).withColumn("right_at", F.col("right_seq") - 1)
 
 

@@ -69,3 +69,21 @@ def test_greedy_match_and_scores(spark):
     hits = sum(1 for w in want if w[0] == 1)
     assert scores[1].recall == hits / 40 and scores[1].precision == hits / 50
     assert scores[3].precision == 1.0 and scores[3].recall == 0.0
+
+
+def test_a_chain_over_many_batches(spark):
+    """Chains of any length are decided whole, whatever batches they come in; a null key is a key."""
+    from pyspark.sql import functions as F
+
+    from strandline.operators import chains
+
+    lengths = [1, 500, 3, 1, 1200, 64, 64, 2]
+    rows = [(v, chain, i) for v in (1, None) for chain, n in enumerate(lengths) for i in range(n)]
+    df = spark.createDataFrame(rows, "video long, chain long, i long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        out = chains.decide(df, ["video"], ["i"], ["i"], lambda at: [len(at) * 10_000 + x for x in at], "seen", "bigint").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(out) == len(rows) and all(r.seen == lengths[r.chain] * 10_000 + r.i for r in out)
+    assert chains.decide(df.where(F.lit(False)), ["video"], ["i"], ["i"], list, "seen", "bigint").count() == 0
