@@ -37,6 +37,18 @@ def tolerant_read(spark, sf):
     return C.tolerant(C.read_artifact(spark, _corpus(spark, sf), _SCHEMA, _VIDEO), expected, "shots")[1]
 
 
+@query("file_inventory", """with v as (select distinct user_id as u from events) select u::varchar as video_id, 'shots' as artifact, case u % 9 when 0 then 'empty' else 'missing' end as issue from v where u % 9 <= 1 union all select u::varchar, 'asr', 'unexpected' from v where u % 9 = 2""")
+def file_inventory(spark, sf):
+    """Files as they lie in the corpus: of videos that are multiples of 9 an empty one, of those that leave 1 none, of those that leave 2 one more."""
+    v = F.col("video_id")
+    e = table(spark, sf, "events").groupBy(F.col("user_id").alias("video_id")).agg(F.array_sort(F.collect_list("event_id")).alias("shots"))
+    files = e.where("video_id % 9 <> 1").select("video_id", F.when(v % 9 == 0, "").otherwise(F.to_json(F.struct("shots"))).alias("value"), F.explode(F.when(v % 9 == 2, F.array(F.lit("shots"), F.lit("asr"))).otherwise(F.array(F.lit("shots")))).alias("artifact"))
+    folder = C.shared_folder(spark, "corpus")
+    files.write.partitionBy("video_id", "artifact").text(folder)
+    listing = C.list_files(spark, folder, "part-*", _VIDEO, r"/artifact=([^/]+)/")
+    return C.file_issues(e.select(v.cast("string").alias("video_id"), F.lit("shots").alias("artifact")), listing)
+
+
 @query("explode_facts", sql("doc_lines", " select video, pos::int as pos, length(line)::int as n from doc_lines"))
 def explode_facts(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("video"), F.split("text", "\n", -1).alias("lines"))

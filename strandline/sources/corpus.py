@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -33,6 +33,28 @@ def read_artifact(spark: SparkSession, path: str, schema: str, video: str = r"/(
     return rows.select("video_id", *[F.col(f"doc.{n}").alias(n) for n in [*names, "_corrupt_record"]])
 
 
+def list_files(spark: SparkSession, path: str, glob: str = "*.json", video: str = r"/([^/]+)/raw/[^/]+$", artifact: str = r"/([^/]+)\.json$", videos: Sequence[str] | None = None) -> DataFrame:
+    """video_id, artifact, file (its path below ``path``), n_bytes, modified_at of every file below a corpus folder, by Spark's own listing; no file is opened, since the content column is not asked for.
+    Spark leaves files without a byte out of its scans, so they count as missing.
+
+    ``glob`` picks files by name and ``videos`` the folders that are listed at all; a condition on n_bytes or modified_at reaches the scan. ``video``, ``artifact``: what part of the path names them."""
+    folders = [path] if videos is None else [f"{path}/{v}" for v in videos]
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folders)
+    # the scheme and host that a file system puts before a path are not part of the name
+    below = F.element_at(F.split("path", f"\\Q{path.split('://')[-1].split(':')[-1].rstrip('/')}\\E/", 2), -1)
+    return rows.select(F.regexp_extract("path", video, 1).alias("video_id"), F.regexp_extract("path", artifact, 1).alias("artifact"), below.alias("file"), F.col("length").alias("n_bytes"), F.col("modificationTime").alias("modified_at"))
+
+
+def file_issues(expected: DataFrame, listing: DataFrame, least_bytes: int = 2) -> DataFrame:
+    """video_id, artifact, issue: missing, empty (fewer than ``least_bytes``, which no document has) or unexpected. expected: video_id, artifact (repeats count once); listing: from ``list_files``.
+
+    A document in several files is as large as all of them."""
+    there = listing.groupBy("video_id", "artifact").agg(F.sum("n_bytes").alias("_n"))
+    wanted = expected.select("video_id", "artifact").distinct().withColumn("_wanted", F.lit(True))
+    issue = F.when(F.col("_wanted").isNull(), "unexpected").when(F.col("_n").isNull(), "missing").when(F.col("_n") < least_bytes, "empty")
+    return wanted.join(there, ["video_id", "artifact"], "full").select("video_id", "artifact", issue.alias("issue")).where("issue is not null")
+
+
 def tolerant(read: DataFrame, expected: DataFrame, artifact: str) -> tuple[DataFrame, DataFrame]:
     """Good documents, and an issue for each expected video that is missing (warning) or corrupt (error)."""
     good = read.where("_corrupt_record is null").drop("_corrupt_record")
