@@ -238,9 +238,35 @@ def waveform(df: DataFrame, ranges: DataFrame, width: int, value: str, full: flo
 THRESHOLDS = {"p20": ("motion", 0.2), "p50": ("motion", 0.5), "p80": ("motion", 0.8), "cut90": ("cut", 0.9), "move90": ("move", 0.9), "zoom90": ("zoom", 0.9), "shake90": ("shake", 0.9), "bright92": ("bright", 0.92)}
 
 
+def _places(x: Column, n: int) -> Column:
+    """Rounds the scaled double, as SQL engines do; F.round goes by the shortest decimal of the double, which tells another side where a value lies within an ulp of a half."""
+    return F.round(x * 10.0**n) / 10.0**n
+
+
+def _share_of(values: str, q: float) -> Column:
+    """Percentile of a sorted array: low (1 - d) + high d, where the first product is not rounded before the sum (a fused multiply-add, as the SQL's engine has it)."""
+    at = (F.size(values) - 1) * F.lit(q)
+    low, high, d = F.get(values, F.floor(at).cast("int")), F.get(values, F.ceil(at).cast("int")), at - F.floor(at)
+    step = lambda x, f: F.transform(F.array(x), f)[0]  # noqa: E731  # names a value, so that it is computed once
+
+    def split(x: Column) -> tuple[Column, Column]:
+        upper = x * 134217729.0 - (x * 134217729.0 - x)
+        return upper, x - upper
+
+    def fused(x: Column) -> Column:
+        (ah, al), (bh, bl), p, c = split(x["a"]), split(x["b"]), x["a"] * x["b"], x["c"]
+        lost = ((ah * bh - p) + ah * bl + al * bh) + al * bl
+        t = p + c
+        return t + (((p - (t - (t - p))) + (c - (t - p))) + lost)
+
+    return step(F.struct(low.alias("a"), (1 - d).alias("b"), (high * d).alias("c")), fused)
+
+
 def adaptive_thresholds(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Percentiles of a video's motion, cut, move, zoom, shake and bright, four places."""
-    return df.groupBy(*keys).agg(*[F.round(F.percentile(c, q), 4).alias(name) for name, (c, q) in THRESHOLDS.items()])
+    used = dict.fromkeys(c for c, _ in THRESHOLDS.values())
+    rows = df.groupBy(*keys).agg(*[F.array_sort(F.collect_list(F.col(c).cast("double"))).alias(f"_{c}") for c in used])
+    return rows.select(*keys, *[_places(_share_of(f"_{c}", q), 4).alias(name) for name, (c, q) in THRESHOLDS.items()])
 
 
 def _hit_groups(rows: DataFrame, kinds: dict[str, tuple[Column, int]], keys: Sequence[str]) -> DataFrame:
@@ -268,7 +294,7 @@ def speed_ramps(df: DataFrame, limits: DataFrame, region: int, impact_floor: flo
     value = F.when(impact, c("top")).when(low & (c("mean") > 0), c("p20") / c("mean")).otherwise(c("mean"))
     sure = motion_confidence(value, F.when(impact, c("cut90")).when(low, 1.0).otherwise(c("p80")))
     return g.where(impact | (c("n") >= region)).select(
-        "kind", *keys, "start_ms", "end_ms", (c("end_ms") - c("start_ms")).alias("duration_ms"), "n", F.round("mean", 4).alias("avg_motion"), F.when(impact, c("peak")).alias("peak_i"),
+        "kind", *keys, "start_ms", "end_ms", (c("end_ms") - c("start_ms")).alias("duration_ms"), "n", _places(c("mean"), 4).alias("avg_motion"), F.when(impact, c("peak")).alias("peak_i"),
         sure.alias("confidence"), F.when(impact, F.array("peak")).otherwise(F.array("first", "last")).alias("refs"))
 
 
