@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rules import together
+
 
 def unfenced(text: str | Column) -> Column:
     """The text inside one pair of fences around all of it, with at most a word after the first; other text as it is."""
@@ -89,10 +91,7 @@ def story_fill_rules(scaffold: DataFrame, blocks: DataFrame, slots: DataFrame, s
         broken(slots, keys, F.char_length("title") > slot_title, "slot title"), broken(slots, keys, F.coalesce(F.size("blocks"), F.lit(0)) <= 0, "slot without blocks"),
         broken(named.join(known, on, "left_anti"), keys, F.lit(True), "unknown block"), broken(known.join(named, on, "left_anti"), keys, F.lit(True), "block without slot"),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+    return together(parts).distinct()
 
 
 def story_reply(replies: DataFrame, reply: str, scaffold: DataFrame, enums: Mapping[str, Sequence[str]], lists: Mapping[str, Sequence[str]], texts: Sequence[str], slot_types: Sequence[str], keys: Sequence[str] = ("video",)) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -182,7 +181,4 @@ def distill_rules(slots: DataFrame, expected: DataFrame, roles: DataFrame, role_
         broken(hints, keys, F.col("strengths").isNull() | F.col("cautions").isNull() | blank("suggested"), "hints"), broken(questions, keys, blank("id") | (F.coalesce(F.size("options"), F.lit(0)) <= 0) | F.exists("texts", lambda t: F.coalesce(F.trim(t) == "", F.lit(True))), "question"),
         broken(questions.groupBy(*by("id")).agg(F.count("*").alias("n")), keys, "n > 1", "question twice"),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+    return together(parts).distinct()
