@@ -63,8 +63,9 @@ def assembled(shots: DataFrame, keys: Sequence[str], group: str) -> DataFrame:
     one = F.array(F.struct(F.transform("s", lambda x: x["shot"]).alias("shots"), F.lit(True).alias("ok")))
     each = F.transform("s", lambda x: F.struct(F.array(x["shot"]).alias("shots"), x["ok"].alias("ok")))
     rows = per.select(*keys, group, F.when(F.col("whole"), "batch").otherwise("shot").alias("kind"), F.explode(F.when(F.col("whole"), one).otherwise(each)).alias("r")).select(*keys, group, "kind", "r.*")
-    count = shots.groupBy(*keys).agg(F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"))
-    rows = rows.withColumn("batch", F.row_number().over(W.partitionBy(*keys).orderBy(group, F.get("shots", F.lit(0)))) - 1).join(count, list(keys))
+    video = W.partitionBy(*keys)  # a row's shots are all of its kind, so the counts need no second pass over the shots
+    count = lambda ok: F.sum(F.when(ok, F.size("shots")).otherwise(0)).over(video)
+    rows = rows.select("*", (F.row_number().over(video.orderBy(group, F.get("shots", F.lit(0)))) - 1).alias("batch"), count(F.col("ok")).alias("succeeded"), count(~F.col("ok")).alias("failed"))
     return rows.withColumn("status", F.when(F.col("ok"), "succeeded").otherwise("failed"))
 
 
