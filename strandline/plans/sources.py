@@ -18,7 +18,7 @@ def _corpus(spark, sf) -> str:
     e = table(spark, sf, "events").groupBy(F.col("user_id").alias("video_id")).agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type", "value"))).alias("shots"))
     doc = F.when(F.col("video_id") % 9 == 0, '{"shots": [').otherwise(F.to_json(F.struct("shots")))
     folder = C.shared_folder(spark, "corpus")
-    e.where("video_id % 9 <> 1").select("video_id", doc.alias("value")).write.partitionBy("video_id").text(folder)
+    C.write_documents(e.where("video_id % 9 <> 1").select("video_id", doc.alias("value")), ["video_id"], folder)
     return folder
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from urllib.parse import unquote, urlsplit
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,6 +28,41 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def _mounted(spark: SparkSession, folder: str) -> str | None:
+    """Where tasks find the folder by plain file calls, if Spark's file system for it is a mounted one (Spark is asked, since a path need not name its file system)."""
+    spark.range(1).select(F.lit("").alias("value")).write.mode("overwrite").text(f"{folder}-place")
+    at = urlsplit(spark.read.text(f"{folder}-place").select("_metadata.file_path").first().file_path)
+    return unquote(at.path).rsplit("/", 1)[0].removesuffix("-place") if at.scheme == "file" else None
+
+
+def write_documents(rows: DataFrame, keys: Sequence[str], folder: str) -> None:
+    """One text file a row, below <folder>/key=value/... as Spark's writer names it. rows: keys (not null, one row each), value.
+
+    On a mounted file system the tasks write the files themselves, dealt over all cores: Spark's writer sets the permissions of each folder, file and checksum there by a process of its own, and the
+    driver moves every file. A file gets its name once it is whole, and the same name if its task is run again. On any other file system Spark writes them."""
+    spark = rows.sparkSession
+    to = _mounted(spark, folder)
+    if to is None:
+        rows.write.partitionBy(*keys).text(folder)
+        return
+    escaped = re.compile("[\x01-\x1f\x7f\"#%'*/:=?\\\\{\\[\\]^]")
+
+    def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for *key, value in zip(*(part[k] for k in keys), part["value"]):
+                at = "/".join([to, *(f"{k}={escaped.sub(lambda m: f'%{ord(m[0]):02X}', str(v))}" for k, v in zip(keys, key))])
+                os.makedirs(at, exist_ok=True)
+                staged = f"{at}/.{uuid.uuid4().hex}"
+                with open(staged, "w", encoding="utf-8", newline="") as out:
+                    out.write(f"{value or ''}\n")
+                os.replace(staged, f"{at}/part-0.txt")
+            yield pd.DataFrame({"n": [len(part)]})
+
+    os.makedirs(to, exist_ok=True)
+    rows = rows.select(*keys, "value").repartition(spark.sparkContext.defaultParallelism, *keys)
+    rows.mapInPandas(write, "n bigint").agg(F.sum("n")).collect()  # one row
+
+
 def read_artifact(spark: SparkSession, path: str, schema: str, video: str = r"/([^/]+)/raw/[^/]+$") -> DataFrame:
     """video_id and the typed columns of one artifact; a document that does not parse keeps its text in _corrupt_record. ``video``: what part of the file's path names it."""
     names = [f.name for f in T._parse_datatype_string(schema).fields]
@@ -58,9 +97,13 @@ def file_issues(expected: DataFrame, listing: DataFrame, least_bytes: int = 2) -
 def tolerant(read: DataFrame, expected: DataFrame, artifact: str) -> tuple[DataFrame, DataFrame]:
     """Good documents, and an issue for each expected video that is missing (warning) or corrupt (error)."""
     good = read.where("_corrupt_record is null").drop("_corrupt_record")
-    issue = lambda df, severity, message: df.select(F.lit(severity).alias("severity"), F.lit(artifact).alias("artifact"), "video_id", F.lit(message).alias("message"))
-    bad = issue(read.where("_corrupt_record is not null"), "error", "corrupt")
-    return good, bad.unionByName(issue(expected.join(read.select("video_id"), "video_id", "left_anti"), "warning", "missing"))
+    # documents are opened once: what was read and what was expected meet by video
+    told = read.select("video_id", F.lit(1).alias("_read"), F.col("_corrupt_record").isNotNull().cast("int").alias("_bad"), F.lit(0).alias("_wanted"))
+    told = told.unionByName(expected.select("video_id", F.lit(0).alias("_read"), F.lit(0).alias("_bad"), F.lit(1).alias("_wanted")))
+    told = told.groupBy("video_id").agg(*(F.sum(c).alias(c) for c in ("_read", "_bad", "_wanted")))
+    issue = lambda n, severity, message: F.transform(F.array_repeat(F.lit(0), n.cast("int")), lambda _: F.struct(F.lit(severity).alias("severity"), F.lit(artifact).alias("artifact"), "video_id", F.lit(message).alias("message")))
+    missing = F.when((F.col("_read") == 0) | F.col("video_id").isNull(), F.col("_wanted")).otherwise(0)
+    return good, told.select(F.inline(F.concat(issue(F.col("_bad"), "error", "corrupt"), issue(missing, "warning", "missing"))))
 
 
 def explode_facts(docs: DataFrame, array: str, keys: list[str]) -> DataFrame:
