@@ -44,7 +44,7 @@ def file_inventory(spark, sf):
     e = table(spark, sf, "events").groupBy(F.col("user_id").alias("video_id")).agg(F.array_sort(F.collect_list("event_id")).alias("shots"))
     files = e.where("video_id % 9 <> 1").select("video_id", F.when(v % 9 == 0, "").otherwise(F.to_json(F.struct("shots"))).alias("value"), F.explode(F.when(v % 9 == 2, F.array(F.lit("shots"), F.lit("asr"))).otherwise(F.array(F.lit("shots")))).alias("artifact"))
     folder = C.shared_folder(spark, "corpus")
-    files.write.partitionBy("video_id", "artifact").text(folder)
+    C.write_documents(files, ["video_id", "artifact"], folder)
     listing = C.list_files(spark, folder, "part-*", _VIDEO, r"/artifact=([^/]+)/")
     return C.file_issues(e.select(v.cast("string").alias("video_id"), F.lit("shots").alias("artifact")), listing)
 
