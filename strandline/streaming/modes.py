@@ -37,6 +37,14 @@ def windowed_tally(points: DataFrame, state: str, width: str, delay: str = "1 ho
     return g.select(*keys, F.unix_millis("window.start").alias("window_ms"), state, "n")
 
 
+def _ordered(parts: Iterator[pd.DataFrame], held: Sequence[list], columns: Sequence[str]) -> list[np.ndarray]:
+    """Held rows and arrivals, in order of (time_ms, id). Arrays, not frames: a video has few rows, and a frame costs more than they do."""
+    arrived = [p for p in parts if len(p)]
+    rows = [np.concatenate([np.asarray(h), *(p[c].to_numpy() for p in arrived)]) if arrived and len(h) else np.concatenate([p[c].to_numpy() for p in arrived]) if arrived else np.asarray(h) for c, h in zip(columns, held)]
+    order = np.lexsort((rows[1], rows[0]))
+    return [r[order] for r in rows]
+
+
 def local_peaks(points: DataFrame, threshold: float, delay: str = "1 hour", key: str = "video") -> DataFrame:
     """Peaks above the threshold among the frames that the watermark has passed, in order of (time_ms, id) whatever the order of arrival.
 
@@ -45,10 +53,7 @@ def local_peaks(points: DataFrame, threshold: float, delay: str = "1 hour", key:
 
     def step(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         before, *held = state.get if state.exists else (float("-inf"), [], [], [])
-        rows = [pd.DataFrame(dict(zip(("time_ms", "id", "value"), held))), *(p[["time_ms", "id", "value"]] for p in parts)]
-        rows = pd.concat([r for r in rows if len(r)]) if any(len(r) for r in rows) else rows[0]
-        rows = rows.sort_values(["time_ms", "id"], kind="stable")
-        t, i, v = (rows[c].to_numpy() for c in ("time_ms", "id", "value"))
+        t, i, v = _ordered(parts, held, ("time_ms", "id", "value"))
         mark = state.getCurrentWatermarkMs()
         ready = int(np.searchsorted(t, mark, "left"))
         n = max(ready - 1, 0)  # the last frame that is ready waits for its next one
@@ -58,7 +63,8 @@ def local_peaks(points: DataFrame, threshold: float, delay: str = "1 hour", key:
         state.update((before, t[n:].tolist(), i[n:].tolist(), v[n:].tolist()))
         if len(t) > ready:
             state.setTimeoutTimestamp(max(mark + 1, int(t[ready])))
-        yield pd.DataFrame({key: [group[0]] * len(hit), "time_ms": t[hit], "id": i[hit], "value": v[hit]})
+        if len(hit):
+            yield pd.DataFrame({key: [group[0]] * len(hit), "time_ms": t[hit], "id": i[hit], "value": v[hit]})
 
     rows = points.select(key, "time_ms", "id", "value", F.timestamp_millis("time_ms").alias("_t")).withWatermark("_t", delay)
     kind = points.schema[key].dataType.simpleString()
@@ -72,14 +78,6 @@ def _held(points: DataFrame, key: str, step, output: str, held: str, delay: str,
     return rows.groupBy(key).applyInPandasWithState(step, f"{key} {points.schema[key].dataType.simpleString()}, {output}", held, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def _ordered(parts: Iterator[pd.DataFrame], held: Sequence[list], columns: Sequence[str]) -> list[np.ndarray]:
-    """Held rows and arrivals, in order of (time_ms, id)."""
-    rows = [pd.DataFrame(dict(zip(columns, held))), *(p[list(columns)] for p in parts)]
-    rows = pd.concat([r for r in rows if len(r)]) if any(len(r) for r in rows) else rows[0]
-    rows = rows.sort_values(["time_ms", "id"], kind="stable")
-    return [rows[c].to_numpy() for c in columns]
-
-
 def suppress_close(points: DataFrame, step_ms: int, delay: str = "1 hour", key: str = "video") -> DataFrame:
     """Points kept by descending value that are at least ``step_ms`` from all kept ones, earlier first on ties.
 
@@ -104,7 +102,8 @@ def suppress_close(points: DataFrame, step_ms: int, delay: str = "1 hour", key:
         elif state.exists:
             state.remove()
         hit = np.flatnonzero(kept)
-        yield pd.DataFrame({key: [group[0]] * len(hit), "time_ms": t[hit], "id": i[hit], "value": v[hit]})
+        if len(hit):
+            yield pd.DataFrame({key: [group[0]] * len(hit), "time_ms": t[hit], "id": i[hit], "value": v[hit]})
 
     return _held(points, key, step, "time_ms bigint, id bigint, value double", "times array<bigint>, ids array<bigint>, values array<double>", delay, "id", "value")
 
@@ -149,7 +148,8 @@ def novelty(points: DataFrame, features: Mapping[str, tuple[float, float]], half
         state.update((last - begin, t[begin:].tolist(), i[begin:].tolist(), np.array([own[begin:] for own in x], np.float64).ravel().tolist()))
         if ready < len(t):
             state.setTimeoutTimestamp(max(mark + 1, int(t[ready])))
-        yield pd.DataFrame({key: [group[0]] * (last - done), "time_ms": t[done:last], "id": i[done:last], "novelty": score})
+        if last > done:
+            yield pd.DataFrame({key: [group[0]] * (last - done), "time_ms": t[done:last], "id": i[done:last], "novelty": score})
 
     points = points.select(key, "time_ms", "id", *(F.col(n).cast("double").alias(n) for n in names))
     return _held(points, key, step, "time_ms bigint, id bigint, novelty double", "done int, times array<bigint>, ids array<bigint>, flat array<double>", delay, "id", *names)
